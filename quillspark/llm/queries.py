@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .licenses import scan_licenses
+from .lines import dedup_lines
 from .packing import pack
 from .repetition import quality
 from .secrets import scan_secrets
@@ -31,6 +32,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.concat_ws(",", c) for c in ("base_labels", "labels")})
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), packing_tokenizer())
 
