@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .decontaminate import contaminated
+from .html_text import extract
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .packing import pack
 from .repetition import quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .urls import LISTED, filter_urls
 
 
 def packing_tokenizer() -> str:
@@ -37,6 +39,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(d,) for d in LISTED], "domain string")
+    found = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +71,22 @@ def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
 
+_OP6_SQL = """
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(name, start, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'allow'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+l(domain) AS (VALUES ('ads-track.example.com'), ('adult-x.example.net'), ('spam-farm.example.com'), ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com')),
+m AS (
+  SELECT host, path, arg_max(name || start, length(name || start)) AS rule, arg_max(says, length(name || start)) AS says
+  FROM (SELECT DISTINCT host, path FROM p) q, r WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY host, path)
+SELECT p.page_id, p.host, p.path, m.rule,
+  coalesce(m.says, CASE WHEN EXISTS (SELECT 1 FROM l WHERE p.host = domain OR ends_with(p.host, '.' || domain)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": _OP6_SQL}
