@@ -57,16 +57,18 @@ def matched_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the neighbour after the gram; a gram has at most ``gram`` lines
     lines = lines.withColumn("right", F.get("next", F.col("size").cast("int"))).drop("next")
     chosen = F.when(F.col("b") + 2 * gram <= F.col("total"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "i"))).over(window).getField("i"))
-    lines = cut(lines.withColumn("chosen", chosen).select("k", "i", "pos", "h", "w", "g", "left", "right", "chosen"))
+    # a gram is picked if a window that begins at most ``gram`` words before it chose it
+    behind = F.collect_set("chosen").over(by_text.orderBy("b").rangeBetween(-gram, 0))
+    lines = lines.withColumn("chosen", chosen).withColumn("picked", F.array_contains(behind, F.col("i")))
+    lines = cut(lines.select("k", "i", "pos", "h", "w", F.when(F.col("picked"), F.col("g")).alias("g"), F.when(F.col("picked"), F.xxhash64("left", "g", "right")).alias("c")))
 
-    picked = lines.where("chosen is not null").select("k", F.col("chosen").alias("i")).distinct()
-    prints = lines.select("k", "i", "g", "left", "right").join(picked, ["k", "i"])
+    # c is the gram between its two neighbours
     here = F.struct("k", "i")
-    close = prints.groupBy("g", "left", "right").agg(F.min(here).alias("close"), F.count("*").alias("n_close"))
+    prints = lines.where("g is not null").select("k", "i", "g", "c")
+    close = prints.groupBy("g", "c").agg(F.min(here).alias("close"), F.count("*").alias("n_close"))
     wide = close.groupBy("g").agg(F.min("close").alias("wide"), F.sum("n_close").alias("n"))
-    sources = close.join(wide.where("n > 1"), "g")
-    same = (F.col("p.g") == F.col("s.g")) & F.col("p.left").eqNullSafe(F.col("s.left")) & F.col("p.right").eqNullSafe(F.col("s.right"))
-    prints = prints.alias("p").join(sources.alias("s"), same).select("p.k", "p.i", "close", "wide")
+    sources = close.join(wide.where("n > 1"), "g").select("c", "close", "wide")
+    prints = prints.drop("g").join(sources, "c")
     source = F.when(F.col("close") < here, F.col("close")).when(F.col("wide") < here, F.col("wide"))
     prints = prints.select("k", "i", source.alias("from")).where("`from` is not null")
 
