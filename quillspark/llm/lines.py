@@ -100,7 +100,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", g
     gone = matched_lines(df, id_col, text_col, gram, least).groupBy("k").agg(F.collect_list("pos").alias("gone"))
     gone = gone.select(F.col("k.id").alias("__id"), F.col("k.t").alias("__t"), "gone")
     key = F.col(f"d.{id_col}").eqNullSafe(F.col("g.__id")) & (F.xxhash64(f"d.{text_col}") == F.col("g.__t"))
-    joined = df.select(*kept).alias("d").join(gone.alias("g"), key, "left")
-    left = F.array_join(F.filter(F.split(f"d.{text_col}", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(f"d.{text_col}")).otherwise(left).alias(text_col)
-    return joined.select(*[text if c == text_col else F.col(f"d.{c}") for c in kept], F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    joined = df.select(*[F.col(f"`{c}`") for c in kept]).alias("d").join(gone.alias("g"), key, "left")
+    lost = F.col("g.gone")
+    left = F.array_join(F.filter(F.split(f"d.{text_col}", "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
+    text = F.when(lost.isNull(), F.col(f"d.{text_col}")).otherwise(left).alias(text_col)
+    return joined.select(*[text if c == text_col else F.col(f"d.`{c}`") for c in kept], F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("n_removed"))

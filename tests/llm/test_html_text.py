@@ -1,0 +1,38 @@
+import numpy as np
+
+from quillspark.llm.html_text import extract, main_text, smoothed, threshold
+
+LONG = "A paragraph with enough words in it to be taken for what the page is about, and then some more of them"
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">X</a></li></ul></nav><div class="ad">Buy &amp; sell</div>
+{0}<div class="comments"><p>{1}, says a reader.</p></div><footer>&copy; me</footer></body></html>"""
+
+
+def test_article():
+    body = f"<article><h1>Title &amp; more</h1><p><b>{LONG}.<br><p>Short.\n  <i>it</i></p><!-- no --><aside>side</aside><p>{LONG} &lt;2&gt;</article>"
+    assert main_text(PAGE.format(body, LONG)) == f"Title & more\n\n{LONG}.\n\nShort. it\n\n{LONG} <2>"
+
+
+def test_without_article_element():
+    body = f'<div id="wrap"><div class="text"><h2>Title</h2><p>{LONG}</p><p>Be.</p><p>{LONG} again</p></div><div class="sidebar"><p>{LONG} aside</p></div></div>'
+    assert main_text(PAGE.format(body, LONG)) == f"Title\n\n{LONG}\n\nBe.\n\n{LONG} again"
+
+
+def test_cut_off_and_empty_pages():
+    assert main_text(f"<article><p>{LONG}</p><p>cut of") == f"{LONG}\n\ncut of"
+    assert main_text("") == "" and main_text("<p></p>") == "" and main_text("<<<>&&&") != None  # noqa: E711
+    assert main_text("just text & no tags") == "just text & no tags"
+
+
+def test_smoothing_and_threshold():
+    flat = np.ones(9)
+    assert np.allclose(smoothed(flat), flat) and threshold(flat) < 1
+    assert 2 < threshold(np.array([1.0, 2, 1, 50, 60, 55])) < 50
+
+
+def test_rows(spark):
+    rows = [(1, "u", PAGE.format(f"<article><p>{LONG}</p></article>", LONG), "x"), (2, None, None, "x"), (None, "v", "", "x"), (1, "u", "<p>" + "wörd " * 40000, "x")]
+    got = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert {r["text"] for r in got} == {LONG, "", ("wörd " * 40000).strip()}
+    assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0

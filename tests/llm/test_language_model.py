@@ -1,0 +1,86 @@
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from quillspark.llm import language_model as L
+from quillspark.llm.elias_fano import EliasFano
+
+from .cases import empty, frame
+
+
+@pytest.mark.parametrize(("n", "universe"), [(0, 1), (1, 1), (1, 10**9), (1000, 1000), (1000, 5), (5000, 10**12), (20000, 30000)])
+def test_elias_fano(n, universe):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, universe, n))
+    coded = EliasFano(EliasFano.encode(values, universe))
+    if n:
+        assert (coded.get(np.arange(n)) == values).all()
+    asked = np.concatenate([rng.integers(0, universe + 5, 2000), values])
+    assert (coded.find(asked) == np.searchsorted(values, asked)).all()
+
+
+def tokens(text):
+    low = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low), "\n"]
+
+
+def exact(rows):
+    """The model without quantisation, from the same counts."""
+    train = [tokens(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    c1, c2, c3 = (collections.Counter(g for w in train for g in zip(*(w[k:] for k in range(n)))) for n in (1, 2, 3))
+    total, distinct, d = sum(c1.values()), len(c1), L.DISCOUNT
+    follow = collections.Counter(a for a, _ in c2)
+    kept, seen = collections.defaultdict(float), collections.Counter()
+    for (a, b, _), n in c3.items():
+        seen[a, b] += n
+        kept[a, b] += (n - d) * (n >= 2)
+    p1 = lambda w: (c1[w,] + 0.5) / (total + 0.5 * (distinct + 1))
+    p2 = lambda a, w: p1(w) if a not in follow else max(c2[a, w] - d, 0) / c1[a,] + d * follow[a] / c1[a,] * p1(w)
+
+    def p3(a, b, w):
+        if not kept.get((a, b)):
+            return p2(b, w)
+        n = c3[a, b, w]
+        return ((n - d) * (n >= 2) + (seen[a, b] - kept[a, b]) * p2(b, w)) / seen[a, b]
+
+    def of(text):
+        w = tokens(text)
+        score = sum(math.log10(p1(x) if j == 0 else p2(w[0], x) if j == 1 else p3(w[j - 2], w[j - 1], x)) for j, x in enumerate(w))
+        return len(w), sum(c1[x,] > 0 for x in w), total, sum(math.log10(p1(x)) for x in w), score
+
+    return of
+
+
+def test_scores_against_exact_model(spark):
+    df = frame(spark, clash=("score",))
+    got = L.score(df, L.train(df, shard_tokens=4000)).collect()
+    rows = [tuple(r) for r in df.collect()]
+    of = exact(rows)
+    want = sorted(((r[0] is None, r[0] or 0), of(r[1])) for r in rows)
+    have = sorted(((r["doc_id"] is None, r["doc_id"] or 0), (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])) for r in got)
+    assert len(want) == len(have)
+    for (i, w), (j, h) in zip(want, have, strict=True):
+        assert i == j and w[:3] == h[:3] and abs(w[3] - h[3]) < 1e-6
+        assert abs(w[4] - h[4]) <= 0.15 * w[0]  # quantised
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_lower_orders(spark, order):
+    df = frame(spark)
+    rows = L.score(df, L.train(df, order=order)).collect()
+    assert all(r["score"] < 0 for r in rows)
+    if order == 1:
+        assert all(abs(r["score"] - r["base_score"]) < 1e-9 for r in rows)
+
+
+def test_empty_table(spark):
+    df = empty(spark)
+    model = L.train(df)
+    assert L.score(df, model).count() == 0
+    assert L.score(frame(spark), model).where("n_known > 0").count() == 0
