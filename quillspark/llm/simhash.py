@@ -162,3 +162,93 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     of_print = classes.select("fp", "label").join(named, "label").drop("label")
     return prints.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+# --- similar texts: the same fingerprints at a wide radius, buckets from the shingles themselves ----------------------
+
+SIMILAR = 0.8
+RADIUS = 20
+BANDS, ROWS = 12, 3
+#: Texts of a bucket that all its texts are paired with, by so many random orders.
+FIRSTS = 6
+
+
+def _permuted(n: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = np.array([xxhash.xxh64_intdigest(b"row %d" % k) for k in range(2 * n)], np.uint64)
+    return seeds[:n] | np.uint64(1), seeds[n:]
+
+
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    """The different shingle hashes, in order."""
+    w = data.lower().split()
+    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter(map(_hash, shingles), np.uint64, max(1, len(w) - words + 1)))
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    a, b = _permuted(BANDS * ROWS)
+    least = np.array([((h * x + y) >> np.uint64(16)).min() for x, y in zip(a, b, strict=True)], np.uint64).reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)]
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    shared = len(np.intersect1d(x, y, True))
+    return shared / (len(x) + len(y) - shared)
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(id, component_id) for each row: groups of texts linked by a shingle similarity of ``similarity`` or more.
+
+    Two bits apart means almost equal texts; texts of similarity 0.8 differ in ten bits of 64 and more. At that radius blocks
+    of the fingerprint tell nothing, so buckets are bands of minimal shingle hashes: texts of similarity 0.8 meet in at
+    least one of twelve with a chance of 0.9998. In a bucket every text is paired with the first ones by six random orders,
+    other ones in each band, so rows grow with the texts whatever the group's size; in buckets of a few texts these are
+    nearly all pairs, and a large group is connected through its first ones. Pairs are discarded by the largest difference
+    of their pivot distances, then by their XOR; what is left is verified by the shingle sets themselves, which are
+    made for the texts of a pair alone.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(id_col, text_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = text_bytes(batch, text_col)
+        sets = [shingle_set(data, words) for data in made]
+        prints = np.frombuffer(b"".join(fingerprint(data, words) for data in made), ">i8").astype(np.int64)
+        keys = np.array([band_keys(h) for h in sets], np.uint64).reshape(-1).view(np.int64)
+        names = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
+        return record_batch(**{id_col: batch.column(0), "t": batch.column(2), "class": pa.array(names), "fp": pa.array(prints), "bands": pa.ListArray.from_arrays(offsets, pa.array(keys))})
+
+    # texts with equal shingle sets are one class
+    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, t bigint, class bigint, fp bigint, bands array<bigint>"))
+    classes = rows.groupBy("class").agg(F.min(id_col).alias("least"), F.min("t").alias("t"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = cut(classes)
+    keys = classes.select("class", "fp", F.posexplode("bands").alias("band", "key"))
+    firsts = [F.min(F.struct(F.xxhash64("class", "band", F.lit(k)), F.col("class").alias("class1"), F.col("fp").alias("fp1"))) for k in range(FIRSTS)]
+    first = keys.groupBy("band", "key").agg(F.array_distinct(F.array(*[f.dropFields("col1") for f in firsts])).alias("f"), F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(first.select("band", "key", F.explode("f").alias("f")), ["band", "key"]).select("class", "fp", "f.*").where("class <> class1")
+    for p in pivots():
+        ref = F.lit(int(p.view(np.int64))).cast("bigint")
+        pairs = pairs.where(F.abs(F.bit_count(F.col("fp").bitwiseXOR(ref)) - F.bit_count(F.col("fp1").bitwiseXOR(ref))) <= radius)
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp1"))) <= radius)
+    pairs = cut(pairs.select(F.least("class", "class1").alias("a"), F.greatest("class", "class1").alias("b")).distinct())
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return record_batch(t=batch.column(1), set=pa.array([shingle_set(data, words).tobytes() for data in text_bytes(batch, text_col)], pa.binary()))
+
+    wanted = classes.select("class", "t").join(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "class", "left_semi")
+    chosen = texts.select(text_col, "t").join(wanted.select("t"), "t", "left_semi").dropDuplicates(["t"]).select(text_col, "t")
+    sets = wanted.join(map_batches(chosen, sets_of, "t bigint, set binary"), "t").select("class", "set")
+    pairs = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+
+    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = [jaccard(x, y) >= similarity for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    linked = map_batches(pairs, verified, "a bigint, b bigint")
+    labels = components(linked, "a", "b").select(F.col("node").alias("class"), "label")
+    named = classes.select("class", "least").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = cut(named)
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return rows.select(id_col, "class").join(named.join(least, "label").select("class", "component_id"), "class").select(id_col, "component_id")

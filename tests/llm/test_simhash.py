@@ -92,3 +92,42 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(60)}
+
+
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rnd = random.Random(4)
+    made = []
+    for _ in range(25):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(3, 200))]
+        made.append(base)
+        for _ in range(rnd.randint(0, 4)):
+            near = [f"w{rnd.randrange(5000)}" if rnd.random() < rnd.choice([0.0, 0.01, 0.03, 0.06]) else w for w in base]
+            made.append(near)
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(made)] + [(500, None, "", "", 0), (501, "", "", "", 0), (None, " ".join(made[0]), "", "", 0), (None, "alone " * 9, "", "", 0)]
+    rows.append(rows[2])
+    sets = [shingles(t) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= S.SIMILAR * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+                links += 1
+    want = []
+    for i, r in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        want.append((r[0], min(ids, default=None)))
+    got = S.similar_documents(frame(spark, rows, clash=("t", "class", "set"))).collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got) and links > 20
+    assert S.similar_documents(empty(spark)).count() == 0
