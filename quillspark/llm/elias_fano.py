@@ -31,6 +31,7 @@ class EliasFano:
         low = buffer[at : at + n_low]
         self.low = np.ndarray((max(n_low * 8 - 7, 0),), "<u8", low.view(np.uint8), strides=(1,)) if n_low else None
         self.high = buffer[at + n_low : at + n_low + n_high]
+        self.runs = np.ndarray((max(n_high * 8 - 7, 0),), "<u8", self.high.view(np.uint8), strides=(1,))
         at += n_low + n_high
         self.ones = buffer[at : at + n_blocks]
         self.zeros = np.arange(n_blocks, dtype=np.uint64) * np.uint64(64 * _BLOCK) - self.ones
@@ -85,20 +86,46 @@ class EliasFano:
     def get(self, at: np.ndarray) -> np.ndarray:
         return ((self._select(at, True) - at) << self.bits) | self._low(at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Successor search: the place of the first element that isn't smaller."""
+    def _bucket(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place of the elements with a high part: one select, then the run of ones behind it."""
+        bit = np.where(part > 0, self._select(np.maximum(part - 1, 0), False) + 1, 0)
+        first = bit - part
+        at = np.minimum(bit >> 3, len(self.runs) - 1)
+        run = self.runs[at] >> (bit - (at << 3)).astype(np.uint64)
+        # trailing ones: below the lowest zero
+        ones = np.bitwise_count((~run & (run + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        last = first + ones
+        far = np.flatnonzero((ones >= 56) | (bit - (at << 3) > 7))  # the run may go on
+        if len(far):
+            last[far] = self._select(part[far], False) - part[far]
+        return first, last
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first element of the value's bucket that isn't smaller, end of the bucket)."""
         part = np.minimum(values >> self.bits, self.top)
-        first = np.where(part > 0, self._select(np.maximum(part - 1, 0), False) - part + 1, 0)
-        last = self._select(part, False) - part
-        if not self.bits:
-            return np.where(values >> self.bits > self.top, self.n, first)
-        low = values & ((1 << self.bits) - 1)
-        while True:
+        first, last = self._bucket(part)
+        end = last.copy()
+        if self.bits:
+            low = values & ((1 << self.bits) - 1)
             live = np.flatnonzero(first < last)
-            if not len(live):
-                break
-            mid = (first[live] + last[live]) >> 1
-            less = self._low(mid) < low[live]
-            first[live] = np.where(less, mid + 1, first[live])
-            last[live] = np.where(less, last[live], mid)
+            while len(live):
+                mid = (first[live] + last[live]) >> 1
+                less = self._low(mid) < low[live]
+                first[live] = np.where(less, mid + 1, first[live])
+                last[live] = np.where(less, last[live], mid)
+                live = live[first[live] < last[live]]
+        return first, end
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Successor search: the place of the first element that isn't smaller."""
+        first, _ = self._search(values)
         return np.where(values >> self.bits > self.top, self.n, first)
+
+    def index(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first element equal to each value, or -1: the successor, if it is in the bucket and its low bits agree."""
+        first, end = self._search(values)
+        ok = (first < end) & (values >> self.bits <= self.top)
+        if self.bits:
+            at = np.flatnonzero(ok)
+            ok[at] = self._low(first[at]) == values[at] & ((1 << self.bits) - 1)
+        return np.where(ok, first, -1)

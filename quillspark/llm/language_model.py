@@ -224,25 +224,27 @@ class Level:
         return self.words.get(node) - base - 1
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the context or -1, node or -1) of each (context, word)."""
+        """(place of the context or -1, node or -1) of each (context, word), in order of context."""
         where = np.full(len(context), -1, np.int64)
         node = where.copy()
         if not self.contexts.n or not len(context):
             return where, node
-        distinct, back = np.unique(context, return_inverse=True)
-        at = np.minimum(self.contexts.find(distinct), self.contexts.n - 1)
-        ok = self.contexts.get(at) == distinct
-        first, last = self.pointers.get(at), self.pointers.get(at + 1)
-        base = np.where(first > 0, self.words.get(np.maximum(first - 1, 0)), 0) if self.words.n else first * 0
-        where = np.where(ok, at, -1)[back]
-        live = np.flatnonzero((where >= 0) & (last > first)[back])
+        # contexts come in order: keys are sorted by context and word
+        fresh = np.concatenate([[True], context[1:] != context[:-1]])
+        distinct, back = context[fresh], np.cumsum(fresh) - 1
+        at = self.contexts.index(distinct)
+        known = np.flatnonzero(at >= 0)
+        first, last, base = (np.zeros(len(at), np.int64) for _ in range(3))
+        if len(known) and self.words.n:
+            first[known] = self.pointers.get(at[known])
+            last[known] = self.pointers.get(at[known] + 1)
+            base[known] = np.where(first[known] > 0, self.words.get(np.maximum(first[known] - 1, 0)), 0)
+        where = at[back]
+        live = np.flatnonzero((last > first)[back])
         if len(live):
             b = back[live]
-            target = base[b] + word[live] + 1
-            place = self.words.find(target)
-            inside = (place < last[b]) & (place >= first[b])
-            inside[inside] = self.words.get(place[inside]) == target[inside]
-            node[live[inside]] = place[inside]
+            place = self.words.index(base[b] + word[live] + 1)
+            node[live] = np.where((place >= first[b]) & (place < last[b]), place, -1)
         return where, node
 
 

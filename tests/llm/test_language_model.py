@@ -20,6 +20,16 @@ def test_elias_fano(n, universe):
     if n:
         assert (coded.get(np.arange(n)) == values).all()
     asked = np.concatenate([rng.integers(0, universe + 5, 2000), values])
+    place = np.searchsorted(values, asked)
+    assert (coded.find(asked) == place).all()
+    there = np.isin(asked, values)
+    assert (coded.index(asked) == np.where(there, place, -1)).all()
+
+
+def test_long_runs():
+    values = np.concatenate([np.zeros(300, np.int64), np.full(200, 7), [9], np.full(70, 2**20)])
+    coded = EliasFano(EliasFano.encode(values, 2**20 + 1))
+    asked = np.array([0, 1, 7, 8, 9, 10, 2**20, 2**20 + 3])
     assert (coded.find(asked) == np.searchsorted(values, asked)).all()
 
 
