@@ -17,7 +17,7 @@ def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> Da
     Strict CSV with quoted line breaks; rows are numbered from 0 after the header. A file that is empty, or whose rows
     differ in length, gives one row with ``error``. Files are read whole, each by one task.
     """
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"))
 
     def parse(batches):
         for batch in batches:

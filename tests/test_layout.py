@@ -1,0 +1,134 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import hocr as H
+from quillspark.operators import layout as L
+
+
+def boxes(spark, rows):
+    return spark.createDataFrame([(1, *r) for r in rows], "page int, x int, y int, w int, h int")
+
+
+def brute_components(gray, limit=32768 / 257):
+    height, width = gray.shape
+    seen, out = np.zeros(gray.shape, bool), []
+    for y in range(height):
+        for x in range(width):
+            if seen[y, x] or gray[y, x] >= limit:
+                continue
+            todo, cells = [(y, x)], []
+            seen[y, x] = True
+            while todo:
+                a, b = todo.pop()
+                cells.append((a, b))
+                for c in range(max(0, a - 1), min(height, a + 2)):
+                    for d in range(max(0, b - 1), min(width, b + 2)):
+                        if not seen[c, d] and gray[c, d] < limit:
+                            seen[c, d] = True
+                            todo.append((c, d))
+            ys, xs = zip(*cells)
+            box = (min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1)
+            if 8 <= box[2] <= width // 2 and 10 <= box[3] <= height // 5:
+                out.append(box)
+    return out
+
+
+@pytest.mark.parametrize("density", [0.2, 0.35, 0.45])
+def test_components(density):
+    rng = np.random.default_rng(int(density * 100))
+    for _ in range(4):
+        gray = np.where(rng.random((80, 70)) < density, 0, 255)
+        assert sorted(L.components(gray)) == sorted(brute_components(gray))
+
+
+def test_merge_predicate(spark):
+    cases = [((10, 10, 20, 20), (32, 12, 20, 20), True), ((10, 10, 20, 20), (60, 12, 20, 20), False), ((10, 10, 20, 20), (32, 50, 20, 20), False), ((10, 10, 20, 20), (25, 12, 20, 20), False)]
+    for a, b, want in cases:
+        got = spark.range(1).select(L.should_merge(*map(F.lit, a), *map(F.lit, b))).first()[0]
+        assert got == want
+
+
+def test_merge_and_lines(spark):
+    rows = [(10, 10, 20, 20), (32, 8, 20, 24), (54, 12, 26, 20), (200, 10, 30, 20), (10, 60, 30, 20)]
+    got = sorted(tuple(r)[2:] for r in L.merge_words(boxes(spark, rows)).collect())
+    assert got == [(10, 8, 70, 24, 3), (10, 60, 30, 20, 1), (200, 10, 30, 20, 1)]
+    folded = sorted(tuple(r)[2:] for r in L.fold_lines(boxes(spark, rows)).collect())
+    assert folded == [(10, 8, 220, 24, 4), (10, 60, 30, 20, 1)]
+    runs = {r["line"] for r in L.line_runs(boxes(spark, rows)).collect()}
+    assert runs == {1, 2}
+    assert L.fold_lines(boxes(spark, rows).where("false")).count() == 0
+
+
+def brute_fold(rows):
+    """One page's lines, in reading order by bands."""
+    by_y = sorted(rows, key=lambda r: (r[1], r[0], r[2], r[3]))
+    band, ordered = 0, []
+    for k, r in enumerate(by_y):
+        band += bool(k and r[1] - by_y[k - 1][1] >= 10)
+        ordered.append((band, *r))
+    lines = []
+    for _, x, y, w, h in sorted(ordered):
+        if lines:
+            line = lines[-1]
+            slack = sum(b[3] for b in line) // len(line) // 3
+            top, bottom = min(b[1] for b in line) - slack, max(b[1] + b[3] for b in line) + slack
+            if y + h >= top and y <= bottom:
+                line.append((x, y, w, h))
+                continue
+        lines.append([(x, y, w, h)])
+    return [(min(b[0] for b in m), min(b[1] for b in m), max(b[0] + b[2] for b in m) - min(b[0] for b in m), max(b[1] + b[3] for b in m) - min(b[1] for b in m), len(m)) for m in lines]
+
+
+def test_fold_against_loop(spark):
+    rnd = random.Random(3)
+    for _ in range(6):
+        rows = [(rnd.randrange(300), rnd.randrange(200), rnd.randint(5, 40), rnd.randint(5, 30)) for _ in range(25)]
+        got = [tuple(r)[2:] for r in L.fold_lines(boxes(spark, rows)).orderBy("line").collect()]
+        assert got == brute_fold(rows)
+
+
+@pytest.mark.parametrize(("text", "slots", "want"), [("hello world this is test", 3, ["hello world", "this is", "test"]), ("a b", 2, ["a", "b"]), ("a", 3, ["a", "", ""]), ("", 2, ["", ""]), ("a b", 0, [])])
+def test_distribute(spark, text, slots, want):
+    assert spark.range(1).select(L.distribute_words(F.lit(text), F.lit(slots))).first()[0] == want
+
+
+def test_sizes_pixels_and_crops(spark):
+    size = lambda w, h: spark.range(1).select(L.valid_word_size(F.lit(w), F.lit(h), F.lit(1000), F.lit(800))).first()[0]
+    assert [size(*c) for c in ((20, 20), (7, 20), (20, 9), (501, 20), (20, 161), (500, 160))] == [True, False, False, False, False, True]
+    dark = lambda v: spark.range(1).select(L.is_text_pixel(*[F.lit(v)] * 3)).first()[0]
+    assert [dark(v) for v in (0, 127, 128, 255)] == [True, True, False, False]
+    crop = lambda *c: spark.range(1).select(L.crop(*map(F.lit, c))).first()[0]
+    assert tuple(crop(5, 30, 10, 10)) == (0, 20, 30, 30) and crop(5, 5, 0, 3) is None
+
+
+def test_hocr(spark):
+    words = spark.createDataFrame([(1, 2, 5, 6, 10, 10, "b & <c"), (1, 1, 0, 1, 4, 5, "a"), (1, 3, 0, 0, 1, 1, ""), (2, 1, 0, 0, 1, 1, "")], "page int, number int, x int, y int, w int, h int, text string")
+    got = {r["page"]: r["hocr"] for r in H.pages(words).collect()}
+    assert got[1].index("id='word_1' title='bbox 0 1 4 6'>a</span>") < got[1].index("title='bbox 5 6 15 16'>b &amp; <c</span></span>\n</div>") and "word_3" not in got[1]
+    assert got[2] == "".join(H.DOCUMENT) and got[1].startswith("<!DOCTYPE html PUBLIC")
+    strict = {r["page"]: r["hocr"] for r in H.pages(words, strict=True).collect()}
+    assert "b &amp; &lt;c" in strict[1]
+
+
+def test_tree_and_back(spark):
+    lines = L.fold_lines(boxes(spark, [(10, 10, 20, 20), (10, 60, 30, 20), (60, 61, 9, 10)])).select("*", F.lit(400).alias("page_w"), F.lit(90).alias("page_h"))
+    trees = H.response(lines)
+    assert trees.schema["response"].dataType.simpleString() == H.RESPONSE
+    assert [tuple(r)[1:] for r in H.flatten(trees).orderBy("number").collect()] == [(1, 10, 10, 20, 20, "line_1"), (2, 10, 60, 59, 20, "line_2")]
+    text = H.basic(trees).first()["hocr"]
+    assert "<span class='ocrx_line' id='line_2' title='bbox 10 60 69 80'><span class='ocrx_word' id='word_2' title='bbox 10 60 69 80'>line_2</span></span>" in text
+
+
+def test_images(spark, tmp_path):
+    # a plain bitmap: one dark word on white
+    width, height = 64, 80
+    pixels = np.full((height, width, 3), 255, np.uint8)
+    pixels[20:32, 10:30] = 0
+    body = pixels[::-1].tobytes()
+    head = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + width.to_bytes(4, "little") + height.to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    (tmp_path / "a.bmp").write_bytes(head + body)
+    found = L.detect_components(spark.read.format("image").load(str(tmp_path))).collect()
+    assert [tuple(r)[1:] for r in found] == [(64, 80, 10, 20, 20, 12)]
