@@ -14,10 +14,10 @@ from ..functions.text import base_name, is_remote, parse_bool, trim_space
 def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> DataFrame:
     """(row_idx, fields, error) of each CSV file at ``path``; a first row that begins with ``sentinel`` is a header.
 
-    Strict CSV with quoted line breaks; rows are numbered from 0 after the header. A file that is empty, or whose rows
-    differ in length, gives one row with ``error``. Files are read whole, each by one task.
+    Strict CSV with quoted line breaks; rows are numbered from 0 after the header. A file without a row, or whose rows
+    differ in length, gives one row with ``error``; a file of no bytes isn't opened by Spark and gives none. Files are read whole, each by one task.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("value"))
+    files = spark.read.text(path, wholetext=True)
 
     def parse(batches):
         for batch in batches:

@@ -33,8 +33,10 @@ def test_manifest_forms(spark, tmp_path):
     assert [(r["public"], r["error"]) for r in parsed] == [(True, None), (None, "invalid boolean: yes")] and parsed[1]["image"] == "base/c.jpg"
     write(f"{tmp_path}/b.csv", "x,y\n1\n")
     assert M.read_manifest(spark, f"{tmp_path}/b.csv").first()["error"]
-    write(f"{tmp_path}/c.csv", "")
+    write(f"{tmp_path}/c.csv", "\n\n")
     assert M.read_manifest(spark, f"{tmp_path}/c.csv").first()["error"]
+    write(f"{tmp_path}/e.csv", "")
+    assert M.read_manifest(spark, f"{tmp_path}/e.csv").count() == 0
     write(f"{tmp_path}/d.csv", "a.jpg,t\n")
     short = M.read_manifest(spark, f"{tmp_path}/d.csv")
     assert short.count() == 1 and M.eval_rows(short).count() == 0 and M.external_rows(short).count() == 1
