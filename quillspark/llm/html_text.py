@@ -30,26 +30,30 @@ ARTICLES = frozenset("article main".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
+#: Names of parts that are never the article, nor hold it.
+APART = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|discussion|related|recommended)(?:$|[\s_-])", re.IGNORECASE)
+#: Names of parts that aren't the article; a wrapper may be named after one of them, as in "with-sidebar".
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?\w*|consent|gdpr|notices?|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|"
-    r"footer|header|masthead|comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|pagination|pager|tags|toc|skip|hidden)(?:$|[\s_-])",
+    r"footer|header|masthead|share|sharing|social|newsletter|subscribe|signup|login|pagination|pager|tags|toc|skip|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
-    def __init__(self):
+    def __init__(self, lenient: bool = False):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, skipped
+        self.lenient = lenient
+        self.stack: list[tuple[str, int, int]] = []  # tag, number, skipped: 1 for its name, 2 in any case
         self.parts: list[str] = []
         self.tags, self.linked, self.in_link, self.heading = 1, 0, 0, False
         self.lines: list[tuple[str, int, int, bool, tuple]] = []  # text, tags, linked characters, heading, elements
         self.elements: list[tuple[str, bool]] = []  # tag, article-like
 
     @property
-    def skipped(self) -> bool:
-        return bool(self.stack) and self.stack[-1][2]
+    def skipped(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
 
     def flush(self) -> None:
         if self.parts:
@@ -76,21 +80,27 @@ class _Lines(HTMLParser):
             self.stack.pop()
         elif self.stack and self.stack[-1][0] == "p":
             self.stack.pop()
-        skip = self.skipped or self._unwanted(tag, dict(attrs))
+        named = dict(attrs)
+        article = tag in ARTICLES or named.get("role") in ARTICLES or named.get("itemprop") == "articleBody"
+        # an article inside of a part with a doubtful name is an article
+        skip = max(0 if article and self.skipped == 1 else self.skipped, self._unwanted(tag, named, article))
         self.stack.append((tag, len(self.elements), skip))
-        self.elements.append((tag, tag in ARTICLES or any(k == "role" and v in ARTICLES or k == "itemprop" and v == "articleBody" for k, v in attrs)))
+        self.elements.append((tag, article))
         self.heading = tag in HEADINGS
 
-    def _unwanted(self, tag, attrs) -> bool:
+    def _unwanted(self, tag, attrs, article) -> int:
         if tag in SKIPPED:
-            return True
+            return 2
         if tag == "header":
-            return not any(self.elements[n][1] for _, n, _ in self.stack)
+            return 0 if any(self.elements[n][1] for _, n, _ in self.stack) else 2
         if tag in ("body", "html"):
-            return False
+            return 0
         if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", ""):
-            return True
-        return tag not in HEADINGS and bool(MARKED.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"))
+            return 2
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        if APART.search(names):
+            return 2
+        return int(not (article or self.lenient or tag in HEADINGS) and bool(MARKED.search(names)))
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -131,11 +141,18 @@ def threshold(values: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def main_text(html: str) -> str:
-    parser = _Lines()
+def _lines(html: str, lenient: bool) -> _Lines:
+    parser = _Lines(lenient)
     parser.feed(html)
     parser.close()
     parser.flush()
+    return parser
+
+
+def main_text(html: str) -> str:
+    parser = _lines(html, False)
+    if not parser.lines:  # everything stood in a part with a doubtful name
+        parser = _lines(html, True)
     lines = parser.lines
     if not lines:
         return ""

@@ -18,6 +18,13 @@ def test_without_article_element():
     assert main_text(PAGE.format(body, LONG)) == f"Title\n\n{LONG}\n\nBe.\n\n{LONG} again"
 
 
+def test_wrappers_named_after_a_part():
+    body = f'<div class="layout-with-sidebar"><article class="post social"><p>{LONG}</p></article><aside>a</aside></div><section id="comments"><article class="comment"><p>{LONG} again</p></article></section>'
+    assert main_text(PAGE.format(body, LONG)) == LONG
+    only = f'<body><div class="has-sidebar"><div class="text"><p>{LONG}</p></div></div></body>'
+    assert main_text(only) == LONG
+
+
 def test_cut_off_and_empty_pages():
     assert main_text(f"<article><p>{LONG}</p><p>cut of") == f"{LONG}\n\ncut of"
     assert main_text("") == "" and main_text("<p></p>") == "" and main_text("<<<>&&&") != None  # noqa: E711
