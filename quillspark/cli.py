@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.text import base_name
-from .operators import hocr, layout, report
+from .operators import hocr, layout, report, transcribe
 from .operators.score import score
 from .sources import manifest as M
 from .sources import providers as P
@@ -160,9 +160,19 @@ def run_ocr(spark: SparkSession, a, make=None) -> DataFrame:
     return P.transcribe(M.read_images(spark, a.image), make or _client(a), model, a.prompt, a.temperature)
 
 
-def run_create(spark: SparkSession, a) -> DataFrame:
-    """hOCR of an image's lines; the texts are the lines' names until a service transcribes the cut-outs."""
-    found = layout.detect_components(spark.read.format("image").load(a.image))
+def run_create(spark: SparkSession, a, make=None) -> DataFrame:
+    """hOCR of an image, transcribed line by line; without a service, or if all calls fail, lines have their names."""
+    images = spark.read.format("image").load(a.image)
+    basic = _basic_hocr(images)
+    if make is None and not (a.base_url or os.environ.get(f"{a.provider.upper()}_URL")):
+        return basic
+    words = transcribe.transcribe_pages(images, make or _client(a), a.model or P.DEFAULT_MODELS.get(a.provider.lower(), ""), a.temperature)
+    said = hocr.pages(words.where("text <> ''")).withColumn("page", base_name(F.col("page")))
+    return basic.join(said.withColumnRenamed("hocr", "said"), "page", "left").select("page", F.coalesce("said", "hocr").alias("hocr"))
+
+
+def _basic_hocr(images: DataFrame) -> DataFrame:
+    found = layout.detect_components(images)
     words = layout.merge_words(found.withColumnRenamed("path", "page"))
     size = found.select(F.col("path").alias("page"), "page_w", "page_h").distinct()
     lines = layout.fold_lines(words.select("page", "x", "y", "w", "h")).join(size, "page")

@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import cli
 from quillspark.operators import hocr as H
 from quillspark.operators import layout as L
+from quillspark.operators import transcribe as TR
+from quillspark.sources import providers as P
 
 
 def boxes(spark, rows):
@@ -122,13 +125,53 @@ def test_tree_and_back(spark):
     assert "<span class='ocrx_line' id='line_2' title='bbox 10 60 69 80'><span class='ocrx_word' id='word_2' title='bbox 10 60 69 80'>line_2</span></span>" in text
 
 
-def test_images(spark, tmp_path):
-    # a plain bitmap: one dark word on white
-    width, height = 64, 80
+def bitmap(path, dark):
+    """A 24-bit bitmap, white but for boxes (x, y, w, h)."""
+    width, height = 128, 160
     pixels = np.full((height, width, 3), 255, np.uint8)
-    pixels[20:32, 10:30] = 0
+    for x, y, w, h in dark:
+        pixels[y : y + h, x : x + w] = 0
     body = pixels[::-1].tobytes()
-    head = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + width.to_bytes(4, "little") + height.to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
-    (tmp_path / "a.bmp").write_bytes(head + body)
-    found = L.detect_components(spark.read.format("image").load(str(tmp_path))).collect()
-    assert [tuple(r)[1:] for r in found] == [(64, 80, 10, 20, 20, 12)]
+    size = [n.to_bytes(4, "little") for n in (54 + len(body), 54, 40, width, height)]
+    head = b"BM" + size[0] + bytes(4) + size[1] + size[2] + size[3] + size[4] + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    path.write_bytes(head + body)
+
+
+def test_images(spark, tmp_path):
+    bitmap(tmp_path / "a.bmp", [(10, 20, 20, 12), (60, 22, 20, 12), (10, 80, 30, 12)])
+    images = spark.read.format("image").load(str(tmp_path))
+    found = L.detect_components(images).collect()
+    assert [tuple(r)[1:] for r in found] == [(128, 160, 10, 20, 20, 12), (128, 160, 60, 22, 20, 12), (128, 160, 10, 80, 30, 12)]
+    words = TR.transcribe_pages(images, _reader, "m").orderBy("number").collect()
+    assert [tuple(r)[1:] for r in words] == [(1, 10, 20, 20, 12, "one two"), (2, 60, 22, 20, 12, "three"), (3, 10, 80, 30, 12, "word")]
+    assert ">three</span>" in TR.transcribed_hocr(images, _reader, "m").first()["hocr"]
+    a = cli.parser().parse_args(["create", "--image", str(tmp_path)])
+    assert ">line_2<" in cli.run_create(spark, a).first()["hocr"] and ">three<" in cli.run_create(spark, a, _reader).first()["hocr"]
+    assert ">line_1<" in cli.run_create(spark, a, _broken).first()["hocr"]
+
+
+def _reader():
+    class Stub(P.Client):
+        def extract(self, request):
+            width = int.from_bytes(request.image.data[16:20], "big")
+            return P.Answer("one two three" if width > 60 else "word")
+
+    return Stub("https://h")
+
+
+def _broken():
+    class Stub(P.Client):
+        def extract(self, request):
+            raise P.ServiceError("upstream", 500, True)
+
+    return Stub("https://h")
+
+
+def test_local_grouping_equals_frames(spark):
+    rnd = random.Random(9)
+    rows = sorted({(rnd.randrange(300), rnd.randrange(200), rnd.randint(5, 40), rnd.randint(10, 30)) for _ in range(40)})
+    merged = [tuple(r)[2:6] for r in L.merge_words(boxes(spark, rows)).orderBy("word").collect()]
+    assert TR.words_of(rows) == merged
+    lines = L.line_runs(boxes(spark, rows)).orderBy("pos").collect()
+    assert [b for line in TR.lines_of(rows) for b in line] == [(r["x"], r["y"], r["w"], r["h"]) for r in lines]
+    assert [len(x) for x in TR.lines_of(rows)] == [sum(r["line"] == k for r in lines) for k in range(1, max(r["line"] for r in lines) + 1)]
