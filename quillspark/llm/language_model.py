@@ -21,7 +21,10 @@ With no training rows every word is unknown.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 import zlib
 from itertools import chain
@@ -152,10 +155,6 @@ def _local(uri: str, name: str) -> str:
     store, path = _store(uri)
     if isinstance(store, pafs.LocalFileSystem):
         return f"{path}/{name}"
-    import atexit
-    import shutil
-    import tempfile
-
     if uri not in _copies:
         _copies[uri] = tempfile.mkdtemp()
         atexit.register(shutil.rmtree, _copies[uri], True)
@@ -389,10 +388,15 @@ def _positions(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least_count: tuple = LEAST_COUNT, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> tuple:
-    """Build the model of ``order`` 1 to 3 from the rows that aren't held out; returns what :func:`score` needs."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least_count: tuple = LEAST_COUNT, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS, keep: bool = False) -> tuple:
+    """Build the model of ``order`` 1 to 3 from the rows that aren't held out; returns what :func:`score` needs.
+
+    The files are removed when the driver's Python ends, unless ``keep``; :func:`remove` does it at once.
+    """
     spark = df.sparkSession
     uri = f"{shared_dir(spark).rstrip('/')}/quillspark-lm-{uuid.uuid4().hex}"
+    if not keep:
+        atexit.register(remove, (uri,))
     docs = df.select(id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, -(-size // (6 * shard_tokens)))
@@ -528,6 +532,13 @@ def _trigram_level(docs: DataFrame, have: tuple, least: int, discount: float) ->
         _save(uri, f"level3-{s}", Level.parts(none, none, np.empty(0), none, np.empty(0)))
 
 
+def remove(model: tuple) -> None:
+    """Delete a model's files."""
+    store, path = _store(model[0])
+    if store.get_file_info(path).type == pafs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def _save_weights(uri: str, part: int, log_b: np.ndarray) -> None:
     value, code = _quantised(log_b)
     _save(uri, f"backoff-{part}", {"value": value, "code": code})
