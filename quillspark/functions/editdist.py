@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .text import let
+
 ALIGNMENT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("dist", "correct", "substitutions", "deletions", "insertions")])
 
 
@@ -35,9 +37,8 @@ def word_error_rate(distance: Column, n: Column) -> Column:
 
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of token arrays: each distinct token becomes one character (UTF-32), then the built-in distance."""
-    distinct = F.array_distinct(F.concat(a, b))
 
-    def coded(words: Column) -> Column:
+    def coded(words: Column, distinct: Column) -> Column:
         # numbers from 256 on; those of surrogates are stepped over
         def code(w: Column) -> Column:
             n = F.array_position(distinct, w) + 255
@@ -45,10 +46,14 @@ def word_distance(a: Column, b: Column) -> Column:
 
         return F.array_join(F.transform(words, code), "")
 
-    return F.levenshtein(coded(a), coded(b))
+    return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("all")), lambda x: F.levenshtein(coded(x.a, x["all"]), coded(x.b, x["all"])))
 
 
 def align_native(a: Column, b: Column) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: _align_native(x.a, x.b))
+
+
+def _align_native(a: Column, b: Column) -> Column:
     """Alignment counts by a fold over the distance table's rows, without Python. Good for some hundred cells.
 
     A cell prefers a match, then a substitution, a deletion, an insertion: the split that a backtrace from the end gives.

@@ -36,8 +36,8 @@ def mask(ref: Column, hyp: Column, patterns: list[str]) -> Column:
     else:
         pieces, marks, left = F.array(ref), F.array().cast("array<string>"), ref
 
-    def step(state: Column, i: Column) -> Column:
-        piece, mark = F.get(pieces, i), F.coalesce(F.get(marks, i), F.lit(""))
+    def step(state: Column, cut: Column) -> Column:
+        piece, mark = cut.piece, cut.mark
         size = F.length(piece)
         taken = F.concat(state.out, F.substring(hyp, state.j + 1, size))
         at = F.least(state.j + size, F.length(hyp))
@@ -49,5 +49,7 @@ def mask(ref: Column, hyp: Column, patterns: list[str]) -> Column:
         return F.struct((end + F.length(mark)).alias("p"), F.least(moved, F.length(hyp)).alias("j"), taken.alias("out"))
 
     start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("j"), F.lit("").alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), start, step, lambda s: s.out)
+    # a mark follows every piece but the last
+    cuts = F.zip_with(pieces, marks, lambda p, m: F.struct(p.alias("piece"), F.coalesce(m, F.lit("")).alias("mark")))
+    folded = F.aggregate(cuts, start, step, lambda s: s.out)
     return F.struct(left.alias("ref"), folded.alias("hyp"), ignored_count(ref, patterns).alias("ignored"))

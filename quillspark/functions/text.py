@@ -28,6 +28,11 @@ SECRET_PLACES = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: an expression used in a lambda is computed anew for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalize_single_line(text: Column) -> Column:
     """Line breaks and tabs become spaces, runs of spaces one; a space at either end stays."""
     return F.regexp_replace(text, "[\n\r\t ]+", " ")

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import let, tokenize
 
 MERGE_BAND = 10
 LINE_BAND = 20
@@ -109,13 +109,16 @@ def crop(x: Column, y: Column, w: Column, h: Column, padding: int = PADDING) ->
 
 def distribute_words(text: Column, slots: Column) -> Column:
     """The text's words dealt to ``slots`` in order, the first ones taking one more if they don't divide; spare slots get ''."""
-    words = tokenize(text)
-    share, more = F.floor(F.size(words) / slots).cast("int"), F.pmod(F.size(words), slots)
 
-    def slot(i: Column) -> Column:
-        return F.array_join(F.slice(words, i * share + F.least(i, more) + 1, share + (i < more).cast("int")), " ")
+    def dealt(words: Column) -> Column:
+        share, more = F.floor(F.size(words) / slots).cast("int"), F.pmod(F.size(words), slots)
 
-    return F.when(slots > 0, F.transform(F.sequence(F.lit(0), F.greatest(slots, F.lit(1)) - 1), slot)).otherwise(F.array().cast("array<string>"))
+        def slot(i: Column) -> Column:
+            return F.array_join(F.slice(words, i * share + F.least(i, more) + 1, share + (i < more).cast("int")), " ")
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(slots, F.lit(1)) - 1), slot)
+
+    return F.when(slots > 0, let(tokenize(text), dealt)).otherwise(F.array().cast("array<string>"))
 
 
 def components(gray: np.ndarray, limit: float = 32768 / 257) -> list[tuple[int, int, int, int]]:
