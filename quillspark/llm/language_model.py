@@ -445,7 +445,7 @@ def _bigram_level(docs: DataFrame, have: tuple, least: int, discount: float) ->
         keys, n = _merged(rows)
         kept = n >= least
         keys, n = keys[kept], n[kept]
-        _save(uri, f"counts2-{s}", {"keys": keys, "counts": n})
+        _save(uri, f"counts2-{s}", {"keys": keys, "counts": n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))})
         context, first = np.unique(model.split(keys)[0], return_index=True)
         size = np.diff(np.append(first, len(keys)))
         count = np.add.reduceat(n, first) if len(first) else n
@@ -481,12 +481,16 @@ def _bigram_level(docs: DataFrame, have: tuple, least: int, discount: float) ->
         model = _model(with_weights)
         for batch in batches:
             for s in batch.column(0).to_pylist():
+                # a level is complete once it has its name; its counts go then, and a second attempt finds it done
+                if _there(uri, f"level2-{s}"):
+                    continue
                 raw = _mapped(uri, f"counts2-{s}") if _there(uri, f"counts2-{s}") else {"keys": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)}
                 context, word = model.split(raw["keys"])
-                p = (raw["counts"] - discount) / np.maximum(model.of_words(context, "count"), 1)
+                p = (raw["counts"].astype(float) - discount) / np.maximum(model.of_words(context, "count"), 1)
                 p += 10.0 ** (model.of_words(context, "weight") + model.unigram(model.of_words(word, "count")))
                 contexts = np.unique(context)
                 _save(uri, f"level2-{s}", Level.parts(context, word, np.log10(p), contexts, np.zeros(0)))
+                _drop(uri, f"counts2-{s}")
             yield batch
 
     _each_shard(spark, shards, build)
@@ -549,6 +553,12 @@ def _there(uri: str, name: str) -> bool:
     return store.get_file_info(f"{path}/{name}").type == pafs.FileType.File
 
 
+def _drop(uri: str, name: str) -> None:
+    store, path = _store(uri)
+    if _there(uri, name):
+        store.delete_file(f"{path}/{name}")
+
+
 def _each_shard(spark, shards: int, build) -> None:
     spark.range(0, shards, 1, shards).mapInArrow(build, "id bigint").count()
 
