@@ -197,16 +197,58 @@ def jaccard(a: bytes, b: bytes) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
+def _crowded(keys: DataFrame, first: DataFrame, label: DataFrame) -> DataFrame:
+    """(class, label): what the firsts leave open, the texts of a bucket that are none of its firsts and not all in one group.
+
+    A pair is compared in its bucket if one of the two is a first, so buckets with at most one other text are done with.
+    """
+    rest = keys.join(first.where(F.col("n") > F.size("f") + 1), ["band", "key"]).where(~F.array_contains("f.class1", F.col("class")))
+    rest = cut(rest.select("band", "key", "class").join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    mixed = rest.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return cut(rest.join(mixed, ["band", "key"], "left_semi").select("class", "label").distinct())
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different label: all pairs whose sets can have that similarity, by prefix filter. ``sets``: class, label, set.
+
+    Shingles are in order of their number of texts, rarest first. Sets x and y of that similarity share least = s / (1 + s) *
+    (x + y) shingles, so among the first x - least + 1 of the one and y - least + 1 of the other is a common one. The
+    smaller set's prefix is the short one: what a family shares stands behind it and meets nothing.
+    """
+    rows = sets.select("class", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1")
+    met = rows.join(often, "s").groupBy("class", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "s"))).alias("o"))
+    near = lambda share: (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int")
+    # shingles of one text alone come first and meet nothing
+    met = met.select("class", "label", "n", "o", (F.col("n") - F.size("o")).alias("alone"), near(similarity).alias("long"), near(2 * similarity / (1 + similarity)).alias("short"))
+    met = met.where("long > alone").select("class", "label", "n", "alone", "short", F.posexplode(F.slice("o", 1, F.col("long") - F.col("alone"))).alias("at", "o"))
+    met = cut(met.select("class", "label", "n", "short", (F.col("alone") + F.col("at")).alias("i"), "o.s"))
+    y = met.where("i < short").select("s", F.col("class").alias("c1"), F.col("label").alias("l1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
+    least = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n1")) - 1e-9)
+    larger = (F.col("n") > F.col("n1")) | (F.col("n") == F.col("n1")) & (F.col("class") > F.col("c1"))
+    fits = (F.col("x.s") == F.col("y.s")) & (F.col("label") != F.col("l1")) & larger & (F.col("n") - F.col("i") >= least) & (F.col("n1") - F.col("i1") >= least)
+    found = met.alias("x").join(y.alias("y"), fits)
+    return found.select(F.least("class", "c1").alias("a"), F.greatest("class", "c1").alias("b")).distinct()
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(id, component_id) for each row: groups of texts linked by a shingle similarity of ``similarity`` or more.
+    """(id, component_id) for each row: groups of texts linked by a shingle similarity of ``similarity`` or more."""
+    rows = similar_groups(df, id_col, text_col, words, similarity, radius)
+    least = rows.groupBy("label").agg(F.min(id_col).alias("component_id"))
+    return rows.join(least, "label").select(id_col, "component_id")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(id, t, label) for each row; ``t`` is the text's hash, null text being empty text, ``label`` the group's number.
 
     Two bits apart means almost equal texts; texts of similarity 0.8 differ in ten bits of 64 and more. At that radius blocks
     of the fingerprint tell nothing, so buckets are bands of minimal shingle hashes: texts of similarity 0.8 meet in at
     least one of twelve with a chance of 0.9998. In a bucket every text is paired with the first ones by six random orders,
     other ones in each band, so rows grow with the texts whatever the group's size; in buckets of a few texts these are
-    nearly all pairs, and a large group is connected through its first ones. Pairs are discarded by the largest difference
+    all pairs, and a large group is connected through its first ones. Pairs are discarded by the largest difference
     of their pivot distances, then by their XOR; what is left is verified by the shingle sets themselves, which are
-    made for the texts of a pair alone.
+    made for the texts of a pair alone. Where that leaves a bucket in several groups, its other texts are compared across
+    groups by an exact prefix filter over their shingle sets, without the radius.
     """
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(id_col, text_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"))
@@ -226,7 +268,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes)
     keys = classes.select("class", "fp", F.posexplode("bands").alias("band", "key"))
     firsts = [F.min(F.struct(F.xxhash64("class", "band", F.lit(k)), F.col("class").alias("class1"), F.col("fp").alias("fp1"))) for k in range(FIRSTS)]
-    first = keys.groupBy("band", "key").agg(F.array_distinct(F.array(*[f.dropFields("col1") for f in firsts])).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = cut(keys.groupBy("band", "key").agg(F.array_distinct(F.array(*[f.dropFields("col1") for f in firsts])).alias("f"), F.count("*").alias("n")).where("n > 1"))
     pairs = keys.join(first.select("band", "key", F.explode("f").alias("f")), ["band", "key"]).select("class", "fp", "f.*").where("class <> class1")
     for p in pivots():
         ref = F.lit(int(p.view(np.int64))).cast("bigint")
@@ -234,21 +276,32 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp1"))) <= radius)
     pairs = cut(pairs.select(F.least("class", "class1").alias("a"), F.greatest("class", "class1").alias("b")).distinct())
 
-    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return record_batch(t=batch.column(1), set=pa.array([shingle_set(data, words).tobytes() for data in text_bytes(batch, text_col)], pa.binary()))
-
-    wanted = classes.select("class", "t").join(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "class", "left_semi")
-    chosen = texts.select(text_col, "t").join(wanted.select("t"), "t", "left_semi").dropDuplicates(["t"]).select(text_col, "t")
-    sets = wanted.join(map_batches(chosen, sets_of, "t bigint, set binary"), "t").select("class", "set")
-    pairs = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    def of_classes(named: DataFrame) -> DataFrame:
+        """``named`` with each class's text."""
+        wanted = classes.select("class", "t").join(named, "class")
+        return texts.select(text_col, "t").join(wanted.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]).join(wanted, "t").drop("t").withColumnRenamed(text_col, "body")
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = [jaccard(x, y) >= similarity for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+        a, b = text_bytes(batch, "text_a"), text_bytes(batch, "text_b")
+        made = {data: shingle_set(data, words).tobytes() for data in {*a, *b}}
+        near = [jaccard(made[x], made[y]) >= similarity for x, y in zip(a, b, strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    linked = map_batches(pairs, verified, "a bigint, b bigint")
-    labels = components(linked, "a", "b").select(F.col("node").alias("class"), "label")
-    named = classes.select("class", "least").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = cut(named)
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.select(id_col, "class").join(named.join(least, "label").select("class", "component_id"), "class").select(id_col, "component_id")
+    def linked(pairs: DataFrame) -> DataFrame:
+        bodies = of_classes(pairs.select("a").union(pairs.select("b")).distinct().toDF("class")).select("class", "body")
+        pairs = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
+        return cut(map_batches(pairs, verified, "a bigint, b bigint"))
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingle_set(data, words).view(np.int64) for data in text_bytes(batch, "body")]
+        offsets = pa.array(np.cumsum([0, *map(len, made)]), pa.int32())
+        return record_batch(**{"class": batch.column("class"), "label": batch.column("label"), "set": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made)))})
+
+    links = linked(pairs)
+    label = components(links, "a", "b").select(F.col("node").alias("class"), "label")
+    crowded = _crowded(keys, first, label)
+    if not crowded.isEmpty():
+        sets = map_batches(of_classes(crowded).select("class", "label", "body"), sets_of, "class bigint, label bigint, set array<bigint>")
+        links = links.union(linked(cut(prefix_pairs(sets, similarity))))
+        label = components(links, "a", "b").select(F.col("node").alias("class"), "label")
+    return cut(rows.select(id_col, "t", "class").join(label, "class", "left").select(id_col, "t", F.coalesce("label", "class").alias("label")))

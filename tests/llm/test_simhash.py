@@ -131,3 +131,35 @@ def test_similar_documents_against_all_pairs(spark):
     got = S.similar_documents(frame(spark, rows, clash=("t", "class", "set"))).collect()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got) and links > 20
     assert S.similar_documents(empty(spark)).count() == 0
+
+
+def test_copies_inside_a_large_family(spark):
+    """Texts that share a template stay below 0.8 to each other; every planted copy is in the group of its text."""
+    rnd = random.Random(8)
+    template = [f"t{k}" for k in range(300)]
+    of = lambda base, n: [f"o{rnd.randrange(10**9)}" if k in chosen else w for chosen in [set(rnd.sample(range(300), n))] for k, w in enumerate(base)]
+    family = [of(template, 5) for _ in range(260)]
+    copies = [of(w, 5) for w in family[:50]]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(family + copies)]
+    sets = [shingles(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= S.SIMILAR * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+                links += 1
+    groups = defaultdict(set)
+    for i in range(len(rows)):
+        groups[find(i)].add(i)
+    got = defaultdict(set)
+    for r in S.similar_documents(frame(spark, rows)).collect():
+        got[r["component_id"]].add(r["doc_id"])
+    assert links >= 40 and len(groups) > 200
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in groups.values()}
