@@ -69,3 +69,18 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unlike_texts_under_one_id(spark, tmp_path):
+    rnd = random.Random(3)
+    item = words(rnd, 30, 10**5)
+    clean = [words(rnd, 60, 10**5) for _ in range(4)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(None, clean[0]), (None, clean[1]), (1, clean[2]), (1, clean[3]), (None, f"{clean[0]} more"), (1, f"{item} {words(rnd, 40, 10**5)}"), (None, f"{words(rnd, 40, 10**5)} {item}")]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    single = P.near_dedup(spark, docs, str(tmp_path))
+    left = [(r["doc_id"], r["text"]) for r in single.collect()]
+    one_of = {(None, clean[0]), (None, f"{clean[0]} more")}
+    assert len(left) == 6 and len(one_of & set(left)) == 1 and set(left) | one_of == {r[:2] for r in rows}
+    kept = [r["text"] for r in P.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted([*clean, f"{clean[0]} more"])
