@@ -3,17 +3,19 @@
 A text's lines with at least one word are hashed. The gram of a line is the shortest run of lines from it on that has
 ``GRAM`` words or more. Winnowing selects, in every window of lines that begin within the next ``GRAM`` words, the gram
 with the smallest hash; a window's grams lie inside any run of ``2 * GRAM`` words that holds the window's first line, so such a
-run, wherever it stands, has the same fingerprint. Fingerprints are joined by position: each is matched with the
-earliest place of the same gram between the same two neighbour lines, or else of the same gram. From there the match is
-extended line by line both ways, as far as the next fingerprint. Blocks of consecutive matched lines with ``LEAST``
-words or more are deleted; the earliest place of a run is never matched, so one copy stays.
+run, wherever it stands, has the same fingerprint.
+
+What is deleted are runs of lines: the shortest ones of ``LEAST`` words or more that begin with a line, and those that end
+with one; every line of a longer run is in one of them that lies inside it. A run can stand elsewhere only if the fingerprint
+chosen by its first line does. Runs whose fingerprint is repeated are compared by the hash of all their lines, and each but the
+earliest of equal ones goes, so nothing depends on which other place has the same gram.
 
 Order is by (doc_id, hash of the text, line number), nulls first. Rows with equal doc_id and text are one text: they
 are treated alike, and repeats within it are deleted once. Null text stays null, blank lines are never deleted, texts without
 repeats come out as they went in, and a text whose every line is deleted becomes its blank lines.
 
-No row pairs of a group are formed: a fingerprint has one partner, a line at most two. Minima over
-frequent grams are combined before the shuffle, and the joins that a frequent gram or a popular source skews are plain
+No row pairs of a group are formed: a line has at most two runs, a run meets one earliest place. Counts and minima over
+frequent grams and runs are combined before the shuffle, and the joins that a frequent one skews are plain
 equi-joins, which adaptive execution splits.
 """
 
@@ -38,70 +40,54 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("b", F.coalesce(F.sum("w").over(before), F.lit(0)).cast("bigint"))
 
 
-def matched_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, least: int = LEAST) -> DataFrame:
-    """(k, pos) of the lines to delete; ``k`` is struct(id, hash of the text)."""
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, least: int = LEAST) -> DataFrame:
+    """(k, start, stop): first and last line of what to delete, apart from each other; ``k`` is struct(id, hash of the text)."""
     by_text = Window.partitionBy("k")
-    in_order = by_text.orderBy("pos")
-    ahead = by_text.orderBy("b").rangeBetween(0, gram - 1)
-    window = by_text.orderBy("b").rangeBetween(0, gram)
-    place = F.row_number().over(in_order)
-    total = F.max(F.col("b") + F.col("w")).over(by_text)
-    lines = _numbered(df, id_col, text_col).select("k", "pos", "h", "w", "b", place.alias("i"), total.alias("total"))
-    lines = lines.select(
-        "*",
-        F.when(F.col("b") + gram <= F.col("total"), F.xxhash64(F.collect_list("h").over(ahead))).alias("g"),
-        F.count("*").over(ahead).alias("size"),
-        F.lag("h").over(in_order).alias("left"),
-        F.collect_list("h").over(in_order.rowsBetween(0, gram)).alias("next"),
-    )
-    # the neighbour after the gram; a gram has at most ``gram`` lines
-    lines = lines.withColumn("right", F.get("next", F.col("size").cast("int"))).drop("next")
-    chosen = F.when(F.col("b") + 2 * gram <= F.col("total"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "i"))).over(window).getField("i"))
+    by_place = by_text.orderBy("b")
+    ahead = by_place.rangeBetween(0, gram - 1)
+    window = by_place.rangeBetween(0, gram)
+    onward = by_place.rangeBetween(0, least - 1)
+    lines = _numbered(df, id_col, text_col).withColumn("e", F.col("b") + F.col("w"))
+    upto = by_text.orderBy("e").rangeBetween(1 - least, 0)
+    lines = lines.withColumns({
+        "total": F.max("e").over(by_text),
+        "g": F.when(F.col("b") + gram <= F.max("e").over(by_text), F.xxhash64(F.collect_list("h").over(ahead))),
+        "run": F.xxhash64(F.collect_list("h").over(onward)),
+        "stop": F.last("pos").over(onward),
+    })
+    chosen = F.when(F.col("b") + 2 * gram <= F.col("total"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "pos"))).over(window))
+    lines = lines.withColumn("chosen", chosen)
     # a gram is picked if a window that begins at most ``gram`` words before it chose it
-    behind = F.collect_set("chosen").over(by_text.orderBy("b").rangeBetween(-gram, 0))
-    lines = lines.withColumn("chosen", chosen).withColumn("picked", F.array_contains(behind, F.col("i")))
-    lines = cut(lines.select("k", "i", "pos", "h", "w", F.when(F.col("picked"), F.col("g")).alias("g"), F.when(F.col("picked"), F.xxhash64("left", "g", "right")).alias("c")))
-
-    # c is the gram between its two neighbours
-    here = F.struct("k", "i")
-    prints = lines.where("g is not null").select("k", "i", "g", "c")
-    close = prints.groupBy("g", "c").agg(F.min(here).alias("close"), F.count("*").alias("n_close"))
-    wide = close.groupBy("g").agg(F.min("close").alias("wide"), F.sum("n_close").alias("n"))
-    sources = close.join(wide.where("n > 1"), "g").select("c", "close", "wide")
-    prints = prints.drop("g").join(sources, "c")
-    source = F.when(F.col("close") < here, F.col("close")).when(F.col("wide") < here, F.col("wide"))
-    prints = prints.select("k", "i", source.alias("from")).where("`from` is not null")
+    behind = F.collect_set("chosen.pos").over(by_place.rangeBetween(-gram, 0))
+    # no run without ``least`` words; one that ends here and is also the one that begins with its first line isn't named twice
+    begins = F.when(F.col("b") + least <= F.col("total"), F.struct("chosen.g", "run", F.col("pos").alias("start"), "stop"))
+    first = F.first(F.struct("chosen.g", "pos", "stop")).over(upto)
+    ends = F.when((F.col("e") >= least) & (first.getField("stop") != F.col("pos")), F.struct(first.getField("g").alias("g"), F.xxhash64(F.collect_list("h").over(upto)).alias("run"), first.getField("pos").alias("start"), F.col("pos").alias("stop")))
+    lines = cut(lines.select("k", F.when(F.array_contains(behind, F.col("pos")), F.col("g")).alias("picked"), begins.alias("begins"), ends.alias("ends")))
 
-    # every line of a text with a match: the nearest fingerprints at or before it, and at or after it
-    near = lines.select("k", "i", "pos", "h", "w").join(prints, ["k", "i"], "left")
-    mark = F.when(F.col("from").isNotNull(), F.struct("i", "from"))
-    near = near.select(
-        "k", "i", "pos", "h", "w",
-        F.last(mark, True).over(by_text.orderBy("i")).alias("prev"),
-        F.first(mark, True).over(by_text.orderBy("i").rowsBetween(0, Window.unboundedFollowing)).alias("next"),
-    ).where("prev is not null or next is not null")
-    sides = near.select("k", "i", "pos", "h", "w", F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("prev").alias("m")), F.struct(F.lit(-1).alias("side"), F.col("next").alias("m")))).alias("x")).where("x.m is not null")
-    sides = sides.select("k", "i", "pos", "h", "w", "x.side", F.col("x.m.i").alias("f"), F.col("x.m.from.k").alias("k1"), (F.col("x.m.from.i") + F.col("i") - F.col("x.m.i")).alias("i1"))
-    other = lines.select(F.col("k").alias("k1"), F.col("i").alias("i1"), F.col("h").alias("h1"))
-    sides = sides.join(other, ["k1", "i1"], "left").withColumn("differs", (~F.col("h").eqNullSafe(F.col("h1"))).cast("int"))
-    # matched as far as no line between it and the fingerprint differs
-    run = Window.partitionBy("k", "side", "f").orderBy(F.col("i") * F.col("side"))
-    matched = sides.withColumn("bad", F.sum("differs").over(run)).where("bad = 0").groupBy("k", "i").agg(F.first("pos").alias("pos"), F.first("w").alias("w"))
-    island = Window.partitionBy("k").orderBy("i")
-    blocks = matched.withColumn("block", F.col("i") - F.row_number().over(island))
-    blocks = blocks.withColumn("words", F.sum("w").over(Window.partitionBy("k", "block")))
-    return blocks.where(F.col("words") >= least).select("k", "pos")
+    often = lines.where("picked is not null").groupBy(F.col("picked").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
+    runs = lines.select("k", F.explode(F.array_compact(F.array("begins", "ends"))).alias("r")).select("k", "r.*")
+    runs = runs.join(often, "g", "left_semi").select("run", "k", "start", "stop")
+    here = F.struct("k", "start")
+    earliest = runs.groupBy("run").agg(F.min(here).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("run", "earliest")
+    gone = runs.join(earliest, "run").where(here > F.col("earliest")).select("k", "start", "stop")
+    # runs that overlap or touch are one
+    before = by_text.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = (F.col("start") > F.coalesce(F.max("stop").over(before), F.lit(-2)) + 1).cast("int")
+    gone = gone.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(by_text.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
+    return gone.groupBy("k", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, least: int = LEAST) -> DataFrame:
     """``df`` with later repeated runs deleted from its text, and ``n_removed`` lines; a column of that name is replaced."""
     kept = [c for c in df.columns if c.lower() != "n_removed"]
-    gone = matched_lines(df, id_col, text_col, gram, least).groupBy("k").agg(F.collect_list("pos").alias("gone"))
+    gone = repeated_runs(df, id_col, text_col, gram, least).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     gone = gone.select(F.col("k.id").alias("__id"), F.col("k.t").alias("__t"), "gone")
     key = F.col(f"d.{id_col}").eqNullSafe(F.col("g.__id")) & (F.xxhash64(f"d.{text_col}") == F.col("g.__t"))
     joined = df.select(*[F.col(f"`{c}`") for c in kept]).alias("d").join(gone.alias("g"), key, "left")
     lost = F.col("g.gone")
-    left = F.array_join(F.filter(F.split(f"d.{text_col}", "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
-    text = F.when(lost.isNull(), F.col(f"d.{text_col}")).otherwise(left).alias(text_col)
-    return joined.select(*[text if c == text_col else F.col(f"d.`{c}`") for c in kept], F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("n_removed"))
+    split = F.split(f"d.{text_col}", "\n")
+    left = F.filter(split, lambda line, i: ~(line.rlike(_WORDS) & F.exists(lost, lambda r: i.between(r.start, r.stop))))
+    text = F.when(lost.isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(left, "\n")).alias(text_col)
+    n_removed = F.when(lost.isNull(), F.lit(0)).otherwise(F.size(split) - F.size(left)).cast("bigint").alias("n_removed")
+    return joined.select(*[text if c == text_col else F.col(f"d.`{c}`") for c in kept], n_removed)

@@ -85,3 +85,22 @@ def test_odd_rows(spark):
 def test_plan_has_no_python(spark):
     plan = dedup_lines(frame(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_no_run_is_missed(spark):
+    """A frequent run hides no other: the gram's first place stands in another context than the later copies."""
+    rnd = random.Random(9)
+    own = lambda n: words(rnd, n, 10**6)
+    frequent, a, b = own(30), own(30), own(30)
+    made = [f"{own(9)}\n{frequent}\n{own(40)}" for _ in range(3)]
+    made += [f"{own(9)}\n{frequent}\n{a}\n{own(9)}", f"{own(7)}\n{frequent}\n{a}\n{own(7)}", f"{b}\n{frequent}\n{own(5)}", f"{own(3)}\n{b}\n{frequent}\n{own(8)}"]
+    pool = [own(rnd.choice([1, 3, 8, 20, 30, 60])) for _ in range(60)]
+    runs = [[rnd.choice(pool) for _ in range(rnd.randint(2, 6))] for _ in range(12)]
+    for _ in range(120):
+        made.append("\n".join(x for _ in range(rnd.randint(1, 4)) for x in (rnd.choice(runs) if rnd.random() < 0.6 else [own(12), " "])))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(made)]
+    gone = {k[1]: v for k, v in brute(rows).items()}
+    assert all(len(gone[i]) == (i in (4, 6)) * 2 for i in range(7)) and sum(map(len, gone.values())) > 200
+    for r in dedup_lines(frame(spark, rows)).collect():
+        i = r["doc_id"]
+        assert r["text"] == "\n".join(x for k, x in enumerate(made[i].split("\n")) if k not in gone[i]) and r["n_removed"] == len(gone[i])
