@@ -25,7 +25,7 @@ def packing_tokenizer() -> str:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return score(docs, train(docs, least_count=(1, 1, 1)))  # trigrams seen once too
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillspark.llm import language_model as L
+from quillspark.llm import language_model as L, queries
 from quillspark.llm.elias_fano import EliasFano
 
 from .cases import empty, frame
@@ -94,3 +94,30 @@ def test_empty_table(spark):
     model = L.train(df)
     assert L.score(df, model).count() == 0
     assert L.score(frame(spark), model).where("n_known > 0").count() == 0
+
+
+def unpruned(rows):
+    """Score by a model that keeps every trigram."""
+    train = [tokens(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    c1, c2, c3 = (collections.Counter(g for w in train for g in zip(*(w[k:] for k in range(n)))) for n in (1, 2, 3))
+    total, distinct, d = sum(c1.values()), len(c1), L.DISCOUNT
+    after1, after2 = collections.Counter(a for a, _ in c2), collections.Counter(g[:2] for g in c3)
+    seen2 = collections.Counter()
+    for g, n in c3.items():
+        seen2[g[:2]] += n
+    p1 = lambda w: (c1[w,] + 0.5) / (total + 0.5 * (distinct + 1))
+    p2 = lambda a, w: (max(c2[a, w] - d, 0) + d * after1[a] * p1(w)) / c1[a,] if after1[a] else p1(w)
+    p3 = lambda a, b, w: (max(c3[a, b, w] - d, 0) + d * after2[a, b] * p2(b, w)) / seen2[a, b] if seen2[a, b] else p2(b, w)
+    return lambda w: sum(math.log10(p1(x) if j == 0 else p2(w[0], x) if j == 1 else p3(w[j - 2], w[j - 1], x)) for j, x in enumerate(w))
+
+
+def test_query_keeps_trigrams_seen_once(spark, tmp_path):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, " ".join(f"x{i}_{k} the y{i}_{k}" for k in range(20)), "en", "s", 0) for i in ids]
+    rows.append((held, rows[0][1], "en", "s", 0))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    of = unpruned(rows)
+    for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect():
+        w = tokens({i: t for i, t, *_ in rows}[r["doc_id"]])
+        assert abs(r["score"] - of(w)) <= 0.05 * len(w)  # quantised
