@@ -110,8 +110,8 @@ def is_remote(path: Column) -> Column:
 
 
 def truncate_body(body: Column, limit: int = 500) -> Column:
-    """At most ``limit`` bytes, with a note if there were more."""
-    short = F.concat(F.decode(F.substring(F.encode(body, "UTF-8"), 1, limit), "UTF-8"), F.lit("... (truncated)"))
+    """At most ``limit`` bytes, with a note if there were more. A character cut through becomes U+FFFD."""
+    short = F.concat(F.make_valid_utf8(F.substring(F.encode(body, "UTF-8"), 1, limit).cast("string")), F.lit("... (truncated)"))
     return F.when(F.octet_length(body) > limit, short).otherwise(body)
 
 

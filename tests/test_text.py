@@ -64,3 +64,10 @@ def test_answers(spark):
     bad = '{"provider":"p","words":[{"X":1,"Y":1,"Width":0,"Height":2,"Text":"","Confidence":0.5}]}'
     assert spark.range(1).select(A.segments(F.lit(bad)).valid, A.segments(F.lit(bad.replace('"Width":0', '"Width":3'))).valid).first()[:] == (False, True)
     assert apply(spark, A.token_expiry, ["a.eyJleHAiOjE3fQ.c", "a.b"]) == [17, None]
+
+
+def test_truncation_inside_a_character(spark):
+    texts = ["a\u00e9", "a\u00e9b", "\u65e5\u672c\u8a9e", "ab\U0001f600", "x" * 499 + "\u00e9", "x" * 498 + "\u00e9", None]
+    for limit in (1, 2, 3, 4, 5, 500):
+        want = [t if t is None or len(t.encode()) <= limit else t.encode()[:limit].decode("utf-8", "replace") + "... (truncated)" for t in texts]
+        assert apply(spark, lambda t, n=limit: T.truncate_body(t, n), texts) == want
