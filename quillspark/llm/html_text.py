@@ -3,17 +3,22 @@
 The standard library's streaming parser gives events; a *line* is the text between two block boundaries, with the tags
 seen since the line before. Its ratio is text length by tags. Ratios are smoothed by a Gaussian over neighbouring lines and
 split in two clusters by the threshold at which the clusters' means are equally far (1-D two-means). Lines of the upper
-cluster are seeds. The content region is the article-like element with the most seed text, or else the innermost
+cluster are seeds. The content region is the outermost article-like elements that hold seed text, or else the innermost
 element that holds most of it; all its lines are the text, apart from parts that are marked as menus, notices, forms and the like.
+A form that holds most of the page's text is a wrapper, not a form.
 
 Null html is an empty page; a page with no such text gives an empty text. Unclosed and crossed tags are taken as they
-come, a page that is cut off ends there. Each row is taken for itself.
+come. A page that is cut off ends there: an unfinished tag or comment is no text. No input raises. Work and memory are
+linear in the page, whatever its depth. Each row is taken for itself, so repeated rows give repeated results; the result has the
+id, the url, text and n_chars alone, other columns don't matter. No rows give no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,8 +29,13 @@ from .common import map_batches, record_batch
 
 # Elements and names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Mathematics is read as part of its line.
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle merror mpadded mphantom mfenced munder mover munderover mtable mtr mtd semantics".split())
+HEAD = frozenset("html head title base link meta script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea input dialog menu head title".split())
+#: Not shown as text, and no boundary of the line they stand in; what is inside of them is passed over.
+SILENT = frozenset("script style template noscript svg annotation annotation-xml iframe object canvas audio video button select textarea".split())
+SKIPPED = frozenset("nav footer aside dialog menu head title".split())
 ARTICLES = frozenset("article main".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -39,60 +49,145 @@ MARKED = re.compile(
     re.IGNORECASE,
 )
 SIGMA = 1.0
+_NAME = re.compile("[a-zA-Z][^\\t\\n\\r\\f />\\x00]*")
+
+
+#: Character references that stand for no character, and leading zeros of others.
+_NO_CHARACTER = re.compile("&#0*(?:[0-9]{9,}|[xX]0*[0-9a-fA-F]{9,});?")
+_ZEROS = re.compile("&#(0{9,})(?=[0-9])")
+
+
+@dataclass(frozen=True, slots=True)
+class _Open:
+    """An open element, and what holds for all inside of it."""
+
+    tag: str
+    number: int
+    skip: int  #: 1 for its name, 2 in any case
+    header: bool
+    heading: bool
+    article: bool
+    form: int  #: number of the outermost form around, or -1
+
+
+_ROOT = _Open("", -1, 0, False, False, False, -1)
 
 
 class _Lines(HTMLParser):
+    """Takes the whole page in one ``feed``: what doesn't end ends with the page."""
+
     def __init__(self, lenient: bool = False):
         super().__init__(convert_charrefs=True)
         self.lenient = lenient
-        self.stack: list[tuple[str, int, int]] = []  # tag, number, skipped: 1 for its name, 2 in any case
+        self.stack: list[_Open] = [_ROOT]
+        self.open: Counter = Counter()
         self.parts: list[str] = []
-        self.tags, self.linked, self.in_link, self.heading = 1, 0, 0, False
-        self.lines: list[tuple[str, int, int, bool, tuple]] = []  # text, tags, linked characters, heading, elements
-        self.elements: list[tuple[str, bool]] = []  # tag, article-like
+        self.tags, self.linked, self.in_link = 1, 0, False
+        self.silent: tuple[str, Counter] | None = None  # element, and what is open inside of it
+        self.in_tag, self.odd = False, False
+        self.lines: list[tuple[str, int, int, int, int]] = []  # text, tags, linked characters, innermost element, form
+        self.elements: list[tuple[str, bool, int]] = []  # tag, article-like, parent
 
-    @property
-    def skipped(self) -> int:
-        return self.stack[-1][2] if self.stack else 0
+    # malformed markup: the parser's own ways raise, or give it out as text
+
+    def parse_comment(self, i, report=1):
+        raw = self.rawdata
+        for empty in ("<!-->", "<!--->"):
+            if raw.startswith(empty, i):
+                return i + len(empty)
+        end = raw.find("-->", i + 4)
+        return end + 3 if end >= 0 else len(raw)
+
+    def parse_html_declaration(self, i):
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    parse_pi = parse_html_declaration
+
+    def parse_starttag(self, i):
+        raw, end = self.rawdata, self.check_for_whole_start_tag(i)
+        if end < 0:
+            return len(raw)
+        if raw[end - 1] == ">":
+            self.odd = False
+            self.in_tag = True
+            super().parse_starttag(i)
+            self.in_tag = False
+            if not self.odd:
+                return end
+        else:
+            close = raw.find(">", end)
+            end = close + 1 if close >= 0 else len(raw)
+        # a stray quote or the like: it is a tag, but what else it says isn't known
+        self.handle_starttag(_NAME.match(raw, i + 1)[0].lower(), [])
+        return end
+
+    def parse_endtag(self, i):
+        end = super().parse_endtag(i)
+        return end if end > 0 else len(self.rawdata)
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text and not self.skipped:
-                if not (any(t == "header" for t, _, _ in self.stack) and not any(t in HEADINGS for t, _, _ in self.stack)):
-                    self.lines.append((text, self.tags, self.linked, self.heading, tuple(n for _, n, _ in self.stack)))
+            text, top = " ".join("".join(self.parts).split()), self.stack[-1]
+            if text and not (top.header and not top.heading):
+                self.lines.append((text, self.tags, self.linked, top.number, top.form))
             self.parts = []
         self.tags, self.linked = 1, 0
 
+    def _pop(self) -> None:
+        self.open[self.stack.pop().tag] -= 1
+
     def handle_starttag(self, tag, attrs):
+        self.in_tag = False
         self.tags += 1
-        if tag == "br":
-            self.parts.append(" ")
-            return
-        if tag in INLINE:
-            self.in_link += tag == "a"
+        if self.silent:
+            self.silent[1][tag] += 1
             return
+        if self.open["head"] and tag not in HEAD:
+            self._close("head")
+        if tag == "body" and not self.open["body"]:
+            del self.stack[1:]
+            self.open.clear()
+        if tag == "br":
+            self.handle_data(" ")
+        elif tag in INLINE or tag in MATH:
+            if tag == "a":
+                self.in_link = True
+        elif tag in SILENT:
+            self.silent = (tag, Counter())
+        elif tag not in VOID:
+            self._opened(tag, dict(attrs))
+        elif tag == "hr":
+            self.flush()
+
+    def _opened(self, tag, attrs):
         self.flush()
-        if tag in VOID:
-            return
         closing = SELF_CLOSING.get(tag)
-        if closing and self.stack and self.stack[-1][0] in closing:
-            self.stack.pop()
-        elif self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
-        named = dict(attrs)
-        article = tag in ARTICLES or named.get("role") in ARTICLES or named.get("itemprop") == "articleBody"
+        if closing and self.stack[-1].tag in closing or self.stack[-1].tag == "p":
+            self._pop()
+        top = self.stack[-1]
+        article = tag in ARTICLES or attrs.get("role") in ARTICLES or attrs.get("itemprop") == "articleBody"
         # an article inside of a part with a doubtful name is an article
-        skip = max(0 if article and self.skipped == 1 else self.skipped, self._unwanted(tag, named, article))
-        self.stack.append((tag, len(self.elements), skip))
-        self.elements.append((tag, article))
-        self.heading = tag in HEADINGS
+        skip = max(0 if article and top.skip == 1 else top.skip, self._unwanted(tag, attrs, article))
+        number = len(self.elements)
+        self.elements.append((tag, article, top.number))
+        form = number if tag == "form" and top.form < 0 else top.form
+        self.stack.append(_Open(tag, number, skip, top.header or tag == "header", top.heading or tag in HEADINGS, top.article or article, form))
+        self.open[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        """The slash ends what is silent, but for scripts and styles; of other elements it says nothing."""
+        self.handle_starttag(tag, attrs)
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        elif self.silent and (self.silent[0] == tag or self.silent[1][tag]):
+            self.handle_endtag(tag)
 
     def _unwanted(self, tag, attrs, article) -> int:
         if tag in SKIPPED:
             return 2
         if tag == "header":
-            return 0 if any(self.elements[n][1] for _, n, _ in self.stack) else 2
+            return 0 if self.stack[-1].article else 2
         if tag in ("body", "html"):
             return 0
         if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", ""):
@@ -104,20 +199,36 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag in INLINE:
-            self.in_link = max(0, self.in_link - (tag == "a"))
-            return
-        self.flush()
-        self.heading = False
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
+        if self.silent:
+            name, inner = self.silent
+            if inner[tag]:
+                inner[tag] -= 1
+                return
+            if tag != name and not self.open[tag]:
+                return
+            self.silent = None  # its own end, or that of an element around it
+            if tag == name:
+                return
+        if tag in INLINE or tag in MATH:
+            if tag == "a":
+                self.in_link = False
+        elif tag not in SILENT:
+            self.flush()
+            self._close(tag)
+
+    def _close(self, tag) -> None:
+        if self.open[tag]:
+            while self.stack[-1].tag != tag:
+                self._pop()
+            self._pop()
 
     def handle_data(self, data):
-        self.parts.append(data)
-        if self.in_link:
-            self.linked += len(data)
+        if self.in_tag:
+            self.odd = True
+        elif not self.silent and not self.stack[-1].skip:
+            self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -141,44 +252,78 @@ def threshold(values: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def _lines(html: str, lenient: bool) -> _Lines:
+def _read(html: str, lenient: bool) -> _Lines:
     parser = _Lines(lenient)
-    parser.feed(html)
+    parser.feed(_NO_CHARACTER.sub("\ufffd", _ZEROS.sub("&#", html)))
     parser.close()
     parser.flush()
     return parser
 
 
+def _without_forms(lines: list) -> list:
+    """Lines outside of forms, and of those that hold most of the page's text."""
+    held = Counter()
+    for text, _, _, _, form in lines:
+        held[form] += len(text)
+    total = sum(held.values())
+    return [line for line in lines if line[4] < 0 or 2 * held[line[4]] > total]
+
+
+def _within(elements: list, regions: set[int]) -> list[bool]:
+    """Whether each element is one of the regions or inside one. Parents come before their children."""
+    inside: list[bool] = []
+    for n, (_, _, parent) in enumerate(elements):
+        inside.append(n in regions or parent >= 0 and inside[parent])
+    return inside
+
+
+def _regions(elements: list, held: list[int]) -> set[int]:
+    """The outermost article-like elements with seed text, each narrowed to one inside of it that has all of that text."""
+    around: list[int] = []  # the outermost article-like element of each one
+    best: dict[int, int] = {}
+    for n, (_, article, parent) in enumerate(elements):
+        up = around[parent] if parent >= 0 else -1
+        around.append(up if up >= 0 else n if article else -1)
+        if article and held[n]:
+            best.setdefault(around[n], n)
+            if held[n] == held[around[n]]:
+                best[around[n]] = n
+    return set(best.values())
+
+
 def main_text(html: str) -> str:
-    parser = _lines(html, False)
-    if not parser.lines:  # everything stood in a part with a doubtful name
-        parser = _lines(html, True)
-    lines = parser.lines
+    parser = _read(html, False)
+    lines = _without_forms(parser.lines)
+    if not lines:  # everything stood in a part with a doubtful name
+        parser = _read(html, True)
+        lines = _without_forms(parser.lines)
     if not lines:
         return ""
+    elements = parser.elements
     ratios = smoothed(np.array([len(t) / tags for t, tags, *_ in lines], float))
     seeds = ratios > threshold(ratios)
-    held: dict[int, int] = {}
+    held = [0] * len(elements)
     total = 0
-    for (text, _, linked, _, path), seed in zip(lines, seeds, strict=True):
+    for (text, _, linked, number, _), seed in zip(lines, seeds, strict=True):
         if seed and 2 * linked <= len(text):
             total += len(text)
-            for n in path:
-                held[n] = held.get(n, 0) + len(text)
-    articles = [n for n in held if parser.elements[n][1]]
+            if number >= 0:
+                held[number] += len(text)
+    for n in range(len(elements) - 1, -1, -1):
+        parent = elements[n][2]
+        if parent >= 0:
+            held[parent] += held[n]
+    articles = _regions(elements, held)
     if articles:
-        # of nested ones the innermost with as much
-        region = max(articles, key=lambda n: (held[n], n))
-        inside = True
-    else:
-        most = [n for n, v in held.items() if 10 * v >= 8 * total and parser.elements[n][0] not in ("p", "li", "pre", "blockquote", "td")]
-        region = max(most, default=None)
-        inside = False
-    blocks = []
-    for text, _, linked, _, path in lines:
-        if (region is None or region in path) and (inside or 2 * linked <= len(text)):
-            blocks.append(text)
-    return "\n\n".join(blocks)
+        inside = _within(elements, articles)
+        return "\n\n".join(line[0] for line in lines if line[3] >= 0 and inside[line[3]])
+    most = [n for n, v in enumerate(held) if v and 10 * v >= 8 * total and elements[n][0] not in ("p", "li", "pre", "blockquote", "td")]
+    inside = _within(elements, {max(most)}) if most else []
+    own = [line for line in lines if not most or line[3] >= 0 and inside[line[3]]]
+    # a list of links is a menu; a link that stands alone among other lines is text
+    link = [2 * line[2] > len(line[0]) for line in own]
+    menu = [a and (line[3] >= 0 and elements[line[3]][0] == "li" or before or after) for line, a, before, after in zip(own, link, [False, *link], [*link[1:], False], strict=False)]
+    return "\n\n".join(line[0] for line, m in zip(own, menu, strict=True) if not m)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,6 +1,10 @@
+import random
+import time
+
 import numpy as np
+import pytest
 
-from quillspark.llm.html_text import extract, main_text, smoothed, threshold
+from quillspark.llm.html_text import _read, _regions, _within, extract, main_text, smoothed, threshold
 
 LONG = "A paragraph with enough words in it to be taken for what the page is about, and then some more of them"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -43,3 +47,66 @@ def test_rows(spark):
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got} == {LONG, "", ("wörd " * 40000).strip()}
     assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div>a<![foo[x]]>b</div>", "ab"),
+        ("<p>x</p><!-- never ends <p>y</p>", "x"),
+        ("<p>x</p><a href='y>z", "x"),
+        ("<p>a<!x><?php y ?><![CDATA[z]]>b</p>", "ab"),
+        ("<p>a <svg><title>t</title><path d='x'/></svg> b <button>go <i>x</i></button> c<script/>var d='<p>'</script></p>", "a b c"),
+        (f"<p>n &#{'9' * 5000}; &#{'0' * 5000}65; m</p>", "n \ufffd A m"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>", "Let x=2 be"),
+        (f"<head><title>t</title><p>{LONG}", LONG),
+        (f"<html><head><meta a><body><p>{LONG}", LONG),
+        (f"<article><p>{LONG} one</p></article><div>x</div><article><p>{LONG} two</p></article>", f"{LONG} one\n\n{LONG} two"),
+        (f"<form action=x><div><h1>T</h1><p>{LONG}</p><input name=a><select><option>b</select><p>{LONG}</p></div></form>", f"T\n\n{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><form><p>Your mail</p><input></form></article>", LONG),
+        (f"<div><p>{LONG}</p><p><a href=x>A link alone</a></p><p>{LONG}</p><ul><li><a href=y>menu</a></ul></div>", f"{LONG}\n\nA link alone\n\n{LONG}"),
+        (f"<div><p>{LONG} <button>never closed</p></div><p>{LONG}</p>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_odd_markup(html, text):
+    assert main_text(html) == text
+
+
+def test_nothing_raises():
+    rnd = random.Random(2)
+    parts = ["<", "</", ">", "<!--", "-->", "<![CDATA[", "]]>", "<![if ", "<!", "<?", "div", "p", "a", ' href="', "'", '"', "=", "&", "&#", "x41;", "&amp;", "text ", "<script>", "</script>", "<svg>", "</svg>", "<form>", "<article>", "</article>", "é", "\x00", "<br/>", "<p>", "</p>", "<td>", "<math>", "<title>", "<body>", "<head>", "<button>", "/"]
+    for _ in range(4000):
+        main_text("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))))
+        main_text(bytes(rnd.choice(b"<>/!-=&#;'\" abp") if rnd.random() < 0.5 else rnd.randrange(256) for _ in range(60)).decode("latin-1"))
+
+
+@pytest.mark.parametrize("html", ["<div>" * 200_000 + "x", "<div>a" * 100_000 + "</div>" * 100_000, "<div>" * 50_000 + "</p></x>" * 80_000, "<!--x" * 200_000, '<a b="c\' ' * 120_000, "<![CDATA[" * 100_000, "<p><b>a</i>" * 90_000])
+def test_long_and_deep_pages_take_seconds(html):
+    began = time.time()
+    main_text(html)
+    assert time.time() - began < 30
+
+
+def test_regions_against_paths():
+    """Brute force: whole paths, every element tried."""
+    rnd = random.Random(6)
+    for _ in range(300):
+        elements, path = [], []
+        for n in range(rnd.randint(1, 14)):
+            parent = rnd.randint(-1, n - 1)
+            elements.append(("article" if rnd.random() < 0.4 else "div", rnd.random() < 0.4, parent))
+            path.append([*(path[parent] if parent >= 0 else []), n])
+        seed = [rnd.choice([0, 0, 5, 9]) for _ in elements]
+        held = [sum(s for p, s in zip(path, seed, strict=True) if n in p) for n in range(len(elements))]
+        want = set()
+        for n, p in enumerate(path):
+            if elements[n][1] and held[n] and not any(elements[m][1] for m in p[:-1]):
+                want.add(max(m for m, q in enumerate(path) if n in q and elements[m][1] and held[m] == held[n]))
+        got = _regions(elements, held)
+        assert got == want
+        assert _within(elements, got) == [bool(want & set(p)) for p in path]
+
+
+def test_depth_costs_nothing_per_line():
+    parser = _read("<div>" * 5000 + "<p>a</p>" * 5000, False)
+    assert len(parser.lines) == 5000 and all(len(line) == 5 for line in parser.lines)
