@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quillspark.llm import licenses, queries
 from quillspark.llm.automaton import Automaton
@@ -33,6 +34,40 @@ def test_base_spans_equal_regexes():
         assert [s for s in code_points(data, scanner.spans(data)) if s[1] < len(BASE_RULES)] == brute(t), t
 
 
+MORE = {
+    "github": ("gh[pousr]_[A-Za-z0-9]+", 40),
+    "google": ("AIza[A-Za-z0-9_-]+", 39),
+    "slack": ("xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]*", 20),
+    "jwt": ("eyJ[A-Za-z0-9_-][A-Za-z0-9_.-]*", 40),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 20),
+}
+
+
+def test_added_spans_equal_regexes():
+    scanner, rnd = Scanner(), random.Random(9)
+    parts = ["ghp_", "gho_", "AIza", "xoxb-", "xoxp-", "a1B2" * 9, "Zz9" * 12, "-", "_", " ", "é", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "x" * 20, "😀", "AIz", "gh", ".", "eyJ", "eyJhb"]
+    found = 0
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        data = text.encode()
+        got = code_points(data, scanner.spans(data))
+        for k, rule in enumerate(scanner.rules):
+            if rule.kind in MORE:
+                pattern, least = MORE[rule.kind]
+                want = [m.span() for m in re.finditer(pattern, text, re.ASCII) if m.end() - m.start() >= least]
+                assert [(s, e) for s, j, e in got if j == k] == want, (rule.kind, text)
+                found += len(want)
+    assert found > 500
+
+
+def test_many_hits_in_a_long_text_take_time_in_proportion():
+    data = ("token = abcdefghijkl " * 250_000).encode()
+    scanner, began = Scanner(), time.time()
+    assert len(scanner.spans(data)) == 250_000
+    assert time.time() - began < 30
+    assert len(scanner.spans(b"a" * 5_000_000)) == 1 and time.time() - began < 60
+
+
 def test_more_rules():
     text = f"a ghp_{'x' * 36} b AIza{'q' * 35} c xoxb-{'1x' * 10} eyJ{'ax' * 25}.b é -----BEGIN OPENSSH PRIVATE KEY-----"
     kinds = [Scanner().rules[k].kind for _, k, _ in Scanner().spans(text.encode())]
