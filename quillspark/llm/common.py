@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,9 +17,9 @@ _UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The UTF-8 bytes of a string column; null becomes empty."""
-    col = batch.column(batch.schema.get_field_index(name))
+def text_bytes(batch: pa.RecordBatch, name: str | int = "text") -> list[bytes]:
+    """The UTF-8 bytes of a string column, given by its name or place; null becomes empty."""
+    col = batch.column(name if isinstance(name, int) else batch.schema.get_field_index(name))
     return [b or b"" for b in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
@@ -43,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else one for a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.path.join(tempfile.gettempdir(), f"quillspark-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -59,14 +60,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back (columnar; for wide tables)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

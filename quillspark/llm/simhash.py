@@ -24,8 +24,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .bloom import Sieve
 from .common import cut, map_batches, record_batch, text_bytes
 from .graph import components
 
@@ -164,13 +165,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-# --- similar texts: the same fingerprints at a wide radius, buckets from the shingles themselves ----------------------
+# --- similar texts: an exact bound in place of the majority's two bits, buckets from the shingles themselves ------------
 
 SIMILAR = 0.8
-RADIUS = 20
 BANDS, ROWS = 12, 3
-#: Texts of a bucket that all its texts are paired with, by so many random orders.
-FIRSTS = 6
+#: Longs of a parity fingerprint.
+LONGS = 8
+_F = [f"f{k}" for k in range(LONGS)]
 
 
 def _permuted(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,122 +187,168 @@ def shingle_set(data: bytes, words: int) -> np.ndarray:
 
 
 def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each band; keys of different bands are unlike."""
     a, b = _permuted(BANDS * ROWS)
     least = np.array([((h * x + y) >> np.uint64(16)).min() for x, y in zip(a, b, strict=True)], np.uint64).reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)]
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bit k is the parity of the number of hashes that fall on it: two sets differ in at least as many elements as these in bits."""
+    fallen = np.bincount((h >> np.uint64(64 - (64 * LONGS).bit_length() + 1)).astype(np.int64), minlength=64 * LONGS)
+    return np.packbits((fallen & 1).astype(np.uint8)).view(np.int64)
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     shared = len(np.intersect1d(x, y, True))
     return shared / (len(x) + len(y) - shared)
 
 
-def _crowded(keys: DataFrame, first: DataFrame, label: DataFrame) -> DataFrame:
-    """(class, label): what the firsts leave open, the texts of a bucket that are none of its firsts and not all in one group.
+def _can_be(similarity: float, n: str, n1: str, other: str):
+    """Whether sets of n and n1 elements can have that similarity, by their sizes and their parity fingerprints."""
+    a, b = F.col(n), F.col(n1)
+    differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{other}{f}"))) for f in _F), F.lit(0))
+    return (F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-9)
 
-    A pair is compared in its bucket if one of the two is a first, so buckets with at most one other text are done with.
-    """
-    rest = keys.join(first.where(F.col("n") > F.size("f") + 1), ["band", "key"]).where(~F.array_contains("f.class1", F.col("class")))
-    rest = cut(rest.select("band", "key", "class").join(label, "class", "left").withColumn("label", F.coalesce("label", "class")))
-    mixed = rest.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return cut(rest.join(mixed, ["band", "key"], "left_semi").select("class", "label").distinct())
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of different label: all pairs whose sets can have that similarity, by prefix filter. ``sets``: class, label, set.
+def prefix_pairs(shingles: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different label: all pairs whose sets can have that similarity, by prefix filter.
 
-    Shingles are in order of their number of texts, rarest first. Sets x and y of that similarity share least = s / (1 + s) *
-    (x + y) shingles, so among the first x - least + 1 of the one and y - least + 1 of the other is a common one. The
-    smaller set's prefix is the short one: what a family shares stands behind it and meets nothing.
+    ``shingles``: class, s; ``facts``: class, label, n and the parity fingerprint. Shingles are in order of their number of texts,
+    rarest first. Sets x and y of that similarity share least = s / (1 + s) * (x + y) shingles, so among the first
+    x - least + 1 of the one and y - least + 1 of the other is a common one. The smaller set's prefix is the short one:
+    what a family shares stands behind it and meets nothing. Pairs are formed only if places and fingerprints allow it.
     """
-    rows = sets.select("class", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
-    often = rows.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1")
-    met = rows.join(often, "s").groupBy("class", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "s"))).alias("o"))
+    often = shingles.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1")
+    met = shingles.join(often, "s").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("texts", "s"))).alias("o")).join(facts, "class")
     near = lambda share: (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int")
     # shingles of one text alone come first and meet nothing
-    met = met.select("class", "label", "n", "o", (F.col("n") - F.size("o")).alias("alone"), near(similarity).alias("long"), near(2 * similarity / (1 + similarity)).alias("short"))
-    met = met.where("long > alone").select("class", "label", "n", "alone", "short", F.posexplode(F.slice("o", 1, F.col("long") - F.col("alone"))).alias("at", "o"))
-    met = cut(met.select("class", "label", "n", "short", (F.col("alone") + F.col("at")).alias("i"), "o.s"))
-    y = met.where("i < short").select("s", F.col("class").alias("c1"), F.col("label").alias("l1"), F.col("n").alias("n1"), F.col("i").alias("i1"))
-    least = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("n1")) - 1e-9)
-    larger = (F.col("n") > F.col("n1")) | (F.col("n") == F.col("n1")) & (F.col("class") > F.col("c1"))
-    fits = (F.col("x.s") == F.col("y.s")) & (F.col("label") != F.col("l1")) & larger & (F.col("n") - F.col("i") >= least) & (F.col("n1") - F.col("i1") >= least)
-    found = met.alias("x").join(y.alias("y"), fits)
-    return found.select(F.least("class", "c1").alias("a"), F.greatest("class", "c1").alias("b")).distinct()
-
-
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(id, component_id) for each row: groups of texts linked by a shingle similarity of ``similarity`` or more."""
-    rows = similar_groups(df, id_col, text_col, words, similarity, radius)
-    least = rows.groupBy("label").agg(F.min(id_col).alias("component_id"))
-    return rows.join(least, "label").select(id_col, "component_id")
-
-
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(id, t, label) for each row; ``t`` is the text's hash, null text being empty text, ``label`` the group's number.
-
-    Two bits apart means almost equal texts; texts of similarity 0.8 differ in ten bits of 64 and more. At that radius blocks
-    of the fingerprint tell nothing, so buckets are bands of minimal shingle hashes: texts of similarity 0.8 meet in at
-    least one of twelve with a chance of 0.9998. In a bucket every text is paired with the first ones by six random orders,
-    other ones in each band, so rows grow with the texts whatever the group's size; in buckets of a few texts these are
-    all pairs, and a large group is connected through its first ones. Pairs are discarded by the largest difference
-    of their pivot distances, then by their XOR; what is left is verified by the shingle sets themselves, which are
-    made for the texts of a pair alone. Where that leaves a bucket in several groups, its other texts are compared across
-    groups by an exact prefix filter over their shingle sets, without the radius.
+    met = met.withColumns({"alone": F.col("n") - F.size("o"), "long": near(similarity), "short": near(2 * similarity / (1 + similarity))}).where("long > alone")
+    met = met.select("class", "label", "n", *_F, "short", "alone", F.posexplode(F.slice("o", 1, F.col("long") - F.col("alone"))).alias("at", "o"))
+    met = cut(met.select("class", "label", "n", *_F, "short", (F.col("alone") + F.col("at")).alias("i"), "o.s"))
+    y = _prefixed(met.where("i < short").drop("short"), "y_")
+    least = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("y_n")) - 1e-9)
+    larger = (F.col("n") > F.col("y_n")) | (F.col("n") == F.col("y_n")) & (F.col("class") > F.col("y_class"))
+    fits = (F.col("s") == F.col("y_s")) & (F.col("label") != F.col("y_label")) & larger & (F.col("n") - F.col("i") >= least) & (F.col("y_n") - F.col("y_i") >= least)
+    found = met.join(y, fits & _can_be(similarity, "n", "y_n", "y_"))
+    return found.select(F.least("class", "y_class").alias("a"), F.greatest("class", "y_class").alias("b")).distinct()
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with k and t in front: t is the text's hash, null text being empty text, k the hash of id and t. Rows are known by both."""
+    t = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return df.select(F.xxhash64(F.col(id_col).isNull(), id_col, t).alias("k"), t.alias("t"), "*")
+
+
+def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(class, label): texts of a bucket that are neither its first nor its last one and not all in one group."""
+    rest = members.where("class <> lo and class <> hi").select("key", "class").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    rest = cut(rest)
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rest.join(mixed, "key", "left_semi").select("class", "label").distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """(id, k, t, label) for each row: ``label`` is the number of its group of texts linked by a shingle similarity of ``similarity`` or more.
+
+    Two majority bits apart means almost equal texts; texts of similarity 0.8 differ in ten bits of 64, where blocks and
+    pivot distances discard nothing. So here buckets are bands of minimal shingle hashes: texts of similarity 0.8 meet in
+    at least one of twelve with a chance of 0.9998. In a bucket every text is paired with the first and the last class of it,
+    so rows grow with the texts whatever the bucket's size, and large groups are connected through these. Where that leaves a
+    bucket in several groups, its other texts are compared across groups by an exact prefix filter over their shingle
+    sets. Pairs are discarded by sizes and by parity fingerprints, which never differ in more bits than the sets in
+    shingles, so no similar pair is lost; what is left is verified by the sets themselves.
+
+    Texts with equal shingle sets are one class. Only the texts of classes that meet another one are fetched again,
+    once, through a filter of bounded size. ``k``, ``t``: see :func:`_keyed`.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(id_col, text_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"))
+    texts = _keyed(df.select(id_col, text_col), id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = text_bytes(batch, text_col)
-        sets = [shingle_set(data, words) for data in made]
-        prints = np.frombuffer(b"".join(fingerprint(data, words) for data in made), ">i8").astype(np.int64)
+        sets = [shingle_set(data, words) for data in text_bytes(batch, text_col)]
         keys = np.array([band_keys(h) for h in sets], np.uint64).reshape(-1).view(np.int64)
         names = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        prints = np.stack([parity(h) for h in sets])
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
-        return record_batch(**{id_col: batch.column(0), "t": batch.column(2), "class": pa.array(names), "fp": pa.array(prints), "bands": pa.ListArray.from_arrays(offsets, pa.array(keys))})
-
-    # texts with equal shingle sets are one class
-    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, t bigint, class bigint, fp bigint, bands array<bigint>"))
-    classes = rows.groupBy("class").agg(F.min(id_col).alias("least"), F.min("t").alias("t"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    keys = classes.select("class", "fp", F.posexplode("bands").alias("band", "key"))
-    firsts = [F.min(F.struct(F.xxhash64("class", "band", F.lit(k)), F.col("class").alias("class1"), F.col("fp").alias("fp1"))) for k in range(FIRSTS)]
-    first = cut(keys.groupBy("band", "key").agg(F.array_distinct(F.array(*[f.dropFields("col1") for f in firsts])).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    pairs = keys.join(first.select("band", "key", F.explode("f").alias("f")), ["band", "key"]).select("class", "fp", "f.*").where("class <> class1")
-    for p in pivots():
-        ref = F.lit(int(p.view(np.int64))).cast("bigint")
-        pairs = pairs.where(F.abs(F.bit_count(F.col("fp").bitwiseXOR(ref)) - F.bit_count(F.col("fp1").bitwiseXOR(ref))) <= radius)
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp1"))) <= radius)
-    pairs = cut(pairs.select(F.least("class", "class1").alias("a"), F.greatest("class", "class1").alias("b")).distinct())
-
-    def of_classes(named: DataFrame) -> DataFrame:
-        """``named`` with each class's text."""
-        wanted = classes.select("class", "t").join(named, "class")
-        return texts.select(text_col, "t").join(wanted.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"]).join(wanted, "t").drop("t").withColumnRenamed(text_col, "body")
+        return record_batch(**{
+            id_col: batch.column(2), "k": batch.column(0), "t": batch.column(1), "class": pa.array(names), "n": pa.array([len(h) for h in sets], pa.int32()),
+            **{f: pa.array(np.ascontiguousarray(prints[:, j])) for j, f in enumerate(_F)}, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys)),
+        })
+
+    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, k bigint, t bigint, class bigint, n int, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>"))
+    keys = rows.select("class", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    members = cut(keys.join(buckets, "key").distinct())
+    one = rows.join(members.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("k", "t")).alias("row"), *[F.min(c).alias(c) for c in ("n", *_F)])
+    facts = cut(one.select("class", "row.*", "n", *_F))
+    wanted = facts.select("k", "t", "class")
+    bodies = Sieve(wanted).rows(texts.select("k", "t", text_col), "k", "t").dropDuplicates(["k", "t"]).join(wanted, ["k", "t"])
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingle_set(data, words).tobytes() for data in text_bytes(batch, text_col)]
+        return record_batch(**{"class": batch.column("class"), "set": pa.array(made, pa.binary())})
+
+    sets = cut(map_batches(bodies.select("class", text_col), sets_of, "class bigint, set binary"))
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = text_bytes(batch, "text_a"), text_bytes(batch, "text_b")
-        made = {data: shingle_set(data, words).tobytes() for data in {*a, *b}}
-        near = [jaccard(made[x], made[y]) >= similarity for x, y in zip(a, b, strict=True)]
+        near = [jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        bodies = of_classes(pairs.select("a").union(pairs.select("b")).distinct().toDF("class")).select("class", "body")
-        pairs = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
-        return cut(map_batches(pairs, verified, "a bigint, b bigint"))
-
-    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingle_set(data, words).view(np.int64) for data in text_bytes(batch, "body")]
-        offsets = pa.array(np.cumsum([0, *map(len, made)]), pa.int32())
-        return record_batch(**{"class": batch.column("class"), "label": batch.column("label"), "set": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made)))})
-
-    links = linked(pairs)
+        held = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+        return cut(map_batches(held, verified, "a bigint, b bigint"))
+
+    def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("set")]
+        which = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+        return record_batch(**{"class": batch.column("class").take(which), "s": pa.array(np.concatenate(made))})
+
+    own = facts.select("class", "n", *_F)
+    pairs = members.select("class", F.explode(F.array("lo", "hi")).alias("other")).where("class <> other")
+    pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    pairs = pairs.join(_prefixed(own, "a_"), F.col("a") == F.col("a_class")).join(_prefixed(own, "b_"), F.col("b") == F.col("b_class"))
+    differ = pairs.withColumnsRenamed({f"a_{f}": f for f in _F}).where(_can_be(similarity, "a_n", "b_n", "b_"))
+    links = linked(cut(differ.select("a", "b")))
     label = components(links, "a", "b").select(F.col("node").alias("class"), "label")
-    crowded = _crowded(keys, first, label)
-    if not crowded.isEmpty():
-        sets = map_batches(of_classes(crowded).select("class", "label", "body"), sets_of, "class bigint, label bigint, set array<bigint>")
-        links = links.union(linked(cut(prefix_pairs(sets, similarity))))
+    left = cut(_open_buckets(members, label))
+    if not left.isEmpty():
+        shingles = map_batches(sets.join(left.select("class"), "class", "left_semi"), exploded, "class bigint, s bigint")
+        links = links.union(linked(cut(prefix_pairs(shingles, own.join(left, "class"), similarity))))
         label = components(links, "a", "b").select(F.col("node").alias("class"), "label")
-    return cut(rows.select(id_col, "t", "class").join(label, "class", "left").select(id_col, "t", F.coalesce("label", "class").alias("label")))
+    return rows.select(id_col, "k", "t", "class").join(label, "class", "left").select(id_col, "k", "t", F.coalesce("label", "class").alias("label"))
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """(id, component_id) for each row: groups of texts linked by a shingle similarity of ``similarity`` or more."""
+    rows = cut(similar_groups(df, id_col, text_col, words, similarity))
+    least = rows.groupBy("label").agg(F.min(id_col).alias("component_id"))
+    return rows.join(least, "label").select(id_col, "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """The rows of ``df`` that stay: of each group of similar texts the one with the smallest id, nulls last.
+
+    Rows are known by id and text, so unlike texts under one id, or under none, all stay; of rows with equal id and text one
+    stays. Rows of groups of one go straight through: only rows that a filter of bounded size takes for members
+    of a larger group meet the verdicts in a join.
+    """
+    rows = cut(similar_groups(df, id_col, text_col, words, similarity))
+    own = F.struct(F.col(id_col).isNull().alias("null"), id_col, "k", "t")
+    groups = rows.groupBy("label").agg(F.min(own).alias("own"), F.count("*").alias("n")).where("n > 1")
+    stays = (F.col("k") == F.col("own.k")) & (F.col("t") == F.col("own.t"))
+    judged = cut(rows.join(groups, "label").select("k", "t", stays.alias("stays")).distinct())
+    keyed, sieve = _keyed(df, id_col, text_col), Sieve(judged)
+    names = [f"`{c}`" for c in df.columns]
+    # clashing names: the two keys stand in front
+    plain = keyed.toDF("__k", "__t", *df.columns)
+    alone = sieve.rows(plain, "__k", "__t", False).select(*names)
+    met = sieve.rows(plain, "__k", "__t").join(judged.toDF("__k", "__t", "__stays"), ["__k", "__t"], "left").where("__stays is null or __stays")
+    copy = F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__k"))
+    met = met.withColumn("__copy", copy).where("__stays is null or __copy = 1").select(*names)
+    return alone.union(met)

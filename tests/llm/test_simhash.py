@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 
@@ -163,3 +164,61 @@ def test_copies_inside_a_large_family(spark):
         got[r["component_id"]].add(r["doc_id"])
     assert links >= 40 and len(groups) > 200
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in groups.values()}
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
+        x, y = both[: rng.integers(1, 600)], both[rng.integers(0, 300) :]
+        bits = int(np.bitwise_count((S.parity(x) ^ S.parity(y)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(x, y)) and not (S.parity(x) ^ S.parity(x)).any()
+
+
+def all_similar_pairs(sets, similarity):
+    """By prefixes in the order of the shingles' own hashes: texts that similar share one among the least of each."""
+    where, found = defaultdict(list), set()
+    for i, x in enumerate(sets):
+        own = sorted(map(hash, x))
+        near = set()
+        for h in own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]:
+            near.update(where[h])
+            where[h].append(i)
+        found.update((j, i) for j in near if len(x & sets[j]) >= similarity * len(x | sets[j]))
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_recall_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    group = {r["doc_id"]: r["component_id"] for r in S.similar_documents(docs).collect()}
+    rows = docs.collect()
+    of = {}
+    for r in rows:
+        of.setdefault(shingles(r["text"]), []).append(r["doc_id"])
+    sets = list(of)
+    pairs = all_similar_pairs(sets, S.SIMILAR)
+    caught = sum(group[of[sets[i]][0]] == group[of[sets[j]][0]] for i, j in pairs)
+    assert all(len({group[d] for d in ids}) == 1 for ids in of.values())
+    print(f"similar pairs of different texts: {len(pairs)}, in one group: {caught}")
+    assert caught >= 0.99 * len(pairs) and len(pairs) > 40
+    # nothing else is grouped: as many groups as the pairs and equal texts leave
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    assert len(set(group.values())) >= len({find(i) for i in range(len(sets))})
+
+
+def test_one_of_each_keeps_unlike_texts_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (None, "o p q r s t u"), (None, "v w x y z a c"), (2, "a b c d e f g"), (3, None), (4, ""), (None, "o p q r s t u"), (5, "solo text here"), (5, "solo text here")]
+    df = spark.createDataFrame([(i, t, "x", "y", "z", "u", "v") for i, t in rows], "doc_id bigint, text string, k string, t string, class string, label string, n string")
+    got = S.one_of_each(df)
+    assert got.schema == df.schema
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == sorted(repr(r) for r in [*rows[:4], rows[5], rows[8]])
+    assert S.one_of_each(empty(spark)).count() == 0
