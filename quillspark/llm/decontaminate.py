@@ -5,10 +5,14 @@ to k = n * ``PERCENT`` // 100 words changed, left out or put in. Cut into k + 1
 untouched, so an automaton of all items' pieces reads each text once; around every piece hit the item is verified with
 Myers' bit-parallel distance, in its form for occurrences inside a longer text.
 
+An item of under seven words has no error budget and is found where it stands word for word; callers to whom such items say
+nothing about where a text is from leave them out by ``least``.
+
 Items come in blocks of at most ``BLOCK`` bytes of text: each block's automaton is bounded and all texts are scanned
-against it. An item longer than that is a block of its own. Items with fewer than ``LEAST`` words are left out: they
-say nothing about where a text is from. Null or empty items and texts match nothing; repeated items and rows give repeated
-rows of the result.
+against it. An item longer than that is a block of its own. Null or empty items and texts match nothing; repeated items and
+rows give repeated rows of the result; no rows or no items give no row. Of occurrences with equal distance the one that
+ends first counts. A long text is verified around its piece hits only. The result has the id and the named columns alone, so other
+columns, whatever their names, don't matter; an id column of such a name is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .common import map_batches, record_batch, text_bytes
 from .licenses import words_of
 
 PERCENT = 15
-LEAST = 8
+LEAST = 1
 BLOCK = 16 << 20
 
 
@@ -111,17 +115,23 @@ class Matcher:
         return out
 
 
+def _matchers_of(df: DataFrame, items: DataFrame, item_id: str, item_text: str, percent: int, least: int, block: int):
+    """For each block of items a function that gives its matcher inside of a task."""
+    sized = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).where("body is not null")
+    for part in _bounded(sized, block):
+        held, name = df.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+        yield lambda held=held, name=name: _cached(name, held, percent, least)
+
+
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(id, item_id, distance, first_word, n_words): one row for each item that occurs in a text, its best occurrence."""
     kind, item_kind = df.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_id].dataType)
-    sized = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).where("body is not null")
     out = []
-    for part in _bounded(sized, block):
-        held, name = df.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+    for of_block in _matchers_of(df, items, item_id, item_text, percent, least, block):
 
-        def run(batch: pa.RecordBatch, held=held, name=name) -> pa.RecordBatch:
-            matcher = _cached(name, held, percent, least)
+        def run(batch: pa.RecordBatch, of_block=of_block) -> pa.RecordBatch:
+            matcher = of_block()
             row, item, rest = [], [], [[], [], []]
             for i, data in enumerate(text_bytes(batch, text_col)):
                 for k, *found in matcher.scan(data):
@@ -136,6 +146,19 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return reduce(DataFrame.union, out) if out else empty
 
 
+def uncontaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """The rows of ``df`` in whose text no item occurs, each row judged by itself and kept as it is: no join, no shuffle."""
+    place = df.columns.index(text_col)
+    for of_block in _matchers_of(df, items, item_id, item_text, percent, least, block):
+
+        def run(batch: pa.RecordBatch, of_block=of_block) -> pa.RecordBatch:
+            matcher = of_block()
+            return batch.filter(pa.array([not matcher.scan(data) for data in text_bytes(batch, place)], pa.bool_()))
+
+        df = map_batches(df, run, df.schema)
+    return df
+
+
 def _bounded(rows: DataFrame, block: int):
     """The rows in lists of at most ``block`` bytes of text, one at a time."""
     part, size = [], 0
