@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -86,37 +85,84 @@ def _align_native(a: Column, b: Column) -> Column:
     return F.struct(end.d.alias("dist"), end.c.alias("correct"), end.s.alias("substitutions"), end.x.alias("deletions"), end.i.alias("insertions"))
 
 
+def _numbered(a: list, b: list) -> dict:
+    """For each element of ``a`` the bits of its places."""
+    bits: dict = {}
+    for i, w in enumerate(a):
+        bits[w] = bits.get(w, 0) | 1 << i
+    return {w: bits[w] for w in set(b) & bits.keys()}
+
+
+def distance(a, b) -> int:
+    """Unit-cost distance of two strings or lists, a whole column of the table at a time in the bits of an integer."""
+    n, m = len(a), len(b)
+    first = 0
+    while first < n and first < m and a[first] == b[first]:
+        first += 1
+    while n > first and m > first and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[first:n], b[first:m]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places, full, top = _numbered(a, b), (1 << len(a)) - 1, len(a) - 1
+    up, down, d = full, 0, len(a)
+    for w in b:
+        same = places.get(w, 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        right, left = down | full & ~(zero | up), up & zero
+        d += (right >> top & 1) - (left >> top & 1)
+        right = right << 1 | 1
+        up, down = full & (left << 1 | ~(zero | right)), right & zero & full
+    return d
+
+
 def align_words(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
-    """(distance, correct, substituted, deleted, inserted): distance table row by row, then a backtrace from its end."""
+    """(distance, correct, substituted, deleted, inserted) by the backtrace from the table's end.
+
+    A column of the table is two integers: in which rows the diagonal step costs nothing, and in which the value is one more than
+    in the row above. So a table takes two bits a cell.
+    """
     n, m = len(ref), len(hyp)
-    number: dict = {}
-    a = np.array([number.setdefault(w, len(number)) for w in ref], np.int32)
-    b = np.array([number.setdefault(w, len(number)) for w in hyp], np.int32)
-    columns = np.arange(m + 1, dtype=np.int32)
-    table = np.empty((n + 1, m + 1), np.int32)
-    table[0] = columns
-    for r in range(1, n + 1):
-        above, now = table[r - 1], table[r]
-        now[0] = r
-        np.minimum(above[:-1] + (b != a[r - 1]), above[1:] + 1, out=now[1:])
-        # insertions: the least of what stands left, one more for each step
-        now[:] = np.minimum.accumulate(now - columns) + columns
     correct = substituted = deleted = inserted = 0
-    r, c = n, m
-    while r or c:
-        if r and c and a[r - 1] == b[c - 1]:
-            correct, r, c = correct + 1, r - 1, c - 1
-        elif r and c and table[r, c] == table[r - 1, c - 1] + 1:
-            substituted, r, c = substituted + 1, r - 1, c - 1
-        elif r and table[r, c] == table[r - 1, c] + 1:
-            deleted, r = deleted + 1, r - 1
+    while n and m and ref[n - 1] == hyp[m - 1]:
+        n, m, correct = n - 1, m - 1, correct + 1
+    places, full = _numbered(ref[:n], hyp[:m]), (1 << n) - 1
+    up, down = full, 0
+    free, rising = [0], [0]
+    for w in hyp[:m]:
+        same = places.get(w, 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        right, left = (down | full & ~(zero | up)) << 1 | 1, (up & zero) << 1
+        up, down = full & (left | ~(zero | right)), right & zero & full
+        free.append(zero)
+        rising.append(up)
+    while n and m:
+        if ref[n - 1] == hyp[m - 1]:
+            n, m, correct = n - 1, m - 1, correct + 1
+        elif not free[m] >> (n - 1) & 1:
+            n, m, substituted = n - 1, m - 1, substituted + 1
+        elif rising[m] >> (n - 1) & 1:
+            n, deleted = n - 1, deleted + 1
         else:
-            inserted, c = inserted + 1, c - 1
-    return int(table[n, m]), correct, substituted, deleted, inserted
+            m, inserted = m - 1, inserted + 1
+    deleted, inserted = deleted + n, inserted + m
+    return substituted + deleted + inserted, correct, substituted, deleted, inserted
 
 
 @F.pandas_udf(ALIGNMENT)
 def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Alignment counts of token arrays, in Arrow batches: memory is one table of a pair's words by words."""
+    """Alignment counts of token arrays, in Arrow batches: memory is two bits for each cell of one pair's table."""
     rows = [(None,) * 5 if x is None or y is None else align_words(list(x), list(y)) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame(rows, columns=ALIGNMENT.names).astype("Int32")
+
+
+COMPARISON = T.StructType([T.StructField("chars", T.IntegerType()), *ALIGNMENT.fields])
+
+
+@F.pandas_udf(COMPARISON)
+def compare(ref: pd.Series, hyp: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Character distance of texts and alignment counts of their tokens, in one passage through Arrow."""
+    rows = [(None,) * 6 if x is None or y is None else (distance(x, y), *align_words(list(v), list(w))) for x, y, v, w in zip(ref, hyp, a, b, strict=True)]
+    return pd.DataFrame(rows, columns=COMPARISON.names).astype("Int32")

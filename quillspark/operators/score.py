@@ -14,17 +14,24 @@ METRICS = (
 )
 
 
-def score(df: DataFrame, ref: str = "ref", hyp: str = "hyp", ignore: tuple[str, ...] = (), single_line: bool = False, into: str = "m", native: bool = False) -> DataFrame:
+def score(df: DataFrame, ref: str = "ref", hyp: str = "hyp", ignore: tuple[str, ...] = (), single_line: bool = False, into: str = "m", native: bool = False, spread: int = 0) -> DataFrame:
     """``df`` with a struct of metrics for each pair; null texts give a null struct's counts.
 
-    Order: single-line form of both, then marks masked, then characters and words of what is left. Alignment goes
-    through Arrow; ``native`` keeps it in SQL expressions, which is slower beyond a few words.
+    Order: single-line form of both, then marks masked, then characters and words of what is left. Both distances are taken
+    in one passage through Arrow, 64 cells of a table for each step; ``native`` keeps them in SQL expressions, which is
+    slower beyond a few words. With ``spread`` the pairs are first dealt to so many partitions by their texts, for
+    inputs whose long pairs stand together.
     """
+    if spread:
+        df = df.repartition(spread, F.xxhash64(ref, hyp))
     texts = [normalize_single_line(F.col(c)) if single_line else F.col(c) for c in (ref, hyp)]
     kept = df.columns
     step = df.withColumn("__p", mask(*texts, list(ignore)))
-    step = step.withColumns({"__a": tokenize(F.col("__p.ref")), "__b": tokenize(F.col("__p.hyp")), "__d": E.char_distance(F.col("__p.ref"), F.col("__p.hyp"))})
-    step = step.withColumn("__w", (E.align_native if native else E.align)(F.col("__a"), F.col("__b")))
+    step = step.withColumns({"__r": F.col("__p.ref"), "__h": F.col("__p.hyp"), "__a": tokenize(F.col("__p.ref")), "__b": tokenize(F.col("__p.hyp"))})
+    if native:
+        step = step.withColumns({"__d": E.char_distance(F.col("__r"), F.col("__h")), "__w": E.align_native(F.col("__a"), F.col("__b"))})
+    else:
+        step = step.withColumn("__w", E.compare("__r", "__h", "__a", "__b")).withColumn("__d", F.col("__w.chars"))
     return step.select(*[F.col(f"`{c}`") for c in kept], _metrics().alias(into))
 
 

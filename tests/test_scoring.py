@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,38 @@ def test_invariants_native_and_distinct(spark):
 def test_null_texts(spark):
     got = score(spark.createDataFrame([(None, "a"), ("a", None)], "ref string, hyp string")).collect()
     assert all(r["m"]["char_distance"] is None for r in got)
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_distances_by_columns_of_bits():
+    rnd = random.Random(21)
+    for _ in range(600):
+        a, b = ("".join(rnd.choice("abcé😀") for _ in range(rnd.randint(0, 90))) for _ in range(2))
+        d = table_distance(a, b)
+        assert E.distance(a, b) == d
+        dist, correct, substituted, deleted, inserted = E.align_words(list(a), list(b))
+        assert dist == d == substituted + deleted + inserted and correct + substituted + deleted == len(a) and correct + substituted + inserted == len(b)
+
+
+def test_long_texts_need_little_memory():
+    rnd = random.Random(4)
+    a, b = ([f"w{rnd.randrange(4000)}" for _ in range(12_000)] for _ in range(2))
+    tracemalloc.start()
+    assert E.align_words(a, b)[0] > 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # a table of small integers would take 576 MB
+
+
+def test_spread_changes_nothing(spark):
+    df = spark.createDataFrame([(i, "a b c " * i, "a c b " * i) for i in range(20)], "i int, ref string, hyp string")
+    assert {(r["i"], r["m"]) for r in score(df, spread=7).collect()} == {(r["i"], r["m"]) for r in score(df).collect()}
