@@ -14,6 +14,8 @@ DOCUMENT = (
     "<meta name='ocr-system' content='htr' />\n</head>\n<body>\n<div class='ocr_page' id='page_1'>\n",
     "\n</div>\n</body>\n</html>",
 )
+# Fixed value: text of the response's annotation.
+ANNOTATION = "Custom word detection with line grouping + LLM transcription"
 POINT = "struct<x:int,y:int>"
 POLY = f"struct<vertices:array<{POINT}>>"
 SYMBOL = f"struct<boundingBox:{POLY},text:string>"
@@ -61,7 +63,7 @@ def response(lines: DataFrame, page: str = "page") -> DataFrame:
     zero = F.lit(0)
     block = F.struct(_poly(zero, zero, F.col("page_w"), F.col("page_h")).alias("boundingBox"), F.lit("TEXT").alias("blockType"), F.transform("ps", lambda p: p.p).alias("paragraphs"))
     tree = F.struct(F.col("page_w").cast("int").alias("width"), F.col("page_h").cast("int").alias("height"), F.array(block).alias("blocks"))
-    full = F.struct(F.array(tree).alias("pages"), F.lit("Custom word detection with line grouping + LLM transcription").alias("text"))
+    full = F.struct(F.array(tree).alias("pages"), F.lit(ANNOTATION).alias("text"))
     return rows.select(page, F.struct(F.array(F.struct(full.alias("fullTextAnnotation"))).alias("responses")).alias("response"))
 
 

@@ -33,10 +33,14 @@ def _before(page: str, *order) -> Window:
     return Window.partitionBy(page).orderBy(*order)
 
 
-def in_bands(boxes: DataFrame, page: str = "page", band: int = MERGE_BAND) -> DataFrame:
-    """``boxes`` with ``band`` and ``pos`` (from 1) of each within its page. Ties go by x, y, size."""
+def in_bands(boxes: DataFrame, page: str = "page", band: int | None = MERGE_BAND) -> DataFrame:
+    """``boxes`` with ``band`` and ``pos`` (from 1) of each within its page. Ties go by x, y, size.
+
+    Without a size, a band ends half the height of the box before below it.
+    """
     by_y = _before(page, "y", "x", "w", "h")
-    start = F.coalesce((F.col("y") - F.lag("y").over(by_y) >= band).cast("int"), F.lit(0))
+    size = F.lit(band) if band is not None else F.floor(F.lag("h").over(by_y) / 2)
+    start = F.coalesce((F.col("y") - F.lag("y").over(by_y) >= size).cast("int"), F.lit(0))
     rows = boxes.withColumn("__start", start)
     rows = rows.withColumn("band", F.sum("__start").over(by_y.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
     return rows.withColumn("pos", F.row_number().over(_before(page, "band", "x", "y", "w", "h")))
@@ -73,32 +77,37 @@ def line_runs(boxes: DataFrame, page: str = "page", band: int = LINE_BAND) -> Da
     return rows.withColumn("__new", far).withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def fold_lines(boxes: DataFrame, page: str = "page") -> DataFrame:
+def fold_lines(boxes: DataFrame, page: str = "page", words: bool = False) -> DataFrame:
     """(page, line, x, y, w, h, n): a word joins the line while it overlaps the line's growing envelope.
 
+    ``words`` adds the line's own boxes, in order, as an array.
+
     The envelope is stretched by a third of the line's mean height. The state depends on all words before, so this is
     a fold over the page's ordered boxes; a page's boxes are one array.
     """
-    ordered = in_bands(boxes, page)
+    ordered = in_bands(boxes, page, None)
     struct = F.struct("pos", "x", "y", "w", "h")
     pages = ordered.groupBy(page).agg(F.array_sort(F.collect_list(struct)).alias("boxes"))
-    item = "struct<x:bigint,y:bigint,r:bigint,b:bigint,hs:bigint,n:bigint>"
+    item = "struct<x:bigint,y:bigint,r:bigint,b:bigint,hs:bigint,n:bigint,first:int>"
 
     def one(box: Column) -> Column:
-        return F.struct(box.x.cast("bigint").alias("x"), box.y.cast("bigint").alias("y"), (box.x + box.w).cast("bigint").alias("r"), (box.y + box.h).cast("bigint").alias("b"), box.h.cast("bigint").alias("hs"), F.lit(1).cast("bigint").alias("n"))
+        return F.struct(box.x.cast("bigint").alias("x"), box.y.cast("bigint").alias("y"), (box.x + box.w).cast("bigint").alias("r"), (box.y + box.h).cast("bigint").alias("b"), box.h.cast("bigint").alias("hs"), F.lit(1).cast("bigint").alias("n"), box.pos.cast("int").alias("first"))
 
     def step(state: Column, box: Column) -> Column:
         line = F.element_at(state, -1)
         slack = F.floor(F.floor(line.hs / line.n) / 3)
         fits = (box.y + box.h >= line.y - slack) & (box.y <= line.b + slack)
         new = one(box)
-        grown = F.struct(F.least(line.x, new.x).alias("x"), F.least(line.y, new.y).alias("y"), F.greatest(line.r, new.r).alias("r"), F.greatest(line.b, new.b).alias("b"), (line.hs + new.hs).alias("hs"), (line.n + 1).alias("n"))
+        grown = F.struct(F.least(line.x, new.x).alias("x"), F.least(line.y, new.y).alias("y"), F.greatest(line.r, new.r).alias("r"), F.greatest(line.b, new.b).alias("b"), (line.hs + new.hs).alias("hs"), (line.n + 1).alias("n"), line["first"].alias("first"))
         done = F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(0)))
         return F.when(F.size(state) == 0, F.array(new)).when(fits, F.concat(done, F.array(grown))).otherwise(F.concat(state, F.array(new)))
 
     lines = F.aggregate("boxes", F.array().cast(f"array<{item}>"), step)
-    rows = pages.select(page, F.posexplode(lines).alias("i", "l"))
-    return rows.select(page, (F.col("i") + 1).alias("line"), "l.x", "l.y", (F.col("l.r") - F.col("l.x")).alias("w"), (F.col("l.b") - F.col("l.y")).alias("h"), "l.n")
+    rows = pages.select(page, "boxes", F.posexplode(lines).alias("i", "l"))
+    # a line's words stand together in the page's order
+    own = F.transform(F.slice("boxes", F.col("l.first"), F.col("l.n").cast("int")), lambda b: b.dropFields("pos"))
+    more = [own.alias("words")] if words else []
+    return rows.select(page, (F.col("i") + 1).alias("line"), "l.x", "l.y", (F.col("l.r") - F.col("l.x")).alias("w"), (F.col("l.b") - F.col("l.y")).alias("h"), "l.n", *more)
 
 
 def crop(x: Column, y: Column, w: Column, h: Column, padding: int = PADDING) -> Column:
@@ -165,10 +174,30 @@ def gray_levels(data: bytes, height: int, width: int, channels: int) -> np.ndarr
     return pixels[:, :, :3].mean(axis=2) if channels >= 3 else pixels[:, :, 0].astype(float)
 
 
+def sharpen(gray: np.ndarray) -> np.ndarray:
+    """Each pixel moved away from the mean around it (a Gaussian of one pixel), within 0 and 255."""
+    weights = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+    weights /= weights.sum()
+    blurred = gray
+    for axis in (0, 1):
+        padded = np.pad(blurred, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        blurred = sum(w * np.take(padded, np.arange(k, k + gray.shape[axis]), axis=axis) for k, w in enumerate(weights))
+    return np.clip(2 * gray - blurred, 0, 255)
+
+
+def closed(gray: np.ndarray) -> np.ndarray:
+    """Morphological closing over two pixels in a row: the larger of neighbours, then the smaller."""
+    wide = np.maximum(gray, np.pad(gray, ((0, 0), (0, 1)), mode="edge")[:, 1:])
+    return np.minimum(wide, np.pad(wide, ((0, 0), (1, 0)), mode="edge")[:, :-1])
+
+
 def stretch(gray: np.ndarray, low: float = 0.0015, high: float = 0.0005, level: float = 0.75) -> np.ndarray:
-    """Contrast stretch and threshold, so that faint writing counts as dark; not pixel-equal to other tools."""
+    """Contrast stretch, sharpening, closing and threshold, so that faint writing counts as dark; not pixel-equal to other tools."""
     a, b = np.quantile(gray, [low, 1 - high])
-    return np.where((gray - a) / max(b - a, 1e-9) < level, 0.0, 255.0)
+    if b <= a:
+        return np.full(gray.shape, 255.0) if a >= 32768 / 257 else np.zeros(gray.shape)
+    even = np.clip((gray - a) / (b - a), 0, 1) * 255
+    return np.where(closed(sharpen(even)) < level * 255, 0.0, 255.0)
 
 
 def detect_components(images: DataFrame, preprocess: bool = True) -> DataFrame:

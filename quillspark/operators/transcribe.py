@@ -37,12 +37,12 @@ def cut_out(gray: np.ndarray, box: tuple[int, int, int, int], padding: int = PAD
     return gray[top : top + h + 2 * padding, left : left + w + 2 * padding]
 
 
-def reading_order(boxes: list[tuple[int, int, int, int]], band: int) -> list[tuple[int, int, int, int]]:
-    """By bands: in order of y a band ends where y is ``band`` or more below the box before; a band is read by x."""
+def reading_order(boxes: list[tuple[int, int, int, int]], band: int | None) -> list[tuple[int, int, int, int]]:
+    """By bands: in order of y a band ends where y is ``band``, or else half its height, or more below the box before; a band is read by x."""
     number, last, ordered = 0, None, []
     for box in sorted(boxes, key=lambda b: (b[1], b[0], b[2], b[3])):
-        number += last is not None and box[1] - last >= band
-        last = box[1]
+        number += last is not None and box[1] - last[1] >= (last[3] // 2 if band is None else band)
+        last = box
         ordered.append((number, *box))
     return [b[1:] for b in sorted(ordered)]
 
@@ -64,6 +64,20 @@ def words_of(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return [envelope(g) for g in groups]
 
 
+def folded(words: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Envelopes of words that overlap a line's growing envelope, stretched by a third of its mean height: as :func:`~.layout.fold_lines`."""
+    lines: list[list] = []
+    for b in reading_order(words, None):
+        if lines:
+            x, y, w, h = envelope(lines[-1])
+            slack = sum(m[3] for m in lines[-1]) // len(lines[-1]) // 3
+            if b[1] + b[3] >= y - slack and b[1] <= y + h + slack:
+                lines[-1].append(b)
+                continue
+        lines.append([b])
+    return [envelope(m) for m in lines]
+
+
 def lines_of(words: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
     lines: list[list] = []
     for b in reading_order(words, LINE_BAND):
@@ -75,9 +89,11 @@ def lines_of(words: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int
 
 
 def transcribe_pages(images: DataFrame, make: Callable[[], P.Client], model: str, temperature: float = 0.0) -> DataFrame:
-    """(page, number, x, y, w, h, text) for the words of images (rows of ``spark.read.format("image")``).
+    """(page, number, x, y, w, h, text) for the text lines found in images (rows of ``spark.read.format("image")``).
+
+    Words are grouped to lines by the growing envelope; line boxes side by side are asked for together, and their text is dealt to them.
 
-    A line whose call fails is asked for word by word; a word that can't be read has text ''.
+    If that call fails each box is asked for by itself; one that can't be read has text ''.
     """
     rows = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
@@ -88,7 +104,7 @@ def transcribe_pages(images: DataFrame, make: Callable[[], P.Client], model: str
             for r in batch.itertuples(index=False):
                 gray = gray_levels(r.data, r.height, r.width, r.nChannels)
                 number = 0
-                for line in lines_of(words_of(components(stretch(gray)))):
+                for line in lines_of(folded(words_of(components(stretch(gray))))):
                     ask = lambda box, gray=gray: P.Request(model, P.LINE_PROMPT, P.Image(png(cut_out(gray, box)), "image/png"), temperature)
                     for box, text in zip(line, P.transcribe_line(client, ask(envelope(line)), [ask(b) for b in line]), strict=True):
                         number += 1

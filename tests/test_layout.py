@@ -70,7 +70,7 @@ def brute_fold(rows):
     by_y = sorted(rows, key=lambda r: (r[1], r[0], r[2], r[3]))
     band, ordered = 0, []
     for k, r in enumerate(by_y):
-        band += bool(k and r[1] - by_y[k - 1][1] >= 10)
+        band += bool(k and r[1] - by_y[k - 1][1] >= by_y[k - 1][3] // 2)
         ordered.append((band, *r))
     lines = []
     for _, x, y, w, h in sorted(ordered):
@@ -89,8 +89,13 @@ def test_fold_against_loop(spark):
     rnd = random.Random(3)
     for _ in range(6):
         rows = [(rnd.randrange(300), rnd.randrange(200), rnd.randint(5, 40), rnd.randint(5, 30)) for _ in range(25)]
-        got = [tuple(r)[2:] for r in L.fold_lines(boxes(spark, rows)).orderBy("line").collect()]
-        assert got == brute_fold(rows)
+        lines = L.fold_lines(boxes(spark, rows), words=True).orderBy("line").collect()
+        assert [tuple(r)[2:7] for r in lines] == brute_fold(rows)
+        for r in lines:
+            own = r["words"]
+            assert len(own) == r["n"] and min(b["x"] for b in own) == r["x"] and max(b["y"] + b["h"] for b in own) == r["y"] + r["h"]
+        assert sorted(tuple(b) for r in lines for b in r["words"]) == sorted(rows)
+        assert sorted(TR.folded(rows)) == sorted(b[:4] for b in brute_fold(rows))
 
 
 @pytest.mark.parametrize(("text", "slots", "want"), [("hello world this is test", 3, ["hello world", "this is", "test"]), ("a b", 2, ["a", "b"]), ("a", 3, ["a", "", ""]), ("", 2, ["", ""]), ("a b", 0, [])])
@@ -143,10 +148,10 @@ def test_images(spark, tmp_path):
     found = L.detect_components(images).collect()
     assert [tuple(r)[1:] for r in found] == [(128, 160, 10, 20, 20, 12), (128, 160, 60, 22, 20, 12), (128, 160, 10, 80, 30, 12)]
     words = TR.transcribe_pages(images, _reader, "m").orderBy("number").collect()
-    assert [tuple(r)[1:] for r in words] == [(1, 10, 20, 20, 12, "one two"), (2, 60, 22, 20, 12, "three"), (3, 10, 80, 30, 12, "word")]
-    assert ">three</span>" in TR.transcribed_hocr(images, _reader, "m").first()["hocr"]
+    assert [tuple(r)[1:] for r in words] == [(1, 10, 20, 70, 14, "one two three"), (2, 10, 80, 30, 12, "word")]
+    assert ">one two three</span>" in TR.transcribed_hocr(images, _reader, "m").first()["hocr"]
     a = cli.parser().parse_args(["create", "--image", str(tmp_path)])
-    assert ">line_2<" in cli.run_create(spark, a).first()["hocr"] and ">three<" in cli.run_create(spark, a, _reader).first()["hocr"]
+    assert ">line_2<" in cli.run_create(spark, a).first()["hocr"] and ">one two three<" in cli.run_create(spark, a, _reader).first()["hocr"]
     assert ">line_1<" in cli.run_create(spark, a, _broken).first()["hocr"]
 
 
