@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from .operators.score import score
 from .sources import manifest as M
 from .sources import providers as P
 from .sources import store as S
+from .sources.shared import cut
 
 # Resolutions that the evaluation accepts.
 RESOLUTIONS = tuple(f"MEDIA_RESOLUTION_{r}" for r in ("UNSPECIFIED", "LOW", "MEDIUM", "HIGH", "ULTRA_HIGH"))
@@ -81,6 +83,12 @@ def _config(a, **more) -> dict:
     return config | {"timestamp": _stamp(), "ignorepatterns": a.ignore or [], "singleline": bool(a.single_line), "testrows": a.rows, "csvpath": a.csv or ""} | more
 
 
+def _tell(bad: DataFrame) -> None:
+    """Rows that were left out, on the error output, secrets masked; JSON in a message is laid out."""
+    for r in bad.toLocalIterator():
+        print(f"row {r['row_idx']}: {P.pretty(P.mask(r['error']))}", file=sys.stderr)
+
+
 def run_eval(spark: SparkSession, a, make=None) -> DataFrame:
     if bool(a.csv) == bool(a.config):
         raise SystemExit("give either --csv or --config")
@@ -89,18 +97,24 @@ def run_eval(spark: SparkSession, a, make=None) -> DataFrame:
         a.provider, a.model, a.prompt, a.temperature, a.csv, a.rows = (old[k] for k in ("provider", "model", "prompt", "temperature", "csvpath", "testrows"))
         a.ignore, a.single_line = a.ignore or old["ignorepatterns"], bool(a.single_line or old["singleline"])
     model = a.model or P.DEFAULT_MODELS.get(a.provider.lower(), "")
-    rows = M.select_rows(M.eval_rows(M.read_manifest(spark, a.csv), a.dir), a.rows).where("error is null")
-    rows = M.with_texts(rows, M.read_texts(spark, a.dir or "."), "transcript", "ref")
-    images = M.read_images(spark, a.dir or ".").join(rows.select(F.col("image").alias("path")).distinct(), "path", "left_semi")
-    said = P.transcribe(images, make or _client(a), model, a.prompt, a.temperature).where("error is null")
-    pairs = rows.join(said.select(F.col("path").alias("image"), F.col("text").alias("hyp"), "input_tokens", "output_tokens"), "image")
-    results = _as_results(score(pairs, ignore=tuple(a.ignore or ()), single_line=bool(a.single_line)), response=F.col("hyp"))
+    all_rows = M.select_rows(M.eval_rows(M.read_manifest(spark, a.csv), a.dir), a.rows)
+    good = all_rows.where("error is null")
+    texts = M.texts_of(good, a.dir, "transcript")
+    rows = M.with_texts(good, texts, "transcript", "ref")
+    # one call for each image, kept: the calls cost money, and both results and failures read them
+    said = cut(P.transcribe(M.images_of(rows, a.dir), make or _client(a), model, a.prompt, a.temperature))
+    answers = rows.join(said.select(F.col("path").alias("image"), F.col("text").alias("hyp"), "input_tokens", "output_tokens", F.col("error").alias("failed")), "image", "left")
+    results = _as_results(score(answers.where("hyp is not null and failed is null"), ignore=tuple(a.ignore or ()), single_line=bool(a.single_line)), response=F.col("hyp"))
     path = S.write_yaml(spark, _config(a, provider=a.provider, model=model, prompt=a.prompt, temperature=a.temperature), results, a.store)
+    unread = answers.where("hyp is null or failed is not null").select("row_idx", F.coalesce("failed", F.concat(F.lit("failed to read "), "image")).alias("error"))
+    _tell(all_rows.where("error is not null").select("row_idx", "error").union(M.without_texts(good, texts, "transcript").select("row_idx", "error")).union(unread))
     return S.flat_results(S.read_stores(spark, path))
 
 
 def run_external(spark: SparkSession, a) -> DataFrame:
-    scored, _ = M.external_eval(spark, a.csv, a.dir or ".", a.rows, tuple(a.ignore or ()), bool(a.single_line))
+    scored, bad = M.external_eval(spark, a.csv, a.dir, a.rows, tuple(a.ignore or ()), bool(a.single_line))
+    scored = cut(scored)
+    _tell(bad)
     results = _as_results(scored, response=F.col("hyp"))
     if not scored.take(1):
         raise SystemExit("no row could be evaluated")
@@ -115,10 +129,10 @@ def run_summary(spark: SparkSession, a) -> DataFrame:
 
 def _rescored(spark: SparkSession, results: DataFrame, folder: str, a=None) -> DataFrame:
     """Results with ``m``: scores against the transcripts that can still be read, by each store's options or by ``a``'s."""
-    texts = M.read_texts(spark, folder).select(F.col("path").alias("transcript"), F.col("text").alias("ref")) if folder else None
-    if texts is None:
+    if not folder:
         return results.withColumn("m", F.lit(None).cast("struct<char_accuracy:double,word_similarity:double>"))
-    rows = results.join(texts, "transcript", "left")
+    texts = M.texts_of(results, folder, "transcript").select(F.col("path").alias("__path"), F.col("text").alias("ref"))
+    rows = results.withColumn("__path", M.resolved(spark, F.col("transcript"))).join(texts, "__path", "left").drop("__path")
     if a is not None and (a.override or a.ignore or a.single_line):
         return score(rows, "ref", "response", tuple(a.ignore or ()), bool(a.single_line))
     # options are few: one pass for each different setting
@@ -139,25 +153,30 @@ def run_csv(spark: SparkSession, a) -> DataFrame:
 
 
 def run_backfill(spark: SparkSession, a) -> DataFrame:
-    stores = S.read_stores(spark, f"{a.store}/*.yaml").cache()
-    filled = report.backfill(_rescored(spark, S.flat_results(stores), a.dir, a), all_metrics=a.all_metrics).cache()
-    counts = report.backfill_counts(filled).collect()
-    for r in filled.groupBy("file").agg(F.bool_or("changed").alias("changed")).where("changed").collect():  # a row for each changed store
+    """Each changed store goes back to the file that it came from, read from the shared folder, not from the files under change."""
+    stores = cut(S.read_stores(spark, f"{a.store}/*.yaml"))
+    filled = cut(report.backfill(_rescored(spark, S.flat_results(stores), a.dir, a), all_metrics=a.all_metrics))
+    for r in filled.groupBy("file").agg(F.bool_or("changed").alias("changed")).where("changed").toLocalIterator():  # a row for each changed store
         config = stores.where(F.col("file") == r["file"]).first()["config"].asDict(recursive=True)
-        S.write_yaml(spark, config, filled.where(F.col("file") == r["file"]), a.store)
-    filled.unpersist()
-    stores.unpersist()
-    return spark.createDataFrame(counts, "updated bigint, skipped bigint")
+        S.write_yaml(spark, config, filled.where(F.col("file") == r["file"]), a.store, r["file"])
+    return report.backfill_counts(filled)
 
 
 def run_cost(spark: SparkSession, a) -> DataFrame:
     results = S.flat_results(S.read_stores(spark, S.store_path(a.name, a.store)))
-    return report.cost_lines(report.cost_projection(results, a.input_price, a.output_price, a.doc_count), a.input_price, a.output_price, a.doc_count)
+    projection = report.cost_projection(results, a.input_price, a.output_price, a.doc_count)
+    if not projection.take(1):
+        raise SystemExit("the store has no token usage")
+    return report.cost_lines(projection, a.input_price, a.output_price, a.doc_count)
 
 
 def run_ocr(spark: SparkSession, a, make=None) -> DataFrame:
     model = a.model or P.DEFAULT_MODELS.get(a.provider.lower(), "")
-    return P.transcribe(M.read_images(spark, a.image), make or _client(a), model, a.prompt, a.temperature)
+    image = spark.createDataFrame([(a.image,)], "image string")
+    images = M.images_of(image, a.image) if "://" not in a.image else M.fetched(image).select("path", "content")
+    if "://" not in a.image and images.isEmpty():  # a folder
+        images = M.read_images(spark, a.image)
+    return P.transcribe(images, make or _client(a), model, a.prompt, a.temperature)
 
 
 def run_create(spark: SparkSession, a, make=None) -> DataFrame:
@@ -182,14 +201,50 @@ def _basic_hocr(images: DataFrame) -> DataFrame:
 COMMANDS = {"eval": run_eval, "eval-external": run_external, "summary": run_summary, "csv": run_csv, "backfill": run_backfill, "cost": run_cost, "ocr": run_ocr, "create": run_create}
 
 
+def load_env(path: str = ".env") -> None:
+    """``NAME=value`` lines into the environment, which goes first; a file that isn't there is nothing."""
+    if not os.path.isfile(path):
+        return
+    with open(path) as lines:
+        for line in lines:
+            name, found, value = line.strip().removeprefix("export ").partition("=")
+            if found and name.strip().isidentifier() and not line.lstrip().startswith("#"):
+                os.environ.setdefault(name.strip(), value.strip().strip("\"'"))
+
+
+def printed(a, rows: DataFrame) -> Iterator[str]:
+    """What a command prints, line by line."""
+    if a.command in ("eval", "eval-external"):
+        for r in report.row_lines(rows).union(report.summary_lines(report.summary(rows))).toLocalIterator():
+            yield from ["", *r["lines"]]
+    elif a.command == "summary" and a.name:
+        for r in report.summary_lines(rows).toLocalIterator():
+            yield from r["lines"]
+    elif a.command == "ocr":
+        for r in rows.toLocalIterator():
+            if r["error"]:
+                raise SystemExit(f"the call failed: {r['error']}")
+            yield r["text"]
+    elif a.command == "create":
+        yield from (r["hocr"] for r in rows.toLocalIterator())
+    else:
+        for r in rows.toLocalIterator():
+            yield from r[0] if isinstance(r[0], list) else ["\t".join("" if v is None else str(v) for v in r)]
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    load_env()
     spark = SparkSession.builder.appName("quillspark").getOrCreate()
-    rows = COMMANDS[a.command](spark, a)
-    out = open(a.output, "w") if getattr(a, "output", None) else sys.stdout  # noqa: SIM115
-    for r in rows.toLocalIterator():
-        values = r[0] if isinstance(r[0], list) else [r["hocr"]] if "hocr" in r else ["\t".join("" if v is None else str(v) for v in r)]
-        print("\n".join(values), file=out)
+    lines = printed(a, COMMANDS[a.command](spark, a))
+    if getattr(a, "output", None):
+        with open(a.output, "w") as out:
+            out.write("\n".join(lines))
+    elif a.command == "create":
+        sys.stdout.write("\n".join(lines))
+    else:
+        for line in lines:
+            print(line)
     return 0
 
 

@@ -89,3 +89,29 @@ def cost_lines(projection: DataFrame, price_in: float, price_out: float, doc_cou
         *[line(f"{k.title()} cost: $%.6f", f"{k}_cost_per_doc") for k in ("input", "output", "total")],
         *[line(f"{k.title()} cost of {doc_count} documents: $%.2f", f"estimated_{k}_cost") for k in ("input", "output", "total")],
     ).alias("lines"))
+
+
+# Labels of the printed reports.
+ROW_LABELS = (
+    ("Character Similarity: %.3f", "char_similarity"), ("Character Accuracy: %.3f", "char_accuracy"), ("Word Similarity: %.3f", "word_similarity"), ("Word Accuracy: %.3f", "word_accuracy"),
+    ("Word Error Rate: %.3f", "word_error_rate"), ("Total Words (Original): %d", "ref_words"), ("Total Words (Transcribed): %d", "hyp_words"), ("Correct Words: %d", "correct_words"),
+    ("Substitutions: %d", "substitutions"), ("Deletions: %d", "deletions"), ("Insertions: %d", "insertions"),
+)
+SUMMARY_LABELS = (
+    ("Total Evaluations: %d", "total_evaluations"), ("Average Character Similarity: %.3f", "avg_char_similarity"), ("Average Character Accuracy: %.3f", "avg_char_accuracy"),
+    ("Average Word Similarity: %.3f", "avg_word_similarity"), ("Average Word Accuracy: %.3f", "avg_word_accuracy"), ("Average Word Error Rate: %.3f", "avg_word_error_rate"),
+)
+
+
+def row_lines(results: DataFrame) -> DataFrame:
+    """A labelled block for each result, as an array of lines; the ignored characters only where there are some."""
+    line = F.format_string
+    head = [line("=== Results for %s ===", "identifier"), line("Image: %s", "image"), line("Transcript: %s", "transcript")]
+    ignored = F.when(F.col("ignored_chars") > 0, F.array(line("Ignored Characters: %d", "ignored_chars"))).otherwise(F.array().cast("array<string>"))
+    return results.select(F.concat(F.array(*head, *[line(text, c) for text, c in ROW_LABELS]), ignored).alias("lines"))
+
+
+def summary_lines(means: DataFrame) -> DataFrame:
+    """The labelled lines of a :func:`summary`; of no results no row."""
+    rows = means.where("total_evaluations > 0")
+    return rows.select(F.array(F.lit("=== SUMMARY STATISTICS ==="), *[F.format_string(text, c) for text, c in SUMMARY_LABELS]).alias("lines"))

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+import urllib.error
+import urllib.request
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import base_name, is_remote, parse_bool, trim_space
+from .shared import cut
+
+REMOTE_BYTES = 50 << 20
 
 
 def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> DataFrame:
@@ -17,7 +24,11 @@ def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> Da
     Strict CSV with quoted line breaks; rows are numbered from 0 after the header. A file without a row, or whose rows
     differ in length, gives one row with ``error``; a file of no bytes isn't opened by Spark and gives none. Files are read whole, each by one task.
     """
-    files = spark.read.text(path, wholetext=True)
+    return parse_manifests(spark.read.text(path, wholetext=True), sentinel)
+
+
+def parse_manifests(files: DataFrame, sentinel: str = "image") -> DataFrame:
+    """The same for whole files as rows with a column ``value``."""
 
     def parse(batches):
         for batch in batches:
@@ -36,7 +47,7 @@ def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> Da
                     out.append((None, None, str(e)))
             yield pd.DataFrame(out, columns=["row_idx", "fields", "error"]).astype({"row_idx": "Int64"})
 
-    return files.mapInPandas(parse, "row_idx bigint, fields array<string>, error string")
+    return files.select("value").mapInPandas(parse, "row_idx bigint, fields array<string>, error string")
 
 
 def select_rows(df: DataFrame, rows: list[int] | DataFrame, index: str = "row_idx") -> DataFrame:
@@ -46,12 +57,32 @@ def select_rows(df: DataFrame, rows: list[int] | DataFrame, index: str = "row_id
     return df.where(F.col(index).isin(list(rows))) if rows else df
 
 
+def clean_path(path: Column) -> Column:
+    """A path without ``.``, ``..`` and doubled slashes, as far as they can be resolved without the file system."""
+    rooted, none = path.startswith("/"), F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.element_at(F.concat(F.array(F.lit("")), done), -1)
+        up = F.when((F.size(done) > 0) & (last != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    clean = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
+    return F.when((clean == "") & (path != ""), ".").otherwise(clean)
+
+
 def cell_path(folder: str, cell: Column) -> Column:
-    """A cell's path below ``folder``, with ``.`` and doubled slashes removed; URLs stay as they are."""
+    """A cell's path below ``folder``, cleaned; URLs stay as they are."""
     cell = trim_space(cell)
-    joined = F.concat_ws("/", F.lit(folder.rstrip("/")), cell) if folder else cell
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "/+", "/"), r"(?<=^|/)\./", ""), r"(?<=.)/(\.)?$", "")
-    return F.when(is_remote(cell), cell).otherwise(clean)
+    joined = F.when(cell == "", F.lit(folder)).otherwise(F.concat(F.lit(f"{folder.rstrip('/')}/"), cell)) if folder else cell
+    return F.when(is_remote(cell), cell).otherwise(clean_path(joined))
+
+
+def resolved(spark: SparkSession, path: Column) -> Column:
+    """The whole path, as Spark's readers name it: relative ones are below the working folder, URLs stay."""
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    here = fs.getWorkingDirectory().toString()
+    base = here.removeprefix("file://").removeprefix("file:")
+    return F.when(is_remote(path) | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), path).when(path.startswith("/"), path).otherwise(clean_path(F.concat(F.lit(f"{base}/"), path)))
 
 
 def eval_rows(manifest: DataFrame, folder: str = "") -> DataFrame:
@@ -89,13 +120,71 @@ def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     return files.select(_plain_path(F.col("path")).alias("path"), "content", F.base64("content").alias("base64"))
 
 
+def http_get(url: str, timeout: float = 60.0, limit: int = REMOTE_BYTES) -> bytes:
+    """The body, whatever the status says; at most ``limit`` bytes."""
+    try:
+        answer = urllib.request.urlopen(url, timeout=timeout)
+    except urllib.error.HTTPError as e:
+        answer = e
+    with answer:
+        body = answer.read(limit + 1)
+    if len(body) > limit:
+        raise OSError(f"more than {limit} bytes")
+    return body
+
+
+def fetched(paths: DataFrame, get: Callable[[str], bytes] = http_get) -> DataFrame:
+    """(path, content, base64) of the URLs among ``paths``, each asked for once and kept in the shared folder; what fails is left out."""
+    own = paths.columns[0]
+    urls = paths.where(is_remote(F.col(own))).select(F.col(own).alias("path")).distinct()
+    if urls.isEmpty():
+        return urls.select("path", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("base64")).where("false")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for url in batch["path"]:
+                try:
+                    out.append((url, get(url)))
+                except (OSError, ValueError):
+                    continue
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return cut(urls.mapInPandas(run, "path string, content binary")).withColumn("base64", F.base64("content"))
+
+
+def texts_of(rows: DataFrame, folder: str, *columns: str, get: Callable[[str], bytes] = http_get) -> DataFrame:
+    """(path, text): the files below ``folder`` and what the URLs in ``columns`` give."""
+    named = reduce(DataFrame.union, [rows.select(c) for c in columns])
+    remote = fetched(named, get).select("path", F.decode("content", "UTF-8").alias("text"))
+    return read_texts(rows.sparkSession, folder or ".").union(remote)
+
+
+def images_of(rows: DataFrame, folder: str, column: str = "image", get: Callable[[str], bytes] = http_get) -> DataFrame:
+    """(path, content, base64) of the rows' images, by the path that the rows have."""
+    have = read_images(rows.sparkSession, folder or ".").union(fetched(rows.select(column), get))
+    wanted = rows.select(F.col(column).alias("named")).distinct()
+    wanted = wanted.withColumn("path", resolved(rows.sparkSession, F.col("named")))
+    return have.join(wanted, "path").select(F.col("named").alias("path"), "content", "base64")
+
+
+def bounded_base64(text: Column, limit: int) -> Column:
+    """The bytes of a base64 text; null if it isn't one or has more than ``limit`` bytes, which its length tells before it is decoded."""
+    bare = F.regexp_replace(text, "[=\\r\\n]+", "")
+    return F.when(F.floor(F.length(bare) * 3 / 4) <= limit, F.try_to_binary(text, F.lit("base64")))
+
+
+def _with_key(rows: DataFrame, path: str) -> DataFrame:
+    return rows.withColumn("__path", resolved(rows.sparkSession, F.col(path)))
+
+
 def with_texts(rows: DataFrame, texts: DataFrame, path: str, into: str) -> DataFrame:
-    """Inner join on a path; what has no text is in :func:`without_texts`."""
-    return rows.join(texts.select(F.col("path").alias(path), F.col("text").alias(into)), path)
+    """Inner join on a path, relative or whole; what has no text is in :func:`without_texts`."""
+    return _with_key(rows, path).join(texts.select(F.col("path").alias("__path"), F.col("text").alias(into)), "__path").drop("__path")
 
 
 def without_texts(rows: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    missing = rows.join(texts.select(F.col("path").alias(path)), path, "left_anti")
+    missing = _with_key(rows, path).join(texts.select(F.col("path").alias("__path")), "__path", "left_anti").drop("__path")
     return missing.withColumn("error", F.concat(F.lit("failed to read "), F.col(path)))
 
 
@@ -104,7 +193,7 @@ def external_eval(spark: SparkSession, manifest: str, folder: str, rows: list[in
     from ..operators.score import score
 
     wanted = select_rows(external_rows(read_manifest(spark, manifest, "transcript"), folder), rows or [])
-    texts = read_texts(spark, folder)
+    texts = texts_of(wanted, folder, "transcript", "transcription")
     first = with_texts(wanted, texts, "transcript", "ref")
     bad = without_texts(wanted, texts, "transcript").unionByName(without_texts(first.drop("ref"), texts, "transcription"))
     return score(with_texts(first, texts, "transcription", "hyp"), ignore=ignore, single_line=single_line), bad

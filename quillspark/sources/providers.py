@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.text import ANSWER_PREFIXES, SECRET_PLACES, UPLOAD_NAMES
 
-MODEL_BYTES, PROMPT_BYTES = 1 << 10, 1 << 20
+MODEL_BYTES, PROMPT_BYTES, REMOTE_MODEL_BYTES = 1 << 10, 1 << 20, 256
 IMAGE_BYTES, RESPONSE_BYTES = 50 << 20, 8 << 20
 # HTTP statuses and what they mean; others are upstream errors, to be retried from 500 on.
 STATUS_KINDS = {401: ("authentication", False), 403: ("authentication", False), 408: ("timeout", True), 504: ("timeout", True), 429: ("rate_limited", True)} | {s: ("invalid_request", False) for s in (400, 404, 405, 409, 413, 422)}
@@ -50,16 +50,29 @@ def mask(text: str) -> str:
     return text
 
 
+#: The white space of :data:`~quillspark.functions.text.WS`, and its ``\\s``, which is ASCII.
+_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def clean(text: str) -> str:
-    text = text.strip()
+    """As :func:`~quillspark.functions.text.clean_response`."""
+    text = text.strip(_SPACE)
     for prefix in ANSWER_PREFIXES:
-        text = re.sub(f"^{prefix}", "", text, count=1, flags=re.IGNORECASE).strip()
+        text = re.sub(f"^{prefix}", "", text, count=1, flags=re.IGNORECASE | re.ASCII).strip(_SPACE)
     text = text.strip("\"'")
     if text.startswith("```") and text.endswith("```"):
-        text = text.removeprefix("```").removesuffix("```").strip()
+        text = text.removeprefix("```").removesuffix("```").strip(_SPACE)
     return text
 
 
+def pretty(text: str) -> str:
+    """JSON laid out with two spaces; other texts as they are."""
+    try:
+        return json.dumps(json.loads(text), indent=2, ensure_ascii=False) if text.lstrip()[:1] in ("{", "[") else text
+    except ValueError:
+        return text
+
+
 @dataclass(frozen=True)
 class Image:
     data: bytes
@@ -170,6 +183,31 @@ class TokenCache:
             return token
 
 
+def identity_token(audience: str, send: Callable = None, timeout: float = 10.0) -> tuple[str, float]:
+    """(token, expiry) for an audience from the machine's metadata service."""
+    where = f"http://metadata.google.internal/computeMetadata/v1/instance/service-accounts/default/identity?audience={urllib.parse.quote(audience, safe='')}&format=full"
+    status, body, *_ = (send or http_send)(where, {"Metadata-Flavor": "Google"}, None, timeout, 1 << 16)
+    token = body.decode("ascii", "replace").strip()
+    if status != 200 or token.count(".") != 2:
+        raise ServiceError("authentication", status)
+    middle = token.split(".")[1]
+    try:
+        expires = float(json.loads(base64.urlsafe_b64decode(middle + "=" * (-len(middle) % 4)))["exp"])
+    except (ValueError, KeyError, TypeError):
+        raise ServiceError("authentication") from None
+    return token, expires
+
+
+#: One for each Python worker: whatever the partitions, an audience's token is fetched once there.
+TOKENS = TokenCache(identity_token)
+
+
+def audience_of(base: str) -> str:
+    """The audience of a hosted service, '' for services that need no identity."""
+    url = urllib.parse.urlsplit(base)
+    return f"https://{url.hostname}" if url.scheme == "https" and (url.hostname or "").endswith(".run.app") else ""
+
+
 def _json(data: bytes):
     try:
         return json.loads(data)
@@ -199,6 +237,10 @@ class Client:
     def extract(self, request: Request) -> Answer:
         raise NotImplementedError
 
+    def cleaned(self, text: str) -> str:
+        """What is left of an answer's text; a provider whose answers need other care has its own."""
+        return clean(text)
+
     @staticmethod
     def data(request: Request) -> str:
         return base64.b64encode(request.image.data).decode()
@@ -214,7 +256,7 @@ class ChatClient(Client):
         if not x.get("choices"):
             raise ServiceError("invalid_response")
         use = x.get("usage") or {}
-        return Answer(clean(x["choices"][0]["message"].get("content") or ""), use.get("prompt_tokens", 0), use.get("completion_tokens", 0), x.get("model") or request.model)
+        return Answer(self.cleaned(x["choices"][0]["message"].get("content") or ""), use.get("prompt_tokens", 0), use.get("completion_tokens", 0), x.get("model") or request.model)
 
 
 @dataclass
@@ -242,7 +284,7 @@ class PartsClient(Client):
             raise ServiceError("invalid_response")
         first, use = x["candidates"][0], x.get("usageMetadata") or {}
         said = (p["text"] for p in (first.get("content") or {}).get("parts") or [] if not p.get("thought") and (p.get("text") or "").strip())
-        return Answer(clean(next(said, "")), use.get("promptTokenCount", 0), use.get("candidatesTokenCount", 0), x.get("modelVersion") or request.model), first.get("finishReason")
+        return Answer(self.cleaned(next(said, "")), use.get("promptTokenCount", 0), use.get("candidatesTokenCount", 0), x.get("modelVersion") or request.model), first.get("finishReason")
 
 
 class BlocksClient(Client):
@@ -256,7 +298,7 @@ class BlocksClient(Client):
         if not said:
             raise ServiceError("invalid_response")
         use = x.get("usage") or {}
-        return Answer(clean(said[0].get("text") or ""), use.get("input_tokens", 0), use.get("output_tokens", 0), x.get("model") or request.model)
+        return Answer(self.cleaned(said[0].get("text") or ""), use.get("input_tokens", 0), use.get("output_tokens", 0), x.get("model") or request.model)
 
 
 class ReadClient(Client):
@@ -280,21 +322,31 @@ class ReadClient(Client):
         raise ServiceError("timeout", 0, True)
 
 
+@dataclass
 class GenerateClient(Client):
-    """A local model's generate call."""
+    """A local model's generate call; a hosted one is signed for with an identity token unless ``auth`` is given."""
+
+    tokens: TokenCache | None = None
+
+    def __post_init__(self):
+        audience = audience_of(self.base)
+        if audience and self.auth is dict:
+            self.auth = bearer(lambda: (self.tokens or TOKENS).get(audience))
 
     def extract(self, request):
         model = "llava" if request.model in ("", "gpt-4o") else request.model
         x = self.ask(endpoint(self.base, "api", "generate"), {"model": model, "prompt": request.prompt, "images": [self.data(request)], "stream": False, "options": {"temperature": request.temperature}})
         if "response" not in x:
             raise ServiceError("invalid_response")
-        return Answer(clean(x["response"]), x.get("prompt_eval_count", 0), x.get("eval_count", 0), x.get("model") or model)
+        return Answer(self.cleaned(x["response"]), x.get("prompt_eval_count", 0), x.get("eval_count", 0), x.get("model") or model)
 
 
 class RemoteClient(Client):
     """A page service: segments of an image, and the text of one. Uploads are multipart."""
 
     def _upload(self, where: str, request: Request):
+        if len(request.model.encode()) > REMOTE_MODEL_BYTES:
+            raise ServiceError("invalid_request")
         edge = "quillspark-upload"
         name = UPLOAD_NAMES.get(request.image.media_type.lower(), "image.img")
         head = f'--{edge}\r\nContent-Disposition: form-data; name="model"\r\n\r\n{request.model}\r\n--{edge}\r\nContent-Disposition: form-data; name="image"; filename="{name}"\r\nContent-Type: {request.image.media_type}\r\n\r\n'
@@ -364,6 +416,31 @@ def transcribe(images: DataFrame, make: Callable[[], Client], model: str, prompt
     return images.select(path, content).mapInPandas(run, "path string, text string, input_tokens int, output_tokens int, error string")
 
 
+def segment(images: DataFrame, make: Callable[[], RemoteClient], model: str, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, number, x, y, w, h, text, confidence, error): the boxes that a page service finds in each image, in its order.
+
+    A failed image gives one row with ``error`` and no box; one without boxes gives none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for batch in batches:
+            out = []
+            for where, data in zip(batch[path], batch[content], strict=True):
+                try:
+                    data = bytes(data or b"")
+                    request = Request(model, "segment", Image(data, media_type(where or "", data)))
+                    validate(request)
+                    found = client.segment(request)
+                    out += [(where, i, w["X"], w["Y"], w["Width"], w["Height"], w.get("Text") or "", float(w.get("Confidence", 0)), None) for i, w in enumerate(found, 1)]
+                except Exception as e:  # one row's failure
+                    out.append((where, None, None, None, None, None, None, None, mask(f"{getattr(e, 'kind', type(e).__name__)}: {e}")))
+            names = ["path", "number", "x", "y", "w", "h", "text", "confidence", "error"]
+            yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in names[1:6]})
+
+    return images.select(path, content).mapInPandas(run, "path string, number int, x int, y int, w int, h int, text string, confidence double, error string")
+
+
 WORD_PROMPT = "Transcribe the text in this picture. Give the text alone, with its capitals and punctuation; give a space if nothing can be read."
 RETRY_PROMPT = "Give the characters that can be seen in this picture, even if they are unclear, and nothing else."
 LINE_PROMPT = "Transcribe this line of text from left to right. Give the text alone."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,7 +37,11 @@ def _value(x, kind):
 
 def read_stores(spark: SparkSession, path: str) -> DataFrame:
     """(file, config, results, error): a row for each file. What can't be parsed has ``error`` and no results."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return parse_stores(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def parse_stores(files: DataFrame) -> DataFrame:
+    """The same for whole files as rows with columns ``file`` and ``value``."""
     item = "struct<" + ", ".join(f"{c}: {_SQL[k]}" for _, c, k in RESULT_KEYS) + ">"
 
     def parse(batches):
@@ -51,7 +57,7 @@ def read_stores(spark: SparkSession, path: str) -> DataFrame:
                     out.append((file, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["file", "config", "results", "error"])
 
-    return files.mapInPandas(parse, f"file string, config struct<{CONFIG_TYPE}>, results array<{item}>, error string")
+    return files.select("file", "value").mapInPandas(parse, f"file string, config struct<{CONFIG_TYPE}>, results array<{item}>, error string")
 
 def flat_results(stores: DataFrame) -> DataFrame:
     """One row for each stored result, with its file, model, provider and timestamp. Broken and empty stores give none."""
@@ -85,15 +91,22 @@ def to_yaml(config: dict, results) -> str:
     body = [{names[c]: r[c] for c in names} for r in results]
     return yaml.safe_dump({"config": config, "results": body}, sort_keys=False, allow_unicode=True, indent=4)
 
-def write_yaml(spark: SparkSession, config: dict, results: DataFrame, folder: str) -> str:
-    """Write one store's file, named after its model; returns its path. A store has at most some thousand rows."""
-    path = f"{folder}/{config['model'].replace(':', '_')}.yaml"
+def write_yaml(spark: SparkSession, config: dict, results: DataFrame, folder: str, name: str = "") -> str:
+    """Write one store's file, ``name`` or else named after its model; returns its path. A store has at most some thousand rows.
+
+    The file is written aside and moved into its place, so a failure leaves the old one as it was.
+    """
+    name = name or f"{config['model'].replace(':', '_')}.yaml"
     text = to_yaml(config, results.toLocalIterator())
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, aside = hadoop.Path(f"{folder}/{name}"), hadoop.Path(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    return path
-
-RESULT_SCHEMA = T._parse_datatype_string(RESULT_TYPE) if False else RESULT_TYPE
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(target), how)
+    return f"{folder}/{name}"

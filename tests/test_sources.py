@@ -1,5 +1,8 @@
+import base64
+import http.server
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +240,145 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_paths(spark):
+    cases = [("base", "a/../b.txt", "base/b.txt"), ("base/", "./c//d.txt", "base/c/d.txt"), ("", "../x/./y", "../x/y"), ("/r", "../../z", "/z"), ("a", "..", "."), ("a", "../../b", "../b"), ("", "", ""), ("d", "", "d"), ("d", " e ", "d/e")]
+    for folder, cell, want in cases:
+        assert spark.range(1).select(M.cell_path(folder, F.lit(cell))).first()[0] == want, (folder, cell)
+    here = spark.range(1).select(M.resolved(spark, F.lit("a/../b")), M.resolved(spark, F.lit("/c")), M.resolved(spark, F.lit("http://h/../x"))).first()
+    assert here[0] == f"{os.path.realpath(os.getcwd())}/b" and here[1:] == ("/c", "http://h/../x")
+
+
+def test_relative_folder_through_the_command(spark, folder, capsys):
+    write(f"{folder}/rel.csv", "transcript,transcription\ngt/abc.txt,ex/../ex/off.txt\ngt/../gt/mark.txt,ex/mark.txt\ngt/none.txt,ex/abc.txt\n")
+    near = os.path.relpath(folder)
+    rows = run(spark, "eval-external", "--csv", f"{near}/rel.csv", "--dir", near, "--name", "near", "--ignore", "|", "--store", f"{folder}/evals").collect()
+    assert {(r["identifier"], r["substitutions"]) for r in rows} == {("abc.txt", 1), ("mark.txt", 0)}
+    assert all(r["transcript"].startswith(near) for r in rows)
+    assert "row 2: failed to read" in capsys.readouterr().err
+    again = run(spark, "backfill", "--dir", near, "--store", f"{folder}/evals").first()
+    assert (again["updated"], again["skipped"]) == (0, 1)
+
+
+@pytest.fixture
+def site():
+    """A server on this machine; /missing answers 404 with a body, which counts."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(404 if self.path == "/missing" else 200)
+            self.end_headers()
+            self.wfile.write(b"abX d efg" if self.path == "/off.txt" else b"not there")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_texts_by_http(spark, folder, site):
+    write(f"{folder}/web.csv", f"gt/abc.txt,{site}/off.txt\ngt/abc.txt,{site}/missing\ngt/abc.txt,http://127.0.0.1:1/closed\n")
+    scored, bad = M.external_eval(spark, f"{folder}/web.csv", folder)
+    assert {r["row_idx"]: r["m"]["char_distance"] for r in scored.collect()} == {0: 1, 1: 7}
+    assert [(r["row_idx"], r["error"]) for r in bad.collect()] == [(2, "failed to read http://127.0.0.1:1/closed")]
+    with pytest.raises(OSError, match="more than 4 bytes"):
+        M.http_get(f"{site}/off.txt", limit=4)
+
+
+def test_backfill_writes_the_file_it_read(spark, folder):
+    for name in ("run1", "run2"):
+        write(f"{folder}/evals/{name}.yaml", OLD.format(folder))
+    counts = run(spark, "backfill", "--dir", f"{folder}/gt", "--store", f"{folder}/evals").first()
+    assert (counts["updated"], counts["skipped"]) == (2, 0)
+    assert sorted(f for f in os.listdir(f"{folder}/evals") if f.endswith(".yaml")) == ["run1.yaml", "run2.yaml"]
+    for name in ("run1", "run2"):
+        stored = {r["identifier"]: r for r in S.flat_results(S.read_stores(spark, f"{folder}/evals/{name}.yaml")).collect()}
+        assert len(stored) == 2 and stored["a"]["char_accuracy"] == pytest.approx(8 / 9)
+
+
+def lines(spark, *argv, **more):
+    a = cli.parser().parse_args(list(argv))
+    return list(cli.printed(a, cli.COMMANDS[a.command](spark, a, **more)))
+
+
+def test_printed_reports(spark, folder):
+    store = ("--store", f"{folder}/evals")
+    said = lines(spark, "eval-external", "--csv", f"{folder}/ext.csv", "--dir", folder, "--name", "own", "--ignore", "|", *store)
+    assert said.count("=== Results for abc.txt ===") == 2 and said.count("Ignored Characters: 1") == 1 and "Character Similarity: 0.889" in said
+    assert said[-6:][0] == "Total Evaluations: 3" and said[-1] == "Average Word Error Rate: 0.111"
+    assert lines(spark, "summary", "own", *store)[1] == "Total Evaluations: 3"
+    with pytest.raises(SystemExit, match="no token usage"):
+        run(spark, "cost", "own", "--input-price", "1", "--output-price", "1", *store)
+    os.makedirs(f"{folder}/img")
+    for name in ("good", "bad"):
+        with open(f"{folder}/img/{name}.png", "wb") as f:
+            f.write(name.encode())
+    assert lines(spark, "ocr", "--image", f"{folder}/img/good.png", make=_stub) == ["abc d efX"]
+    with pytest.raises(SystemExit, match="MASKED"):
+        lines(spark, "ocr", "--image", f"{folder}/img/bad.png", make=_stub)
+
+
+def test_environment_file(tmp_path, monkeypatch):
+    write(f"{tmp_path}/.env", "# no\nQS_ONE=1\nexport QS_TWO='two words'\nQS_THREE=x\nnonsense\n")
+    monkeypatch.setenv("QS_THREE", "kept")
+    for name in ("QS_ONE", "QS_TWO"):
+        monkeypatch.delenv(name, raising=False)
+    cli.load_env(f"{tmp_path}/.env")
+    assert [os.environ[n] for n in ("QS_ONE", "QS_TWO", "QS_THREE")] == ["1", "two words", "kept"]
+    cli.load_env(f"{tmp_path}/none")
+    for name in ("QS_ONE", "QS_TWO"):
+        monkeypatch.delenv(name)
+
+
+def test_small_helpers(spark):
+    assert P.pretty('{"a":[1]}') == '{\n  "a": [\n    1\n  ]\n}' and P.pretty("{no") == "{no" and P.pretty("12") == "12"
+    row = spark.range(1).select(M.bounded_base64(F.lit("YWJj"), 3), M.bounded_base64(F.lit("YWJjZA=="), 3), M.bounded_base64(F.lit("?"), 3)).first()
+    assert (bytes(row[0]), row[1], row[2]) == (b"abc", None, None)
+
+    class Shout(P.ChatClient):
+        def cleaned(self, text):
+            return text.upper()
+
+    assert Shout("https://h", send=Fake((200, {"choices": [{"message": {"content": '"hi"'}}]}))).extract(REQUEST).text == '"HI"'
+    with pytest.raises(P.ServiceError, match="invalid_request"):
+        P.RemoteClient("http://h", send=Fake()).segment(P.Request("m" * 257, "read", IMAGE))
+
+
+def test_hosted_services_sign_in_with_an_identity_token():
+    middle = base64.urlsafe_b64encode(json.dumps({"exp": 10_000}).encode()).rstrip(b"=")
+    token = b"a." + middle + b".c"
+    send = Fake((200, token))
+    assert P.identity_token("https://x.run.app", send) == (token.decode(), 10_000.0)
+    assert "audience=https%3A%2F%2Fx.run.app" in send.sent[0][0] and send.sent[0][1] == {"Metadata-Flavor": "Google"}
+    for answer in ((200, b"nonsense"), (404, b""), (200, b"a.b.c")):
+        with pytest.raises(P.ServiceError, match="authentication"):
+            P.identity_token("x", Fake(answer))
+    asked = []
+    tokens = P.TokenCache(lambda a: (asked.append(a) or "tok", 10_000), lambda: 0.0)
+    send = Fake((200, {"response": "f"}), (200, {"response": "g"}))
+    client = P.GenerateClient("https://svc-1.run.app/x", send=send, tokens=tokens)
+    assert client.extract(REQUEST).text == "f" and client.extract(REQUEST).text == "g"
+    assert asked == ["https://svc-1.run.app"] and send.sent[1][1]["Authorization"] == "Bearer tok"
+    assert P.audience_of("http://svc.run.app") == "" and P.audience_of("https://example.com") == ""
+
+
+def _pages():
+    class Pages(P.RemoteClient):
+        def segment(self, request, most=100_000):
+            if request.image.data == b"none":
+                return []
+            if request.image.data == b"bad":
+                raise P.ServiceError("upstream", 500, True)
+            return [{"X": 1, "Y": 2, "Width": 3, "Height": 4, "Text": "t", "Confidence": 1}, {"X": 5, "Y": 6, "Width": 7, "Height": 8}]
+
+    return Pages("http://h")
+
+
+def test_segmentation_source(spark):
+    images = spark.createDataFrame([("a.png", b"x"), ("b.png", b"none"), ("c.png", b"bad")], "path string, content binary")
+    got = sorted(tuple(r) for r in P.segment(images, _pages, "m").collect())
+    assert got == [("a.png", 1, 1, 2, 3, 4, "t", 1.0, None), ("a.png", 2, 5, 6, 7, 8, "", 0.0, None), ("c.png", *[None] * 7, "upstream: upstream (status 500)")]
