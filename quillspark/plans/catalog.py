@@ -16,6 +16,8 @@ from ..operators import hocr as H
 from ..operators import layout as L
 from ..operators import report as R
 from ..operators.score import METRICS, score
+from ..sources import manifest as S
+from ..sources import store as Y
 from ..sources.manifest import cell_path, select_rows
 
 SIX = 6
@@ -210,7 +212,7 @@ def fix_ampersands(spark, sf_dir):
 
 
 def escape_spans(spark, sf_dir):
-    line = F.concat(F.lit("<span id='a'><span>x < "), F.col("url"), F.lit(" > y</span></span>\nplain < line > "), F.col("page_id"))
+    line = F.concat(F.lit("<span id='a'><b>x</b> < "), F.col("url"), F.lit("</span>tail < "), F.col("page_id"), F.lit("</span>\nplain < line > "), F.col("page_id"))
     return _table(spark, sf_dir, "pages").select("page_id", T.escape_spans(line).alias("markup"))
 
 
@@ -247,7 +249,7 @@ def upload_names(spark, sf_dir):
 
 
 def truncate_body(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.truncate_body(F.regexp_replace("text", "[^\\x00-\\x7f]", "")).alias("body"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.truncate_body(F.col("text")).alias("body"))
 
 
 def size_filter(spark, sf_dir):
@@ -301,12 +303,111 @@ def segment_check(spark, sf_dir):
     return pages.select("page", J.segments(F.col("body")).alias("s")).select("page", F.size("s.words").cast("bigint").alias("n"), "s.valid")
 
 
+def manifest_rows(spark, sf_dir):
+    """Manifests of some hundred rows each, one in three with a header, booleans of all kinds, every ninth row quoted."""
+    flags = F.array(*map(F.lit, ("true", "0", " T ", "maybe")))
+    quoted = F.when(F.pmod("doc_id", F.lit(9)) == 0, F.concat(F.lit('"a ""b"",\n'), "doc_id", F.lit('.png"'))).otherwise(F.concat(F.lit("img/../"), "doc_id", F.lit(".png")))
+    row = F.concat(quoted, F.lit(", t/"), "doc_id", F.lit(".txt ,"), F.element_at(flags, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")))
+    rows = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 200).alias("file"), "doc_id", row.alias("row"))
+    files = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "row"))), lambda x: x.row), "\n").alias("value"))
+    files = files.withColumn("value", F.when(F.pmod("file", F.lit(3)) == 0, F.concat(F.lit("Image,transcript,public\n"), "value")).otherwise(F.col("value")))
+    return S.eval_rows(S.parse_manifests(files), "data")
+
+
+def transcript_join(spark, sf_dir):
+    """Every document's path against the texts that are there, which are those of one language less."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", S.cell_path("/t/x", F.concat(F.lit("../"), "doc_id", F.lit(".txt"))).alias("transcript"))
+    return S.with_texts(rows, docs.where("lang <> 'fr'").select(F.concat(F.lit("/t/"), "doc_id", F.lit(".txt")).alias("path"), "text"), "transcript", "ref")
+
+
+def transcript_missing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.concat(F.lit("/t/"), "doc_id", F.lit(".txt")).alias("transcript"))
+    return S.without_texts(rows, docs.where("lang <> 'fr'").select(F.concat(F.lit("/t/"), "doc_id", F.lit(".txt")).alias("path"), "text"), "transcript")
+
+
+def store_scan(spark, sf_dir):
+    """A store for each conversation, every eleventh broken, with the keys that old files lack."""
+    item = F.concat(F.lit("- {identifier: t"), "turn", F.lit(", charactersimilarity: 0."), F.pmod("turn", F.lit(10)), F.lit(", inputtokens: "), F.length("text"), F.lit(", extra: 1}"))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x.i), "\n").alias("items"))
+    text = F.when(F.pmod("conv_id", F.lit(11)) == 0, "config: [").otherwise(F.concat(F.lit("config: {model: 'm:"), "conv_id", F.lit("', temperature: 0}\nresults:\n"), "items"))
+    found = Y.flat_results(Y.parse_stores(rows.select(F.concat("conv_id", F.lit(".yaml")).alias("file"), text.alias("value"))))
+    return _rounded(found.select("file", "model", "identifier", "char_similarity", "char_accuracy", "input_tokens", "output_tokens"))
+
+
+def store_names(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.store_name(F.col("url")).alias("file"))
+
+
+def _usage(spark, sf_dir, read, body):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", read(F.to_json(body)).alias("a"))
+    return rows.select("conv_id", "turn", "a.text", F.col("a.input_tokens").cast("bigint").alias("input_tokens"), F.col("a.output_tokens").cast("bigint").alias("output_tokens"))
+
+
+def parts_usage(spark, sf_dir):
+    """A thought and a blank before the text, which is missing in every third turn."""
+    part = lambda text, thought: F.struct(text.alias("text"), F.lit(thought).alias("thought"))
+    parts = F.array(part(F.lit("hm"), True), part(F.lit(" "), False), part(F.when(F.pmod("turn", F.lit(3)) != 0, F.col("text")), False))
+    use = F.struct(F.length("text").alias("promptTokenCount"), F.col("turn").alias("candidatesTokenCount"))
+    return _usage(spark, sf_dir, J.parts, F.struct(F.array(F.struct(F.struct(parts.alias("parts")).alias("content"))).alias("candidates"), use.alias("usageMetadata")))
+
+
+def blocks_usage(spark, sf_dir):
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    return _usage(spark, sf_dir, J.blocks, F.struct(F.array(block("tool", F.lit("no")), block("text", F.col("text")), block("text", F.lit("later"))).alias("content"), F.struct(F.col("turn").alias("input_tokens")).alias("usage")))
+
+
+def generate_usage(spark, sf_dir):
+    return _usage(spark, sf_dir, J.generate, F.struct(F.col("text").alias("response"), F.length("text").alias("prompt_eval_count")))
+
+
+def token_expiry(spark, sf_dir):
+    body = F.to_json(F.struct((F.col("event_id") * 7).alias("exp"), F.col("event_type").alias("for")))
+    middle = F.regexp_replace(F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_"), "=+$", "")
+    token = F.when(F.pmod("event_id", F.lit(5)) == 0, F.concat(F.lit("x."), F.col("event_type"))).otherwise(F.concat(F.lit("h."), middle, F.lit(".s")))
+    return _table(spark, sf_dir, "events").select("event_id", J.token_expiry(token).alias("expires"))
+
+
+def bounded_base64(spark, sf_dir):
+    content = S.bounded_base64(F.base64(F.encode("text", "UTF-8")), 1000)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.decode(content, "UTF-8").alias("text"))
+
+
+def basic_hocr(spark, sf_dir):
+    lines = L.fold_lines(boxes(spark, sf_dir)).select("*", F.lit(400).alias("page_w"), F.lit(90).alias("page_h"))
+    return H.basic(H.response(lines))
+
+
+def components(spark, sf_dir):
+    """A picture of 100 x 60 for each part: one dark bar, one mark too small and one that touches it by a corner alone."""
+    x, y, w, h = (F.pmod("p_partkey", F.lit(40)) + 5), (F.pmod("p_partkey", F.lit(30)) + 4), (F.pmod("p_partkey", F.lit(39)) + 8), (F.pmod("p_partkey", F.lit(3)) + 9)
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), *[c.cast("int").alias(n) for n, c in zip("xywh", (x, y, w, h), strict=True)])
+    inside = lambda i: ((i % 100).between(F.col("x"), F.col("x") + F.col("w") - 1) & F.floor(i / 100).between(F.col("y"), F.col("y") + F.col("h") - 1)) | ((i % 100 == F.col("x") + F.col("w")) & (F.floor(i / 100) == F.col("y") + F.col("h"))) | (i == 5999)
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5999)), lambda i: F.when(inside(i), "00").otherwise("FF")), ""))
+    image = F.struct(F.col("part").cast("string").alias("origin"), F.lit(60).alias("height"), F.lit(100).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    found = L.detect_components(rows.select(image.alias("image")), preprocess=False)
+    return _rounded(found.select(F.col("path").cast("bigint").alias("part"), "x", "y", "w", "h"))
+
+
+def cost_report(spark, sf_dir):
+    projection = R.cost_projection(_results(turns(spark, sf_dir)), 2.5, 10.0, 5000)
+    return R.cost_lines(projection, 2.5, 10.0, 5000).select(F.posexplode("lines").alias("n", "line")).select(F.col("n").cast("bigint").alias("n"), "line")
+
+
+def summary_report(spark, sf_dir):
+    lines = R.summary_lines(R.summary(_results(turns(spark, sf_dir))))
+    return lines.select(F.posexplode("lines").alias("n", "line")).select(F.col("n").cast("bigint").alias("n"), "line")
+
+
 _NAMES = (
     score_pairs, score_turns, score_masked, score_single_line, char_distance, char_similarity, word_distance, word_error_rate, align_words,
     normalize_single_line, tokenize, mask_ignore, ignored_count, eval_summary, leaderboard, leaderboard_cost, leaderboard_tsv, cost_projection,
     backfill_diff, backfill_counts, legacy_accuracy, row_selection, bool_parse, public_split, manifest_paths, clean_response, mask_secrets,
     mask_secrets_documents, fix_ampersands, escape_spans, chat_usage, event_keys, read_lines, error_kinds, upload_names, truncate_body, size_filter,
     text_pixels, merge_boxes, line_runs, box_envelope, line_fold, crop_boxes, distribute_words, hocr_pages, hocr_tree, segment_check,
+    manifest_rows, transcript_join, transcript_missing, store_scan, store_names, parts_usage, blocks_usage, generate_usage, token_expiry, bounded_base64,
+    basic_hocr, components, cost_report, summary_report,
 )
 
 

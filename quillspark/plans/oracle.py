@@ -73,7 +73,7 @@ _AVG = ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in _RATES)
 _BOXES = "SELECT DISTINCT l_orderkey AS page, (l_partkey % 40 * 9)::BIGINT AS x, (l_suppkey % 9 * 7)::BIGINT AS y, (l_quantity::BIGINT % 31 + 4)::BIGINT AS w, (l_quantity::BIGINT % 17 + l_linenumber + 5)::BIGINT AS h FROM lineitem"
 
 
-def _bands(size: int) -> str:
+def _bands(size: int | str) -> str:
     """Boxes with their place in reading order."""
     return f"""b AS ({_BOXES}),
 s AS (SELECT *, coalesce((y - lag(y) OVER o >= {size})::BIGINT, 0) AS st FROM b WINDOW o AS (PARTITION BY page ORDER BY y, x, w, h)),
@@ -87,7 +87,7 @@ l AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py, lag(w) OVER v AS pw, l
 n AS (SELECT *, CASE WHEN x - (px + pw) >= 0 AND x - (px + pw) <= greatest(ph, h) // 3 AND y + h >= py AND y <= py + ph THEN 0 ELSE 1 END AS new FROM l),
 q AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS word FROM n),
 words AS (SELECT page, word, {_ENVELOPE} FROM q GROUP BY page, word)"""
-_FOLD = f"""WITH {_bands(10)},
+_FOLD = f"""WITH {_bands('lag(h) OVER o // 2')},
 pg AS (SELECT page, list({{'x': x, 'y': y, 'r': x + w, 'b': y + h, 'hs': h, 'n': 1::BIGINT}} ORDER BY pos) AS bs FROM o GROUP BY page),
 fold AS (SELECT page, list_reduce(list_transform(bs, lambda e: [e]), lambda acc, e:
   CASE WHEN e[1].b >= acc[-1].y - (acc[-1].hs // acc[-1].n) // 3 AND e[1].y <= acc[-1].b + (acc[-1].hs // acc[-1].n) // 3
@@ -116,6 +116,7 @@ SELECT conv_id, turn, CASE WHEN starts_with(t, '```') AND ends_with(t, '```') TH
 
 
 def _masked(x: str) -> str:
+    # Where secrets stand.
     for pattern, to in (
         ('([?&])(api[_\\-]?[kK]ey|key)=([^&\\s"]+)', "\\1\\2=***MASKED***"), ("Bearer\\s+([A-Za-z0-9_\\-\\.]+)", "Bearer ***MASKED***"),
         ("Ocp-Apim-Subscription-Key:\\s*([^\\s]+)", "Ocp-Apim-Subscription-Key: ***MASKED***"), ("x-api-key:\\s*([^\\s]+)", "x-api-key: ***MASKED***"),
@@ -132,6 +133,7 @@ _STORED = f"""{_scored(_PLAIN(_TURNS))}, st AS (
 _BOARD = f"count(*) AS total_evaluations, {_AVG}"
 _COST = "coalesce(avg(input_tokens) / 1000000 * 2.5 + avg(output_tokens) / 1000000 * 10.0, 0)"
 _SPAN = "'<span class=''ocrx_line'' id=''line_' || {n} || ''' title=''bbox ' || x || ' ' || y || ' ' || (x + w) || ' ' || (y + h) || '''><span class=''ocrx_word'' id=''word_' || {n} || ''' title=''bbox ' || x || ' ' || y || ' ' || (x + w) || ' ' || (y + h) || '''>' || {t} || '</span></span>'"
+# Fixed value: the document around the spans.
 _DOC = (
     """'<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Transitional//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-transitional.dtd">' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en" lang="en">' || chr(10) || '<head>' || chr(10) || '<title></title>' || chr(10) || '<meta http-equiv="Content-Type" content="text/html;charset=utf-8" />' || chr(10) || '<meta name=''ocr-system'' content=''htr'' />' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<div class=''ocr_page'' id=''page_1''>' || chr(10)""",
     "chr(10) || '</div>' || chr(10) || '</body>' || chr(10) || '</html>'",
@@ -169,13 +171,14 @@ round(i / 1e6 * 2.5 * 5000, 6) AS estimated_input_cost, round(o / 1e6 * 10 * 500
     "mask_secrets": f"SELECT page_id, {_masked('t')} AS line FROM (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'api_key=ab' || page_id || '\" Bearer t.k-' || page_id || ' x-api-key:  s3 Ocp-Apim-Subscription-Key: z' || page_id AS t FROM pages)",
     "mask_secrets_documents": f"SELECT doc_id, {_masked('text')} AS text FROM documents",
     "fix_ampersands": f"SELECT page_id, {_AMP.format('html')} AS html FROM pages",
-    "escape_spans": "SELECT page_id, '<span id=''a''><span>x < ' || url || ' > y</span></span>' || chr(10) || 'plain < line > ' || page_id AS markup FROM pages",
+    "escape_spans": "SELECT page_id, '<span id=''a''><b>x</b> &lt; ' || replace(url, '<', '&lt;') || '</span>tail < ' || page_id || '</span>' || chr(10) || 'plain < line > ' || page_id AS markup FROM pages",
     "chat_usage": "SELECT conv_id, turn, CASE WHEN conv_id % 9 <> 0 THEN text END AS text, CASE WHEN conv_id % 9 <> 0 THEN length(text) ELSE 0 END AS input_tokens, CASE WHEN conv_id % 9 <> 0 THEN turn ELSE 0 END AS output_tokens FROM conversations",
     "event_keys": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
     "read_lines": "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS text FROM conversations",
     "error_kinds": "SELECT event_id, CASE WHEN s IN (401, 403) THEN 'authentication' WHEN s IN (408, 504) THEN 'timeout' WHEN s = 429 THEN 'rate_limited' WHEN s IN (400, 404, 405, 409, 413, 422) THEN 'invalid_request' ELSE 'upstream' END AS kind, s AS status, s IN (408, 504, 429) OR s >= 500 AS retryable FROM (SELECT event_id, 395 + event_id % 120 AS s FROM events)",
     "upload_names": "SELECT event_id, ['image.jpg', 'image.png', 'image.webp', 'image.jp2', 'image.img', 'image.img', 'image.img'][event_id % 7 + 1] AS name, ['image/jpeg', 'image/png', 'image/webp', 'image/jp2', NULL, 'image/x-own', NULL][event_id % 7 + 1] AS media_type FROM events",
-    "truncate_body": "SELECT doc_id, CASE WHEN length(t) > 500 THEN t[1:500] || '... (truncated)' ELSE t END AS body FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') AS t FROM documents WHERE lang = 'en')",
+    # the characters that 500 bytes hold; a character cut through is U+FFFD
+    "truncate_body": "SELECT doc_id, CASE WHEN strlen(text) > 500 THEN text[1:k] || CASE WHEN strlen(text[1:k]) < 500 THEN chr(65533) ELSE '' END || '... (truncated)' ELSE text END AS body FROM (SELECT doc_id, text, list_max(list_filter(range(0, 501), lambda n: strlen(text[1:n]) <= 500)) AS k FROM documents)",
     "size_filter": f"SELECT * FROM ({_BOXES}) WHERE w BETWEEN 8 AND 30 AND h BETWEEN 10 AND 20",
     "text_pixels": "SELECT (l_partkey % 256 + l_suppkey % 256 + l_quantity::BIGINT) * 257 // 3 < 32768 AS dark, count(*) AS n FROM lineitem GROUP BY 1",
     "merge_boxes": f"{_WORDS} SELECT page, word, x, y, w, h, n FROM words",
@@ -187,4 +190,27 @@ round(i / 1e6 * 2.5 * 5000, 6) AS estimated_input_cost, round(o / 1e6 * 10 * 500
     "hocr_pages": f"{_WORDS} SELECT page, {_DOC[0]} || coalesce(string_agg({_SPAN.format(n='word', t=chr(39) + 'a &amp; b <' + chr(39) + ' || n')}, chr(10) ORDER BY word) FILTER (WHERE n <> 2), '') || {_DOC[1]} AS hocr FROM words GROUP BY page",
     "hocr_tree": f"{_FOLD} SELECT page, line AS number, x, y, w, h, 'line_' || line AS text FROM lines",
     "segment_check": f"SELECT page, count(*) AS n, bool_and(w > 5 AND h <= 26) AS valid FROM ({_BOXES}) GROUP BY page",
+    "manifest_rows": """SELECT (row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) - 1)::BIGINT AS row_idx,
+  CASE WHEN doc_id % 9 = 0 THEN 'data/a "b",' || chr(10) || doc_id || '.png' ELSE 'data/' || doc_id || '.png' END AS image, 'data/t/' || doc_id || '.txt' AS transcript,
+  [true, false, true, NULL][doc_id % 4 + 1] AS public, CASE WHEN doc_id % 9 = 0 THEN 'a "b",' || chr(10) ELSE '' END || doc_id || '.png' AS identifier,
+  CASE WHEN doc_id % 4 = 3 THEN 'invalid boolean: maybe' END AS error FROM documents""",
+    "transcript_join": "SELECT doc_id, '/t/' || doc_id || '.txt' AS transcript, text AS ref FROM documents WHERE lang <> 'fr'",
+    "transcript_missing": "SELECT doc_id, '/t/' || doc_id || '.txt' AS transcript, 'failed to read /t/' || doc_id || '.txt' AS error FROM documents WHERE lang = 'fr'",
+    "store_scan": "SELECT conv_id || '.yaml' AS file, 'm:' || conv_id AS model, 't' || turn AS identifier, turn % 10 / 10 AS char_similarity, 0.0::DOUBLE AS char_accuracy, length(text) AS input_tokens, 0::BIGINT AS output_tokens FROM conversations WHERE conv_id % 11 <> 0",
+    "store_names": "SELECT page_id, replace(url, ':', '_') || '.yaml' AS file FROM pages",
+    "parts_usage": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 AND trim(text, ' ') <> '' THEN text ELSE '' END AS text, length(text) AS input_tokens, turn AS output_tokens FROM conversations",
+    "blocks_usage": "SELECT conv_id, turn, text, turn AS input_tokens, 0::BIGINT AS output_tokens FROM conversations",
+    "generate_usage": "SELECT conv_id, turn, text, length(text) AS input_tokens, 0::BIGINT AS output_tokens FROM conversations",
+    "token_expiry": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id * 7 END AS expires FROM events",
+    "bounded_base64": "SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text END AS text FROM documents",
+    "basic_hocr": f"{_FOLD} SELECT page, {_DOC[0]} || string_agg({_SPAN.format(n='line', t=chr(39) + 'line_' + chr(39) + ' || line')}, chr(10) ORDER BY line) || {_DOC[1]} AS hocr FROM lines GROUP BY page",
+    "components": "SELECT p_partkey AS part, p_partkey % 40 + 5 AS x, p_partkey % 30 + 4 AS y, p_partkey % 39 + 9 AS w, p_partkey % 3 + 10 AS h FROM part",
+    "cost_report": f"""{_scored(_PLAIN(_TURNS))}, t AS (SELECT count(*) AS n, avg(input_tokens) AS i, avg(output_tokens) AS o FROM f WHERE input_tokens > 0 OR output_tokens > 0),
+l AS (SELECT [format('Documents analyzed: {{}}', n), format('Average input tokens per document: {{:.2f}}', i), format('Average output tokens per document: {{:.2f}}', o), format('Average total tokens per document: {{:.2f}}', i + o),
+  'Input token price: $2.50 per 1M tokens', 'Output token price: $10.00 per 1M tokens', format('Input cost: ${{:.6f}}', i / 1e6 * 2.5), format('Output cost: ${{:.6f}}', o / 1e6 * 10), format('Total cost: ${{:.6f}}', i / 1e6 * 2.5 + o / 1e6 * 10),
+  format('Input cost of 5000 documents: ${{:.2f}}', i / 1e6 * 2.5 * 5000), format('Output cost of 5000 documents: ${{:.2f}}', o / 1e6 * 10 * 5000), format('Total cost of 5000 documents: ${{:.2f}}', (i / 1e6 * 2.5 + o / 1e6 * 10) * 5000)] AS x FROM t)
+SELECT k - 1 AS n, x[k] AS line FROM (SELECT x, unnest(range(1, 13)) AS k FROM l)""",
+    "summary_report": f"""{_scored(_PLAIN(_TURNS))}, l AS (SELECT ['=== SUMMARY STATISTICS ===', format('Total Evaluations: {{}}', count(*)), format('Average Character Similarity: {{:.3f}}', avg(char_similarity)), format('Average Character Accuracy: {{:.3f}}', avg(char_accuracy)),
+  format('Average Word Similarity: {{:.3f}}', avg(word_similarity)), format('Average Word Accuracy: {{:.3f}}', avg(word_accuracy)), format('Average Word Error Rate: {{:.3f}}', avg(word_error_rate))] AS x FROM f)
+SELECT k - 1 AS n, x[k] AS line FROM (SELECT x, unnest(range(1, 8)) AS k FROM l)""",
 }

@@ -48,5 +48,5 @@ def test_entry(spark):
 def test_plans_push_down(spark):
     plan = catalog.event_keys(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,props:string>" in plan
-    plan = catalog.truncate_body(spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(lang,en)" in plan
+    plan = catalog.turns(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(role,user)" in plan and "EqualTo(role,assistant)" in plan
