@@ -1,12 +1,12 @@
 """Quality rules: repetition by suffix arrays.
 
 A text's words are numbered and its suffixes sorted by prefix doubling. Texts without a repeated window of
-``MIN_REPEAT`` words, which a hash tells, have no repeat to offer and aren't sorted. Neighbouring suffixes give the longest common prefixes; the intervals of the LCP array whose suffixes are preceded by
-different words are the maximal repeated substrings. Their spans' union over the words is the covered share, the
-largest LCP the longest repeat. A text fails if either passes its limit, or if it fails the base rules
-(too few words, or too many of its words in windows that occur again).
+``MIN_REPEAT`` words, which a hash tells, have no repeat to offer and aren't sorted. Neighbouring suffixes give the longest
+common prefixes; the intervals of the LCP array whose suffixes are preceded by different words are the maximal repeated
+substrings. Their spans' union over the words is the covered share, the largest value the longest repeat. A text fails if
+either passes its limit, or if it fails the base rules (too few words, or too many of its words in windows that occur again).
 
-Null text is empty text: no words, so it fails. Ties and repeated rows need no rule, each row is judged alone.
+Null text is empty text: no words, so it fails. Ties and repeated rows need no rule, each row is judged alone. No rows give no rows.
 Everything is bounded by one text: batches of texts are split into groups of at most ``GROUP`` words, or one text.
 """
 
@@ -107,12 +107,34 @@ def suffix_order(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sa, lcp
 
 
+def lcp_intervals(lcp: np.ndarray, least: int) -> np.ndarray:
+    """Rows (value, first, last): suffixes first to last of the array share ``value`` >= ``least`` words, their neighbours on either side don't.
+
+    One pass with a stack over the places where the LCP is large enough; intervals are nested or apart, and no more than suffixes.
+    """
+    out, stack = [], []  # open intervals as (value, first), values rising
+    before = -2
+    for i in np.flatnonzero(lcp >= least).tolist():
+        if i != before + 1:
+            out += [(v, f, before) for v, f in reversed(stack)]
+            stack = []
+        first, value = i - 1, int(lcp[i])
+        while stack and stack[-1][0] > value:
+            v, first = stack.pop()
+            out.append((v, first, i - 1))
+        if not stack or stack[-1][0] < value:
+            stack.append((value, first))
+        before = i
+    out += [(v, f, before) for v, f in reversed(stack)]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
 def maximal_repeats(ids: np.ndarray, doc: np.ndarray, least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of occurrences of maximal repeated substrings of ``least`` words or more.
 
-    At each place the longest LCP interval that the suffix lies in is given; shorter ones there lie inside it, and so
-    do those of a suffix whose predecessor in the text has the same repeat with one word more on the left.
-    Only texts with a repeated window of ``least`` words are sorted.
+    An LCP interval is a maximal repeat if its suffixes have different words before them (a text's beginning is unlike any).
+    At each place the longest one is given; shorter ones there lie inside it. Only texts with a repeated window of
+    ``least`` words are sorted.
     """
     at, _ = repeated_windows(ids, doc, least)
     if not len(at):
@@ -120,12 +142,30 @@ def maximal_repeats(ids: np.ndarray, doc: np.ndarray, least: int = MIN_REPEAT) -
     where = np.flatnonzero(np.isin(doc, np.unique(doc[at])))
     ids, doc = ids[where], doc[where]
     sa, lcp = suffix_order(ids, doc)
-    longest = np.zeros(len(sa), np.int64)
-    longest[sa] = np.maximum(lcp, np.append(lcp[1:], 0))
-    inner = np.zeros(len(sa), bool)
-    inner[1:] = (longest[1:] == longest[:-1] - 1) & (doc[1:] == doc[:-1])
-    starts = np.flatnonzero((longest >= least) & ~inner)
-    return where[starts], longest[starts]
+    intervals = lcp_intervals(lcp, least)
+    begins = np.concatenate([[True], doc[1:] != doc[:-1]])
+    left = np.where(begins[sa], -1 - sa, ids[np.maximum(sa - 1, 0)])
+    changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
+    intervals = intervals[changes[intervals[:, 2]] > changes[intervals[:, 1]]]
+    intervals = intervals[np.argsort(-intervals[:, 0], kind="stable")]
+    # longest first; places that have theirs are stepped over
+    length: dict[int, int] = {}
+    following: dict[int, int] = {}
+    for value, first, last in intervals.tolist():
+        r, seen = first, []
+        while r <= last:
+            if r in following:
+                seen.append(r)
+                r = following[r]
+            else:
+                length[r] = value
+                following[r] = r + 1
+                seen.append(r)
+                r += 1
+        for k in seen:
+            following[k] = r
+    places = sa[np.fromiter(length, np.int64, len(length))]
+    return where[places], np.fromiter(length.values(), np.int64, len(length))
 
 
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -153,6 +193,7 @@ def judge(texts: list[bytes], min_repeat: int = MIN_REPEAT, max_covered: int = M
             if len(at):
                 hit = _covered(at, np.full(len(at), WINDOW), len(ids))
                 f["n_repeat_words"][first:last] = np.bincount(doc[hit], minlength=last - first)
+            if len(at) or min_repeat < WINDOW:  # a longer repeat has windows that occur again
                 at, length = maximal_repeats(ids, doc, min_repeat)
                 if len(at):
                     hit = _covered(at, length, len(ids))

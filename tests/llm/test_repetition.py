@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from quillspark.llm import repetition as R
@@ -71,3 +73,36 @@ def test_long_repeat_fails_though_little_is_covered():
 
 def test_empty_table(spark):
     assert R.quality(empty(spark)).count() == 0
+
+
+def test_short_repeats_are_found_without_repeated_windows():
+    f = R.judge([b"a b c x a b c y d e f g", b"a b x a b y c"], min_repeat=3)
+    assert f["n_covered_words"].tolist() == [6, 0] and f["longest_repeat"].tolist() == [3, 0] and f["n_repeat_words"].tolist() == [0, 0]
+    assert R.judge([b"a b x a b y c"], min_repeat=2)["n_covered_words"].tolist() == [4]
+
+
+def test_intervals_against_all_ranges():
+    rnd = random.Random(12)
+    for _ in range(300):
+        lcp = np.array([0, *(rnd.choice([0, 1, 2, 3, 4]) for _ in range(rnd.randint(1, 25)))])
+        n, want = len(lcp), set()
+        for first in range(n):
+            for last in range(first + 1, n):
+                value = int(lcp[first + 1 : last + 1].min())
+                if value >= 2 and (first == 0 or lcp[first] < value) and (last == n - 1 or lcp[last + 1] < value):
+                    want.add((value, first, last))
+        got = [tuple(r) for r in R.lcp_intervals(lcp, 2).tolist()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_maximal_repeats_are_maximal():
+    w = "x a b c d y a b c d z b c d".split()
+    ids = np.array([ord(c) for c in w])
+    starts, lengths = R.maximal_repeats(ids, np.zeros(len(ids), np.int64), 3)
+    assert sorted(zip(starts.tolist(), lengths.tolist(), strict=True)) == [(1, 4), (2, 3), (6, 4), (7, 3), (11, 3)]
+
+
+def test_one_word_over_and_over_takes_seconds():
+    began = time.time()
+    f = R.judge([b"a " * 200_000, b"a b " * 100_000])
+    assert f["n_covered_words"].tolist() == [200_000, 200_000] and time.time() - began < 60
