@@ -1,11 +1,15 @@
-"""License scans: a positional index over the templates' rare words.
-
-The templates' words are weighted by inverse document frequency over the templates. A text looks up the words of
-highest weight that it has (``RAREST`` different ones for each template), their postings (template, position) are
-intersected by relative position - place in the text minus place in the template - and an alignment with enough of them
-is taken if the template's mandatory phrases stand near it. A label needs no base phrase to be found that way.
-
-Null text is empty text: no words, no labels, score 0. Each row is scanned for itself.
+"""License scans: a positional index over the words of licence texts.
+
+The templates' words are weighted by inverse document frequency over the templates; every word has its postings (template,
+position). A template comes into question if its mandatory phrases stand in the text. Then the text's own words of it that weigh most,
+``RAREST`` different ones, are looked up, and their postings are intersected by relative position - place in the text minus
+place in the template. An alignment with enough of them is taken if the mandatory phrases stand inside of it. A label needs no
+base phrase to be found that way. The score is the weight of the template's words that stand where they should, of the best
+alignment, and one half at least where a base phrase stands.
+
+Null text is empty text: no words, no labels, score 0. Each row is scanned for itself, so repeated rows give equal results; long texts are
+scanned whole. Words of equal weight are taken in their own order. The result has the id and the named columns
+alone, so other columns don't matter. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,20 +26,39 @@ from .common import map_batches, record_batch, text_bytes
 # Phrases of the base scan, template sentences and their mandatory phrases.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted", "without restriction")),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("apache", "licensed under the apache license version 2 0", ("apache license",)),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("free software foundation", "general public license")),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ("general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("commons attribution 4 0",)),
-)
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", ("permission is hereby granted free of charge", "without restriction")),
+    ("mit", "released under the MIT license", ("mit license",)),
+    ("mit-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction. MIT No Attribution", ("mit no attribution",)),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify", "with or without fee is hereby granted", "appear in all copies")),
+    ("apache", "licensed under the Apache License, Version 2.0", ("apache license",)),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ("apache license", "in compliance with the license")),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("free software foundation", "gnu general public license")),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("free software foundation", "gnu general public license")),
+    ("gpl", "this work is licensed under the GNU General Public License version 3", ("gnu general public license",)),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ("free software foundation", "gnu lesser general public license")),
+    ("lgpl", "GNU Lesser General Public License version 3", ("lesser general public license",)),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("free software foundation", "gnu affero general public license")),
+    ("agpl", "GNU Affero General Public License version 3", ("affero general public license",)),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("source and binary forms",)),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", ("any person or organization obtaining a copy", "prepare derivative works")),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("permission is granted to anyone to use this software", "redistribute it freely")),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("free and unencumbered software", "public domain")),
+    ("artistic", "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package", ("semblance of artistic control",)),
+    ("cc0", "has waived all copyright and related or neighboring rights to this work. This work is published under CC0 1.0 Universal", ("cc0 1 0 universal",)),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("commons attribution 4 0",)),
+    ("cc-by", "licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("attribution sharealike",)),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0", ("cc by sa",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("attribution noncommercial 4 0",)),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ("attribution noncommercial sharealike",)),
+    ("cc-by-nc-sa", "licensed under CC BY-NC-SA 4.0", ("cc by nc sa",)),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("attribution noderivatives",)),
+    ("cc-by-nd", "licensed under CC BY-ND 4.0", ("cc by nd",)),
+)
 RAREST = 6
 #: An alignment's share of its looked-up words.
 LEAST_SHARE = 0.6
@@ -51,20 +74,32 @@ def words_of(data: bytes) -> bytes:
 
 class Index:
     def __init__(self, templates=TEMPLATES):
-        self.templates = [(label, t.encode().split(), [f" {p} ".encode() for p in phrases]) for label, t, phrases in templates]
+        self.templates = [(label, words_of(t.encode()).split(), [words_of(p.encode()) for p in phrases]) for label, t, phrases in templates]
         df = Counter(w for _, words, _ in self.templates for w in set(words))
         self.idf = {w: math.log(1 + len(self.templates) / c) for w, c in df.items()}
-        self.postings = defaultdict(list)
-        self.size = []
-        for t, (_, words, _) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RAREST]
-            places = [p for p, w in enumerate(words) if w in rare]
-            self.size.append(len(places))
-            for p in places:
-                self.postings[words[p]].append((t, p))
-        self.rare = frozenset(self.postings)
+        #: Of each template, its words from the heaviest on, and the places of each.
+        self.ranked = [sorted(set(words), key=lambda w: (-self.idf[w], w)) for _, words, _ in self.templates]
+        self.postings: list[dict[bytes, list[int]]] = []
+        for _, words, _ in self.templates:
+            places = defaultdict(list)
+            for p, w in enumerate(words):
+                places[w].append(p)
+            self.postings.append(dict(places))
         self.base = [(f" {p} ".encode(), label) for p, label in BASE_PHRASES]
 
+    def alignments(self, words: list[bytes], t: int, where: dict[bytes, list[int]]) -> list[int]:
+        """Shifts at which enough of the text's heaviest words of the template stand where they should."""
+        chosen, votes = [], Counter()
+        for w in self.ranked[t]:
+            if w in where:
+                chosen.append(w)
+                if len(chosen) == RAREST:
+                    break
+        for w in chosen:
+            # a word counts once for an alignment, however often it stands in the template
+            votes.update({place - p for p in self.postings[t][w] for place in where[w]})
+        return sorted(s for s, n in votes.items() if n >= LEAST_SHARE * len(chosen) and n >= min(2, len(self.ranked[t])))
+
     def scan(self, data: bytes) -> dict:
         joined = words_of(data)
         words = joined.split()
@@ -86,21 +121,21 @@ class Index:
                 at = joined.find(phrase, at + 1)
         if starts:
             out |= {"n_base": len(starts), "first_word": min(starts), "last_word": max(starts)}
-        votes: Counter = Counter()
-        for place, w in () if self.rare.isdisjoint(words) else enumerate(words):
-            if w in self.rare:
-                for t, p in self.postings[w]:
-                    votes[t, place - p] += 1
-        for (t, shift), n in votes.items():
-            if n < LEAST_SHARE * self.size[t]:
-                continue
+        near_all = [t for t, (_, _, phrases) in enumerate(self.templates) if all(p in joined for p in phrases)]
+        where: dict[bytes, list[int]] = {}
+        if near_all:
+            wanted = set().union(*(self.postings[t] for t in near_all))
+            for place, w in enumerate(words):
+                if w in wanted:
+                    where.setdefault(w, []).append(place)
+        for t in near_all:
             label, template, phrases = self.templates[t]
-            lo = max(0, shift)
-            near = b" " + b" ".join(words[lo : max(0, shift + len(template))]) + b" "
-            if all(p in near for p in phrases):
-                same = sum(self.idf[w] for k, w in enumerate(template) if 0 <= shift + k < len(words) and words[shift + k] == w)
-                out["labels"].add(label)
-                out["score"] = max(out["score"], min(1.0, same / sum(self.idf[w] for w in template)))
+            for shift in self.alignments(words, t, where):
+                near = b" " + b" ".join(words[max(0, shift) : max(0, shift + len(template))]) + b" "
+                if all(p in near for p in phrases):
+                    same = sum(self.idf[w] for k, w in enumerate(template) if 0 <= shift + k < len(words) and words[shift + k] == w)
+                    out["labels"].add(label)
+                    out["score"] = max(out["score"], min(1.0, same / sum(self.idf[w] for w in template)))
         if starts:
             out["score"] = max(out["score"], 0.5)
         return out
