@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -35,6 +36,26 @@ def test_packing_fits_and_is_tight():
         assert len(bins) <= 1.08 * -(-sum(sizes) // K.CAPACITY) or low == 1300
 
 
+def test_swaps_save_bins_where_best_fit_is_not_enough():
+    for seed in range(4):
+        rnd = random.Random(seed)
+        sizes = [rnd.randint(900, 1700) for _ in range(300)]
+        assert len(K.pack_lengths(sizes)) <= len(K.best_fit(sizes, K.CAPACITY)) - 4
+
+
+def test_other_tokenizers_are_taken_whole(tmp_path):
+    with open(packing_tokenizer(), encoding="utf-8") as f:
+        form = json.load(f)
+    form["normalizer"]["normalizers"].pop()  # no lower-casing
+    with open(f"{tmp_path}/other.json", "w", encoding="utf-8") as f:
+        json.dump(form, f)
+    other = K.Encoder(f"{tmp_path}/other.json")
+    assert not other.known_form and K.Encoder(packing_tokenizer()).known_form
+    for text in ("Hello World", "ABC abc", ""):
+        assert other.encode(text) == other._plain(text)
+    assert other.encode("ABC") != K.Encoder(packing_tokenizer()).encode("ABC")
+
+
 @pytest.mark.parametrize("sizes", [[], [4095], [2048, 2048, 2048, 2048], [3000, 3000, 1096, 1096]])
 def test_small_packings(sizes):
     assert len(K.pack_lengths(sizes)) == -(-sum(sizes) // K.CAPACITY)
