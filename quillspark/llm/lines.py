@@ -12,7 +12,8 @@ earliest of equal ones goes, so nothing depends on which other place has the sam
 
 Order is by (doc_id, hash of the text, line number), nulls first. Rows with equal doc_id and text are one text: they
 are treated alike, and repeats within it are deleted once. Null text stays null, blank lines are never deleted, texts without
-repeats come out as they went in, and a text whose every line is deleted becomes its blank lines.
+repeats come out as they went in, and a text whose every line is deleted becomes its blank lines. No rows give no rows. A long
+text is one row for each of its lines. Columns are kept, but for one named ``n_removed``, which is replaced.
 
 No row pairs of a group are formed: a line has at most two runs, a run meets one earliest place. Counts and minima over
 frequent grams and runs are combined before the shuffle, and the joins that a frequent one skews are plain

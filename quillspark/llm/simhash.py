@@ -13,7 +13,9 @@ Buckets over ``BUCKET`` fingerprints are split the exact way: each fingerprint i
 of it, two link if and only if they meet in a place (at most 65 fingerprints can), and each meets its place's smallest.
 
 Null text is empty text. Texts without words have fingerprint zero and link like any other. A null doc_id takes part
-but can't name a component unless nobody else is in it. Repeated rows come out repeated.
+but can't name a component unless nobody else is in it. Repeated rows come out repeated; no rows give no rows. Long texts are
+hashed whole, some thousand shingles at a time. Results have the id and the named columns alone, so other columns don't matter;
+:func:`one_of_each` gives rows as they came.
 """
 
 from __future__ import annotations
