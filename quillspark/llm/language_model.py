@@ -1,37 +1,38 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The corpus is read once for each order. First the words: 64-bit hashes in ascending order are the vocabulary, a word's number its
-place. Then, order by order, n-grams as (node of the context, word): each task counts its own, sorted, and ships
-them packed to the shard of their context. A shard merges the counts and writes its level of the trie to the shared
-folder: monotone Elias-Fano pointers from contexts to children, the children's words made monotone over the whole level by
-adding each to the last value before its range, interpolated absolute-discounting probabilities quantised to 256
-values, and the contexts' back-off weights, quantised likewise. Bigrams go to the shard of a hash of both words, so no
-frequent word fills one; their contexts' back-off weights are summed over the shards and kept beside the vocabulary. Trigrams
-live where their context's bigram does.
+First the words: 64-bit hashes in ascending order are the vocabulary, a word's number its place. Then the texts are numbered
+once, four bytes a token, into a table in the shared folder, and everything after reads that. One pass counts the n-grams:
+each task counts its own trigrams, sorted, and ships them packed to the shard of a hash of their first two words; what no
+word follows is shipped too, so a shard has all of its bigrams and their counts. Levels of the trie are written to the
+shared folder, bigrams first: monotone Elias-Fano pointers from contexts to children, the children's words made monotone
+over the whole level by adding each to the last value before its range, interpolated absolute-discounting probabilities
+quantised to 256 values, and the contexts' back-off weights, quantised likewise. As both words choose the shard, no
+frequent word fills one; the bigrams' contexts' back-off weights are summed over the shards and kept beside the vocabulary.
 
 Scoring maps the levels into memory. It takes the range of a context from the pointers, adds the word to the value before
 that range and looks for its successor; a text's distinct n-grams in a batch are looked up once. What isn't found
 backs off. The first token of a text is scored by its unigram, the end token last.
 
 Model files are ``quillspark-lm-*`` in the shared folder; they are needed until the result has been read. Their size follows
-the corpus; tasks map them and hold none of it. Shards follow the number of tokens. Null text is empty text (the end
-token alone). Repeated rows are counted and scored as they come; a row with null id is used for training.
-With no training rows every word is unknown.
+the corpus; tasks map a bounded number of them at a time and hold none of it. Shards follow the number of tokens. Null text
+is empty text (the end token alone). A long text is numbered and scored in one go. Repeated rows are counted and scored as
+they come; a row with null id is used for training. With no training rows every word is unknown; no rows give no scores. The
+result has the id and the named columns alone, so other columns don't matter. Words are known by 64-bit hashes: two of equal hash
+would count as one. More than 2**32 different words raise.
 """
 
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
-import tempfile
 import uuid
 import zlib
-from itertools import chain
+from collections import OrderedDict, defaultdict
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,11 +40,15 @@ from .common import map_batches, record_batch, shared_dir, text_bytes
 from .elias_fano import EliasFano
 
 ORDER = 3
-#: n-grams of an order that occur fewer times are counted but get no node of their own.
-LEAST_COUNT = (1, 1, 2)
+#: n-grams of an order that occur fewer times are counted but get no node of their own; all have one unless the caller says otherwise.
+LEAST_COUNT = (1, 1, 1)
 DISCOUNT = 0.8
 #: Tokens for each shard.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
+#: Files that a worker holds mapped at a time.
+MAPPED = 128
+#: Bytes of files that a worker holds in memory, if the shared folder is on a store that can't be mapped.
+READ = 256 << 20
 #: Tokens that are numbered together in a task.
 GROUP = 1 << 20
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has white space in it
@@ -58,10 +63,9 @@ def token_groups(texts: list[bytes]):
     """(first text, last text, distinct hashes, number of each token, tokens of each text) over groups of texts."""
     first, held, sizes = 0, [], []
 
-    def group(last):
-        words = list(chain.from_iterable(held))
-        known: dict[bytes, int] = {}
-        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    def group(last, total):
+        known: dict[bytes, int] = defaultdict(count().__next__)
+        number = np.fromiter(map(known.__getitem__, chain.from_iterable(held)), np.int64, total)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
         if b"\n" in known:
             hashes[known[b"\n"]] = _END
@@ -75,21 +79,22 @@ def token_groups(texts: list[bytes]):
         sizes.append(len(words))
         total += len(words)
         if total >= GROUP:
-            yield group(i + 1)
+            yield group(i + 1, total)
             first, held, sizes, total = i + 1, [], [], 0
     if held:
-        yield group(len(texts))
+        yield group(len(texts), total)
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and their counts."""
     if counts is None:
         keys = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    first = _starts(keys)
+    if counts is None:
         return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
@@ -113,11 +118,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """256 values at equal shares of ``x``, each the mean of its share, and the code of each element."""
+    """256 steps of equal width between the least and the largest of ``x``, each with the mean of what falls on it, and the code of each element.
+
+    log10 probabilities span some eight units, so none is off by more than a 32nd.
+    """
     if not len(x):
         return np.zeros(256), np.zeros(0, np.uint8)
-    edges = np.quantile(x, np.linspace(0, 1, 257)[1:-1])
-    code = np.searchsorted(edges, x, "left").astype(np.uint8)
+    low, width = x.min(), max(x.max() - x.min(), 1e-12)
+    code = ((x - low) * (255.999 / width)).astype(np.uint8)
     n = np.bincount(code, minlength=256)
     return np.bincount(code, x, minlength=256) / np.maximum(n, 1), code
 
@@ -150,33 +158,22 @@ def _save(uri: str, name: str, parts: dict[str, np.ndarray]) -> None:
     store.move(aside, f"{path}/{name}")
 
 
-def _local(uri: str, name: str) -> str:
-    """A path that can be mapped: the file itself, or on a remote store this worker's copy."""
+def _mapped(uri: str, name: str) -> tuple[dict[str, np.ndarray], int]:
+    """A file's arrays, mapped, and the bytes of memory they take: none, or on a store that can't be mapped the whole file."""
     store, path = _store(uri)
     if isinstance(store, pafs.LocalFileSystem):
-        return f"{path}/{name}"
-    if uri not in _copies:
-        _copies[uri] = tempfile.mkdtemp()
-        atexit.register(shutil.rmtree, _copies[uri], True)
-    copy = f"{_copies[uri]}/{name}"
-    if not os.path.exists(copy):
-        with store.open_input_stream(f"{path}/{name}") as data, open(copy, "wb") as out:
-            shutil.copyfileobj(data, out)
-    return copy
-
-
-_copies: dict[str, str] = {}
-
-
-def _mapped(uri: str, name: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(_local(uri, name), np.uint8, "r")
-    size = int(raw[:8].view("<u8")[0])
+        raw, size = np.memmap(f"{path}/{name}", np.uint8, "r"), 0
+    else:
+        with store.open_input_stream(f"{path}/{name}") as data:
+            raw = np.frombuffer(data.read(), np.uint8)
+        size = len(raw)
+    start = 8 + int(raw[:8].view("<u8")[0])
     out = {}
-    for part in raw[8 : 8 + size].tobytes().decode().strip().split(";"):
+    for part in raw[8:start].tobytes().decode().strip().split(";"):
         k, kind, n, at = part.split(":")
-        kind, at = np.dtype(kind), int(at) + 8 + size
+        kind, at = np.dtype(kind), int(at) + start
         out[k] = np.asarray(raw[at : at + int(n) * kind.itemsize]).view(kind)
-    return out
+    return out, size
 
 
 # --- the trie -------------------------------------------------------------------------------------------------------
@@ -248,49 +245,68 @@ class Level:
 
 
 class Model:
-    """The mapped model in ``uri``: vocabulary, and the levels of order 2 and 3 as far as they are there."""
-
-    def __init__(self, uri: str, parts: int, shards: int, order: int, total: int, distinct: int):
-        self.uri, self.shards, self.order, self.total, self.distinct = uri, shards, order, total, distinct
-        self.shift = np.uint64(max(1, distinct.bit_length()))
-        got = [_mapped(uri, f"words-{p}") for p in range(parts)]
-        self.hashes, self.counts = [p["hashes"] for p in got], [p["counts"] for p in got]
-        self.starts = np.concatenate([[0], np.cumsum([len(h) for h in self.hashes])]).astype(np.int64)
-        self.weights = [_mapped(uri, f"backoff-{p}") for p in range(parts)] if order >= 2 else []
-        self.levels: dict = {}
+    """The model in ``uri``: vocabulary, and the levels of order 2 and 3 as far as they are there. At most ``MAPPED`` files are mapped at a time."""
+
+    def __init__(self, uri: str, starts: tuple, shards: int, order: int, total: int):
+        self.uri, self.shards, self.order, self.total = uri, shards, order, total
+        #: Number of the first word of each part of the vocabulary, and the number of words.
+        self.starts = np.array(starts, np.int64)
+        self.parts, self.distinct = len(starts) - 1, starts[-1]
+        self.shift = np.uint64(max(1, self.distinct.bit_length()))
+        if self.shift > 32:
+            raise OverflowError("a bigram's key has 64 bits: at most 2**32 different words")
+        self.held: OrderedDict = OrderedDict()
+
+    def _file(self, name: str, made=dict):
+        """The file, mapped; the one that wasn't asked for the longest time is let go."""
+        if name in self.held:
+            self.held.move_to_end(name)
+        else:
+            parts, size = _mapped(self.uri, name)
+            while self.held and (len(self.held) >= MAPPED or size and size + sum(n for _, n in self.held.values()) > READ):
+                self.held.popitem(False)
+            self.held[name] = made(parts), size
+        return self.held[name][0]
+
+    def words(self, part: int) -> dict:
+        return self._file(f"words-{part}")
+
+    def weights(self, part: int) -> dict:
+        return self._file(f"backoff-{part}")
 
     def level(self, n: int, shard: int) -> Level:
-        if (n, shard) not in self.levels:
-            self.levels[n, shard] = Level(_mapped(self.uri, f"level{n}-{shard}"))
-        return self.levels[n, shard]
+        return self._file(f"level{n}-{shard}", Level)
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, count) of each hash. The vocabulary's parts divide the hashes by their top bits."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        part = _part(hashes, len(self.hashes))
-        for p in np.unique(part):
-            own, at = self.hashes[p], np.flatnonzero(part == p)
-            if len(own):
-                place = np.minimum(np.searchsorted(own, hashes[at]), len(own) - 1)
-                ok = own[place] == hashes[at]
+        for p, at in _by(_part(hashes, self.parts), self.parts):
+            own = self.words(p)
+            if len(own["hashes"]):
+                place = np.minimum(np.searchsorted(own["hashes"], hashes[at]), len(own["hashes"]) - 1)
+                ok = own["hashes"][place] == hashes[at]
                 number[at[ok]] = place[ok] + self.starts[p]
-                count[at[ok]] = self.counts[p][place[ok]]
+                count[at[ok]] = own["counts"][place[ok]]
         return number, count
 
     def of_words(self, number: np.ndarray, what: str) -> np.ndarray:
-        """Counts or back-off weights of word numbers."""
+        """Counts or back-off weights of word numbers, 0 for -1."""
         out = np.zeros(len(number))
-        part = np.searchsorted(self.starts, number, "right") - 1
-        for p in np.unique(part):
-            at = np.flatnonzero(part == p)
+        known = np.flatnonzero(number >= 0)
+        for p, at in _by(np.searchsorted(self.starts, number[known], "right") - 1, self.parts):
+            at = known[at]
             own = number[at] - self.starts[p]
-            out[at] = self.counts[p][own] if what == "count" else self.weights[p]["value"][self.weights[p]["code"][own]]
+            if what == "count":
+                out[at] = self.words(p)["counts"][own]
+            else:
+                out[at] = self.weights(p)["value"][self.weights(p)["code"][own]]
         return out
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Context and word in 64 bits: word numbers have at most 32, nodes of one shard fewer."""
         return context.astype(np.uint64) << self.shift | word.astype(np.uint64)
 
     def split(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,11 +318,11 @@ class Model:
     def look_up(self, n: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray):
         """(context's weight or 0, node or -1, log10 probability of the node) for each n-gram; equal ones are looked up once."""
         weight, node, log_p = np.zeros(len(word)), np.full(len(word), -1, np.int64), np.zeros(len(word))
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            own, level = order[edges[s] : edges[s + 1]], self.level(n, s)
-            distinct, back = np.unique(self.key(context[own], word[own]), return_inverse=True)
+        for s, own in _by(shard, self.shards):
+            level = self.level(n, s)
+            # an unknown word stands behind all others
+            asked = np.where(word[own] >= 0, word[own], self.distinct)
+            distinct, back = np.unique(self.key(context[own], asked), return_inverse=True)
             where, got = level.find(*self.split(distinct))
             if n > 2 and len(level.b_code):
                 weight[own] = np.where(where >= 0, level.b_value[level.b_code[np.maximum(where, 0)]], 0.0)[back]
@@ -315,37 +331,41 @@ class Model:
                 log_p[own] = level.p_value[level.p_code[np.maximum(got, 0)]][back]
         return weight, node, log_p
 
-    def bigrams(self, tokens: np.ndarray, position: np.ndarray):
-        """(places of tokens with a known predecessor and itself known, shard, node, log10 probability) of bigrams."""
-        at = np.flatnonzero((position >= 1) & (tokens >= 0))
-        at = at[tokens[at - 1] >= 0]
-        shard = self.shard_of(tokens[at - 1], tokens[at])
-        return at, shard, *self.look_up(2, shard, tokens[at - 1], tokens[at])[1:]
-
-    def log_p(self, tokens: np.ndarray, position: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after those before it in its text."""
-        best = unigram.copy()
-        after = np.flatnonzero(position >= 1)
-        after = after[tokens[after - 1] >= 0]
-        if self.order < 2:
-            return best
-        best[after] += self.of_words(tokens[after - 1], "weight")
-        at, shard, node, p = self.bigrams(tokens, position)
-        best[at] = np.where(node >= 0, p, best[at])
+    def log_p(self, tokens: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """log10 probability of each token (its number, or -1) after those before it in its text."""
+        best, node, home = np.zeros(len(tokens)), np.full(len(tokens), -1, np.int64), None
+        if self.order >= 2:
+            at = np.flatnonzero((position >= 1) & (tokens >= 0))
+            at = at[tokens[at - 1] >= 0]
+            shard = self.shard_of(tokens[at - 1], tokens[at])
+            _, node[at], best[at] = self.look_up(2, shard, tokens[at - 1], tokens[at])
+            home = np.zeros(len(tokens), np.int64)
+            home[at] = shard
+        # no bigram: the word by itself, less what the word before leaves to others
+        alone = np.flatnonzero(node < 0)
+        best[alone] = self.unigram(self.of_words(tokens[alone], "count"))
+        if self.order >= 2:
+            after = alone[(position[alone] >= 1)]
+            after = after[tokens[after - 1] >= 0]
+            best[after] += self.of_words(tokens[after - 1], "weight")
         if self.order >= 3:
-            nodes, homes = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.int64)
-            nodes[at], homes[at] = node, shard
-            at = np.flatnonzero((position >= 2) & (tokens >= 0))
-            at = at[nodes[at - 1] >= 0]
-            weight, node, p = self.look_up(3, homes[at - 1], nodes[at - 1], tokens[at])
-            best[at] = np.where(node >= 0, p, best[at] + weight)
+            at = np.flatnonzero(position >= 2)
+            at = at[node[at - 1] >= 0]
             # unknown words back off through the bigram too
-            at = np.flatnonzero((position >= 2) & (tokens < 0))
-            at = at[nodes[at - 1] >= 0]
-            best[at] += self.look_up(3, homes[at - 1], nodes[at - 1], np.zeros(len(at), np.int64))[0]
+            weight, found, p = self.look_up(3, home[at - 1], node[at - 1], tokens[at])
+            best[at] = np.where(found >= 0, p, best[at] + weight)
         return best
 
 
+def _by(of: np.ndarray, n: int):
+    """(number, places) for each of the numbers below n that occur."""
+    of = of.astype(np.min_scalar_type(n))  # small integers are sorted by their bytes
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        yield k, order[edges[k] : edges[k + 1]]
+
+
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -367,21 +387,64 @@ def _rows(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return record_batch(shard=pa.array([r[0] for r in rows], pa.int32()), keys=pa.array([r[1] for r in rows], pa.binary()), counts=pa.array([r[2] for r in rows], pa.binary()))
 
 
-def _blobs(shard: np.ndarray, keys: np.ndarray, shards: int) -> pa.RecordBatch:
-    """One task's counts as a row for each shard it has keys of."""
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    return _rows([(int(s), *_packed(*_counted(keys[order[edges[s] : edges[s + 1]]]))) for s in np.flatnonzero(np.diff(edges))])
+_WORDS_BLOB = f"{_BLOB}, words binary, times binary"
 
 
-def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _context_blobs(shard: np.ndarray, context: np.ndarray, word: np.ndarray, shards: int) -> pa.RecordBatch:
+    """One task's counts of (context, word), a row for each shard: contexts with their numbers of words, words and counts in order of both."""
+    rows = []
+    for k, own in _by(shard, shards):
+        contexts, at = np.unique(context[own], return_inverse=True)
+        keys, n = _counted(at.astype(np.uint64) << np.uint64(32) | word[own].astype(np.uint64))
+        sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(contexts))
+        width = np.min_scalar_type(int(n.max())).itemsize
+        words = np.ascontiguousarray(keys.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        rows.append((k, *_packed(contexts, sizes), words, bytes([width]) + n.astype(f"<u{width}").tobytes()))
+    columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), *[pa.binary()] * 4))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts", "words", "times"])
+
+
+def _merged_contexts(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """(distinct contexts in order, context's place, word, count) of the shard's distinct n-grams in order."""
     got = [_unpacked(k.as_py(), c.as_py()) for k, c in zip(rows.column("keys"), rows.column("counts"), strict=True)]
-    return _counted(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+    contexts, at = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+    keys = np.repeat(at.astype(np.uint64) << np.uint64(32), np.concatenate([c for _, c in got]))
+    del got, at
+    keys |= np.concatenate([np.ascontiguousarray(np.frombuffer(w.as_py(), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4") for w in rows.column("words")])
+    keys, n = _counted(keys, np.concatenate([np.frombuffer(t := x.as_py(), f"<u{t[0]}", offset=1).astype(np.int64) for x in rows.column("times")]))
+    return contexts, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), n
+
 
+def _squeezed(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers byte plane by byte plane, compressed: for files that are read once and as a whole."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return np.frombuffer(bytes([x.itemsize]) + zstandard.compress(planes, 1), np.uint8)
 
-def _training(batch: pa.RecordBatch) -> list[bytes]:
-    keep = ~held_out(batch.column(0).to_pylist())
-    return [t for t, k in zip(text_bytes(batch, batch.schema.names[1]), keep, strict=True) if k]
+
+def _restored(raw: np.ndarray) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw[1:].tobytes()), np.uint8)
+    return np.ascontiguousarray(planes.reshape(int(raw[0]), -1).T).reshape(-1).view(f"<u{raw[0]}")
+
+
+def _small(n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts of one byte each, those from 255 on apart."""
+    return {"counts": _squeezed(np.minimum(n, 255).astype(np.uint8)), "more": n[n >= 255].astype(np.int64)}
+
+
+def _whole(parts: dict[str, np.ndarray]) -> np.ndarray:
+    n = _restored(parts["counts"]).astype(np.int64)
+    n[n == 255] = parts["more"]
+    return n
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    got = [_unpacked(k.as_py(), c.as_py()) for k, c in zip(rows.column("keys"), rows.column("counts"), strict=True)]
+    return _counted(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
 
 
 def _positions(sizes: np.ndarray) -> np.ndarray:
@@ -393,6 +456,17 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     The files are removed when the driver's Python ends, unless ``keep``; :func:`remove` does it at once.
     """
+    return _trained(df, id_col, text_col, order, least_count, discount, shard_tokens, keep)[0]
+
+
+def train_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, least_count: tuple = LEAST_COUNT, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """:func:`score` of all rows by a model trained on those that aren't held out; the texts are numbered once for both."""
+    model, rows = _trained(df, id_col, text_col, order, least_count, discount, shard_tokens, False)
+    return _scored(rows, model, id_col)
+
+
+def _trained(df: DataFrame, id_col: str, text_col: str, order: int, least_count: tuple, discount: float, shard_tokens: int, keep: bool) -> tuple[tuple, DataFrame]:
+    """(model, numbered rows)."""
     spark = df.sparkSession
     uri = f"{shared_dir(spark).rstrip('/')}/quillspark-lm-{uuid.uuid4().hex}"
     if not keep:
@@ -403,7 +477,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     def words(batches):
         for batch in batches:
-            for _, _, hashes, number, _ in token_groups(_training(batch)):
+            keep = ~held_out(batch.column(0).to_pylist())
+            for _, _, hashes, number, _ in token_groups([t for t, k in zip(text_bytes(batch, 1), keep, strict=True) if k]):
                 own = np.argsort(hashes)
                 h, n = hashes[own], np.bincount(number, minlength=len(hashes))[own]
                 edges = np.searchsorted(_part(h, parts), np.arange(parts + 1))
@@ -411,42 +486,104 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     def vocabulary(key, rows):
         h, n = _merged(rows)
-        _save(uri, f"words-{key[0].as_py()}", {"hashes": h, "counts": n})
+        _save(uri, f"words-{key[0].as_py()}", {"hashes": h, "counts": n.astype(np.min_scalar_type(int(n.max())))})
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(h)], "total": [int(n.sum())]})
 
     made = docs.mapInArrow(words, _BLOB).groupBy("shard").applyInArrow(vocabulary, "shard int, n bigint, total bigint")
     sums = {r["shard"]: (r["n"], r["total"]) for r in made.collect()}  # one row for each part of the vocabulary
     for p in set(range(parts)) - set(sums):
         _save(uri, f"words-{p}", {"hashes": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)})
-    distinct, total = sum(n for n, _ in sums.values()), sum(t for _, t in sums.values())
+    starts = (0, *accumulate(sums.get(p, (0, 0))[0] for p in range(parts)))
+    total = sum(t for _, t in sums.values())
     shards = max(1, -(-total // shard_tokens))
+    rows = _numbered(docs, (uri, starts, shards, 1, total), id_col, text_col)
     if order >= 2:
-        _bigram_level(docs, (uri, parts, shards, 1, total, distinct), least_count[1], discount)
-    if order >= 3:
-        _trigram_level(docs, (uri, parts, shards, 2, total, distinct), least_count[2], discount)
-    return uri, parts, shards, order, total, distinct
+        rows.write.option("compression", "zstd").parquet(f"{uri}/tokens")
+        rows = spark.read.schema(rows.schema).parquet(f"{uri}/tokens")
+        _levels(rows, (uri, starts, shards, 1, total), order, least_count, discount)
+    return (uri, starts, shards, order, total), rows
+
+
+_UNKNOWN = np.uint32(0xFFFFFFFF)
+
+
+def _numbered(docs: DataFrame, model: tuple, id_col: str, text_col: str) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, base_score, tokens): ``tokens`` are the words' numbers, four bytes each."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lm = _model(model)
+        n_tokens, n_known, base, tokens = [], [], [], []
+        for _, _, hashes, number, sizes in token_groups(text_bytes(batch, 1)):
+            word, times = lm.numbers(hashes)
+            coded = np.where(word >= 0, word, _UNKNOWN).astype("<u4")[number]
+            edge = np.cumsum(sizes)
+            start = edge - sizes
+            n_tokens.append(sizes)
+            n_known.append(np.add.reduceat((times > 0)[number].astype(np.int64), start))
+            base.append(np.add.reduceat(lm.unigram(times)[number], start))
+            tokens += [coded[a:b].tobytes() for a, b in zip(start.tolist(), edge.tolist(), strict=True)]
+        return record_batch(**{
+            id_col: batch.column(0), "held_out": pa.array(held_out(batch.column(0).to_pylist())), "n_tokens": pa.array(np.concatenate(n_tokens)),
+            "n_known": pa.array(np.concatenate(n_known)), "base_score": pa.array(np.concatenate(base)), "tokens": pa.array(tokens, pa.binary()),
+        })
+
+    return map_batches(docs, run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, tokens binary")
+
+
+def _groups(tokens: pa.Array):
+    """(tokens, their places in their texts, sizes) of texts together: numbers, or -1."""
+    held, size = [], 0
+
+    def group():
+        all_tokens = np.concatenate(held).astype(np.int64)
+        all_tokens[all_tokens == _UNKNOWN] = -1
+        sizes = np.array([len(t) for t in held])
+        return all_tokens, _positions(sizes), sizes
+
+    for t in tokens:
+        held.append(np.frombuffer(t.as_buffer(), "<u4"))
+        size += len(held[-1])
+        if size >= GROUP:
+            yield group()
+            held, size = [], 0
+    if held:
+        yield group()
 
 
-def _bigram_level(docs: DataFrame, have: tuple, least: int, discount: float) -> None:
-    uri, parts, shards = have[:3]
-    spark = docs.sparkSession
+def _levels(rows: DataFrame, have: tuple, order: int, least: tuple, discount: float) -> None:
+    """Count, then write the levels: bigrams, and over them trigrams."""
+    uri, starts, shards = have[:3]
+    parts, spark = len(starts) - 1, rows.sparkSession
 
     def grams(batches):
         model = _model(have)
         for batch in batches:
-            for _, _, hashes, number, sizes in token_groups(_training(batch)):
-                tokens = model.numbers(hashes)[0][number]
-                at = np.flatnonzero(_positions(sizes) >= 1)
-                yield _blobs(model.shard_of(tokens[at - 1], tokens[at]), model.key(tokens[at - 1], tokens[at]), shards)
+            for tokens, position, _ in _groups(batch.column(0)):
+                at = np.flatnonzero(position >= 1)
+                first, second = tokens[at - 1], tokens[at]
+                third = np.full(len(at), model.distinct)  # stands for no word
+                if order >= 3:
+                    more = np.flatnonzero(np.append(position[1:], 0)[at])  # the text goes on
+                    third[more] = tokens[at[more] + 1]
+                yield _context_blobs(model.shard_of(first, second), model.key(first, second), third, shards)
 
     def merge(key, rows):
-        """Keep the shard's counts, and send on how many bigrams each context keeps, and their count."""
+        """Keep the shard's counts, and send on how many bigrams each word begins, and their count."""
         model, s = _model(have), key[0].as_py()
-        keys, n = _merged(rows)
-        kept = n >= least
-        keys, n = keys[kept], n[kept]
-        _save(uri, f"counts2-{s}", {"keys": keys, "counts": n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))})
-        context, first = np.unique(model.split(keys)[0], return_index=True)
+        keys, at, word, n = _merged_contexts(rows)
+        size = np.add.reduceat(n, _starts(at))  # no context without an n-gram
+        kept = size >= least[1]
+        node = np.cumsum(kept) - 1
+        if order >= 3:
+            goes_on = (word < model.distinct) & kept[at]
+            pointers = np.append(0, np.cumsum(np.bincount(node[at[goes_on]], minlength=int(kept.sum()))))
+            _save(uri, f"counts3-{s}", {"pointers": EliasFano.encode(pointers, int(pointers[-1]) + 1), "words": _squeezed(word[goes_on].astype("<u4")), **_small(n[goes_on])})
+        keys, n = keys[kept], size[kept]
+        _save(uri, f"counts2-{s}", {"keys": _squeezed(np.diff(keys, prepend=np.uint64(0))), **_small(n)})
+        context = model.split(keys)[0]
+        first = _starts(context)
+        context = context[first]
         size = np.diff(np.append(first, len(keys)))
         count = np.add.reduceat(n, first) if len(first) else n
         part = np.searchsorted(model.starts, context, "right") - 1
@@ -461,79 +598,70 @@ def _bigram_level(docs: DataFrame, have: tuple, least: int, discount: float) ->
     def weights(key, rows):
         """Back-off weights of the words of one part of the vocabulary."""
         model, p = _model(have), key[0].as_py()
-        count = np.asarray(model.counts[p], float)
+        count = np.asarray(model.words(p)["counts"], float)
         gone = np.zeros(len(count))
         for k, c, at in zip(rows.column("keys"), rows.column("counts"), rows.column("at"), strict=True):
             c, at = c.as_py(), at.as_py()
             context, size = _unpacked(k.as_py(), c[:at])
-            np.add.at(gone, context.astype(np.int64) - model.starts[p], _unpacked(k.as_py(), c[at:])[1] - discount * size)
+            gone[context.astype(np.int64) - model.starts[p]] += _unpacked(k.as_py(), c[at:])[1] - discount * size  # a row's contexts are distinct
         _save_weights(uri, p, np.log10(np.maximum(1 - gone / np.maximum(count, 1), 1e-9)))
         return pa.table({"part": pa.array([p], pa.int32())})
 
-    masses = docs.mapInArrow(grams, _BLOB).groupBy("shard").applyInArrow(merge, "part int, keys binary, counts binary, at int")
-    done = {r[0] for r in masses.groupBy("part").applyInArrow(weights, "part int").collect()}
-    lengths = np.diff(_model(have).starts)
+    counted = rows.where("not held_out").select("tokens").mapInArrow(grams, _WORDS_BLOB)
+    masses = counted.groupBy("shard").applyInArrow(merge, "part int, keys binary, counts binary, at int")
+    done = {r[0] for r in masses.groupBy("part").applyInArrow(weights, "part int").collect()}  # one row for each part of the vocabulary
+    lengths = np.diff(starts)
     for p in set(range(parts)) - done:
         _save_weights(uri, p, np.zeros(lengths[p]))
-    with_weights = (*have[:3], 2, *have[4:])
-
-    def build(batches):
-        model = _model(with_weights)
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                # a level is complete once it has its name; its counts go then, and a second attempt finds it done
-                if _there(uri, f"level2-{s}"):
-                    continue
-                raw = _mapped(uri, f"counts2-{s}") if _there(uri, f"counts2-{s}") else {"keys": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)}
-                context, word = model.split(raw["keys"])
-                p = (raw["counts"].astype(float) - discount) / np.maximum(model.of_words(context, "count"), 1)
-                p += 10.0 ** (model.of_words(context, "weight") + model.unigram(model.of_words(word, "count")))
-                contexts = np.unique(context)
-                _save(uri, f"level2-{s}", Level.parts(context, word, np.log10(p), contexts, np.zeros(0)))
-                _drop(uri, f"counts2-{s}")
-            yield batch
-
-    _each_shard(spark, shards, build)
 
-
-def _trigram_level(docs: DataFrame, have: tuple, least: int, discount: float) -> None:
-    uri, shards = have[0], have[2]
-
-    def grams(batches):
-        model = _model(have)
-        for batch in batches:
-            for _, _, hashes, number, sizes in token_groups(_training(batch)):
-                tokens, position = model.numbers(hashes)[0][number], _positions(sizes)
-                places, shard, node, _ = model.bigrams(tokens, position)
-                nodes, homes = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.int64)
-                nodes[places], homes[places] = node, shard
-                at = np.flatnonzero(position >= 2)
-                at = at[nodes[at - 1] >= 0]
-                yield _blobs(homes[at - 1], model.key(nodes[at - 1], tokens[at]), shards)
-
-    def level(key, rows):
-        model, s = _model(have), key[0].as_py()
-        keys, n = _merged(rows)
-        context, word = model.split(keys)
-        contexts, first, back = np.unique(context, return_index=True, return_inverse=True)
-        total = np.add.reduceat(n, first) if len(first) else n
-        kept = n >= least
-        gone = np.bincount(back[kept], n[kept] - discount, minlength=len(contexts))
-        weight = 1 - gone / np.maximum(total, 1)
+    def bigrams(s: int, model: Model) -> dict:
+        if not _there(uri, f"counts2-{s}"):
+            return Level.parts(*[np.empty(0, np.int64)] * 2, np.empty(0), np.empty(0, np.int64), np.empty(0))
+        raw = _mapped(uri, f"counts2-{s}")[0]
+        context, word = model.split(np.cumsum(_restored(raw["keys"]), dtype=np.uint64))
+        first = _starts(context)
+        size = np.diff(np.append(first, len(context)))
+        own = np.repeat(model.of_words(context[first], "weight"), size)
+        p = (_whole(raw) - discount) / np.repeat(np.maximum(model.of_words(context[first], "count"), 1), size)
+        p += 10.0 ** (own + model.unigram(model.of_words(word, "count")))
+        return Level.parts(context, word, np.log10(p), context[first], np.zeros(0))
+
+    def trigrams(s: int, model: Model) -> dict:
+        if not _there(uri, f"counts3-{s}"):
+            return Level.parts(*[np.empty(0, np.int64)] * 2, np.empty(0), np.empty(0, np.int64), np.empty(0))
+        raw = _mapped(uri, f"counts3-{s}")[0]
+        pointers = EliasFano(raw["pointers"])
+        size = np.diff(pointers.get(np.arange(pointers.n)))
+        contexts = np.flatnonzero(size)
+        word, n = _restored(raw["words"]).astype(np.int64), _whole(raw)
+        back = np.repeat(np.arange(len(contexts)), size[contexts])
+        total = np.bincount(back, n, minlength=len(contexts))
+        kept = n >= least[2]
+        back, word, n = back[kept], word[kept], n[kept]
+        weight = 1 - np.bincount(back, n - discount, minlength=len(contexts)) / np.maximum(total, 1)
         # the lower order: the context's last word, then this one
-        middle = model.level(2, s).word_of(context[kept])
-        lower = model.unigram(model.of_words(word[kept], "count")) + model.of_words(middle, "weight")
-        _, node, p2 = model.look_up(2, model.shard_of(middle, word[kept]), middle, word[kept])
+        last = model.level(2, s).word_of(contexts)
+        middle = last[back]
+        lower = model.unigram(model.of_words(word, "count")) + model.of_words(last, "weight")[back]
+        _, node, p2 = model.look_up(2, model.shard_of(middle, word), middle, word)
         lower = np.where(node >= 0, p2, lower)
-        p = (n[kept] - discount) / total[back[kept]] + weight[back[kept]] * 10.0**lower
-        some = np.bincount(back[kept], minlength=len(contexts)) > 0
-        _save(uri, f"level3-{s}", Level.parts(context[kept], word[kept], np.log10(p), contexts[some], np.log10(weight[some])))
-        return pa.table({"shard": pa.array([s], pa.int32())})
+        p = np.log10((n - discount) / total[back] + weight[back] * 10.0**lower)
+        some = np.bincount(back, minlength=len(contexts)) > 0
+        return Level.parts(contexts[back], word, p, contexts[some], np.log10(weight[some]))
+
+    for k, made in ((2, bigrams), (3, trigrams))[: order - 1]:
 
-    done = {r[0] for r in docs.mapInArrow(grams, _BLOB).groupBy("shard").applyInArrow(level, "shard int").collect()}
-    none = np.empty(0, np.int64)
-    for s in set(range(shards)) - done:
-        _save(uri, f"level3-{s}", Level.parts(none, none, np.empty(0), none, np.empty(0)))
+        def build(batches, k=k, made=made):
+            model = _model((*have[:3], 2, have[4]))
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    # a level is complete once it has its name; its counts go then, and a second attempt finds it done
+                    if not _there(uri, f"level{k}-{s}"):
+                        _save(uri, f"level{k}-{s}", made(s, model))
+                        _drop(uri, f"counts{k}-{s}")
+                yield batch
+
+        spark.range(0, shards, 1, shards).mapInArrow(build, "id bigint").count()
 
 
 def remove(model: tuple) -> None:
@@ -559,27 +687,18 @@ def _drop(uri: str, name: str) -> None:
         store.delete_file(f"{path}/{name}")
 
 
-def _each_shard(spark, shards: int, build) -> None:
-    spark.range(0, shards, 1, shards).mapInArrow(build, "id bigint").count()
-
-
 def score(df: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; the scores are log10."""
-    kind = df.schema[id_col].dataType.simpleString()
+    return _scored(_numbered(df.select(id_col, text_col), model, id_col, text_col), model, id_col)
+
+
+def _scored(rows: DataFrame, model: tuple, id_col: str) -> DataFrame:
+    kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lm = _model(model)
-        n_tokens, n_known, base, full = [], [], [], []
-        for _, _, hashes, number, sizes in token_groups(text_bytes(batch, text_col)):
-            word, count = lm.numbers(hashes)
-            unigram = lm.unigram(count)[number]
-            start = np.cumsum(sizes) - sizes
-            n_tokens.append(sizes)
-            n_known.append(np.add.reduceat((count > 0)[number].astype(np.int64), start))
-            base.append(np.add.reduceat(unigram, start))
-            full.append(np.add.reduceat(lm.log_p(word[number], _positions(sizes), unigram), start))
-        out = {k: pa.array(np.concatenate(v)) for k, v in (("n_tokens", n_tokens), ("n_known", n_known))}
-        scores = {k: pa.array(np.concatenate(v)) for k, v in (("base_score", base), ("score", full))}
-        return record_batch(**{id_col: batch.column(0), "held_out": pa.array(held_out(batch.column(0).to_pylist()))}, **out, train_tokens=pa.array(np.full(batch.num_rows, lm.total)), **scores)
-
-    return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        full = [np.add.reduceat(lm.log_p(tokens, position), np.cumsum(sizes) - sizes) for tokens, position, sizes in _groups(batch.column(5))]
+        own = {c: batch.column(i) for i, c in enumerate((id_col, "held_out", "n_tokens", "n_known"))}
+        return record_batch(**own, train_tokens=pa.array(np.full(batch.num_rows, lm.total)), base_score=batch.column(4), score=pa.array(np.concatenate(full)))
+
+    return map_batches(rows, run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .decontaminate import contaminated
 from .html_text import extract
-from .language_model import score, train
+from .language_model import train_and_score
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .packing import pack
 from .repetition import quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
-from .urls import LISTED, filter_urls
+from .urls import LISTED, MIRRORS, filter_urls
 
 
 def packing_tokenizer() -> str:
@@ -24,8 +24,7 @@ def packing_tokenizer() -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, least_count=(1, 1, 1)))  # trigrams seen once too
+    return train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +45,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(d,) for d in LISTED], "domain string")
+    mirrors = spark.range(MIRRORS).select(F.concat(F.lit("mirror-"), "id", F.lit(".example.net")).alias("domain"))
+    listed = spark.createDataFrame([(d,) for d in LISTED], "domain string").union(mirrors)
     found = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
@@ -84,7 +84,7 @@ WITH p AS (
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 r(name, start, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'allow'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-l(domain) AS (VALUES ('ads-track.example.com'), ('adult-x.example.net'), ('spam-farm.example.com'), ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com')),
+l(domain) AS (VALUES ('ads-track.example.com'), ('adult-x.example.net'), ('spam-farm.example.com'), ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com') UNION ALL SELECT 'mirror-' || i || '.example.net' FROM range(200000) t(i)),
 m AS (
   SELECT host, path, arg_max(name || start, length(name || start)) AS rule, arg_max(says, length(name || start)) AS says
   FROM (SELECT DISTINCT host, path FROM p) q, r WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY host, path)

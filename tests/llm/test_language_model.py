@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import resource
 import zlib
 
 import numpy as np
@@ -67,7 +68,7 @@ def exact(rows):
 
 def test_scores_against_exact_model(spark):
     df = frame(spark, clash=("score",))
-    got = L.score(df, L.train(df, shard_tokens=4000)).collect()
+    got = L.score(df, L.train(df, least_count=(1, 1, 2), shard_tokens=4000)).collect()
     rows = [tuple(r) for r in df.collect()]
     of = exact(rows)
     want = sorted(((r[0] is None, r[0] or 0), of(r[1])) for r in rows)
@@ -75,11 +76,36 @@ def test_scores_against_exact_model(spark):
     assert len(want) == len(have)
     for (i, w), (j, h) in zip(want, have, strict=True):
         assert i == j and w[:3] == h[:3] and abs(w[3] - h[3]) < 1e-6
-        assert abs(w[4] - h[4]) <= 0.15 * w[0]  # quantised
+        assert abs(w[4] - h[4]) <= 0.03 * w[0]  # quantised
     for r in got:
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
 
 
+def test_many_shards_under_few_descriptors(spark, monkeypatch):
+    """Over a thousand shards are asked with a handful of files mapped; scores are those of one shard."""
+    df = frame(spark)
+    few = {r["doc_id"]: r["score"] for r in L.score(df, L.train(df, least_count=(1, 1, 1))).collect()}
+    model = L.train(df, least_count=(1, 1, 1), shard_tokens=10)
+    assert model[2] > 1024
+    monkeypatch.setattr(L, "MAPPED", 16)
+    limit = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, limit[1]))
+    try:
+        lm = L.Model(*model)
+        for r in df.where("doc_id is not null").collect():
+            for _, _, hashes, number, sizes in L.token_groups([(r["text"] or "").encode()]):
+                got = lm.log_p(lm.numbers(hashes)[0][number], L._positions(sizes)).sum()
+                assert abs(got - few[r["doc_id"]]) <= 0.05 * len(number)  # each shard has its own 256 values
+        assert len(lm.held) <= 16
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limit)
+
+
+def test_too_many_words_raise():
+    with pytest.raises(OverflowError):
+        L.Model("/none", (0, 1 << 32), 1, 3, 1 << 40)
+
+
 @pytest.mark.parametrize("order", [1, 2])
 def test_lower_orders(spark, order):
     df = frame(spark)
@@ -120,4 +146,4 @@ def test_query_keeps_trigrams_seen_once(spark, tmp_path):
     of = unpruned(rows)
     for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect():
         w = tokens({i: t for i, t, *_ in rows}[r["doc_id"]])
-        assert abs(r["score"] - of(w)) <= 0.05 * len(w)  # quantised
+        assert abs(r["score"] - of(w)) <= 0.03 * len(w)  # quantised
