@@ -123,6 +123,12 @@ def mask_ignore(spark, sf_dir):
     return struck(spark, sf_dir).select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", F.col("p.ref").alias("masked_ref"), F.col("p.hyp").alias("masked_hyp"), F.col("p.ignored").cast("bigint").alias("ignored"))
 
 
+def mask_order(spark, sf_dir):
+    """Patterns that begin alike: the first one in the list that fits is taken, and each is counted by itself."""
+    p = M.mask(F.col("ref"), F.col("hyp"), ["th", "the", "an", "a"])
+    return noise(spark, sf_dir).select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", F.col("p.ref").alias("masked_ref"), F.col("p.hyp").alias("masked_hyp"), F.col("p.ignored").cast("bigint").alias("ignored"))
+
+
 def ignored_count(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", M.ignored_count(F.col("text"), ["|", "the", ",", ""]).cast("bigint").alias("ignored"))
 
@@ -402,7 +408,7 @@ def summary_report(spark, sf_dir):
 
 _NAMES = (
     score_pairs, score_turns, score_masked, score_single_line, char_distance, char_similarity, word_distance, word_error_rate, align_words,
-    normalize_single_line, tokenize, mask_ignore, ignored_count, eval_summary, leaderboard, leaderboard_cost, leaderboard_tsv, cost_projection,
+    normalize_single_line, tokenize, mask_ignore, mask_order, ignored_count, eval_summary, leaderboard, leaderboard_cost, leaderboard_tsv, cost_projection,
     backfill_diff, backfill_counts, legacy_accuracy, row_selection, bool_parse, public_split, manifest_paths, clean_response, mask_secrets,
     mask_secrets_documents, fix_ampersands, escape_spans, chat_usage, event_keys, read_lines, error_kinds, upload_names, truncate_body, size_filter,
     text_pixels, merge_boxes, line_runs, box_envelope, line_fold, crop_boxes, distribute_words, hocr_pages, hocr_tree, segment_check,

@@ -31,6 +31,21 @@ SELECT conv_id, turn, role, replace(ref, '|', '') AS ref,
   length(ref) - length(replace(ref, '|', '')) AS ignored
 FROM (SELECT *, string_split(ref, '|') AS seg FROM ({_STRUCK}))"""
 
+_ORDER = f"""
+SELECT conv_id, turn, array_to_string(seg, '') AS masked_ref,
+  list_reduce(list_transform(seg, lambda s, i: {{'p': 0::BIGINT, 'j': 0::BIGINT, 'out': ''::VARCHAR, 'seg': s, 'm': coalesce(length(mk[i]), 0)::BIGINT}}),
+    lambda acc, e: {{
+      'p': acc.p + length(e.seg) + e.m,
+      'j': least(length(hyp), CASE WHEN e.m = 0 THEN least(acc.j + length(e.seg), length(hyp))
+        WHEN regexp_full_match(CASE WHEN acc.p + length(e.seg) = 0 THEN '' ELSE ref[acc.p + length(e.seg) : acc.p + length(e.seg)] END, '\\s?')
+          AND regexp_full_match(ref[acc.p + length(e.seg) + e.m + 1 : acc.p + length(e.seg) + e.m + 1], '\\s?')
+        THEN least(acc.j + length(e.seg), length(hyp)) + length(regexp_extract(hyp[least(acc.j + length(e.seg), length(hyp)) + 1 :], '^\\s*\\S*'))
+        ELSE least(acc.j + length(e.seg), length(hyp)) + 1 END),
+      'out': acc.out || hyp[acc.j + 1 : acc.j + length(e.seg)], 'seg': ''::VARCHAR, 'm': 0::BIGINT}},
+    {{'p': 0::BIGINT, 'j': 0::BIGINT, 'out': ''::VARCHAR, 'seg': ''::VARCHAR, 'm': 0::BIGINT}}).out AS masked_hyp,
+  4 * length(ref) - length(replace(ref, 'th', '')) - length(replace(ref, 'the', '')) - length(replace(ref, 'an', '')) - length(replace(ref, 'a', '')) AS ignored
+FROM (SELECT *, string_split_regex(ref, 'th|the|an|a') AS seg, regexp_extract_all(ref, 'th|the|an|a') AS mk FROM ({_NOISE}))"""
+
 
 def _scored(pairs: str) -> str:
     """CTEs up to ``m``: all metrics of ``pairs`` (conv_id, turn, role, ref, hyp, ignored), unrounded.
@@ -152,6 +167,7 @@ SQL: dict[str, str] = {
     "normalize_single_line": "SELECT doc_id, regexp_replace(text, '[\\n\\r\\t ]+', ' ', 'g') AS line FROM documents",
     "tokenize": "SELECT doc_id, array_to_string(w, '/') AS words, len(w) AS n_words FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)",
     "mask_ignore": f"SELECT conv_id, turn, ref AS masked_ref, hyp AS masked_hyp, ignored FROM ({_MASK})",
+    "mask_order": _ORDER,
     "ignored_count": "SELECT doc_id, 3 * length(text) - length(replace(text, '|', '')) - length(replace(text, 'the', '')) - length(replace(text, ',', '')) AS ignored FROM documents",
     "eval_summary": f"{_scored(_PLAIN(_TURNS))} SELECT {_BOARD} FROM f",
     "leaderboard": f"{_scored(_PLAIN(_TURNS))} SELECT store, {_BOARD} FROM f GROUP BY store",
