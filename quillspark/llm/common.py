@@ -6,12 +6,13 @@ A *word* is a run of characters other than space and \\x09-\\x0D. On UTF-8 bytes
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["LOWER", "cut", "map_batches", "record_batch", "shared_dir", "table", "text_bytes", "without"]
+
 _UPPER = bytes(range(65, 91))
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -38,28 +39,6 @@ def record_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one for a single machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = os.path.join(tempfile.gettempdir(), f"quillspark-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: lineage ends, lost executors lose nothing.
-
-    The files go when Spark's cleaner removes checkpoints (``spark.cleaner.referenceTracking.cleanCheckpoints``).
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
