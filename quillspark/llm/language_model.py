@@ -50,7 +50,7 @@ MAPPED = 128
 #: Bytes of files that a worker holds in memory, if the shared folder is on a store that can't be mapped.
 READ = 256 << 20
 #: Tokens that are numbered together in a task.
-GROUP = 1 << 20
+GROUP = 1 << 19
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has white space in it
 
 
