@@ -28,7 +28,7 @@ MAX_REPEAT_PERCENT = 20
 MIN_REPEAT = 8
 MAX_COVERED_PERCENT = 20
 MAX_LONGEST = 60
-GROUP = 1 << 20
+GROUP = 1 << 18
 _SPACE = b" \t\n\r\x0b\x0c"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,7 +200,7 @@ def judge(texts: list[bytes], min_repeat: int = MIN_REPEAT, max_covered: int = M
                     f["n_covered_words"][first:last] = np.bincount(doc[hit], minlength=last - first)
                     np.maximum.at(f["longest_repeat"], first + doc[at], length)
         group.clear()
-        if len(numbers) > GROUP:
+        if len(numbers) > GROUP // 2:  # numbers need to last for one group only
             numbers.clear()
         first, held = last, 0
 

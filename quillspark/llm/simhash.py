@@ -273,13 +273,17 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _keyed(df.select(id_col, text_col), id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(data, words) for data in text_bytes(batch, text_col)]
-        keys = np.array([band_keys(h) for h in sets], np.uint64).reshape(-1).view(np.int64)
-        names = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-        prints = np.stack([parity(h) for h in sets])
+        keys, names, prints, sizes = [], [], [], []
+        for data in text_bytes(batch, text_col):  # one text's shingles at a time
+            h = shingle_set(data, words)
+            keys += band_keys(h)
+            names.append(xxhash.xxh64_intdigest(h.tobytes()))
+            prints.append(parity(h))
+            sizes.append(len(h))
+        keys, names, prints = np.array(keys, np.uint64).view(np.int64), np.array(names, np.uint64).view(np.int64), np.stack(prints)
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
         return record_batch(**{
-            id_col: batch.column(2), "k": batch.column(0), "t": batch.column(1), "class": pa.array(names), "n": pa.array([len(h) for h in sets], pa.int32()),
+            id_col: batch.column(2), "k": batch.column(0), "t": batch.column(1), "class": pa.array(names), "n": pa.array(sizes, pa.int32()),
             **{f: pa.array(np.ascontiguousarray(prints[:, j])) for j, f in enumerate(_F)}, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys)),
         })
 
