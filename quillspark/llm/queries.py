@@ -15,12 +15,13 @@ from .repetition import quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .urls import LISTED, MIRRORS, filter_urls
+from .windows import pack_windows
 
 
-def packing_tokenizer() -> str:
+def packing_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(table(spark, sf_dir, "documents"), packing_tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 

@@ -1,0 +1,123 @@
+"""Bounded-space packing: ids against the tokenizer's own library, pieces that give every document back, windows without padding."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from quillspark.llm import windows as W
+from quillspark.llm.queries import packing_tokenizer
+
+from .cases import empty, frame, texts
+
+BYTES = packing_tokenizer("byte_bpe_50k.json")
+PARTS = ["a", "b", "the", "é", "ß", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "　", " ", "​", "!", ".", "'s", "'t", "'", "12", "²", "ª", "٣", "<|endoftext|>", "你好", "😀", "﻿", "_", "-"]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    held = Tokenizer.from_file(BYTES)
+    return lambda text: held.encode(text, add_special_tokens=False).ids
+
+
+def test_ids(plain):
+    rnd, encoder = random.Random(3), W.Encoder(BYTES)
+    assert encoder.ranked
+    latin = [chr(i) for i in range(256)] + [" ", "\n", "  ", "'s", "'re", "the", "\r\n"] * 12
+    made = ["".join(rnd.choice(of) for _ in range(rnd.randint(0, 12))) for of in (PARTS, latin) for _ in range(4000)]
+    made += [r[1] for r in texts() if r[1]] + ["x" * 20000, "ab" * 9000 + " " * 5000]
+    for t in made:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain(t), t
+
+
+def test_ids_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing_tokenizer()
+    encoder, held = W.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.ranked is None
+    for t in ("Two Words\n", "", "é 你好"):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == held.encode(t, add_special_tokens=False).ids
+
+
+def filled(rows, capacity):
+    """Length of each sequence, whose pieces must lie without gaps."""
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+    return {k: sum(n for _, n in v) for k, v in by.items()}
+
+
+@pytest.mark.parametrize(("capacity", "most", "group"), [(1024, 32, 64), (64, 2, 1), (8, 1, 2)])
+def test_every_token_once(spark, plain, capacity, most, group):
+    df = frame(spark, clash=("sequence_id", "start", "part"))
+    rows = W.pack_windows(df, BYTES, capacity=capacity, open_windows=most, group=group).collect()
+    lengths = filled(rows, capacity)
+    assert all(n == capacity or n & n - 1 == 0 for n in lengths.values())  # no padding
+    want = sorted(([*plain(t or ""), 0] for _, t, *_ in texts()), key=repr)
+    # rows with one id are told apart by what their pieces say
+    pieces = {}
+    for r in rows:
+        pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"], r["ids_crc32"]))
+    by_id = {}
+    for i, t, *_ in texts():
+        by_id.setdefault((i, len(plain(t or "")) + 1), []).append([*plain(t or ""), 0])
+    assert pieces.keys() == by_id.keys() and sum(n for n in lengths.values()) == sum(map(len, want))
+    for key, bodies in by_id.items():
+        ends = sum(1 for s, n, _ in pieces[key] if s + n == key[1])
+        assert ends == len(bodies) and sum(n for _, n, _ in pieces[key]) == key[1] * len(bodies)
+        for start, length, crc in pieces[key]:
+            assert any(crc == zlib.crc32(np.array(b[start : start + length], "<u4").tobytes()) for b in bodies)
+
+
+def test_no_rows(spark):
+    got = W.pack_windows(empty(spark), BYTES)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.collect() == []
+
+
+def placed(sizes, most, capacity=10):
+    """What is emitted and what stays open, as lists of (of, start, length)."""
+    out = []
+    windows = W.Windows(capacity, most, out.append)
+    for k, n in enumerate(sizes):
+        windows.place(k, 0, bytes(4 * n))
+    short = lambda pieces: [(of, start, len(ids) // 4) for of, start, ids in pieces]
+    return [short(p) for p in out], [short(p) for p in windows.held.values()]
+
+
+def test_best_fit_and_the_fullest_goes():
+    # 6 and 8 are open; 2 fits both and goes to the fuller one
+    assert placed([6, 8, 2], 2) == ([[(1, 0, 8), (2, 0, 2)]], [[(0, 0, 6)]])
+    # nothing has room for 5: the fullest is filled with its head, what is left goes to the other
+    assert placed([6, 8, 5], 2) == ([[(1, 0, 8), (2, 0, 2)]], [[(0, 0, 6), (2, 2, 3)]])
+    # a free window is taken before anything is cut
+    assert placed([6, 8, 5], 3) == ([], [[(0, 0, 6)], [(1, 0, 8)], [(2, 0, 5)]])
+
+
+def test_at_most_so_many_open():
+    rnd = random.Random(5)
+    for most in (1, 2, 7):
+        sizes = [rnd.randint(1, 9) for _ in range(500)]
+        done, held = placed(sizes, most)
+        assert len(held) <= most and all(sum(n for *_, n in w) == 10 for w in done)
+        assert sorted(p for w in done + held for p in w)[0] == (0, 0, min(sizes[0], 10))
+
+
+def test_merge_leaves_powers_of_two():
+    rnd = random.Random(6)
+    for _ in range(300):
+        given = [[(k, 0, bytes(4 * rnd.randint(1, 5))) for k in range(rnd.randint(1, 3))] for _ in range(rnd.randint(0, 8))]
+        out = list(W.merge(given, 16))
+        sizes = [sum(len(p[2]) // 4 for p in w) for w in out]
+        assert sum(sizes) == sum(len(p[2]) // 4 for w in given for p in w)
+        short = [n for n in sizes if n < 16]
+        assert all(n & n - 1 == 0 for n in short) and len(short) == len(set(short))
