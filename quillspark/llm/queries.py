@@ -12,6 +12,7 @@ from .language_model import train_and_score
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .packing import pack
+from .prefix_trie import prefix_trie, spliced
 from .repetition import quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -79,6 +80,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c")
+    return prefix_trie(table(spark, sf_dir, "conversations"), copied=lambda turns: spliced(turns, c - c % 100, F.crc32(c.cast("string")) % 6, 5))
+
+
 def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_windows(table(spark, sf_dir, "documents"), packing_tokenizer("byte_bpe_50k.json"))
 
@@ -130,6 +136,37 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
+_OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+n AS (SELECT k.*, least(h, coalesce(m, 0)) AS taken FROM k LEFT JOIN (SELECT c AS base, count(*) AS m FROM t GROUP BY c) USING (base)),
+r AS (
+  SELECT n.c, t.pos, t.digest, t.size FROM n JOIN t ON t.c = n.base AND t.pos <= n.h
+  UNION ALL SELECT n.c, t.pos - n.h + n.taken, t.digest, t.size FROM n JOIN t ON t.c = n.c AND t.pos > n.h),
+pre AS (
+  SELECT c, pos AS d, sha256(string_agg(digest, ',') OVER (PARTITION BY c ORDER BY pos)) AS key, size FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM k),
+node AS (SELECT d, key, min(c) AS c, count(*) AS w, any_value(size) AS size FROM pre GROUP BY d, key),
+up AS (SELECT node.d, node.key, p.key AS parent FROM node JOIN pre p ON p.c = node.c AND p.d = node.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS key, count(*) AS n FROM up GROUP BY ALL),
+leaf AS (SELECT * FROM node ANTI JOIN kids USING (d, key)),
+leaves AS (SELECT pre.d, pre.key, count(*) AS n FROM leaf JOIN pre USING (c) GROUP BY ALL),
+saved AS (SELECT pre.d, pre.key, sum((node.w - 1) * node.size) AS n FROM node JOIN pre ON pre.c = node.c AND pre.d <= node.d GROUP BY ALL),
+ends AS (
+  SELECT d, key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS h
+  FROM pre JOIN (SELECT c, max(d) AS d FROM pre GROUP BY c) USING (c, d) GROUP BY d, key)
+SELECT node.c AS conv_id, node.d AS depth, above.c AS parent_conv_id, node.w AS n_convs, coalesce(kids.n, 0) AS n_children, leaves.n AS n_leaves,
+  saved.n::BIGINT AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM node LEFT JOIN up USING (d, key) LEFT JOIN node above ON above.d = node.d - 1 AND above.key = up.parent
+LEFT JOIN kids USING (d, key) JOIN leaves USING (d, key) JOIN saved USING (d, key) LEFT JOIN ends USING (d, key)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": _OP6_SQL, "op11_source_divergence": _OP11_SQL}
+    return {"op6_url_filter": _OP6_SQL, "op11_source_divergence": _OP11_SQL, "op12_prefix_trie": _OP12_SQL}
