@@ -54,6 +54,11 @@ def myers(pattern: list, text: list) -> list[int]:
     return out
 
 
+def _split(joined: str) -> list[str]:
+    """The words between the spaces at either end: none in a text of marks alone."""
+    return joined[1:-1].split(" ") if len(joined) > 2 else []
+
+
 class Matcher:
     """All pieces of a block of items. Words are joined by single spaces, with one at either end of a piece."""
 
@@ -62,7 +67,7 @@ class Matcher:
         self.pieces = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int, int]]] = {}
         for number, text in items:
-            words = words_of(text).decode("utf-8", "replace").split(" ")[1:-1]
+            words = _split(words_of(text).decode("utf-8", "replace"))
             if len(words) < max(1, least):
                 continue
             k = len(words) * percent // 100
@@ -83,7 +88,7 @@ class Matcher:
         hits = [(end, where) for end, where in self.pieces.iter(joined)]
         if not hits:
             return []
-        words = joined.split(" ")[1:-1]
+        words = _split(joined)
         windows: dict[int, list[tuple[int, int]]] = {}
         before, place = 0, 0
         for end, where in hits:

@@ -25,7 +25,7 @@ def test_myers():
 
 def made(rnd):
     voc = [f"w{i}" for i in range(40)]
-    items = [(k, " ".join(rnd.choice(voc) for _ in range(rnd.randint(1, 40)))) for k in range(6)] + [(6, None), (7, ""), (None, "a b c d e f g h i j"), (0, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    items = [(k, " ".join(rnd.choice(voc) for _ in range(rnd.randint(1, 40)))) for k in range(6)] + [(6, None), (7, ""), (8, "... !"), (None, "a b c d e f g h i j"), (0, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
     docs = []
     for d in range(150):
         t = [rnd.choice(voc) for _ in range(rnd.randint(0, 60))]
@@ -49,7 +49,7 @@ def test_against_all_pairs(spark):
     for i, t, *_ in docs:
         w = (t or "").lower().replace(",", "").split()
         for k, b in items:
-            p = (b or "").split()
+            p = [w for w in (b or "").split() if w.isalnum()]
             if len(p) >= D.LEAST and w and (d := min(distances(p, w))) <= len(p) * D.PERCENT // 100:
                 want.append((i, k, d))
     df, table = frame(spark, docs, clash=("item_id", "distance")), spark.createDataFrame(items, "item_id bigint, text string")
