@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import urllib.error
-import urllib.request
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,9 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import base_name, is_remote, parse_bool, trim_space
-from .shared import cut
-
-REMOTE_BYTES = 50 << 20
+from .blobs import BLOCK, file_contents, http_get, plain_path, url_contents
 
 
 def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> DataFrame:
@@ -80,9 +76,9 @@ def cell_path(folder: str, cell: Column) -> Column:
 def resolved(spark: SparkSession, path: Column) -> Column:
     """The whole path, as Spark's readers name it: relative ones are below the working folder, URLs stay."""
     fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
-    here = fs.getWorkingDirectory().toString()
-    base = here.removeprefix("file://").removeprefix("file:")
-    return F.when(is_remote(path) | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), path).when(path.startswith("/"), path).otherwise(clean_path(F.concat(F.lit(f"{base}/"), path)))
+    here, top = fs.getWorkingDirectory().toString(), fs.getUri().toString().rstrip("/")
+    base, top = here.removeprefix("file://").removeprefix("file:"), "" if top.startswith("file:") else top
+    return F.when(is_remote(path), path).when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), plain_path(path)).when(path.startswith("/"), F.concat(F.lit(top), path)).otherwise(clean_path(F.concat(F.lit(f"{base}/"), path)))
 
 
 def eval_rows(manifest: DataFrame, folder: str = "") -> DataFrame:
@@ -104,68 +100,42 @@ def external_rows(manifest: DataFrame, folder: str = "") -> DataFrame:
     return rows.select("row_idx", field(0).alias("transcript"), field(1).alias("transcription"), base_name(field(0)).alias("identifier"))
 
 
-def _plain_path(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
-
-
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, text) of whole files; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select(_plain_path(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(plain_path(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, content, base64)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select(_plain_path(F.col("path")).alias("path"), "content", F.base64("content").alias("base64"))
-
-
-def http_get(url: str, timeout: float = 60.0, limit: int = REMOTE_BYTES) -> bytes:
-    """The body, whatever the status says; at most ``limit`` bytes."""
-    try:
-        answer = urllib.request.urlopen(url, timeout=timeout)
-    except urllib.error.HTTPError as e:
-        answer = e
-    with answer:
-        body = answer.read(limit + 1)
-    if len(body) > limit:
-        raise OSError(f"more than {limit} bytes")
-    return body
+    return files.select(plain_path(F.col("path")).alias("path"), "content", F.base64("content").alias("base64"))
 
 
 def fetched(paths: DataFrame, get: Callable[[str], bytes] = http_get) -> DataFrame:
-    """(path, content, base64) of the URLs among ``paths``, each asked for once and kept in the shared folder; what fails is left out."""
-    own = paths.columns[0]
-    urls = paths.where(is_remote(F.col(own))).select(F.col(own).alias("path")).distinct()
-    if urls.isEmpty():
-        return urls.select("path", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("base64")).where("false")
+    """(path, content, base64) of the URLs among ``paths``; what fails is left out."""
+    return url_contents(paths, get).withColumn("base64", F.base64("content"))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for url in batch["path"]:
-                try:
-                    out.append((url, get(url)))
-                except (OSError, ValueError):
-                    continue
-            yield pd.DataFrame(out, columns=["path", "content"])
 
-    return cut(urls.mapInPandas(run, "path string, content binary")).withColumn("base64", F.base64("content"))
+def contents_of(rows: DataFrame, folder: str, *columns: str, get: Callable[[str], bytes] = http_get, block: int = BLOCK) -> DataFrame:
+    """(path, content) of the files and URLs in ``columns``, by whole path; nothing else is opened."""
+    spark = rows.sparkSession
+    named = reduce(DataFrame.union, [rows.select(F.col(c).alias("path")) for c in columns])
+    files = file_contents(named.select(resolved(spark, F.col("path")).alias("path")), folder or ".", block)
+    return files.union(url_contents(named, get))
 
 
-def texts_of(rows: DataFrame, folder: str, *columns: str, get: Callable[[str], bytes] = http_get) -> DataFrame:
-    """(path, text): the files below ``folder`` and what the URLs in ``columns`` give."""
-    named = reduce(DataFrame.union, [rows.select(c) for c in columns])
-    remote = fetched(named, get).select("path", F.decode("content", "UTF-8").alias("text"))
-    return read_texts(rows.sparkSession, folder or ".").union(remote)
+def texts_of(rows: DataFrame, folder: str, *columns: str, get: Callable[[str], bytes] = http_get, block: int = BLOCK) -> DataFrame:
+    """(path, text): the files and URLs that ``columns`` name."""
+    return contents_of(rows, folder, *columns, get=get, block=block).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def images_of(rows: DataFrame, folder: str, column: str = "image", get: Callable[[str], bytes] = http_get) -> DataFrame:
+def images_of(rows: DataFrame, folder: str, column: str = "image", get: Callable[[str], bytes] = http_get, block: int = BLOCK) -> DataFrame:
     """(path, content, base64) of the rows' images, by the path that the rows have."""
-    have = read_images(rows.sparkSession, folder or ".").union(fetched(rows.select(column), get))
+    have = contents_of(rows, folder, column, get=get, block=block)
     wanted = rows.select(F.col(column).alias("named")).distinct()
     wanted = wanted.withColumn("path", resolved(rows.sparkSession, F.col("named")))
-    return have.join(wanted, "path").select(F.col("named").alias("path"), "content", "base64")
+    return have.join(wanted, "path").select(F.col("named").alias("path"), "content", F.base64("content").alias("base64"))
 
 
 def bounded_base64(text: Column, limit: int) -> Column:
