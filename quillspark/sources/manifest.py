@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import base_name, is_remote, parse_bool, trim_space
 from .blobs import BLOCK, file_contents, http_get, plain_path, url_contents
+from .csvscan import parsed, scan_csv
 
 
 def read_manifest(spark: SparkSession, path: str, sentinel: str = "image") -> DataFrame:
     """(row_idx, fields, error) of each CSV file at ``path``; a first row that begins with ``sentinel`` is a header.
 
     Strict CSV with quoted line breaks; rows are numbered from 0 after the header. A file without a row, or whose rows
-    differ in length, gives one row with ``error``; a file of no bytes isn't opened by Spark and gives none. Files are read whole, each by one task.
+    differ in length, gives one row with ``error``; a file of no bytes isn't opened by Spark and gives none. A large file is read by many tasks.
     """
-    return parse_manifests(spark.read.text(path, wholetext=True), sentinel)
+    return scan_csv(spark, path, sentinel).drop("file")
 
 
 def parse_manifests(files: DataFrame, sentinel: str = "image") -> DataFrame:
@@ -31,8 +31,7 @@ def parse_manifests(files: DataFrame, sentinel: str = "image") -> DataFrame:
             out = []
             for text in batch["value"]:
                 try:
-                    rows = list(csv.reader(io.StringIO(text, newline=""), strict=True))
-                    rows = [r for r in rows if r]
+                    rows = parsed(text)
                     if not rows:
                         raise ValueError("the manifest is empty")
                     if any(len(r) != len(rows[0]) for r in rows):
