@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.text import base_name
 from .operators import hocr, layout, report, transcribe
 from .operators.score import score
+from .sources import evalstore as E
 from .sources import manifest as M
 from .sources import providers as P
 from .sources import store as S
@@ -153,12 +154,11 @@ def run_csv(spark: SparkSession, a) -> DataFrame:
 
 
 def run_backfill(spark: SparkSession, a) -> DataFrame:
-    """Each changed store goes back to the file that it came from, read from the shared folder, not from the files under change."""
-    stores = cut(S.read_stores(spark, f"{a.store}/*.yaml"))
-    filled = cut(report.backfill(_rescored(spark, S.flat_results(stores), a.dir, a), all_metrics=a.all_metrics))
-    for r in filled.groupBy("file").agg(F.bool_or("changed").alias("changed")).where("changed").toLocalIterator():  # a row for each changed store
-        config = stores.where(F.col("file") == r["file"]).first()["config"].asDict(recursive=True)
-        S.write_yaml(spark, config, filled.where(F.col("file") == r["file"]), a.store, r["file"])
+    """The changed stores are replaced together, each with its own file, config and order of results."""
+    results = cut(E.scan(spark, a.store).where("error is null"))
+    filled = cut(report.backfill(_rescored(spark, results, a.dir, a), all_metrics=a.all_metrics).drop("m"))
+    changed = filled.groupBy("file").agg(F.bool_or("changed").alias("any")).where("any").select("file")
+    E.write_stores(filled.join(changed, "file", "left_semi"), a.store)
     return report.backfill_counts(filled)
 
 

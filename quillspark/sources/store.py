@@ -40,6 +40,13 @@ def read_stores(spark: SparkSession, path: str) -> DataFrame:
     return parse_stores(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
 
 
+def parsed_store(text: str) -> tuple[dict, list[dict]]:
+    """Config and results of one file, zero for what isn't there."""
+    raw = yaml.safe_load(text) or {}
+    config = {n: _value((raw.get("config") or {}).get(n), k) for n, k in CONFIG_KEYS}
+    return config, [{c: _value(r.get(key), k) for key, c, k in RESULT_KEYS} for r in raw.get("results") or []]
+
+
 def parse_stores(files: DataFrame) -> DataFrame:
     """The same for whole files as rows with columns ``file`` and ``value``."""
     item = "struct<" + ", ".join(f"{c}: {_SQL[k]}" for _, c, k in RESULT_KEYS) + ">"
@@ -49,10 +56,7 @@ def parse_stores(files: DataFrame) -> DataFrame:
             out = []
             for file, text in zip(batch["file"], batch["value"], strict=True):
                 try:
-                    raw = yaml.safe_load(text) or {}
-                    config = {n: _value((raw.get("config") or {}).get(n), k) for n, k in CONFIG_KEYS}
-                    results = [{c: _value(r.get(key), k) for key, c, k in RESULT_KEYS} for r in raw.get("results") or []]
-                    out.append((file, config, results, None))
+                    out.append((file, *parsed_store(text), None))
                 except Exception as e:  # a broken file is a row, not the end of the scan
                     out.append((file, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["file", "config", "results", "error"])
@@ -85,6 +89,10 @@ def write_results(results: DataFrame, path: str) -> None:
     """Canonical form: Parquet by store; only the stores in ``results`` are replaced."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
 
+def result_yaml(row) -> str:
+    """One result as an item of a store's list."""
+    return yaml.safe_dump([{key: row[c] for key, c, _ in RESULT_KEYS}], sort_keys=False, allow_unicode=True, indent=4)
+
 def to_yaml(config: dict, results) -> str:
     """One store as YAML. ``results``: rows, taken one at a time."""
     names = {c: key for key, c, _ in RESULT_KEYS}
