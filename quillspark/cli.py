@@ -81,6 +81,8 @@ def _stamp() -> str:
 
 def _config(a, **more) -> dict:
     config = {n: ([] if isinstance(k, list) else k()) for n, k in S.CONFIG_KEYS}
+    if a.command == "eval":
+        config |= {"timeout": S.duration_text(a.timeout), "maxresolution": a.gemini_max_resolution, "maxresolutionfallback": a.gemini_max_resolution_fallback}
     return config | {"timestamp": _stamp(), "ignorepatterns": a.ignore or [], "singleline": bool(a.single_line), "testrows": a.rows, "csvpath": a.csv or ""} | more
 
 
@@ -96,6 +98,10 @@ def run_eval(spark: SparkSession, a, make=None) -> DataFrame:
     if a.config:
         old = S.reload_config(spark, S.store_path(a.config, a.store), _stamp())
         a.provider, a.model, a.prompt, a.temperature, a.csv, a.rows = (old[k] for k in ("provider", "model", "prompt", "temperature", "csvpath", "testrows"))
+        # stores from before these options have none
+        a.timeout, a.gemini_max_resolution, a.gemini_max_resolution_fallback = S.duration_seconds(old["timeout"]), old["maxresolution"] or RESOLUTIONS[0], old["maxresolutionfallback"]
+        if a.gemini_max_resolution not in RESOLUTIONS:
+            raise SystemExit(f"{a.gemini_max_resolution} is none of {', '.join(RESOLUTIONS)}")
         a.ignore, a.single_line = a.ignore or old["ignorepatterns"], bool(a.single_line or old["singleline"])
     model = a.model or P.DEFAULT_MODELS.get(a.provider.lower(), "")
     all_rows = M.select_rows(M.eval_rows(M.read_manifest(spark, a.csv), a.dir), a.rows)
@@ -106,7 +112,7 @@ def run_eval(spark: SparkSession, a, make=None) -> DataFrame:
     said = cut(P.transcribe(M.images_of(rows, a.dir), make or _client(a), model, a.prompt, a.temperature))
     answers = rows.join(said.select(F.col("path").alias("image"), F.col("text").alias("hyp"), "input_tokens", "output_tokens", F.col("error").alias("failed")), "image", "left")
     results = _as_results(score(answers.where("hyp is not null and failed is null"), ignore=tuple(a.ignore or ()), single_line=bool(a.single_line)), response=F.col("hyp"))
-    path = S.write_yaml(spark, _config(a, provider=a.provider, model=model, prompt=a.prompt, temperature=a.temperature), results, a.store)
+    path = S.write_yaml(spark, _config(a, provider=a.provider, model=model, prompt=a.prompt, temperature=a.temperature), results, a.store, "" if model else f"{a.provider}.yaml")
     unread = answers.where("hyp is null or failed is not null").select("row_idx", F.coalesce("failed", F.concat(F.lit("failed to read "), "image")).alias("error"))
     _tell(all_rows.where("error is not null").select("row_idx", "error").union(M.without_texts(good, texts, "transcript").select("row_idx", "error")).union(unread))
     return S.flat_results(S.read_stores(spark, path))
@@ -220,6 +226,9 @@ def printed(a, rows: DataFrame) -> Iterator[str]:
     elif a.command == "summary" and a.name:
         for r in report.summary_lines(rows).toLocalIterator():
             yield from r["lines"]
+    elif a.command == "summary":
+        names = [r["file"] for r in rows.toLocalIterator()]
+        yield from ["Result stores:", *(f"  {n}" for n in names), "", "For one of them: summary NAME"] if names else [f"There is no result store in {a.store}."]
     elif a.command == "ocr":
         for r in rows.toLocalIterator():
             if r["error"]:

@@ -85,7 +85,7 @@ def _starts(lines: DataFrame) -> DataFrame:
 
     A range's function is the identity, a swap or a constant: the state is the last constant's, flipped by the swaps since.
     """
-    ranges = cut(lines.mapInArrow(_states, "file string, block bigint, from_row boolean, from_quotes boolean, closes boolean"))
+    ranges = lines.mapInArrow(_states, "file string, block bigint, from_row boolean, from_quotes boolean, closes boolean")
     upto = Window.partitionBy("file").orderBy("block")
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("swaps", F.sum((F.col("from_row") & ~F.col("from_quotes")).cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
@@ -194,7 +194,7 @@ def scan_csv(spark: SparkSession, path: str, sentinel: str, ranges: int = RANGES
     found = cut(known.select("file", "block", "inside", "since", "value").mapInArrow(_rows_of, _ROW))
     pieces = found.where("piece is not null").groupBy("file", "since").agg(F.max("block").alias("block"), F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("pieces"))
     crossing = pieces.select("file", "block", F.array_join("pieces.piece", "").alias("text")).mapInArrow(_joined_rows, _ROW)
-    rows = found.where("piece is null").union(cut(crossing))
+    rows = found.where("piece is null").union(crossing)
 
     order = Window.partitionBy("file").orderBy("block", "span").rowsBetween(Window.unboundedPreceding, -1)
     good = F.col("error").isNull()
@@ -208,7 +208,7 @@ def scan_csv(spark: SparkSession, path: str, sentinel: str, ranges: int = RANGES
     files = parts.groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("error", F.when(F.col("error").isNotNull(), place)).alias("broken"), F.coalesce(header, F.lit(False)).cast("int").alias("header"))
     files = starts.select("file").distinct().join(files, "file", "left")
     error = F.coalesce("broken", F.when(F.col("low").isNull(), "the manifest is empty"), F.when(F.col("low") != F.col("high"), "wrong number of fields"))
-    files = cut(files.select("file", "header", error.alias("error")))
+    files = files.select("file", "header", error.alias("error"))
     places = parts.select("file", "block", "span", "offset").join(files.where("error is null").select("file", "header"), "file")
     numbered = rows.where(good).join(F.broadcast(places) if few else places, ["file", "block", "span"])
     numbered = numbered.select("file", (F.col("offset") + F.col("k") - F.col("header")).alias("row_idx"), "fields", F.lit(None).cast("string").alias("error")).where("row_idx >= 0")

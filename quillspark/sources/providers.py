@@ -17,8 +17,10 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -111,11 +113,12 @@ def valid_model(model: str) -> bool:
     return bool(model) and model == model.strip() and len(model.encode()) <= MODEL_BYTES and not set("\r\n\0") & set(model)
 
 
-def validate(request: Request, image_bytes: int = IMAGE_BYTES) -> None:
+def validate(request: Request, image_bytes: int = IMAGE_BYTES, needs_model: bool = True) -> None:
     prompt_ok = request.prompt.strip() and len(request.prompt.encode()) <= PROMPT_BYTES and "\0" not in request.prompt
     image = request.image
     image_ok = 0 < len(image.data) <= image_bytes and image.media_type.lower().startswith("image/")
-    if not (valid_model(request.model) and prompt_ok and request.temperature >= 0 and math.isfinite(request.temperature) and image_ok):
+    model_ok = valid_model(request.model) or not (needs_model or request.model)
+    if not (model_ok and prompt_ok and request.temperature >= 0 and math.isfinite(request.temperature) and image_ok):
         raise ServiceError("invalid_request")
 
 
@@ -224,6 +227,8 @@ class Client:
     send: Callable = http_send
     timeout: float = 120.0
     sleep: Callable[[float], None] = field(default=time.sleep)
+    #: Whether a request must name a model; else an empty name leaves the choice to the service.
+    needs_model: ClassVar[bool] = True
 
     def post(self, url: str, body: bytes, kind: str = "application/json", **headers) -> tuple[int, bytes, dict]:
         got = self.send(url, {"Content-Type": kind, **headers, **self.auth()}, body, self.timeout, RESPONSE_BYTES)
@@ -342,14 +347,19 @@ class GenerateClient(Client):
 
 
 class RemoteClient(Client):
-    """A page service: segments of an image, and the text of one. Uploads are multipart."""
+    """A page service: segments of an image, and the text of one, by its own model unless one is named. Uploads are multipart."""
+
+    needs_model = False
 
     def _upload(self, where: str, request: Request):
         if len(request.model.encode()) > REMOTE_MODEL_BYTES:
             raise ServiceError("invalid_request")
-        edge = "quillspark-upload"
+        edge = uuid.uuid4().hex
+        while edge.encode() in request.image.data:
+            edge = uuid.uuid4().hex
         name = UPLOAD_NAMES.get(request.image.media_type.lower(), "image.img")
-        head = f'--{edge}\r\nContent-Disposition: form-data; name="model"\r\n\r\n{request.model}\r\n--{edge}\r\nContent-Disposition: form-data; name="image"; filename="{name}"\r\nContent-Type: {request.image.media_type}\r\n\r\n'
+        model = f'--{edge}\r\nContent-Disposition: form-data; name="model"\r\n\r\n{request.model}\r\n' if request.model else ""
+        head = f'{model}--{edge}\r\nContent-Disposition: form-data; name="image"; filename="{name}"\r\nContent-Type: {request.image.media_type}\r\n\r\n'
         body = head.encode() + request.image.data + f"\r\n--{edge}--\r\n".encode()
         return _json(self.post(endpoint(self.base, "v1", where), body, f"multipart/form-data; boundary={edge}")[1])
 
@@ -406,7 +416,7 @@ def transcribe(images: DataFrame, make: Callable[[], Client], model: str, prompt
             for where, data in zip(batch[path], batch[content], strict=True):
                 try:
                     request = Request(model, prompt, Image(bytes(data or b""), media_type(where or "", bytes(data or b"")), (where or "").rsplit("/", 1)[-1]), temperature)
-                    validate(request)
+                    validate(request, needs_model=client.needs_model)
                     a = client.extract(request)
                     out.append((where, a.text, a.input_tokens, a.output_tokens, None))
                 except Exception as e:  # one row's failure
@@ -430,7 +440,7 @@ def segment(images: DataFrame, make: Callable[[], RemoteClient], model: str, pat
                 try:
                     data = bytes(data or b"")
                     request = Request(model, "segment", Image(data, media_type(where or "", data)))
-                    validate(request)
+                    validate(request, needs_model=client.needs_model)
                     found = client.segment(request)
                     out += [(where, i, w["X"], w["Y"], w["Width"], w["Height"], w.get("Text") or "", float(w.get("Confidence", 0)), None) for i, w in enumerate(found, 1)]
                 except Exception as e:  # one row's failure

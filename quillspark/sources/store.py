@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pandas as pd
@@ -30,6 +31,29 @@ RESULT_TYPE = ", ".join(f"{c} {_SQL[k]}" for _, c, k in RESULT_KEYS)
 CONFIG_TYPE = ", ".join(f"{n}: {'array<' + _SQL[k[0]] + '>' if isinstance(k, list) else _SQL[k]}" for n, k in CONFIG_KEYS)
 DEFAULT_TIMEOUT = "5m0s"
 
+_UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+
+
+def duration_seconds(text: str) -> float:
+    """Seconds of a stored duration such as ``5m0s`` or ``1h2m3.5s``; a bare number counts nanoseconds, an empty text is 0."""
+    if re.fullmatch(r"-?\d+", text):
+        return int(text) / 1e9
+    parts = re.findall(r"(\d+(?:\.\d*)?|\.\d+)(ns|us|µs|μs|ms|s|m|h)", text)
+    if "".join(map("".join, parts)) != text.lstrip("+-"):
+        raise ValueError(f"not a duration: {text!r}")
+    return sum(float(n) * _UNITS[u] for n, u in parts) * (-1 if text.startswith("-") else 1)
+
+
+def duration_text(seconds: float) -> str:
+    """A duration as stores have it: hours and minutes as far as there are any, then seconds; below one, thousandths."""
+    if 0 < seconds < 1:
+        return f"{seconds * 1000:.6f}".rstrip("0").rstrip(".") + "ms"
+    minutes, rest = divmod(seconds, 60)
+    hours, minutes = divmod(int(minutes), 60)
+    tail = f"{rest:.9f}".rstrip("0").rstrip(".") + "s"
+    return f"{hours}h{minutes}m{tail}" if hours else f"{minutes}m{tail}" if minutes else tail
+
+
 def _value(x, kind):
     if isinstance(kind, list):
         return [kind[0](v) for v in x or []]

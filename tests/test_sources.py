@@ -382,3 +382,71 @@ def test_segmentation_source(spark):
     images = spark.createDataFrame([("a.png", b"x"), ("b.png", b"none"), ("c.png", b"bad")], "path string, content binary")
     got = sorted(tuple(r) for r in P.segment(images, _pages, "m").collect())
     assert got == [("a.png", 1, 1, 2, 3, 4, "t", 1.0, None), ("a.png", 2, 5, 6, 7, 8, "", 0.0, None), ("c.png", *[None] * 7, "upstream: upstream (status 500)")]
+
+
+def test_options_come_back_from_a_saved_config(spark, folder):
+    os.makedirs(f"{folder}/img")
+    with open(f"{folder}/img/a.png", "wb") as f:
+        f.write(b"good")
+    write(f"{folder}/m.csv", "img/a.png,gt/abc.txt,true\n")
+    store, made = f"{folder}/evals", []
+
+    def factory(a):
+        made.append((a.provider, a.timeout, a.gemini_max_resolution, a.gemini_max_resolution_fallback))
+        return _stub
+
+    first = cli.parser().parse_args(["eval", "--csv", f"{folder}/m.csv", "--dir", folder, "--provider", "gemini", "--model", "g", "--timeout", "90.5", "--gemini-max-resolution", cli.RESOLUTIONS[2], "--gemini-max-resolution-fallback", "--store", store])
+    cli.run_eval(spark, first, factory(first)).count()
+    saved = S.read_stores(spark, f"{store}/g.yaml").first()["config"]
+    assert (saved["timeout"], saved["maxresolution"], saved["maxresolutionfallback"]) == ("1m30.5s", cli.RESOLUTIONS[2], True)
+    again = cli.parser().parse_args(["eval", "--config", "g", "--dir", folder, "--store", store])
+    cli.run_eval(spark, again, _stub).count()
+    factory(again)
+    assert made == [("gemini", 90.5, cli.RESOLUTIONS[2], True)] * 2
+    client = cli._client(again)()
+    assert (client.timeout, client.resolution, client.fallback) == (90.5, cli.RESOLUTIONS[2], True)
+    assert S.read_stores(spark, f"{store}/g.yaml").first()["config"]["timeout"] == "1m30.5s"
+    write(f"{store}/old.yaml", f"config: {{provider: gemini, model: old, prompt: p, csvpath: {folder}/m.csv}}\nresults: []\n")
+    old = cli.parser().parse_args(["eval", "--config", "old", "--dir", folder, "--store", store])
+    cli.run_eval(spark, old, _stub).count()
+    assert (old.timeout, old.gemini_max_resolution, old.gemini_max_resolution_fallback) == (300.0, cli.RESOLUTIONS[0], False)
+    write(f"{store}/odd.yaml", "config: {provider: gemini, model: odd, maxresolution: HUGE}\nresults: []\n")
+    with pytest.raises(SystemExit, match="HUGE"):
+        run(spark, "eval", "--config", "odd", "--store", store, make=_stub)
+
+
+def test_durations():
+    for seconds, text in ((300, "5m0s"), (45, "45s"), (3600, "1h0m0s"), (3723.5, "1h2m3.5s"), (0.3, "300ms"), (0, "0s"), (90, "1m30s")):
+        assert S.duration_text(seconds) == text and S.duration_seconds(text) == pytest.approx(seconds)
+    assert S.duration_seconds("") == 0 and S.duration_seconds("300000000000") == 300 and S.duration_seconds("-1.5h") == -5400
+    for bad in ("5 m", "m", "5x", "s5"):
+        with pytest.raises(ValueError, match="not a duration"):
+            S.duration_seconds(bad)
+
+
+def test_store_listing_says_so_if_there_is_none(spark, folder):
+    os.makedirs(f"{folder}/evals")
+    assert lines(spark, "summary", "--store", f"{folder}/evals") == [f"There is no result store in {folder}/evals."]
+    write(f"{folder}/evals/m_1.yaml", OLD.format(folder))
+    assert lines(spark, "summary", "--store", f"{folder}/evals")[1] == "  m_1.yaml"
+
+
+def test_remote_service_chooses_its_model(spark):
+    sent = []
+
+    def send(url, headers, body, timeout, limit):
+        sent.append((headers["Content-Type"], body))
+        return 200, b'{"provider": "p", "text": "t"}', {}
+
+    client = P.RemoteClient("http://h", send=send)
+    picture = b"\x89PNG\r\n--quillspark-upload--\r\n"
+    assert client.extract(P.Request("", "read", P.Image(picture, "image/png"))).text == "t" and client.extract(P.Request("m", "read", IMAGE)).text == "t"
+    edges = [kind.partition("boundary=")[2] for kind, _ in sent]
+    assert edges[0] != edges[1] and all(body.count(f"--{e}".encode()) == n for e, (_, body), n in zip(edges, sent, (2, 3), strict=True))
+    assert b'name="model"' not in sent[0][1] and b'name="model"\r\n\r\nm\r\n' in sent[1][1]
+    P.validate(P.Request("", "read", IMAGE), needs_model=False)
+    for model in (" m", "a\nb"):
+        with pytest.raises(P.ServiceError):
+            P.validate(P.Request(model, "read", IMAGE), needs_model=False)
+    images = spark.createDataFrame([("a.png", b"x")], "path string, content binary")
+    assert P.segment(images, _pages, "").count() == 2
