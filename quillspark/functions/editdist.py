@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -93,6 +95,37 @@ def _numbered(a: list, b: list) -> dict:
     return {w: bits[w] for w in set(b) & bits.keys()}
 
 
+#: Bits of a table's columns that are kept at once, both kinds together; of larger tables only some columns are.
+TABLE_BITS = 1 << 27
+
+
+class _Places:
+    """As :func:`_numbered`, for long lists of many different words: bits are made when asked for, those of frequent words are kept."""
+
+    OFTEN = 200
+
+    def __init__(self, a: list, b: list):
+        self.places: dict = {w: [] for w in set(b)}
+        for i, w in enumerate(a):
+            if w in self.places:
+                self.places[w].append(i)
+        self.kept: dict = {}
+
+    def get(self, w, _=0) -> int:
+        if w in self.kept:
+            return self.kept[w]
+        places = self.places[w]
+        if not places:
+            return 0
+        data = bytearray(places[-1] // 8 + 1)
+        for i in places:
+            data[i >> 3] |= 1 << (i & 7)
+        bits = int.from_bytes(data, "little")
+        if len(places) > self.OFTEN:
+            self.kept[w] = bits
+        return bits
+
+
 def distance(a, b) -> int:
     """Unit-cost distance of two strings or lists, a whole column of the table at a time in the bits of an integer."""
     n, m = len(a), len(b)
@@ -106,7 +139,7 @@ def distance(a, b) -> int:
         a, b = b, a
     if not b:
         return len(a)
-    places, full, top = _numbered(a, b), (1 << len(a)) - 1, len(a) - 1
+    places, full, top = (_numbered if len(a) * len(set(a)) <= TABLE_BITS else _Places)(a, b), (1 << len(a)) - 1, len(a) - 1
     up, down, d = full, 0, len(a)
     for w in b:
         same = places.get(w, 0)
@@ -118,32 +151,68 @@ def distance(a, b) -> int:
     return d
 
 
-def align_words(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
-    """(distance, correct, substituted, deleted, inserted) by the backtrace from the table's end.
+class _Columns:
+    """The columns of a distance table, from its end to its start.
 
-    A column of the table is two integers: in which rows the diagonal step costs nothing, and in which the value is one more than
-    in the row above. So a table takes two bits a cell.
+    A column is two integers: in which rows the diagonal step costs nothing, and in which the value is one more than in the
+    row above. If a table has more than ``TABLE_BITS`` of them, only every ``step``-th column's state is kept on the way
+    forward, and the columns in between are made anew, block by block, on the way back: memory grows with the
+    square root of the columns, at twice the time.
     """
+
+    def __init__(self, ref: list, hyp: list):
+        self.hyp, self.full = hyp, (1 << len(ref)) - 1
+        m = len(hyp)
+        self.places = (_numbered if len(ref) * len(set(ref)) <= TABLE_BITS else _Places)(ref, hyp)
+        self.step = max(1, m if 2 * m * len(ref) <= TABLE_BITS else math.isqrt(m))
+        self.free: list[int] = []
+        self.rising: list[int] = []
+        self.states = [(self.full, 0)]
+        self.first = 0
+        for start in range(0, m, self.step):
+            self.first = start
+            self._block(keep=start + self.step >= m)
+
+    def _block(self, keep: bool) -> None:
+        """Columns from ``first`` + 1 on, up to a step's number of them."""
+        up, down = self.states[self.first // self.step]
+        places, full, free, rising = self.places, self.full, [], []
+        for w in self.hyp[self.first : self.first + self.step]:
+            same = places.get(w, 0)
+            zero = (((same & up) + up) ^ up) | same | down
+            right, left = (down | full & ~(zero | up)) << 1 | 1, (up & zero) << 1
+            up, down = full & (left | ~(zero | right)), right & zero & full
+            if keep:
+                free.append(zero)
+                rising.append(up)
+        if self.first // self.step + 1 == len(self.states):
+            self.states.append((up, down))
+        self.free, self.rising = free, rising
+
+    def at(self, column: int) -> tuple[int, int]:
+        """(free, rising) of a column, from 1 on; columns are asked for in descending order."""
+        if column <= self.first:
+            self.first = (column - 1) // self.step * self.step
+            del self.states[self.first // self.step + 1 :]
+            self._block(keep=True)
+        return self.free[column - 1 - self.first], self.rising[column - 1 - self.first]
+
+
+def align_words(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
+    """(distance, correct, substituted, deleted, inserted) by the backtrace from the table's end."""
     n, m = len(ref), len(hyp)
     correct = substituted = deleted = inserted = 0
     while n and m and ref[n - 1] == hyp[m - 1]:
         n, m, correct = n - 1, m - 1, correct + 1
-    places, full = _numbered(ref[:n], hyp[:m]), (1 << n) - 1
-    up, down = full, 0
-    free, rising = [0], [0]
-    for w in hyp[:m]:
-        same = places.get(w, 0)
-        zero = (((same & up) + up) ^ up) | same | down
-        right, left = (down | full & ~(zero | up)) << 1 | 1, (up & zero) << 1
-        up, down = full & (left | ~(zero | right)), right & zero & full
-        free.append(zero)
-        rising.append(up)
+    columns = _Columns(ref[:n], hyp[:m])
     while n and m:
         if ref[n - 1] == hyp[m - 1]:
             n, m, correct = n - 1, m - 1, correct + 1
-        elif not free[m] >> (n - 1) & 1:
+            continue
+        free, rising = columns.at(m)
+        if not free >> (n - 1) & 1:
             n, m, substituted = n - 1, m - 1, substituted + 1
-        elif rising[m] >> (n - 1) & 1:
+        elif rising >> (n - 1) & 1:
             n, deleted = n - 1, deleted + 1
         else:
             m, inserted = m - 1, inserted + 1
@@ -153,7 +222,7 @@ def align_words(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
 
 @F.pandas_udf(ALIGNMENT)
 def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Alignment counts of token arrays, in Arrow batches: memory is two bits for each cell of one pair's table."""
+    """Alignment counts of token arrays, in Arrow batches, one pair's table at a time."""
     rows = [(None,) * 5 if x is None or y is None else align_words(list(x), list(y)) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame(rows, columns=ALIGNMENT.names).astype("Int32")
 

@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import let, tokenize
 
@@ -77,37 +79,75 @@ def line_runs(boxes: DataFrame, page: str = "page", band: int = LINE_BAND) -> Da
     return rows.withColumn("__new", far).withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+class _Line:
+    """A line while words may still join it."""
+
+    def __init__(self, number: int, x: int, y: int, w: int, h: int):
+        self.number, self.left, self.top, self.right, self.bottom = number, x, y, x + w, y + h
+        self.heights, self.words = h, [(x, y, w, h)]
+
+    def takes(self, y: int, h: int) -> bool:
+        slack = self.heights // len(self.words) // 3
+        return y + h >= self.top - slack and y <= self.bottom + slack
+
+    def add(self, x: int, y: int, w: int, h: int) -> None:
+        self.left, self.top = min(self.left, x), min(self.top, y)
+        self.right, self.bottom = max(self.right, x + w), max(self.bottom, y + h)
+        self.heights += h
+        self.words.append((x, y, w, h))
+
+
 def fold_lines(boxes: DataFrame, page: str = "page", words: bool = False) -> DataFrame:
     """(page, line, x, y, w, h, n): a word joins the line while it overlaps the line's growing envelope.
 
     ``words`` adds the line's own boxes, in order, as an array.
 
-    The envelope is stretched by a third of the line's mean height. The state depends on all words before, so this is
-    a fold over the page's ordered boxes; a page's boxes are one array.
+    The envelope is stretched by a third of the line's mean height. The state depends on all words before, so this is a fold, which
+    windows can't express: tasks go once over their pages' boxes in order, hold the line that is open, and emit it when it closes.
     """
-    ordered = in_bands(boxes, page, None)
-    struct = F.struct("pos", "x", "y", "w", "h")
-    pages = ordered.groupBy(page).agg(F.array_sort(F.collect_list(struct)).alias("boxes"))
-    item = "struct<x:bigint,y:bigint,r:bigint,b:bigint,hs:bigint,n:bigint,first:int>"
-
-    def one(box: Column) -> Column:
-        return F.struct(box.x.cast("bigint").alias("x"), box.y.cast("bigint").alias("y"), (box.x + box.w).cast("bigint").alias("r"), (box.y + box.h).cast("bigint").alias("b"), box.h.cast("bigint").alias("hs"), F.lit(1).cast("bigint").alias("n"), box.pos.cast("int").alias("first"))
-
-    def step(state: Column, box: Column) -> Column:
-        line = F.element_at(state, -1)
-        slack = F.floor(F.floor(line.hs / line.n) / 3)
-        fits = (box.y + box.h >= line.y - slack) & (box.y <= line.b + slack)
-        new = one(box)
-        grown = F.struct(F.least(line.x, new.x).alias("x"), F.least(line.y, new.y).alias("y"), F.greatest(line.r, new.r).alias("r"), F.greatest(line.b, new.b).alias("b"), (line.hs + new.hs).alias("hs"), (line.n + 1).alias("n"), line["first"].alias("first"))
-        done = F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(0)))
-        return F.when(F.size(state) == 0, F.array(new)).when(fits, F.concat(done, F.array(grown))).otherwise(F.concat(state, F.array(new)))
-
-    lines = F.aggregate("boxes", F.array().cast(f"array<{item}>"), step)
-    rows = pages.select(page, "boxes", F.posexplode(lines).alias("i", "l"))
-    # a line's words stand together in the page's order
-    own = F.transform(F.slice("boxes", F.col("l.first"), F.col("l.n").cast("int")), lambda b: b.dropFields("pos"))
-    more = [own.alias("words")] if words else []
-    return rows.select(page, (F.col("i") + 1).alias("line"), "l.x", "l.y", (F.col("l.r") - F.col("l.x")).alias("w"), (F.col("l.b") - F.col("l.y")).alias("h"), "l.n", *more)
+    numbers = [F.col(c).cast("bigint").alias(c) for c in ("x", "y", "w", "h")]
+    # the windows have brought each page together
+    ordered = in_bands(boxes, page, None).select(F.col(page), "pos", *numbers).sortWithinPartitions(page, "pos")
+    kind = boxes.schema[page].dataType
+    arrow = to_arrow_type(kind)
+    item = pa.list_(pa.struct([(c, pa.int64()) for c in ("x", "y", "w", "h")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, line, done = None, None, []
+
+        def emitted() -> pa.RecordBatch:
+            lines = [x for _, x in done]
+            columns = [pa.array([p for p, _ in done], arrow), pa.array([x.number for x in lines], pa.int32())]
+            columns += [pa.array(v, pa.int64()) for v in ([x.left for x in lines], [x.top for x in lines], [x.right - x.left for x in lines], [x.bottom - x.top for x in lines], [len(x.words) for x in lines])]
+            if words:
+                columns.append(pa.array([[dict(zip("xywh", b, strict=True)) for b in x.words] for x in lines], item))
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[page, "line", "x", "y", "w", "h", "n", "words"][: len(columns)])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5))
+            for p, *box in zip(*columns, strict=True):
+                if line is None or p != at:
+                    if line:
+                        done.append((at, line))
+                    at, line = p, _Line(1, *box)
+                elif line.takes(box[1], box[3]):
+                    line.add(*box)
+                else:
+                    done.append((at, line))
+                    line = _Line(line.number + 1, *box)
+            if done:
+                yield emitted()
+        if line:
+            done.append((at, line))
+            yield emitted()
+
+    schema = f"`{page}` {kind.simpleString()}, line int, x bigint, y bigint, w bigint, h bigint, n bigint"
+    if not words:
+        return ordered.mapInArrow(run, schema)
+    found = ordered.mapInArrow(run, f"{schema}, words array<struct<x: bigint, y: bigint, w: bigint, h: bigint>>")
+    own = ", ".join(f"{c}: {boxes.schema[c].dataType.simpleString()}" for c in ("x", "y", "w", "h"))
+    return found.withColumn("words", F.col("words").cast(f"array<struct<{own}>>"))
 
 
 def crop(x: Column, y: Column, w: Column, h: Column, padding: int = PADDING) -> Column:

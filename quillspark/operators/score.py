@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import editdist as E
@@ -14,16 +16,46 @@ METRICS = (
 )
 
 
+def dealt(df: DataFrame, ref: str = "ref", hyp: str = "hyp", parts: int = 200) -> DataFrame:
+    """The rows in at most ``parts`` partitions of about the same number of table cells.
+
+    No task can cost less than the longest pair, so there are only as many partitions as have that much each. A pair of half a
+    partition's cost or more gets one of its own; the others are dealt around. The driver learns the sum and the largest cost, and
+    how many long pairs each input partition has; there are at most twice as many as partitions. Two passes over the texts.
+    """
+    size = lambda c: F.coalesce(F.length(F.col(c)), F.lit(0)).cast("double") + 1
+    rows = df.withColumn("__cells", size(ref) * size(hyp))
+    total, most = rows.agg(F.sum("__cells"), F.max("__cells")).first()
+    if not total:
+        return df
+    parts = max(1, min(parts, math.ceil(total / most)))
+    alone = F.col("__cells") * 2 * parts >= total
+    # numbers of long pairs: those of the partitions before, and the place in the own one
+    long = rows.where(alone).withColumn("__m", F.monotonically_increasing_id())
+    long = long.withColumns({"__part": F.shiftright("__m", 33), "__at": F.col("__m").bitwiseAND((1 << 33) - 1)})
+    before, offsets = 0, []
+    for part, n in sorted((r[0], r[1]) for r in long.groupBy("__part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    rest = rows.where(~alone).select(*df.columns)
+    left = max(1, parts - before)
+    if not before:
+        return rest.repartition(left)
+    starts = df.sparkSession.createDataFrame(offsets, "__part bigint, __offset bigint")
+    long = long.join(F.broadcast(starts), "__part").withColumn("__to", (F.col("__offset") + F.col("__at")).cast("int"))
+    return long.repartitionById(before, "__to").select(*df.columns).union(rest.repartition(left))
+
+
 def score(df: DataFrame, ref: str = "ref", hyp: str = "hyp", ignore: tuple[str, ...] = (), single_line: bool = False, into: str = "m", native: bool = False, spread: int = 0) -> DataFrame:
     """``df`` with a struct of metrics for each pair; null texts give a null struct's counts.
 
     Order: single-line form of both, then marks masked, then characters and words of what is left. Both distances are taken
     in one passage through Arrow, 64 cells of a table for each step; ``native`` keeps them in SQL expressions, which is
-    slower beyond a few words. With ``spread`` the pairs are first dealt to so many partitions by their texts, for
-    inputs whose long pairs stand together.
+    slower beyond a few words. With ``spread`` the pairs are first dealt to at most so many partitions of like cost, see
+    :func:`dealt`, for inputs with pairs that are much longer than others.
     """
     if spread:
-        df = df.repartition(spread, F.xxhash64(ref, hyp))
+        df = dealt(df, ref, hyp, spread)
     texts = [normalize_single_line(F.col(c)) if single_line else F.col(c) for c in (ref, hyp)]
     kept = df.columns
     step = df.withColumn("__p", mask(*texts, list(ignore)))

@@ -1,3 +1,4 @@
+import time
 import random
 
 import numpy as np
@@ -180,3 +181,15 @@ def test_local_grouping_equals_frames(spark):
     lines = L.line_runs(boxes(spark, rows)).orderBy("pos").collect()
     assert [b for line in TR.lines_of(rows) for b in line] == [(r["x"], r["y"], r["w"], r["h"]) for r in lines]
     assert [len(x) for x in TR.lines_of(rows)] == [sum(r["line"] == k for r in lines) for k in range(1, max(r["line"] for r in lines) + 1)]
+
+
+def test_lines_of_a_large_page(spark):
+    """One page of 200,000 boxes among small ones: the fold goes over it once."""
+    wide = spark.range(200_000).select(F.lit(1).alias("page"), (F.col("id") % 400 * 9).cast("int").alias("x"), F.floor(F.col("id") / 400).cast("int").alias("y"), F.lit(8).alias("w"), F.lit(3).alias("h"))
+    far = spark.range(50_000).select((F.col("id") % 50 + 2).cast("int").alias("page"), F.lit(5).alias("x"), (F.floor(F.col("id") / 50) * 40).cast("int").alias("y"), F.lit(8).alias("w"), F.lit(3).alias("h"))
+    start = time.monotonic()
+    lines = L.fold_lines(wide.union(far)).groupBy("page").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.max("line").alias("last")).collect()
+    assert time.monotonic() - start < 30
+    assert {r["page"]: (r["lines"], r["n"], r["last"]) for r in lines} == {1: (1, 200_000, 1), **{k: (1000, 1000, 1000) for k in range(2, 52)}}
+    names = L.fold_lines(boxes(spark, [(1, 2, 3, 4)]), words=True)
+    assert names.schema.simpleString().endswith("words:array<struct<x:int,y:int,w:int,h:int>>>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import editdist as E
 from quillspark.functions import masking as M
 from quillspark.functions import text as T
-from quillspark.operators.score import METRICS, score, score_distinct
+from quillspark.operators.score import METRICS, dealt, score, score_distinct
 
 WS = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
 
@@ -183,3 +183,58 @@ def test_long_texts_need_little_memory():
 def test_spread_changes_nothing(spark):
     df = spark.createDataFrame([(i, "a b c " * i, "a c b " * i) for i in range(20)], "i int, ref string, hyp string")
     assert {(r["i"], r["m"]) for r in score(df, spread=7).collect()} == {(r["i"], r["m"]) for r in score(df).collect()}
+
+
+def table_backtrace(a, b):
+    """(distance, correct, substituted, deleted, inserted) from the whole table."""
+    n, m = len(a), len(b)
+    table = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            table[i][j] = table[i - 1][j - 1] if a[i - 1] == b[j - 1] else 1 + min(table[i - 1][j - 1], table[i - 1][j], table[i][j - 1])
+    c = s = d = x = 0
+    while n and m:
+        if a[n - 1] == b[m - 1]:
+            n, m, c = n - 1, m - 1, c + 1
+        elif table[n][m] == table[n - 1][m - 1] + 1:
+            n, m, s = n - 1, m - 1, s + 1
+        elif table[n][m] == table[n - 1][m] + 1:
+            n, d = n - 1, d + 1
+        else:
+            m, x = m - 1, x + 1
+    return s + d + n + x + m, c, s, d + n, x + m
+
+
+@pytest.mark.parametrize("bits", [E.TABLE_BITS, 0])
+def test_alignment_with_columns_made_anew(monkeypatch, bits):
+    monkeypatch.setattr(E, "TABLE_BITS", bits)
+    monkeypatch.setattr(E._Places, "OFTEN", 3)
+    rnd = random.Random(9)
+    for _ in range(1500):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 30))] for _ in range(2))
+        assert E.align_words(a, b) == table_backtrace(a, b)
+
+
+def test_memory_of_a_long_alignment():
+    rnd = random.Random(3)
+    a = [f"w{rnd.randint(0, 40_000)}" if rnd.random() < 0.8 else "the" for _ in range(60_000)]
+    b = [w if rnd.random() < 0.7 else f"w{rnd.randint(0, 40_000)}" for w in a]
+    tracemalloc.start()
+    dist, correct, *rest = E.align_words(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and correct + rest[0] + rest[1] == 60_000 and dist == sum(rest) == E.distance(a, b)
+
+
+def test_pairs_are_dealt_by_cost(spark):
+    rows = [(k, "w " * 20, "w " * 19) for k in range(3000)] + [(10_000 + k, f"{k} " + "x y " * 5000, "x z " * 5000) for k in range(10)] + [(20_000, None, "a")]
+    df = spark.createDataFrame(rows, "k int, ref string, hyp string").coalesce(3)
+    out = dealt(df, parts=64)
+    assert out.columns == df.columns and sorted(r[0] for r in out.collect()) == sorted(r[0] for r in rows)
+    cells = out.select(F.spark_partition_id().alias("p"), (F.coalesce(F.length("ref"), F.lit(0)) * F.length("hyp")).alias("c")).groupBy("p").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
+    cost = sorted(r["c"] for r in cells)
+    assert cost[-1] < 2 * cost[len(cost) // 2] and sum(r["n"] == 1 for r in cells) >= 10
+    assert dealt(df.where("false")).count() == 0 and dealt(df.where("k = 20000"), parts=9).count() == 1
+    even = dealt(df.where("k < 3000"), parts=8)
+    assert even.rdd.getNumPartitions() == 8 and even.count() == 3000
+    assert sorted(map(repr, score(df.where("k < 30"), spread=5).collect())) == sorted(map(repr, score(df.where("k < 30")).collect()))
