@@ -22,6 +22,9 @@ from .sources.shared import cut
 # Resolutions that the evaluation accepts.
 RESOLUTIONS = tuple(f"MEDIA_RESOLUTION_{r}" for r in ("UNSPECIFIED", "LOW", "MEDIUM", "HIGH", "ULTRA_HIGH"))
 
+#: Pictures beyond this are taken apart into strips.
+LARGE_PIXELS = 50_000_000
+
 
 def _rows(text: str) -> list[int]:
     return [int(x) for x in text.split(",") if x.strip()]
@@ -197,7 +200,8 @@ def run_create(spark: SparkSession, a, make=None) -> DataFrame:
 
 
 def _basic_hocr(images: DataFrame) -> DataFrame:
-    found = layout.detect_components(images)
+    pixels = images.agg(F.max(F.col("image.height").cast("bigint") * F.col("image.width"))).first()[0] or 0
+    found = (layout.large_components if pixels > LARGE_PIXELS else layout.detect_components)(images)
     words = layout.merge_words(found.withColumnRenamed("path", "page"))
     size = found.select(F.col("path").alias("page"), "page_w", "page_h").distinct()
     lines = layout.fold_lines(words.select("page", "x", "y", "w", "h")).join(size, "page")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import let, tokenize
+from ..sources.shared import cut
 
 MERGE_BAND = 10
 LINE_BAND = 20
@@ -170,12 +171,15 @@ def distribute_words(text: Column, slots: Column) -> Column:
     return F.when(slots > 0, let(tokenize(text), dealt)).otherwise(F.array().cast("array<string>"))
 
 
-def components(gray: np.ndarray, limit: float = 32768 / 257) -> list[tuple[int, int, int, int]]:
-    """(x, y, w, h) of 8-connected dark regions of word size, in order of their first pixel.
+DARK = 32768 / 257
 
-    Two-pass labelling over runs of dark pixels, so a large region costs memory for its runs, not a call for each pixel.
+
+def _labelled(gray: np.ndarray, limit: float = DARK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row and first column, row and end column, label) of each run of dark pixels, by rows; 8-connected runs share a label.
+
+    Two-pass labelling over runs, so a large region costs memory for its runs, not a call for each pixel. A label is its first run's number.
     """
-    height, width = gray.shape
+    height = gray.shape[0]
     dark = np.pad((gray < limit).astype(np.int8), ((0, 0), (1, 1)))
     edges = np.diff(dark, axis=1)
     starts, stops = np.argwhere(edges == 1), np.argwhere(edges == -1)
@@ -199,13 +203,27 @@ def components(gray: np.ndarray, limit: float = 32768 / 257) -> list[tuple[int,
                 i += 1
             else:
                 j += 1
+    return starts, stops, np.array([root(k) for k in range(len(starts))], np.int64)
+
+
+def _envelopes(starts: np.ndarray, stops: np.ndarray, labels: np.ndarray) -> dict[int, list[int]]:
+    """[left, top, right, bottom] of each label, ends excluded, in order of the first runs."""
     boxes: dict[int, list[int]] = {}
-    for k in range(len(starts)):
-        y, x0, x1 = int(starts[k, 0]), int(starts[k, 1]), int(stops[k, 1])
-        box = boxes.setdefault(root(k), [x0, y, x1, y + 1])
+    for (y, x0), x1, k in zip(starts.tolist(), stops[:, 1].tolist(), labels.tolist(), strict=True):
+        box = boxes.setdefault(k, [x0, y, x1, y + 1])
         box[:] = min(box[0], x0), box[1], max(box[2], x1), y + 1
-    sized = ((x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in boxes.values())
-    return [b for b in sized if 8 <= b[2] <= width // 2 and 10 <= b[3] <= height // 5]
+    return boxes
+
+
+def _word_sized(w: int, h: int, width: int, height: int) -> bool:
+    return 8 <= w <= width // 2 and 10 <= h <= height // 5
+
+
+def components(gray: np.ndarray, limit: float = DARK) -> list[tuple[int, int, int, int]]:
+    """(x, y, w, h) of 8-connected dark regions of word size, in order of their first pixel."""
+    height, width = gray.shape
+    sized = ((x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in _envelopes(*_labelled(gray, limit)).values())
+    return [b for b in sized if _word_sized(b[2], b[3], width, height)]
 
 
 def gray_levels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -231,11 +249,20 @@ def closed(gray: np.ndarray) -> np.ndarray:
     return np.minimum(wide, np.pad(wide, ((0, 0), (1, 0)), mode="edge")[:, :-1])
 
 
-def stretch(gray: np.ndarray, low: float = 0.0015, high: float = 0.0005, level: float = 0.75) -> np.ndarray:
+LOW, HIGH, LEVEL = 0.0015, 0.0005, 0.75
+#: Rows around a pixel that sharpening looks at.
+HALO = 2
+
+
+def stretch(gray: np.ndarray, low: float = LOW, high: float = HIGH, level: float = LEVEL) -> np.ndarray:
     """Contrast stretch, sharpening, closing and threshold, so that faint writing counts as dark; not pixel-equal to other tools."""
     a, b = np.quantile(gray, [low, 1 - high])
+    return _stretched(gray, a, b, level)
+
+
+def _stretched(gray: np.ndarray, a: float, b: float, level: float = LEVEL) -> np.ndarray:
     if b <= a:
-        return np.full(gray.shape, 255.0) if a >= 32768 / 257 else np.zeros(gray.shape)
+        return np.full(gray.shape, 255.0) if a >= DARK else np.zeros(gray.shape)
     even = np.clip((gray - a) / (b - a), 0, 1) * 255
     return np.where(closed(sharpen(even)) < level * 255, 0.0, 255.0)
 
@@ -253,3 +280,123 @@ def detect_components(images: DataFrame, preprocess: bool = True) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "page_w", "page_h", "x", "y", "w", "h"])
 
     return rows.mapInPandas(run, "path string, page_w int, page_h int, x int, y int, w int, h int")
+
+
+def _quantile(values: list[float], counts: list[int], q: float) -> float:
+    """As ``np.quantile`` of each value so many times; values ascend."""
+    ends = np.cumsum(counts)
+    at = q * (int(ends[-1]) - 1)
+    k = int(at)
+    x, y = (values[int(np.searchsorted(ends, min(i, int(ends[-1]) - 1), side="right"))] for i in (k, k + 1))
+    t = at - k
+    return y - (y - x) * (1 - t) if t >= 0.5 else x + (y - x) * t
+
+
+_IMAGE = ["origin", "height", "width", "nChannels"]
+
+
+def _strips(images: DataFrame, rows: int) -> DataFrame:
+    """(origin, height, width, nChannels, strip, above, data): strips of ``rows`` rows and up to ``HALO`` more on either side, ``above`` of them above."""
+    sizes = images.select(*[F.col(f"image.{c}").alias(c) for c in (*_IMAGE, "data")])
+    n = F.ceil(F.col("height") / rows).cast("int")
+    strips = sizes.where("height > 0 and width > 0").withColumn("strip", F.explode(F.sequence(F.lit(0), n - 1)))
+    first = F.greatest(F.col("strip") * rows - HALO, F.lit(0))
+    last = F.least((F.col("strip") + 1) * rows + HALO, F.col("height"))
+    line = F.col("width") * F.col("nChannels")
+    data = F.col("data").substr((first * line + 1).cast("int"), ((last - first) * line).cast("int"))
+    return strips.select(*_IMAGE, "strip", (F.col("strip") * rows - first).alias("above"), data.alias("data"))
+
+
+def large_components(images: DataFrame, preprocess: bool = True, rows: int = 512) -> DataFrame:
+    """As :func:`detect_components`, for pictures too large for one task: strips of ``rows`` rows are labelled apart.
+
+    A component that touches a strip's edge meets those of the next strip by the runs on either side of the seam; only these components,
+    not pixels, are put together by a task for each picture. Contrast is stretched by the whole picture's histogram.
+    """
+    strips = cut(_strips(images, rows).repartition("origin", "strip"))
+    if preprocess:
+        strips = strips.join(_contrast(strips, rows), "origin")
+    else:
+        strips = strips.withColumns({"a": F.lit(0.0), "b": F.lit(0.0)})
+    kind = "origin string, width int, height int, strip int, label bigint, x0 int, y0 int, x1 int, y1 int, top array<int>, bottom array<int>"
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                gray = gray_levels(r.data, len(r.data) // (r.width * r.nChannels), r.width, r.nChannels)
+                if preprocess:
+                    gray = _stretched(gray, r.a, r.b)
+                n = min(rows, r.height - r.strip * rows)
+                starts, stops, labels = _labelled(gray[r.above : r.above + n])
+                sides: dict[int, tuple[list, list]] = {}
+                for (y, x0), x1, k in zip(starts.tolist(), stops[:, 1].tolist(), labels.tolist(), strict=True):
+                    for side, edge in enumerate((r.strip > 0 and y == 0, (r.strip + 1) * rows < r.height and y == n - 1)):
+                        if edge:
+                            sides.setdefault(k, ([], []))[side].extend((x0, x1))
+                for k, (x0, y0, x1, y1) in _envelopes(starts, stops, labels).items():
+                    if k in sides or _word_sized(x1 - x0, y1 - y0, r.width, r.height):
+                        top, bottom = sides.get(k, (None, None))
+                        out.append((r.origin, r.width, r.height, r.strip, k, x0, y0 + r.strip * rows, x1, y1 + r.strip * rows, top, bottom))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in kind.split(", ")])
+
+    parts = cut(strips.mapInPandas(label, kind))
+    whole = parts.where("top is null").select(F.col("origin").alias("path"), F.col("width").alias("page_w"), F.col("height").alias("page_h"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["strip", "label"], ignore_index=True)
+        parent = list(range(len(part)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        sides = [{}, {}]
+        for k, (strip, *runs) in enumerate(zip(part["strip"], part["top"], part["bottom"], strict=True)):
+            for side, ends in zip(sides, runs, strict=True):
+                side.setdefault(strip, []).extend((int(x0), int(x1), k) for x0, x1 in zip(ends[::2], ends[1::2], strict=True))
+        for strip, over in sides[1].items():
+            over, under = sorted(over), sorted(sides[0].get(strip + 1, []))
+            i = j = 0
+            while i < len(over) and j < len(under):
+                if over[i][0] <= under[j][1] and under[j][0] <= over[i][1]:
+                    a, b = root(over[i][2]), root(under[j][2])
+                    parent[max(a, b)] = min(a, b)
+                if over[i][1] < under[j][1]:
+                    i += 1
+                else:
+                    j += 1
+        part["root"] = [root(k) for k in range(len(part))]
+        out = part.groupby("root").agg({"origin": "first", "width": "first", "height": "first", "x0": "min", "y0": "min", "x1": "max", "y1": "max"})
+        out["x1"], out["y1"] = out["x1"] - out["x0"], out["y1"] - out["y0"]
+        return out
+
+    seams = parts.where("top is not null").groupBy("origin").applyInPandas(joined, "origin string, width int, height int, x0 int, y0 int, x1 int, y1 int").toDF("path", "page_w", "page_h", "x", "y", "w", "h")
+    return whole.union(seams.where(valid_word_size(F.col("w"), F.col("h"), F.col("page_w"), F.col("page_h"))))
+
+
+def _contrast(strips: DataFrame, rows: int) -> DataFrame:
+    """(origin, a, b): the gray levels between which each picture is stretched."""
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                pixels = np.frombuffer(r.data, np.uint8).reshape(-1, r.width, r.nChannels)
+                pixels = pixels[r.above : r.above + min(rows, r.height - r.strip * rows)]
+                counts = np.bincount(pixels[:, :, :3].sum(axis=2, dtype=np.int64).ravel() if r.nChannels >= 3 else pixels[:, :, 0].ravel())
+                some = np.flatnonzero(counts)
+                yield pd.DataFrame({"origin": r.origin, "level": some, "n": counts[some], "shares": 3 if r.nChannels >= 3 else 1})
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for origin, shares, pairs in zip(batch["origin"], batch["shares"], batch["pairs"], strict=True):
+                values, counts = [p["level"] / shares for p in pairs], [p["n"] for p in pairs]
+                out.append((origin, _quantile(values, counts, LOW), _quantile(values, counts, 1 - HIGH)))
+            yield pd.DataFrame(out, columns=["origin", "a", "b"])
+
+    counted = strips.mapInPandas(levels, "origin string, level int, n bigint, shares int").groupBy("origin", "shares", "level").agg(F.sum("n").alias("n"))
+    pairs = counted.groupBy("origin", "shares").agg(F.sort_array(F.collect_list(F.struct("level", "n"))).alias("pairs"))
+    return pairs.mapInPandas(bounds, "origin string, a double, b double")

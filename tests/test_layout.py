@@ -193,3 +193,49 @@ def test_lines_of_a_large_page(spark):
     assert {r["page"]: (r["lines"], r["n"], r["last"]) for r in lines} == {1: (1, 200_000, 1), **{k: (1000, 1000, 1000) for k in range(2, 52)}}
     names = L.fold_lines(boxes(spark, [(1, 2, 3, 4)]), words=True)
     assert names.schema.simpleString().endswith("words:array<struct<x:int,y:int,w:int,h:int>>>")
+
+
+def picture(rnd, height, width, channels):
+    gray = np.full((height, width), 230)
+    for _ in range(height * width // 1200):
+        y, x = rnd.randrange(height), rnd.randrange(width)
+        h, w = rnd.choice([(1, 30), (14, 3), (12, 12), (2, 2), (40, 9)])
+        gray[y : y + h, x : x + w] = rnd.randint(0, 150)
+    for k in range(0, min(height, width) - 1, 7):  # corners that touch across seams
+        gray[k, k] = gray[k + 1, k + 1] = 5
+    noise = np.random.default_rng(rnd.randrange(1000)).integers(0, 20, (height, width, channels))
+    return np.clip(gray[:, :, None] + noise, 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("preprocess", [False, True])
+def test_strips_find_what_one_task_finds(spark, preprocess):
+    rnd = random.Random(4)
+    shapes = [(197, 220, 1), (164, 180, 3), (250, 160, 4), (5, 90, 1), (33, 33, 3), (1, 1, 1)]
+    rows = [((f"p{k}", h, w, c, 0, picture(rnd, h, w, c).tobytes()),) for k, (h, w, c) in enumerate(shapes)]
+    rows.append((("flat", 40, 40, 1, 0, bytes([9]) * 1600),))
+    images = spark.createDataFrame(rows, "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
+    want = sorted(map(repr, L.detect_components(images, preprocess).collect()))
+    assert len(want) > 8
+    for strip in (7, 16, 1000):
+        got = L.large_components(images, preprocess, strip)
+        assert got.columns == L.detect_components(images).columns and sorted(map(repr, got.collect())) == want, strip
+    assert L.large_components(images.where("false"), preprocess).count() == 0
+
+
+def test_quantiles_of_counts():
+    rnd = random.Random(5)
+    for _ in range(300):
+        counts = [rnd.randint(1, 9) for _ in range(rnd.randint(1, 12))]
+        values = sorted(rnd.sample(range(256), len(counts)))
+        for q in (0.0, 0.0015, 0.3, 0.9995, 1.0):
+            assert L._quantile(values, counts, q) == np.quantile(np.repeat(np.array(values, float), counts), q)
+
+
+def test_a_large_picture_is_many_tasks(spark):
+    rnd = np.random.default_rng(1)
+    gray = np.full((6000, 4000), 250, np.uint8)
+    for y, x in rnd.integers(0, (5950, 3900), (3000, 2)):
+        gray[y : y + 20, x : x + 40] = 0
+    images = spark.createDataFrame([(("big", 6000, 4000, 1, 0, gray.tobytes()),)], "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
+    got = L.large_components(images, preprocess=False, rows=500)
+    assert sorted(tuple(r)[3:] for r in got.collect()) == sorted(L.components(gray.astype(float)))
