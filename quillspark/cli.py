@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -17,7 +18,7 @@ from .sources import evalstore as E
 from .sources import manifest as M
 from .sources import providers as P
 from .sources import store as S
-from .sources.shared import cut
+from .sources.shared import cut, shared_dir
 
 # Resolutions that the evaluation accepts.
 RESOLUTIONS = tuple(f"MEDIA_RESOLUTION_{r}" for r in ("UNSPECIFIED", "LOW", "MEDIUM", "HIGH", "ULTRA_HIGH"))
@@ -70,6 +71,11 @@ def _client(a: argparse.Namespace):
     return make
 
 
+def _calls(spark: SparkSession) -> P.Calls:
+    """A journal for this run: what a lost executor was told isn't asked again."""
+    return P.Calls(journal=f"{shared_dir(spark).rstrip('/')}/calls-{uuid.uuid4().hex}")
+
+
 def _as_results(scored: DataFrame, **columns) -> DataFrame:
     flat = scored.select("*", "m.*").drop("m")
     for c, v in columns.items():
@@ -112,7 +118,7 @@ def run_eval(spark: SparkSession, a, make=None) -> DataFrame:
     texts = M.texts_of(good, a.dir, "transcript")
     rows = M.with_texts(good, texts, "transcript", "ref")
     # one call for each image, kept: the calls cost money, and both results and failures read them
-    said = cut(P.transcribe(M.images_of(rows, a.dir), make or _client(a), model, a.prompt, a.temperature))
+    said = cut(P.transcribe(M.images_of(rows, a.dir), make or _client(a), model, a.prompt, a.temperature, calls=_calls(spark)))
     answers = rows.join(said.select(F.col("path").alias("image"), F.col("text").alias("hyp"), "input_tokens", "output_tokens", F.col("error").alias("failed")), "image", "left")
     results = _as_results(score(answers.where("hyp is not null and failed is null"), ignore=tuple(a.ignore or ()), single_line=bool(a.single_line)), response=F.col("hyp"))
     path = S.write_yaml(spark, _config(a, provider=a.provider, model=model, prompt=a.prompt, temperature=a.temperature), results, a.store, "" if model else f"{a.provider}.yaml")

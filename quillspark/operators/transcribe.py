@@ -1,7 +1,7 @@
 """Pages to hOCR: components, lines, cut-outs sent to a recognition service, texts dealt to words, markup.
 
-Detection and line grouping run where the image is; a service call is one blocking HTTP call for each line, so the
-parallelism is the number of partitions: repartition the images before calling this.
+Detection and line grouping run where the image is; the lines of an image are asked for together, as many at once as
+``calls`` says.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def lines_of(words: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int
     return lines
 
 
-def transcribe_pages(images: DataFrame, make: Callable[[], P.Client], model: str, temperature: float = 0.0) -> DataFrame:
+def transcribe_pages(images: DataFrame, make: Callable[[], P.Client], model: str, temperature: float = 0.0, calls: P.Calls = P.Calls()) -> DataFrame:
     """(page, number, x, y, w, h, text) for the text lines found in images (rows of ``spark.read.format("image")``).
 
     Words are grouped to lines by the growing envelope; line boxes side by side are asked for together, and their text is dealt to them.
@@ -98,17 +98,16 @@ def transcribe_pages(images: DataFrame, make: Callable[[], P.Client], model: str
     rows = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
+        client = P.Caller(make, calls)
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 gray = gray_levels(r.data, r.height, r.width, r.nChannels)
-                number = 0
-                for line in lines_of(folded(words_of(components(stretch(gray))))):
-                    ask = lambda box, gray=gray: P.Request(model, P.LINE_PROMPT, P.Image(png(cut_out(gray, box)), "image/png"), temperature)
-                    for box, text in zip(line, P.transcribe_line(client, ask(envelope(line)), [ask(b) for b in line]), strict=True):
-                        number += 1
-                        out.append((r.origin, number, *box, text))
+                ask = lambda box, gray=gray: P.Request(model, P.LINE_PROMPT, P.Image(png(cut_out(gray, box)), "image/png"), temperature)
+                said = lambda line, ask=ask: P.transcribe_line(client, ask(envelope(line)), [ask(b) for b in line])
+                lines = lines_of(folded(words_of(components(stretch(gray)))))
+                texts = [(box, text) for line, dealt in zip(lines, client.each(said, lines), strict=True) for box, text in zip(line, dealt, strict=True)]
+                out += [(r.origin, number, *box, text) for number, (box, text) in enumerate(texts, 1)]
             yield pd.DataFrame(out, columns=["page", "number", "x", "y", "w", "h", "text"])
 
     return rows.mapInPandas(run, "page string, number int, x int, y int, w int, h int, text string")

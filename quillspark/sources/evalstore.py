@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .shared import file_system
 from .store import CONFIG_KEYS, CONFIG_TYPE, RESULT_KEYS, RESULT_TYPE, parsed_store, result_yaml, yaml
 
 SCHEMA = f"file string, pos int, model string, provider string, timestamp string, ignorepatterns array<string>, singleline boolean, {RESULT_TYPE}, config struct<{CONFIG_TYPE}>, error string"
@@ -35,12 +36,6 @@ _ASIDE = ".aside-"
 _HEAD = re.compile(r"^results:", re.M)
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
-
-
 def _names(system, folder: str) -> list[str]:
     from pyarrow import fs
 
@@ -65,7 +60,7 @@ def _exists(system, path: str) -> bool:
 
 def recover(folder: str) -> None:
     """Carry out the moves that a lost driver had written down. Moves already made aren't made again."""
-    system, at = _file_system(folder)
+    system, at = file_system(folder)
     for name in _names(system, at):
         if name.startswith(_JOURNAL) and not name.endswith(".part"):
             _carry_out(system, at, name)
@@ -109,13 +104,13 @@ class _Reader(DataSourceReader):
         folder, pattern = (self.path, "*.yaml") if not self.path.endswith(".yaml") else posixpath.split(self.path)
         folder = folder or "."
         recover(folder)
-        system, at = _file_system(folder)
+        system, at = file_system(folder)
         names = sorted(n for n in _names(system, at) if fnmatch.fnmatchcase(n, pattern) and not n.startswith(".") and self._wanted(n))
         return [InputPartition((folder, names[k : k + self.size])) for k in range(0, len(names), self.size)] or [InputPartition((folder, []))]
 
     def read(self, partition):
         folder, names = partition.value
-        system, at = _file_system(folder)
+        system, at = file_system(folder)
         none = (None,) * (6 + len(RESULT_KEYS) + 1)
         for name in names:
             try:
@@ -146,7 +141,7 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator):
         """Each store's rows follow each other; an attempt has names of its own, so another one's files don't matter."""
-        system, at = _file_system(self.path)
+        system, at = file_system(self.path)
         attempt, moves, now, out = uuid.uuid4().hex, [], None, None
         system.create_dir(f"{at}/{self.aside}", recursive=True)
         try:
@@ -167,7 +162,7 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages):
         moves = [m for message in messages if message for m in message.moves]
-        system, at = _file_system(self.path)
+        system, at = file_system(self.path)
         names = [name for _, name in moves]
         odd = [n for n in names if not n or "/" in n or n.startswith(".") or not n.endswith(".yaml")]
         if odd or len(set(names)) < len(names):
@@ -179,7 +174,7 @@ class _Writer(DataSourceWriter):
         _carry_out(system, at, journal)
 
     def abort(self, messages):
-        system, at = _file_system(self.path)
+        system, at = file_system(self.path)
         if _exists(system, f"{at}/{self.aside}"):
             system.delete_dir(f"{at}/{self.aside}")
 

@@ -1,7 +1,7 @@
 """Recognition services: a stage that sends images and prompts, behind a transport that tests replace.
 
 A *transport* is ``send(url, headers, body, timeout, limit) -> (status, bytes)``. A *client* turns a request into calls of it
-and an answer. :func:`transcribe` runs a client over a DataFrame, one client for each partition; a row's failure is
+and an answer. :func:`transcribe` runs clients over a DataFrame, as :mod:`.calls` says; a row's failure is
 a value in ``error``, with secrets masked, and the others go on.
 """
 
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import ANSWER_PREFIXES, SECRET_PLACES, UPLOAD_NAMES
+from .calls import Caller, Calls
 
 MODEL_BYTES, PROMPT_BYTES, REMOTE_MODEL_BYTES = 1 << 10, 1 << 20, 256
 IMAGE_BYTES, RESPONSE_BYTES = 50 << 20, 8 << 20
@@ -406,45 +407,49 @@ for _name, _client in (("openai", ChatClient), ("gemini", PartsClient), ("claude
 DEFAULT_MODELS = {"openai": "gpt-4o", "gemini": "gemini-pro", "claude": "claude-sonnet", "azure": "azure-ocr", "ollama": "llava"}
 
 
-def transcribe(images: DataFrame, make: Callable[[], Client], model: str, prompt: str, temperature: float = 0.0, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, text, input_tokens, output_tokens, error) for each image. ``make`` builds a client, once a partition."""
+def transcribe(images: DataFrame, make: Callable[[], Client], model: str, prompt: str, temperature: float = 0.0, path: str = "path", content: str = "content", calls: Calls = Calls()) -> DataFrame:
+    """(path, text, input_tokens, output_tokens, error) for each image. ``make`` builds a client, once for each thread of a partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
+        caller = Caller(make, calls)
+
+        def one(row: tuple) -> tuple:
+            where, data = row[0], bytes(row[1] or b"")
+            try:
+                request = Request(model, prompt, Image(data, media_type(where or "", data), (where or "").rsplit("/", 1)[-1]), temperature)
+                validate(request, needs_model=caller.client.needs_model)
+                a = caller.extract(request)
+                return where, a.text, a.input_tokens, a.output_tokens, None
+            except Exception as e:  # one row's failure
+                return where, None, 0, 0, mask(f"{getattr(e, 'kind', type(e).__name__)}: {e}")
+
         for batch in batches:
-            out = []
-            for where, data in zip(batch[path], batch[content], strict=True):
-                try:
-                    request = Request(model, prompt, Image(bytes(data or b""), media_type(where or "", bytes(data or b"")), (where or "").rsplit("/", 1)[-1]), temperature)
-                    validate(request, needs_model=client.needs_model)
-                    a = client.extract(request)
-                    out.append((where, a.text, a.input_tokens, a.output_tokens, None))
-                except Exception as e:  # one row's failure
-                    out.append((where, None, 0, 0, mask(f"{getattr(e, 'kind', type(e).__name__)}: {e}")))
+            out = list(caller.each(one, zip(batch[path], batch[content], strict=True)))
             yield pd.DataFrame(out, columns=["path", "text", "input_tokens", "output_tokens", "error"])
 
     return images.select(path, content).mapInPandas(run, "path string, text string, input_tokens int, output_tokens int, error string")
 
 
-def segment(images: DataFrame, make: Callable[[], RemoteClient], model: str, path: str = "path", content: str = "content") -> DataFrame:
+def segment(images: DataFrame, make: Callable[[], RemoteClient], model: str, path: str = "path", content: str = "content", calls: Calls = Calls()) -> DataFrame:
     """(path, number, x, y, w, h, text, confidence, error): the boxes that a page service finds in each image, in its order.
 
     A failed image gives one row with ``error`` and no box; one without boxes gives none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
+        caller = Caller(make, calls)
+
+        def one(row: tuple) -> list[tuple]:
+            where, data = row[0], bytes(row[1] or b"")
+            try:
+                request = Request(model, "segment", Image(data, media_type(where or "", data)))
+                validate(request, needs_model=caller.client.needs_model)
+                return [(where, i, w["X"], w["Y"], w["Width"], w["Height"], w.get("Text") or "", float(w.get("Confidence", 0)), None) for i, w in enumerate(caller.segment(request), 1)]
+            except Exception as e:  # one row's failure
+                return [(where, None, None, None, None, None, None, None, mask(f"{getattr(e, 'kind', type(e).__name__)}: {e}"))]
+
         for batch in batches:
-            out = []
-            for where, data in zip(batch[path], batch[content], strict=True):
-                try:
-                    data = bytes(data or b"")
-                    request = Request(model, "segment", Image(data, media_type(where or "", data)))
-                    validate(request, needs_model=client.needs_model)
-                    found = client.segment(request)
-                    out += [(where, i, w["X"], w["Y"], w["Width"], w["Height"], w.get("Text") or "", float(w.get("Confidence", 0)), None) for i, w in enumerate(found, 1)]
-                except Exception as e:  # one row's failure
-                    out.append((where, None, None, None, None, None, None, None, mask(f"{getattr(e, 'kind', type(e).__name__)}: {e}")))
+            out = [box for boxes in caller.each(one, zip(batch[path], batch[content], strict=True)) for box in boxes]
             names = ["path", "number", "x", "y", "w", "h", "text", "confidence", "error"]
             yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in names[1:6]})
 

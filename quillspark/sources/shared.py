@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def file_system(path: str):
+    """pyarrow's file system of a path or URI, and the path in it: for what Python code opens itself."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: lineage ends, lost executors lose nothing.
 
