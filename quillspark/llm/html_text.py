@@ -3,8 +3,9 @@
 The standard library's streaming parser gives events; a *line* is the text between two block boundaries, with the tags
 seen since the line before. Its ratio is text length by tags. Ratios are smoothed by a Gaussian over neighbouring lines and
 split in two clusters by the threshold at which the clusters' means are equally far (1-D two-means). Lines of the upper
-cluster are seeds. The content region is the outermost article-like elements that hold seed text, or else the innermost
-element that holds most of it; all its lines are the text, apart from parts that are marked as menus, notices, forms and the like.
+cluster are seeds, and those with much text to a tag in any case. The content region is the outermost article-like elements that
+hold seed text, with the headings that lead to them; all its lines are the text, apart from parts that are marked as menus, notices, forms and the like.
+Where there is no such element, the region goes from the first seed to the last and on to what shares their elements.
 A form that holds most of the page's text is a wrapper, not a form.
 
 Null html is an empty page; a page with no such text gives an empty text. Unclosed and crossed tags are taken as they
@@ -49,6 +50,12 @@ MARKED = re.compile(
     re.IGNORECASE,
 )
 SIGMA = 1.0
+#: Characters to a tag from which on a line is text whatever the threshold says.
+TEXT = 30.0
+#: Links of a list that stand together and make a menu.
+MENU = 3
+#: Elements whose text belongs to what stands around them.
+BLOCKS = frozenset("p li ul ol dl dt dd pre blockquote h1 h2 h3 h4 h5 h6 table tbody thead tr td th figure figcaption".split())
 _NAME = re.compile("[a-zA-Z][^\\t\\n\\r\\f />\\x00]*")
 
 
@@ -277,8 +284,8 @@ def _within(elements: list, regions: set[int]) -> list[bool]:
     return inside
 
 
-def _regions(elements: list, held: list[int]) -> set[int]:
-    """The outermost article-like elements with seed text, each narrowed to one inside of it that has all of that text."""
+def _regions(elements: list, held: list[int]) -> dict[int, int]:
+    """The outermost article-like elements with seed text, each with the innermost such element in it that has all of that text."""
     around: list[int] = []  # the outermost article-like element of each one
     best: dict[int, int] = {}
     for n, (_, article, parent) in enumerate(elements):
@@ -288,7 +295,7 @@ def _regions(elements: list, held: list[int]) -> set[int]:
             best.setdefault(around[n], n)
             if held[n] == held[around[n]]:
                 best[around[n]] = n
-    return set(best.values())
+    return best
 
 
 def main_text(html: str) -> str:
@@ -300,32 +307,71 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     elements = parser.elements
-    ratios = smoothed(np.array([len(t) / tags for t, tags, *_ in lines], float))
-    seeds = ratios > threshold(ratios)
+    raw = np.array([len(t) / tags for t, tags, *_ in lines], float)
+    ratios = smoothed(raw)
+    cut = threshold(ratios)
+    # a line with so much text to a tag is text, however long others are
+    seeds = (ratios > cut) | (raw > TEXT)
     held = [0] * len(elements)
-    total = 0
     for (text, _, linked, number, _), seed in zip(lines, seeds, strict=True):
-        if seed and 2 * linked <= len(text):
-            total += len(text)
-            if number >= 0:
-                held[number] += len(text)
+        if seed and 2 * linked <= len(text) and number >= 0:
+            held[number] += len(text)
     for n in range(len(elements) - 1, -1, -1):
         parent = elements[n][2]
         if parent >= 0:
             held[parent] += held[n]
-    articles = _regions(elements, held)
-    if articles:
-        inside = _within(elements, articles)
-        return "\n\n".join(line[0] for line in lines if line[3] >= 0 and inside[line[3]])
-    most = [n for n, v in enumerate(held) if v and 10 * v >= 8 * total and elements[n][0] not in ("p", "li", "pre", "blockquote", "td")]
-    inside = _within(elements, {max(most)}) if most else []
-    own = [line for line in lines if not most or line[3] >= 0 and inside[line[3]]]
-    # a list of links is a menu; a link that stands alone among other lines is text
+    narrowed = _regions(elements, held)
+    if narrowed:
+        inside = [number >= 0 and within for number, within in zip((line[3] for line in lines), _of_lines(lines, _within(elements, set(narrowed.values()))), strict=True)]
+        around = _of_lines(lines, _within(elements, set(narrowed)))
+        # the headings that lead to it, outside of the inner element but in the outer one
+        for k in range(len(lines) - 2, -1, -1):
+            if not inside[k] and inside[k + 1] and around[k] and elements[lines[k][3]][0] in HEADINGS and 2 * lines[k][2] <= len(lines[k][0]):
+                inside[k] = True
+        return "\n\n".join(line[0] for line, kept in zip(lines, inside, strict=True) if kept)
+    # short lines beside long ones are seeds too; where the content ends, only the long ones tell
+    first, last = _span(lines, elements, seeds & (raw > min(cut, TEXT)))
+    own = lines[first:last]
+    # a list of nothing but links is a menu; links that stand among other lines are text
     link = [2 * line[2] > len(line[0]) for line in own]
-    menu = [a and (line[3] >= 0 and elements[line[3]][0] == "li" or before or after) for line, a, before, after in zip(own, link, [False, *link], [*link[1:], False], strict=False)]
+    menu = [False] * len(own)
+    for k in range(len(own)):
+        listed = link[k] and own[k][3] >= 0 and elements[own[k][3]][0] == "li"
+        menu[k] = listed and (k > 0 and menu[k - 1] or all(j < len(own) and link[j] for j in range(k, k + MENU)))
     return "\n\n".join(line[0] for line, m in zip(own, menu, strict=True) if not m)
 
 
+def _of_lines(lines: list, inside: list[bool]) -> list[bool]:
+    return [number >= 0 and inside[number] for *_, number, _ in lines]
+
+
+def _span(lines: list, elements: list, seeds: np.ndarray) -> tuple[int, int]:
+    """First line and end of the content, on a page without article-like elements.
+
+    It goes from the first to the last line that is a seed or stands in the same element as one, links aside, and takes in the
+    headings before that.
+    """
+
+    def container(k: int) -> int:
+        n = lines[k][3]
+        while n >= 0 and elements[n][0] in BLOCKS:
+            n = elements[n][2]
+        return n
+
+    link = [2 * line[2] > len(line[0]) for line in lines]
+    seed = [bool(s) and not a for s, a in zip(seeds, link, strict=True)]
+    if True not in seed:
+        seed = [not a for a in link]
+    if True not in seed:
+        return 0, len(lines)
+    homes = {container(k) for k, s in enumerate(seed) if s}
+    whole = [s or not a and container(k) in homes for k, (s, a) in enumerate(zip(seed, link, strict=True))]
+    first, last = whole.index(True), len(whole) - whole[::-1].index(True)
+    while first and not link[first - 1] and lines[first - 1][3] >= 0 and elements[lines[first - 1][3]][0] in HEADINGS:
+        first -= 1
+    return first, last
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for each row."""
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, url_col)]

@@ -102,7 +102,7 @@ def test_regions_against_paths():
         for n, p in enumerate(path):
             if elements[n][1] and held[n] and not any(elements[m][1] for m in p[:-1]):
                 want.add(max(m for m, q in enumerate(path) if n in q and elements[m][1] and held[m] == held[n]))
-        got = _regions(elements, held)
+        got = set(_regions(elements, held).values())
         assert got == want
         assert _within(elements, got) == [bool(want & set(p)) for p in path]
 
@@ -110,3 +110,59 @@ def test_regions_against_paths():
 def test_depth_costs_nothing_per_line():
     parser = _read("<div>" * 5000 + "<p>a</p>" * 5000, False)
     assert len(parser.lines) == 5000 and all(len(line) == 5 for line in parser.lines)
+
+
+def paragraphs(rnd, n):
+    return [" ".join(rnd.choice(["stone", "river", "of", "the", "winter", "light", "é", "old"]) for _ in range(rnd.randint(18, 60))) + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("element", ["div", "section", "article", "main"])
+def test_known_articles_in_random_wrappers(element):
+    """An article's blocks, dealt to nested elements at random, with menus and notices around: exactly its blocks come back."""
+    rnd = random.Random(8)
+    for _ in range(400):
+        blocks = [f"Title {rnd.randint(1, 99)}"] if rnd.random() < 0.8 else []
+        tags = ["h1"] * len(blocks)
+        for text in paragraphs(rnd, rnd.randint(2, 9)):
+            if rnd.random() < 0.25:
+                blocks.append(f"Part {rnd.randint(1, 99)}")
+                tags.append("h2")
+            blocks.append(text)
+            tags.append(rnd.choice(["p", "p", "p", "blockquote"]))
+            if rnd.random() < 0.2:
+                blocks.append("Yes.")
+                tags.append("p")
+        blocks += paragraphs(rnd, 1)
+        tags.append("p")
+        body, k = "", 0
+        while k < len(blocks):  # runs of blocks go to wrappers of their own, some of them nested
+            n = rnd.randint(1, 4)
+            while all(len(b) < 40 for b in blocks[k : k + n]):  # no wrapper holds short lines alone: nothing tells these from a notice
+                n += 1
+            run = "".join(f"<{t}>{b}</{t}>" for b, t in zip(blocks[k : k + n], tags[k : k + n], strict=False))
+            for _ in range(rnd.randint(0, 2)):
+                run = f"<div class='c{rnd.randint(0, 9)}'>{run}</div>"
+            body += run
+            k += n
+        if element in ("article", "main") or rnd.random() < 0.5:
+            body = f"<{element}>{body}</{element}>"
+        before = "".join(rnd.sample(["<nav><a href=a>A</a></nav>", "<div class=cookie-notice>We use cookies to give you the best of all experiences on this site</div>", "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>", "<header><h1>Site</h1></header>"], rnd.randint(0, 3)))
+        after = "".join(rnd.sample(["<footer>Imprint</footer>", "<div class=share>Tell your friends about this page today</div>", "<div><span>Imprint</span> <a href=c>Contact</a></div>", "<ul><li><a href=a>Older</a><li><a href=b>Newer</a></ul>", "<div class=comments><p>I have read this with the greatest interest, and more than once, too.</p></div>"], rnd.randint(0, 4)))
+        html = f"<html><body>{before}{body}{after}</body></html>"
+        assert main_text(html) == "\n\n".join(blocks), html
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div>{f'<p>{LONG}</p>' * 6}</div><div><p>{LONG} last</p></div>", "\n\n".join([LONG] * 6 + [f"{LONG} last"])),
+        (f"<div><section><p>{LONG}</p></section><section><p>{LONG}</p></section><section><p>{LONG * 3}</p></section></div>", f"{LONG}\n\n{LONG}\n\n{LONG * 3}"),
+        (f"<body><h1>Title</h1><p>{LONG}</p><div><p>{LONG}</p><p>{LONG}</p></div>", f"Title\n\n{LONG}\n\n{LONG}\n\n{LONG}"),
+        (f"<main><h1>Title</h1><article><p>{LONG}</p></article></main>", f"Title\n\n{LONG}"),
+        (f"<main><h1>Title</h1><p><a href=x>up</a></p><article><p>{LONG}</p></article></main>", LONG),
+        ("<div><p>Short one.</p><p>Short two.</p></div>", "Short one.\n\nShort two."),
+        ("<ul><li><a href=a>Only</a><li><a href=b>links</a></ul>", "Only\n\nlinks"),
+    ],
+)
+def test_whole_articles(html, text):
+    assert main_text(html) == text
