@@ -7,7 +7,7 @@ run, wherever it stands, has the same fingerprint.
 
 What is deleted are runs of lines: the shortest ones of ``LEAST`` words or more that begin with a line, and those that end
 with one; every line of a longer run is in one of them that lies inside it. A run can stand elsewhere only if the fingerprint
-chosen by its first line does. Runs whose fingerprint is repeated are compared by the hash of all their lines, and each but the
+chosen by its first line does. Runs whose fingerprint is repeated are compared by 128 bits of all their lines, and each but the
 earliest of equal ones goes, so nothing depends on which other place has the same gram.
 
 Order is by (doc_id, hash of the text, line number), nulls first. Rows with equal doc_id and text are one text: they
@@ -22,7 +22,7 @@ equi-joins, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut
 
@@ -32,10 +32,10 @@ _WORDS = r"[^ \t\n\x0B\f\r]+"
 
 
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k: the text's key; pos, h, w: line number, hash, words; b: words before the line; only lines with words."""
+    """k: the text's key; pos, h, h2, w: line number, hashes, words; b: words before the line; only lines with words."""
     texts = df.where(F.col(text_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).alias("k"), text_col)
     lines = texts.select("k", F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    lines = lines.select("k", "pos", F.xxhash64("line", F.length("line")).alias("h"), F.regexp_count("line", F.lit(_WORDS)).alias("w")).where("w > 0")
+    lines = lines.select("k", "pos", F.xxhash64("line", F.length("line")).alias("h"), F.xxhash64(F.lit(2), "line").alias("h2"), F.regexp_count("line", F.lit(_WORDS)).alias("w")).where("w > 0")
     lines = lines.repartition("k").dropDuplicates(["k", "pos"])  # rows with equal id and text; no second shuffle
     before = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("b", F.coalesce(F.sum("w").over(before), F.lit(0)).cast("bigint"))
@@ -48,12 +48,18 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ahead = by_place.rangeBetween(0, gram - 1)
     window = by_place.rangeBetween(0, gram)
     onward = by_place.rangeBetween(0, least - 1)
+
+    def both(window) -> Column:
+        """128 bits of a window's lines: runs are deleted by these alone."""
+        held = F.collect_list(F.struct("h", "h2")).over(window)
+        return F.struct(F.xxhash64(held).alias("a"), F.xxhash64(F.lit(2), held).alias("b"))
+
     lines = _numbered(df, id_col, text_col).withColumn("e", F.col("b") + F.col("w"))
     upto = by_text.orderBy("e").rangeBetween(1 - least, 0)
     lines = lines.withColumns({
         "total": F.max("e").over(by_text),
         "g": F.when(F.col("b") + gram <= F.max("e").over(by_text), F.xxhash64(F.collect_list("h").over(ahead))),
-        "run": F.xxhash64(F.collect_list("h").over(onward)),
+        "run": both(onward),
         "stop": F.last("pos").over(onward),
     })
     chosen = F.when(F.col("b") + 2 * gram <= F.col("total"), F.min(F.when(F.col("g").isNotNull(), F.struct("g", "pos"))).over(window))
@@ -63,7 +69,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # no run without ``least`` words; one that ends here and is also the one that begins with its first line isn't named twice
     begins = F.when(F.col("b") + least <= F.col("total"), F.struct("chosen.g", "run", F.col("pos").alias("start"), "stop"))
     first = F.first(F.struct("chosen.g", "pos", "stop")).over(upto)
-    ends = F.when((F.col("e") >= least) & (first.getField("stop") != F.col("pos")), F.struct(first.getField("g").alias("g"), F.xxhash64(F.collect_list("h").over(upto)).alias("run"), first.getField("pos").alias("start"), F.col("pos").alias("stop")))
+    ends = F.when((F.col("e") >= least) & (first.getField("stop") != F.col("pos")), F.struct(first.getField("g").alias("g"), both(upto).alias("run"), first.getField("pos").alias("start"), F.col("pos").alias("stop")))
     lines = cut(lines.select("k", F.when(F.array_contains(behind, F.col("pos")), F.col("g")).alias("picked"), begins.alias("begins"), ends.alias("ends")))
 
     often = lines.where("picked is not null").groupBy(F.col("picked").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .bloom import Sieve
 from .common import cut, map_batches, record_batch, text_bytes
@@ -256,7 +256,7 @@ def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR) -> DataFrame:
-    """(id, k, t, label) for each row: ``label`` is the number of its group of texts linked by a shingle similarity of ``similarity`` or more.
+    """(id, k, t, class, check, label) for each row: ``label`` is the number of its group of texts linked by a shingle similarity of ``similarity`` or more.
 
     Two majority bits apart means almost equal texts; texts of similarity 0.8 differ in ten bits of 64, where blocks and
     pivot distances discard nothing. So here buckets are bands of minimal shingle hashes: texts of similarity 0.8 meet in
@@ -267,27 +267,29 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingles, so no similar pair is lost; what is left is verified by the sets themselves.
 
     Texts with equal shingle sets are one class. Only the texts of classes that meet another one are fetched again,
-    once, through a filter of bounded size. ``k``, ``t``: see :func:`_keyed`.
+    once, through a filter of bounded size. ``k``, ``t``: see :func:`_keyed`. ``check``: 64 more bits of the shingle set than ``class``.
     """
     kind = df.schema[id_col].dataType.simpleString()
     texts = _keyed(df.select(id_col, text_col), id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, names, prints, sizes = [], [], [], []
+        keys, names, checks, prints, sizes = [], [], [], [], []
         for data in text_bytes(batch, text_col):  # one text's shingles at a time
             h = shingle_set(data, words)
             keys += band_keys(h)
             names.append(xxhash.xxh64_intdigest(h.tobytes()))
+            checks.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
             prints.append(parity(h))
             sizes.append(len(h))
-        keys, names, prints = np.array(keys, np.uint64).view(np.int64), np.array(names, np.uint64).view(np.int64), np.stack(prints)
+        keys, names, checks = (np.array(v, np.uint64).view(np.int64) for v in (keys, names, checks))
+        prints = np.stack(prints)
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
         return record_batch(**{
-            id_col: batch.column(2), "k": batch.column(0), "t": batch.column(1), "class": pa.array(names), "n": pa.array(sizes, pa.int32()),
+            id_col: batch.column(2), "k": batch.column(0), "t": batch.column(1), "class": pa.array(names), "check": pa.array(checks), "n": pa.array(sizes, pa.int32()),
             **{f: pa.array(np.ascontiguousarray(prints[:, j])) for j, f in enumerate(_F)}, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys)),
         })
 
-    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, k bigint, t bigint, class bigint, n int, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>"))
+    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, k bigint, t bigint, class bigint, check bigint, n int, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>"))
     keys = rows.select("class", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
     members = cut(keys.join(buckets, "key").distinct())
@@ -327,7 +329,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shingles = map_batches(sets.join(left.select("class"), "class", "left_semi"), exploded, "class bigint, s bigint")
         links = links.union(linked(cut(prefix_pairs(shingles, own.join(left, "class"), similarity))))
         label = components(links, "a", "b").select(F.col("node").alias("class"), "label")
-    return rows.select(id_col, "k", "t", "class").join(label, "class", "left").select(id_col, "k", "t", F.coalesce("label", "class").alias("label"))
+    return rows.select(id_col, "k", "t", "class", "check").join(label, "class", "left").select(id_col, "k", "t", "class", "check", F.coalesce("label", "class").alias("label"))
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR) -> DataFrame:
@@ -341,13 +343,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """The rows of ``df`` that stay: of each group of similar texts the one with the smallest id, nulls last.
 
     Rows are known by id and text, so unlike texts under one id, or under none, all stay; of rows with equal id and text one
-    stays. Rows of groups of one go straight through: only rows that a filter of bounded size takes for members
+    stays. Where two different shingle sets have one class's number, the whole group stays. Rows of groups of one go straight through: only rows that a filter of bounded size takes for members
     of a larger group meet the verdicts in a join.
     """
     rows = cut(similar_groups(df, id_col, text_col, words, similarity))
     own = F.struct(F.col(id_col).isNull().alias("null"), id_col, "k", "t")
-    groups = rows.groupBy("label").agg(F.min(own).alias("own"), F.count("*").alias("n")).where("n > 1")
-    stays = (F.col("k") == F.col("own.k")) & (F.col("t") == F.col("own.t"))
+    classes = rows.groupBy("label", "class").agg(F.min(own).alias("own"), F.count("*").alias("n"), (F.min("check") != F.max("check")).alias("odd"))
+    groups = classes.groupBy("label").agg(F.min("own").alias("own"), F.sum("n").alias("n"), F.bool_or("odd").alias("odd")).where("n > 1")
+    stays = F.col("odd") | (F.col("k") == F.col("own.k")) & (F.col("t") == F.col("own.t"))
     judged = cut(rows.join(groups, "label").select("k", "t", stays.alias("stays")).distinct())
     keyed, sieve = _keyed(df, id_col, text_col), Sieve(judged)
     names = [f"`{c}`" for c in df.columns]
@@ -355,6 +358,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     plain = keyed.toDF("__k", "__t", *df.columns)
     alone = sieve.rows(plain, "__k", "__t", False).select(*names)
     met = sieve.rows(plain, "__k", "__t").join(judged.toDF("__k", "__t", "__stays"), ["__k", "__t"], "left").where("__stays is null or __stays")
-    copy = F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__k"))
-    met = met.withColumn("__copy", copy).where("__stays is null or __copy = 1").select(*names)
+    whole = F.struct(*[F.col(n) for n in names]).alias("row")
+    once = met.where("__stays").groupBy("__k", "__t").agg(F.first(whole).alias("row")).select("row.*")
+    met = met.where("__stays is null").select(*names).union(once)
     return alone.union(met)
