@@ -147,8 +147,7 @@ def _rescored(spark: SparkSession, results: DataFrame, folder: str, a=None) -> D
     """Results with ``m``: scores against the transcripts that can still be read, by each store's options or by ``a``'s."""
     if not folder:
         return results.withColumn("m", F.lit(None).cast("struct<char_accuracy:double,word_similarity:double>"))
-    texts = M.texts_of(results, folder, "transcript").select(F.col("path").alias("__path"), F.col("text").alias("ref"))
-    rows = results.withColumn("__path", M.resolved(spark, F.col("transcript"))).join(texts, "__path", "left").drop("__path")
+    rows = M.with_texts(results, M.texts_of(results, folder, "transcript"), "transcript", "ref", "left")
     if a is not None and (a.override or a.ignore or a.single_line):
         return score(rows, "ref", "response", tuple(a.ignore or ()), bool(a.single_line))
     # options are few: one pass for each different setting

@@ -418,7 +418,9 @@ _NAMES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _NAMES}
+    from .files import QUERIES
+
+    return {f.__name__: f for f in (*_NAMES, *QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:

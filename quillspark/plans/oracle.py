@@ -229,4 +229,16 @@ SELECT k - 1 AS n, x[k] AS line FROM (SELECT x, unnest(range(1, 13)) AS k FROM l
     "summary_report": f"""{_scored(_PLAIN(_TURNS))}, l AS (SELECT ['=== SUMMARY STATISTICS ===', format('Total Evaluations: {{}}', count(*)), format('Average Character Similarity: {{:.3f}}', avg(char_similarity)), format('Average Character Accuracy: {{:.3f}}', avg(char_accuracy)),
   format('Average Word Similarity: {{:.3f}}', avg(word_similarity)), format('Average Word Accuracy: {{:.3f}}', avg(word_accuracy)), format('Average Word Error Rate: {{:.3f}}', avg(word_error_rate))] AS x FROM f)
 SELECT k - 1 AS n, x[k] AS line FROM (SELECT x, unnest(range(1, 8)) AS k FROM l)""",
+    "manifest_scan": "SELECT doc_id, text, 'say \"' || lang || '\",' || chr(10) || source AS said, true AS numbered FROM documents",
+    "external_eval": f"{_scored(_PLAIN(_TURNS))} SELECT conv_id, turn, false AS failed, {_ALL} FROM f WHERE conv_id % 10 <> 3 UNION ALL BY NAME SELECT conv_id, turn, true AS failed FROM f WHERE conv_id % 10 = 3",
+    "image_join": "SELECT page_id, md5(CASE WHEN page_id % 3 = 0 THEN '' ELSE to_base64(encode(html)) END) AS base64_md5, CASE WHEN page_id % 3 = 0 THEN 0 ELSE strlen(html) END AS n_bytes FROM pages",
+    "stored_transcripts": "SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN text END AS ref FROM conversations",
+    "store_round_trip": "SELECT conv_id || '.yaml' AS file, turn AS pos, 'm:' || conv_id AS model, 't' || turn AS identifier, text AS response, CASE WHEN conv_id % 5 = 0 THEN 1.0 ELSE turn % 8 / 8 END::DOUBLE AS char_similarity, role = 'user' AS public, length(text) AS input_tokens, '|' AS ignore, '5m0s' AS timeout FROM conversations",
+    "store_listing": "SELECT DISTINCT conv_id || '.yaml' AS file FROM conversations",
+    "manifest_short": """WITH r AS (SELECT doc_id, length(source) = 4 AS short, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx FROM documents)
+SELECT 'external' AS kind, row_idx, 'a/' || doc_id || '.png' AS transcript, 't/' || doc_id || '.txt' AS transcription, doc_id || '.png' AS identifier FROM r
+UNION ALL SELECT 'eval', row_idx, 'a/' || doc_id || '.png', 't/' || doc_id || '.txt', doc_id || '.png' FROM r WHERE NOT short""",
+    "line_words": f"""{_FOLD}, l AS (SELECT page, line, n, sum(n) OVER (PARTITION BY page ORDER BY line) AS upto FROM lines),
+w AS (SELECT page, x, y, w, h, row_number() OVER (PARTITION BY page ORDER BY pos) AS at FROM o)
+SELECT l.page, l.line, (w.at - l.upto + l.n)::BIGINT AS i, w.x, w.y, w.w, w.h FROM l JOIN w ON w.page = l.page AND w.at > l.upto - l.n AND w.at <= l.upto""",
 }

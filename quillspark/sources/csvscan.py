@@ -14,6 +14,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import sys
 from itertools import groupby
 
 import pyarrow as pa
@@ -42,7 +43,8 @@ def _after(state: bool, line: str) -> bool:
 
 
 def parsed(text: str) -> list[list[str]]:
-    """The rows of a text, blank lines left out."""
+    """The rows of a text, blank lines left out. A cell may be of any length."""
+    csv.field_size_limit(sys.maxsize)
     return [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
 
 

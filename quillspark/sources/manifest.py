@@ -99,6 +99,11 @@ def external_rows(manifest: DataFrame, folder: str = "") -> DataFrame:
     return rows.select("row_idx", field(0).alias("transcript"), field(1).alias("transcription"), base_name(field(0)).alias("identifier"))
 
 
+def base64_line(content: Column) -> Column:
+    """Base64 without the line breaks that the built-in function puts in."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, text) of whole files; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
@@ -108,12 +113,12 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, content, base64)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select(plain_path(F.col("path")).alias("path"), "content", F.base64("content").alias("base64"))
+    return files.select(plain_path(F.col("path")).alias("path"), "content", base64_line(F.col("content")).alias("base64"))
 
 
 def fetched(paths: DataFrame, get: Callable[[str], bytes] = http_get) -> DataFrame:
     """(path, content, base64) of the URLs among ``paths``; what fails is left out."""
-    return url_contents(paths, get).withColumn("base64", F.base64("content"))
+    return url_contents(paths, get).withColumn("base64", base64_line(F.col("content")))
 
 
 def contents_of(rows: DataFrame, folder: str, *columns: str, get: Callable[[str], bytes] = http_get, block: int = BLOCK) -> DataFrame:
@@ -134,7 +139,7 @@ def images_of(rows: DataFrame, folder: str, column: str = "image", get: Callable
     have = contents_of(rows, folder, column, get=get, block=block)
     wanted = rows.select(F.col(column).alias("named")).distinct()
     wanted = wanted.withColumn("path", resolved(rows.sparkSession, F.col("named")))
-    return have.join(wanted, "path").select(F.col("named").alias("path"), "content", F.base64("content").alias("base64"))
+    return have.join(wanted, "path").select(F.col("named").alias("path"), "content", base64_line(F.col("content")).alias("base64"))
 
 
 def bounded_base64(text: Column, limit: int) -> Column:
@@ -147,9 +152,9 @@ def _with_key(rows: DataFrame, path: str) -> DataFrame:
     return rows.withColumn("__path", resolved(rows.sparkSession, F.col(path)))
 
 
-def with_texts(rows: DataFrame, texts: DataFrame, path: str, into: str) -> DataFrame:
-    """Inner join on a path, relative or whole; what has no text is in :func:`without_texts`."""
-    return _with_key(rows, path).join(texts.select(F.col("path").alias("__path"), F.col("text").alias(into)), "__path").drop("__path")
+def with_texts(rows: DataFrame, texts: DataFrame, path: str, into: str, how: str = "inner") -> DataFrame:
+    """Join on a path, relative or whole; what has no text is in :func:`without_texts`, or has null by a ``left`` join."""
+    return _with_key(rows, path).join(texts.select(F.col("path").alias("__path"), F.col("text").alias(into)), "__path", how).drop("__path")
 
 
 def without_texts(rows: DataFrame, texts: DataFrame, path: str) -> DataFrame:

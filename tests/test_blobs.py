@@ -1,5 +1,6 @@
 """Files and URLs by name: what is read, what is not, and odd names."""
 
+import base64
 import http.server
 import threading
 
@@ -78,3 +79,12 @@ def test_empty_transcript_is_scored(spark, tmp_path):
     scored, bad = M.external_eval(spark, str(tmp_path / "m.csv"), str(tmp_path))
     assert [(r["m"]["char_accuracy"], r["m"]["word_error_rate"]) for r in scored.collect()] == [(1.0, 0.0)]
     assert bad.count() == 1  # the second cell isn't a path below the folder
+
+
+def test_base64_is_one_line(spark, tmp_path):
+    data = bytes(range(256)) * 3
+    (tmp_path / "a.png").write_bytes(data)
+    rows = spark.createDataFrame([(str(tmp_path / "a.png"),)], "image string")
+    for df in (M.images_of(rows, str(tmp_path)), M.read_images(spark, str(tmp_path))):
+        r = df.first()
+        assert bytes(r["content"]) == data and r["base64"] == base64.b64encode(data).decode()
