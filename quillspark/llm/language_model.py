@@ -27,7 +27,7 @@ import atexit
 import uuid
 import zlib
 from collections import OrderedDict, defaultdict
-from itertools import accumulate, chain, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -247,11 +247,11 @@ class Level:
 class Model:
     """The model in ``uri``: vocabulary, and the levels of order 2 and 3 as far as they are there. At most ``MAPPED`` files are mapped at a time."""
 
-    def __init__(self, uri: str, starts: tuple, shards: int, order: int, total: int):
-        self.uri, self.shards, self.order, self.total = uri, shards, order, total
+    def __init__(self, uri: str, parts: int, shards: int, order: int, total: int):
+        self.uri, self.parts, self.shards, self.order, self.total = uri, parts, shards, order, total
         #: Number of the first word of each part of the vocabulary, and the number of words.
-        self.starts = np.array(starts, np.int64)
-        self.parts, self.distinct = len(starts) - 1, starts[-1]
+        self.starts = _mapped(uri, "starts")[0]["starts"]
+        self.distinct = int(self.starts[-1])
         self.shift = np.uint64(max(1, self.distinct.bit_length()))
         if self.shift > 32:
             raise OverflowError("a bigram's key has 64 bits: at most 2**32 different words")
@@ -490,18 +490,20 @@ def _trained(df: DataFrame, id_col: str, text_col: str, order: int, least_count:
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(h)], "total": [int(n.sum())]})
 
     made = docs.mapInArrow(words, _BLOB).groupBy("shard").applyInArrow(vocabulary, "shard int, n bigint, total bigint")
-    sums = {r["shard"]: (r["n"], r["total"]) for r in made.collect()}  # one row for each part of the vocabulary
-    for p in set(range(parts)) - set(sums):
+    sums = made.toArrow()  # one row for each part of the vocabulary, some twenty bytes
+    sizes, at = np.zeros(parts, np.int64), sums.column("shard").to_numpy()
+    sizes[at] = sums.column("n").to_numpy()
+    for p in np.setdiff1d(np.arange(parts), at).tolist():
         _save(uri, f"words-{p}", {"hashes": np.empty(0, np.uint64), "counts": np.empty(0, np.int64)})
-    starts = (0, *accumulate(sums.get(p, (0, 0))[0] for p in range(parts)))
-    total = sum(t for _, t in sums.values())
+    _save(uri, "starts", {"starts": np.append(0, np.cumsum(sizes))})
+    total = int(sums.column("total").to_numpy().sum())
     shards = max(1, -(-total // shard_tokens))
-    rows = _numbered(docs, (uri, starts, shards, 1, total), id_col, text_col)
+    rows = _numbered(docs, (uri, parts, shards, 1, total), id_col, text_col)
     if order >= 2:
         rows.write.option("compression", "zstd").parquet(f"{uri}/tokens")
         rows = spark.read.schema(rows.schema).parquet(f"{uri}/tokens")
-        _levels(rows, (uri, starts, shards, 1, total), order, least_count, discount)
-    return (uri, starts, shards, order, total), rows
+        _levels(rows, (uri, parts, shards, 1, total), order, least_count, discount)
+    return (uri, parts, shards, order, total), rows
 
 
 _UNKNOWN = np.uint32(0xFFFFFFFF)
@@ -553,8 +555,7 @@ def _groups(tokens: pa.Array):
 
 def _levels(rows: DataFrame, have: tuple, order: int, least: tuple, discount: float) -> None:
     """Count, then write the levels: bigrams, and over them trigrams."""
-    uri, starts, shards = have[:3]
-    parts, spark = len(starts) - 1, rows.sparkSession
+    (uri, parts, shards), spark = have[:3], rows.sparkSession
 
     def grams(batches):
         model = _model(have)
@@ -610,13 +611,11 @@ def _levels(rows: DataFrame, have: tuple, order: int, least: tuple, discount: fl
     counted = rows.where("not held_out").select("tokens").mapInArrow(grams, _WORDS_BLOB)
     masses = counted.groupBy("shard").applyInArrow(merge, "part int, keys binary, counts binary, at int")
     done = {r[0] for r in masses.groupBy("part").applyInArrow(weights, "part int").collect()}  # one row for each part of the vocabulary
-    lengths = np.diff(starts)
+    lengths = np.diff(_mapped(uri, "starts")[0]["starts"])
     for p in set(range(parts)) - done:
         _save_weights(uri, p, np.zeros(lengths[p]))
 
     def bigrams(s: int, model: Model) -> dict:
-        if not _there(uri, f"counts2-{s}"):
-            return Level.parts(*[np.empty(0, np.int64)] * 2, np.empty(0), np.empty(0, np.int64), np.empty(0))
         raw = _mapped(uri, f"counts2-{s}")[0]
         context, word = model.split(np.cumsum(_restored(raw["keys"]), dtype=np.uint64))
         first = _starts(context)
@@ -627,8 +626,6 @@ def _levels(rows: DataFrame, have: tuple, order: int, least: tuple, discount: fl
         return Level.parts(context, word, np.log10(p), context[first], np.zeros(0))
 
     def trigrams(s: int, model: Model) -> dict:
-        if not _there(uri, f"counts3-{s}"):
-            return Level.parts(*[np.empty(0, np.int64)] * 2, np.empty(0), np.empty(0, np.int64), np.empty(0))
         raw = _mapped(uri, f"counts3-{s}")[0]
         pointers = EliasFano(raw["pointers"])
         size = np.diff(pointers.get(np.arange(pointers.n)))
@@ -655,15 +652,34 @@ def _levels(rows: DataFrame, have: tuple, order: int, least: tuple, discount: fl
             model = _model((*have[:3], 2, have[4]))
             for batch in batches:
                 for s in batch.column(0).to_pylist():
-                    # a level is complete once it has its name; its counts go then, and a second attempt finds it done
-                    if not _there(uri, f"level{k}-{s}"):
-                        _save(uri, f"level{k}-{s}", made(s, model))
-                        _drop(uri, f"counts{k}-{s}")
+                    _build(uri, k, s, lambda s=s: made(s, model))
                 yield batch
 
         spark.range(0, shards, 1, shards).mapInArrow(build, "id bigint").count()
 
 
+def _build(uri: str, k: int, s: int, made) -> None:
+    """Write a shard's level, once: it is complete as soon as it has its name, and then its counts go.
+
+    Another attempt at the same time may find no counts because the first has just dropped them. The level is
+    there by then; only if it isn't has the shard no n-grams.
+    """
+    name = f"level{k}-{s}"
+    if _there(uri, name):
+        return
+    if _there(uri, f"counts{k}-{s}"):
+        try:
+            level = made()
+        except OSError:
+            if not _there(uri, name):
+                raise
+            return
+        _save(uri, name, level)
+        _drop(uri, f"counts{k}-{s}")
+    elif not _there(uri, name):
+        _save(uri, name, Level.parts(*[np.empty(0, np.int64)] * 2, np.empty(0), np.empty(0, np.int64), np.empty(0)))
+
+
 def remove(model: tuple) -> None:
     """Delete a model's files."""
     store, path = _store(model[0])

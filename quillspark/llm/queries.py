@@ -16,7 +16,7 @@ from .prefix_trie import prefix_trie, spliced
 from .repetition import quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
-from .urls import LISTED, MIRRORS, filter_urls
+from .urls import filter_urls, named_domains
 from .windows import pack_windows
 
 
@@ -48,9 +48,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mirrors = spark.range(MIRRORS).select(F.concat(F.lit("mirror-"), "id", F.lit(".example.net")).alias("domain"))
-    listed = spark.createDataFrame([(d,) for d in LISTED], "domain string").union(mirrors)
-    found = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = filter_urls(pages, named_domains(pages))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -93,19 +92,19 @@ def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
 
-_OP6_SQL = """
+_OP6_SQL = r"""
 WITH p AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 r(name, start, says) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'allow'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-l(domain) AS (VALUES ('ads-track.example.com'), ('adult-x.example.net'), ('spam-farm.example.com'), ('casino-win.example.com'), ('cheap-pills.example.com'), ('free-bets.example.com') UNION ALL SELECT 'mirror-' || i || '.example.net' FROM range(200000) t(i)),
+l AS (SELECT DISTINCT regexp_extract(host, '(?:^|\.)((?:ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\..+)$', 1) AS domain FROM p),
 m AS (
   SELECT host, path, arg_max(name || start, length(name || start)) AS rule, arg_max(says, length(name || start)) AS says
   FROM (SELECT DISTINCT host, path FROM p) q, r WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY host, path)
 SELECT p.page_id, p.host, p.path, m.rule,
-  coalesce(m.says, CASE WHEN EXISTS (SELECT 1 FROM l WHERE p.host = domain OR ends_with(p.host, '.' || domain)) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.says, CASE WHEN EXISTS (SELECT 1 FROM l WHERE domain <> '' AND (p.host = domain OR ends_with(p.host, '.' || domain))) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
 """
 

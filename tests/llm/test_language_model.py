@@ -101,9 +101,56 @@ def test_many_shards_under_few_descriptors(spark, monkeypatch):
         resource.setrlimit(resource.RLIMIT_NOFILE, limit)
 
 
-def test_too_many_words_raise():
+def test_too_many_words_raise(tmp_path):
+    L._save(str(tmp_path), "starts", {"starts": np.array([0, 1 << 32])})
     with pytest.raises(OverflowError):
-        L.Model("/none", (0, 1 << 32), 1, 3, 1 << 40)
+        L.Model(str(tmp_path), 1, 1, 3, 1 << 40)
+
+
+def test_a_second_attempt_leaves_the_level_whole(tmp_path, monkeypatch):
+    """Whatever the first attempt has done by then: a level that is there stays, counts that are gone don't make an empty one."""
+    uri, one = str(tmp_path), np.array([0])
+    level = L.Level.parts(one, one, np.array([-1.0]), one, np.zeros(0))
+
+    def first():
+        L._save(uri, "level2-0", level)
+        L._drop(uri, "counts2-0")
+
+    def words():
+        return L.Level(L._mapped(uri, "level2-0")[0]).words.n
+
+    def begin():
+        for name in ("level2-0", "counts2-0"):
+            L._drop(uri, name)
+        L._save(uri, "counts2-0", {"keys": one})
+
+    for moment in range(4):  # the first attempt is done before the second one's n-th look
+        begin()
+        looks, there = [0], L._there
+
+        def look(uri, name, moment=moment, looks=looks, there=there):
+            if looks[0] == moment:
+                looks[0] += 1
+                first()
+            looks[0] += 1
+            return there(uri, name)
+
+        def made(moment=moment):
+            if moment == 3:
+                first()
+            L._mapped(uri, "counts2-0")
+            return level
+
+        with monkeypatch.context() as m:
+            m.setattr(L, "_there", look)
+            L._build(uri, 2, 0, made)
+        assert words() == 1
+    L._drop(uri, "level2-0")
+    L._build(uri, 2, 0, lambda: level)  # no counts at all: a shard without n-grams
+    assert words() == 0
+    begin()
+    with pytest.raises(OSError, match="lost"):
+        L._build(uri, 2, 0, lambda: (_ for _ in ()).throw(OSError("lost")))
 
 
 @pytest.mark.parametrize("order", [1, 2])
