@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import layout as L
 from ..sources import evalstore as E
 from ..sources import manifest as M
+from ..sources import providers as P
 from ..sources import store as S
 from ..sources.shared import cut, file_system, shared_dir
 from . import catalog as C
@@ -143,4 +144,60 @@ def line_words(spark, sf_dir):
     return C._rounded(words.select("page", "line", (F.col("i") + 1).alias("i"), "b.x", "b.y", "b.w", "b.h"))
 
 
-QUERIES = (manifest_scan, external_eval, image_join, stored_transcripts, store_round_trip, store_listing, manifest_short, line_words)
+@F.pandas_udf(T.StructType([T.StructField("endpoint", T.StringType()), T.StructField("audience", T.StringType())]))
+def _service(url: pd.Series) -> pd.DataFrame:
+    def read(u: str) -> tuple:
+        try:
+            return P.endpoint(u, "v1", "a b"), P.audience_of(u)
+        except P.ServiceError:
+            return None, P.audience_of(u)
+
+    return pd.DataFrame(map(read, url), columns=["endpoint", "audience"])
+
+
+def service_urls(spark, sf_dir):
+    """Pages' addresses as those of services: what may be called, and for whom tokens are asked."""
+    url, kind = F.col("url"), F.pmod("page_id", F.lit(6))
+    odd = ((1, "http", "ftp"), (2, "://", "://u:p@"), (3, "/en/", "/e%6E/"), (4, "example.net", "run.app"))
+    made = url
+    for k, old, new in odd:
+        made = F.when(kind == k, F.replace(url, F.lit(old), F.lit(new))).otherwise(made)
+    return C._table(spark, sf_dir, "pages").select("page_id", _service(made).alias("s")).select("page_id", "s.endpoint", "s.audience")
+
+
+@F.pandas_udf(T.BooleanType())
+def _valid(model: pd.Series, prompt: pd.Series, temperature: pd.Series, image: pd.Series, kind: pd.Series, needs_model: pd.Series) -> pd.Series:
+    def check(m, p, t, i, k, needs) -> bool:
+        try:
+            P.validate(P.Request(m, p, P.Image(i, k), t), needs_model=needs)
+        except P.ServiceError:
+            return False
+        return True
+
+    return pd.Series(list(map(check, model, prompt, temperature, image, kind, needs_model)))
+
+
+def request_check(spark, sf_dir):
+    """Turns as requests with models, prompts, temperatures and images of all kinds, to a service that needs a model's name and to one that doesn't."""
+    kind = F.pmod("turn", F.lit(5))
+    model = F.when(kind == 0, "m").when(kind == 1, " m").when(kind == 2, F.repeat(F.lit("m"), 2000)).when(kind == 3, "").otherwise(F.col("text"))
+    prompt = F.when(F.pmod("conv_id", F.lit(7)) == 0, " \n").otherwise(F.col("text"))
+    image = F.when(F.pmod("conv_id", F.lit(5)) == 0, "").otherwise(F.col("text")).cast("binary")
+    media = F.when(F.pmod("conv_id", F.lit(3)) == 0, "text/plain").otherwise("Image/PNG")
+    ask = lambda needs: _valid(model, prompt, (F.col("turn") - 1).cast("double"), image, media, F.lit(needs))
+    return C._table(spark, sf_dir, "conversations").select("conv_id", "turn", ask(True).alias("valid"), ask(False).alias("valid_without_model"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("seconds", T.DoubleType())]))
+def _duration(seconds: pd.Series) -> pd.DataFrame:
+    texts = [S.duration_text(x) for x in seconds]
+    return pd.DataFrame({"text": texts, "seconds": [S.duration_seconds(t) for t in texts]})
+
+
+def stored_durations(spark, sf_dir):
+    """Timeouts as stores have them, and back."""
+    rows = C._table(spark, sf_dir, "orders").select("o_orderkey", _duration((F.pmod("o_orderkey", F.lit(20_011)) / 2).cast("double")).alias("d"))
+    return rows.select("o_orderkey", "d.text", "d.seconds")
+
+
+QUERIES = (service_urls, request_check, stored_durations, manifest_scan, external_eval, image_join, stored_transcripts, store_round_trip, store_listing, manifest_short, line_words)

@@ -241,4 +241,12 @@ UNION ALL SELECT 'eval', row_idx, 'a/' || doc_id || '.png', 't/' || doc_id || '.
     "line_words": f"""{_FOLD}, l AS (SELECT page, line, n, sum(n) OVER (PARTITION BY page ORDER BY line) AS upto FROM lines),
 w AS (SELECT page, x, y, w, h, row_number() OVER (PARTITION BY page ORDER BY pos) AS at FROM o)
 SELECT l.page, l.line, (w.at - l.upto + l.n)::BIGINT AS i, w.x, w.y, w.w, w.h FROM l JOIN w ON w.page = l.page AND w.at > l.upto - l.n AND w.at <= l.upto""",
+    "service_urls": """WITH m AS (SELECT page_id, CASE page_id % 6 WHEN 1 THEN replace(url, 'http', 'ftp') WHEN 2 THEN replace(url, '://', '://u:p@') WHEN 3 THEN replace(url, '/en/', '/e%6E/') WHEN 4 THEN replace(url, 'example.net', 'run.app') ELSE url END AS u FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(u, '^https?://[^/@?#]+(/[^?#%]*)?$') THEN rtrim(u, '/') || '/v1/a%20b' END AS endpoint,
+  CASE WHEN regexp_matches(u, '^https://[^/?#]*[.]run[.]app([/?#]|$)') THEN regexp_extract(u, '^(https://[^/?#]*)', 1) ELSE '' END AS audience FROM m""",
+    "request_check": """WITH m AS (SELECT conv_id, turn, conv_id % 7 <> 0 AND turn >= 1 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0 AS other,
+  CASE turn % 5 WHEN 0 THEN true WHEN 4 THEN strlen(text) <= 1024 AND NOT regexp_matches(text, '^\\s|\\s$|[\\r\\n]') ELSE false END AS named, turn % 5 = 3 AS nameless FROM conversations)
+SELECT conv_id, turn, other AND named AS valid, other AND (named OR nameless) AS valid_without_model FROM m""",
+    "stored_durations": """WITH s AS (SELECT o_orderkey, o_orderkey % 20011 AS halves FROM orders), t AS (SELECT o_orderkey, halves / 2 AS seconds, halves // 7200 AS h, halves // 120 % 60 AS m, halves % 120 AS rest FROM s)
+SELECT o_orderkey, CASE WHEN seconds = 0.5 THEN '500ms' ELSE CASE WHEN h > 0 THEN h || 'h' || m || 'm' WHEN m > 0 THEN m || 'm' ELSE '' END || rest // 2 || CASE WHEN rest % 2 = 1 THEN '.5' ELSE '' END || 's' END AS text, seconds::DOUBLE AS seconds FROM t""",
 }
