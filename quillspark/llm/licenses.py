@@ -49,7 +49,31 @@ TEMPLATES = (
     ("artistic", "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package", ("semblance of artistic control",)),
     ("cc0", "has waived all copyright and related or neighboring rights to this work. This work is published under CC0 1.0 Universal", ("cc0 1 0 universal",)),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("commons attribution 4 0",)),
-    ("cc-by", "licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by", "licensed under CC BY 4.0", ("under cc by 4 0",)),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 3.0 Unported License", ("commons attribution 3 0",)),
+    ("cc-by", "licensed under CC BY 3.0", ("under cc by 3 0",)),
+    ("cc-by", "License: CC BY 4.0", ("license cc by 4 0",)),
+    ("cc-by", "creativecommons.org/licenses/by/4.0", ("creativecommons org licenses by 4 0",)),
+    ("cc-by", "creativecommons.org/licenses/by/3.0", ("creativecommons org licenses by 3 0",)),
+    ("cc-by-sa", "creativecommons.org/licenses/by-sa/4.0", ("creativecommons org licenses by sa",)),
+    ("cc-by-nc", "creativecommons.org/licenses/by-nc/4.0", ("creativecommons org licenses by nc 4 0",)),
+    ("cc-by-nc-sa", "creativecommons.org/licenses/by-nc-sa/4.0", ("creativecommons org licenses by nc sa",)),
+    ("cc-by-nd", "creativecommons.org/licenses/by-nd/4.0", ("creativecommons org licenses by nd",)),
+    ("cc0", "creativecommons.org/publicdomain/zero/1.0", ("creativecommons org publicdomain zero",)),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation", ("gnu free documentation license",)),
+    ("lgpl", "GNU Library General Public License version 2", ("gnu library general public license",)),
+    ("epl", "Eclipse Public License - v 2.0. The accompanying program is provided under the terms of this Eclipse Public License (\"Agreement\")", ("terms of this eclipse public license",)),
+    ("mit", "SPDX-License-Identifier: MIT", ("spdx license identifier mit",)),
+    ("apache", "SPDX-License-Identifier: Apache-2.0", ("spdx license identifier apache 2 0",)),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later", ("spdx license identifier gpl",)),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later", ("spdx license identifier lgpl",)),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-or-later", ("spdx license identifier agpl",)),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause", ("spdx license identifier bsd",)),
+    ("isc", "SPDX-License-Identifier: ISC", ("spdx license identifier isc",)),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0", ("spdx license identifier mpl 2 0",)),
+    ("epl", "SPDX-License-Identifier: EPL-2.0", ("spdx license identifier epl 2 0",)),
+    ("unlicense", "SPDX-License-Identifier: Unlicense", ("spdx license identifier unlicense",)),
+    ("cc0", "SPDX-License-Identifier: CC0-1.0", ("spdx license identifier cc0 1 0",)),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("attribution sharealike",)),
     ("cc-by-sa", "licensed under CC BY-SA 4.0", ("cc by sa",)),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("attribution noncommercial 4 0",)),
