@@ -18,6 +18,7 @@ and the named columns alone, so other columns, whatever their names, don't matte
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,6 +40,9 @@ GROUP = 64
 # where giving back can't help.
 _FORM = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _SPLIT = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Characters of white space in a row that aren't left to the pattern's backtracking, whose stack ends at a million.
+LONG = 100_000
+_GAP = re.compile(rf"\s{{{LONG}}}")
 
 
 class Encoder:
@@ -46,8 +50,8 @@ class Encoder:
 
     The vocabulary's numbers are the order of its merges, so they serve as ranks, and by ranks a text is encoded four times as fast as
     by the library whose file this is. That holds for texts in Latin-1, whose letters, digits and spaces are the same to
-    every library. All others, those with a mark of a special token, and all texts of a tokenizer of another form go
-    through its own library.
+    every library. All others, those with a mark of a special token or with white space too long for the ranks' pattern, and all
+    texts of a tokenizer of another form go through its own library.
     """
 
     def __init__(self, path: str):
@@ -60,7 +64,7 @@ class Encoder:
         self.ranked = _ranked(form) if form["pre_tokenizer"] == _FORM and form["normalizer"] is None and form["model"]["type"] == "BPE" else None
 
     def encode(self, text: str) -> bytes:
-        if self.ranked and not any(s in text for s in self.special):
+        if self.ranked and not any(s in text for s in self.special) and (len(text) < LONG or not _GAP.search(text)):
             try:
                 text.encode("latin-1")
                 return np.array(self.ranked(text), "<u4").tobytes()

@@ -28,7 +28,7 @@ def test_ids(plain):
     assert encoder.ranked
     latin = [chr(i) for i in range(256)] + [" ", "\n", "  ", "'s", "'re", "the", "\r\n"] * 12
     made = ["".join(rnd.choice(of) for _ in range(rnd.randint(0, 12))) for of in (PARTS, latin) for _ in range(4000)]
-    made += [r[1] for r in texts() if r[1]] + ["x" * 20000, "ab" * 9000 + " " * 5000]
+    made += [r[1] for r in texts() if r[1]] + ["x" * 20000, "ab" * 9000 + " " * 5000, "a" + " " * (W.LONG - 1) + "b", " " * (W.LONG + 5) + "b", "\n" * 1_200_000 + "c", " " * 1_200_000]
     for t in made:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain(t), t
 
