@@ -21,6 +21,12 @@ from ..sources import store as Y
 from ..sources.manifest import cell_path, select_rows
 
 SIX = 6
+#: Pictures that one task has: with more rows there are more tasks, not larger ones.
+PICTURES = 5_000
+
+
+def _tasks(spark: SparkSession, rows: int, each: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -389,8 +395,14 @@ def components(spark, sf_dir):
     """A picture of 100 x 60 for each part: one dark bar, one mark too small and one that touches it by a corner alone."""
     x, y, w, h = (F.pmod("p_partkey", F.lit(40)) + 5), (F.pmod("p_partkey", F.lit(30)) + 4), (F.pmod("p_partkey", F.lit(39)) + 8), (F.pmod("p_partkey", F.lit(3)) + 9)
     rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), *[c.cast("int").alias(n) for n, c in zip("xywh", (x, y, w, h), strict=True)])
-    inside = lambda i: ((i % 100).between(F.col("x"), F.col("x") + F.col("w") - 1) & F.floor(i / 100).between(F.col("y"), F.col("y") + F.col("h") - 1)) | ((i % 100 == F.col("x") + F.col("w")) & (F.floor(i / 100) == F.col("y") + F.col("h"))) | (i == 5999)
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5999)), lambda i: F.when(inside(i), "00").otherwise("FF")), ""))
+    # keys are few bytes and pictures many: the keys' files alone would make a few tasks
+    rows = rows.repartition(_tasks(spark, rows.count(), PICTURES))
+    blank, dark = (lambda n: F.repeat(F.lit("FF"), n.cast("int"))), (lambda n: F.repeat(F.lit("00"), n.cast("int")))
+    x, y, w, h = map(F.col, "xywh")
+    # a line of the bar so many times, then the corner's line, then the last pixel
+    bar = F.repeat(F.concat(blank(x), dark(w), blank(100 - x - w)), h)
+    data = F.unhex(F.concat(blank(100 * y), bar, blank(x + w), F.lit("00"), blank(5998 - (y + h) * 100 - x - w), F.lit("00")))
+    data = F.coalesce(data, F.unhex(F.concat(F.repeat(F.lit("FF"), F.lit(5999)), F.lit("00"))))
     image = F.struct(F.col("part").cast("string").alias("origin"), F.lit(60).alias("height"), F.lit(100).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
     found = L.detect_components(rows.select(image.alias("image")), preprocess=False)
     return _rounded(found.select(F.col("path").cast("bigint").alias("part"), "x", "y", "w", "h"))
