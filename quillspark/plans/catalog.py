@@ -21,8 +21,8 @@ from ..sources import store as Y
 from ..sources.manifest import cell_path, select_rows
 
 SIX = 6
-#: Pictures that one task has: with more rows there are more tasks, not larger ones.
-PICTURES = 5_000
+#: Line items, and pictures, that one task has: with more rows there are more tasks, not larger ones.
+BOXES, PICTURES = 250_000, 5_000
 
 
 def _tasks(spark: SparkSession, rows: int, each: int) -> int:
@@ -54,13 +54,24 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["conv_id", "turn"])
 
 
+def _by_page(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by page to tasks of at most about ``BOXES`` line items, which windows, groups and joins by page then leave as they are."""
+    return rows.repartition(_tasks(spark, _table(spark, sf_dir, "lineitem").count(), BOXES), "page")
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("int")
-    return t.select(
+    rows = t.select(
         F.col("l_orderkey").alias("page"), (F.pmod("l_partkey", F.lit(40)) * 9).cast("int").alias("x"), (F.pmod("l_suppkey", F.lit(9)) * 7).cast("int").alias("y"),
         (F.pmod(q, F.lit(31)) + 4).cast("int").alias("w"), (F.pmod(q, F.lit(17)) + F.col("l_linenumber") + 5).cast("int").alias("h"),
-    ).distinct()
+    )
+    return _by_page(spark, sf_dir, rows).distinct()
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _by_page(spark, sf_dir, L.fold_lines(boxes(spark, sf_dir)))
+    return lines.select("*", F.lit(400).alias("page_w"), F.lit(90).alias("page_h"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -305,8 +316,7 @@ def hocr_pages(spark, sf_dir):
 
 
 def hocr_tree(spark, sf_dir):
-    lines = L.fold_lines(boxes(spark, sf_dir)).select("*", F.lit(400).alias("page_w"), F.lit(90).alias("page_h"))
-    return _rounded(H.flatten(H.response(lines)))
+    return _rounded(H.flatten(H.response(_lines(spark, sf_dir))))
 
 
 def segment_check(spark, sf_dir):
@@ -387,8 +397,7 @@ def bounded_base64(spark, sf_dir):
 
 
 def basic_hocr(spark, sf_dir):
-    lines = L.fold_lines(boxes(spark, sf_dir)).select("*", F.lit(400).alias("page_w"), F.lit(90).alias("page_h"))
-    return H.basic(H.response(lines))
+    return H.basic(H.response(_lines(spark, sf_dir)))
 
 
 def components(spark, sf_dir):
