@@ -39,16 +39,19 @@ def write_files(rows: DataFrame, folder: str) -> None:
     """Write ``content`` to the file ``name`` below ``folder`` for each row, by the tasks that have the rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, at = file_system(folder)
+        (system, at), made = file_system(folder), set()
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
                 path = f"{at}/{name}"
-                system.create_dir(path.rpartition("/")[0], recursive=True)
+                if (parent := path.rpartition("/")[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with system.open_output_stream(path) as out:
                     out.write(bytes(content))
             yield pd.DataFrame({"n": [len(batch)]})
 
-    rows.select("name", F.col("content").cast("binary")).mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+    rows = rows.select("name", F.col("content").cast("binary")).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    rows.mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
 
 
 def _quoted(cell: Column) -> Column:

@@ -49,6 +49,20 @@ def test_odd_names_blocks_and_other_folders(spark, tmp_path, block):
     assert got(B.file_contents(named(spark).where("path is not null"), f"{tmp_path}/in", block)) == {}
 
 
+def test_many_files_are_read_where_their_names_are(spark, tmp_path, monkeypatch):
+    names = ["a b%41#?.txt", ".hidden", "_x", "_x=1", "d/_y/z.txt", "d/e.txt", "empty.txt", "large.txt", *map(str, range(50))]
+    for n in names:
+        f = tmp_path / "in" / n
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"" if n == "empty.txt" else n.encode() * (100_000 if n == "large.txt" else 1))
+    ask = named(spark, *[f"{tmp_path}/in/{n}" for n in names], f"{tmp_path}/in/d", f"{tmp_path}/in/none", f"{tmp_path}/in/e/mpty.txt")
+    want = got(B.file_contents(ask, f"{tmp_path}/in", 1000))
+    assert len(want) == len(names) - 3
+    monkeypatch.setattr(B, "_by_driver", None)  # neither listed nor named to the driver
+    monkeypatch.setattr(B, "HANDED", 1000)
+    assert got(B.file_contents(ask, f"{tmp_path}/in", 20)) == want
+
+
 class Broken(http.server.BaseHTTPRequestHandler):
     def do_GET(self):
         body = {"/short": b"HTTP/1.1 200 OK\r\nContent-Length: 50\r\n\r\nhalf", "/line": b"no status at all\r\n\r\n", "/good": b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\ngood", "/gone": b"HTTP/1.1 404 Not Found\r\nContent-Length: 4\r\n\r\nnone"}
