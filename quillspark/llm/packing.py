@@ -30,8 +30,6 @@ from .common import cut, map_batches, record_batch
 CAPACITY = 4096
 END = 1
 SHARD = 32768
-#: Pieces up to which a bin's pairs are looked at: where bins hold more, best fit alone leaves next to nothing to gain.
-PAIRED = 12
 #: Shares of the bins that give in a round, one after the other.
 SHARES = (0.1, 0.5, 0.9, 0.002, 0.3, 0.7, 0.02, 0.98)
 #: Words whose token ids a worker keeps; more are forgotten and looked up anew.
@@ -186,6 +184,26 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _pairs(held: list[int], size: list[int]) -> list[tuple[int, int]]:
+    """Pairs of a bin's pieces, one for each two lengths: no other pair of these could do more.
+
+    A bin has few different lengths (at most 90 of sum 4096), so there are few pairs whatever the number of pieces.
+    """
+    of: dict[int, list[int]] = {}
+    for i in held:
+        own = of.setdefault(size[i], [])
+        if len(own) < 2:
+            own.append(i)
+    some = [i for own in of.values() for i in own]
+    seen, out = set(), []
+    for k, i in enumerate(some):
+        for j in some[k + 1 :]:
+            if (both := size[i] + size[j]) not in seen:
+                seen.add(both)
+                out.append((i, j))
+    return out
+
+
 class _Index:
     """Pieces and pairs of pieces of the bins that give, by length and then from the fuller to the emptier bin."""
 
@@ -196,7 +214,7 @@ class _Index:
 
     def _entries(self, b: int) -> tuple[list, list]:
         held, size, back = self.bins[b], self.lengths, -self.fill[b]
-        double = [(size[i] + size[j], back, b, (i, j)) for k, i in enumerate(held) for j in held[k + 1 :]] if len(held) <= PAIRED else []
+        double = [(size[i] + size[j], back, b, (i, j)) for i, j in _pairs(held, size)]
         return [(size[i], back, b, (i,)) for i in held], double
 
     def fill_in(self, some: list[int]) -> None:
@@ -226,7 +244,7 @@ class _Index:
         """(gives, its bin, takes back): the exchange that raises the squared fills of ``target`` and a bin that gives most."""
         held, size, full = self.bins[target], self.lengths, self.fill[target]
         room, best, most = capacity - full, None, 0
-        backs = [(), *((i,) for i in held), *(((i, j) for k, i in enumerate(held) for j in held[k + 1 :]) if len(held) <= PAIRED else ())]
+        backs = [(), *((i,) for i in held), *_pairs(held, size)]
         for back in backs:
             own = sum(size[i] for i in back)
             # a move or one for one or two, two for one

@@ -141,3 +141,12 @@ def test_all_bins_are_searched(low, high, most):
     rnd = random.Random(1)
     began = time.monotonic()
     assert len(K.pack_lengths([rnd.randint(low, high) for _ in range(1500)])) <= most and time.monotonic() - began < 10
+
+
+def test_pairs_of_bins_with_many_pieces():
+    # bins of 14 to 40 pieces: without their pairs the search ended at 1561
+    rnd = random.Random(5)
+    sizes = [rnd.choice(range(100, 291)) for _ in range(32768)]
+    bins = K.pack_lengths(sizes)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in bins) <= K.CAPACITY
+    assert len(bins) == -(-sum(sizes) // K.CAPACITY) == 1560
