@@ -44,6 +44,14 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot %d" % k) for k in range(n)], np.uint64)
 
 
+def majority(h: np.ndarray) -> bytes:
+    """What over half of the hashes have in each bit: eight bytes, most significant first."""
+    h, ones = h.astype(">u8"), np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
 def fingerprint(data: bytes, words: int = 3) -> bytes:
     """Eight bytes, most significant first."""
     w = data.lower().split()
@@ -51,11 +59,7 @@ def fingerprint(data: bytes, words: int = 3) -> bytes:
         return bytes(8)
     shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     n = max(1, len(w) - words + 1)
-    h = np.fromiter(map(_hash, shingles), np.uint64, n).astype(">u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > n).tobytes()
+    return majority(np.fromiter(map(_hash, shingles), np.uint64, n))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -167,7 +171,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-# --- similar texts: an exact bound in place of the majority's two bits, buckets from the shingles themselves ------------
+# --- similar texts: buckets from linked fingerprints and from the shingles themselves, pairs verified by the sets --------
 
 SIMILAR = 0.8
 BANDS, ROWS = 12, 3
@@ -255,11 +259,19 @@ def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     return rest.join(mixed, "key", "left_semi").select("class", "label").distinct()
 
 
+def print_buckets(rows: DataFrame) -> DataFrame:
+    """(class, key) of rows with ``class`` and ``fp``: the component of the class's fingerprint, linked as in :func:`links`."""
+    classes = cut(rows.select("class", "fp").distinct())
+    label = components(links(classes.select("fp").distinct()), "a", "b").select(F.col("node").alias("fp"), "label")
+    return classes.join(label, "fp", "left").select("class", F.coalesce("label", "fp").alias("key"))
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """(id, k, t, class, check, label) for each row: ``label`` is the number of its group of texts linked by a shingle similarity of ``similarity`` or more.
 
-    Two majority bits apart means almost equal texts; texts of similarity 0.8 differ in ten bits of 64, where blocks and
-    pivot distances discard nothing. So here buckets are bands of minimal shingle hashes: texts of similarity 0.8 meet in
+    Buckets are of two kinds. The one is SimHash by pivot distance tables: the components of the fingerprints of the shingle sets,
+    linked within two bits (:func:`links`). That finds almost equal texts; those of similarity 0.8 differ in ten bits of
+    64, where blocks and pivot distances discard nothing. So the other is bands of minimal shingle hashes: texts of similarity 0.8 meet in
     at least one of twelve with a chance of 0.9998. In a bucket every text is paired with the first and the last class of it,
     so rows grow with the texts whatever the bucket's size, and large groups are connected through these. Where that leaves a
     bucket in several groups, its other texts are compared across groups by an exact prefix filter over their shingle
@@ -273,24 +285,26 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _keyed(df.select(id_col, text_col), id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, names, checks, prints, sizes = [], [], [], [], []
+        keys, names, checks, prints, majorities, sizes = [], [], [], [], [], []
         for data in text_bytes(batch, text_col):  # one text's shingles at a time
             h = shingle_set(data, words)
             keys += band_keys(h)
             names.append(xxhash.xxh64_intdigest(h.tobytes()))
             checks.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
             prints.append(parity(h))
+            majorities.append(majority(h))
             sizes.append(len(h))
         keys, names, checks = (np.array(v, np.uint64).view(np.int64) for v in (keys, names, checks))
         prints = np.stack(prints)
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
         return record_batch(**{
             id_col: batch.column(2), "k": batch.column(0), "t": batch.column(1), "class": pa.array(names), "check": pa.array(checks), "n": pa.array(sizes, pa.int32()),
+            "fp": pa.array(np.frombuffer(b"".join(majorities), ">i8").astype(np.int64)),
             **{f: pa.array(np.ascontiguousarray(prints[:, j])) for j, f in enumerate(_F)}, "bands": pa.ListArray.from_arrays(offsets, pa.array(keys)),
         })
 
-    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, k bigint, t bigint, class bigint, check bigint, n int, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>"))
-    keys = rows.select("class", F.explode("bands").alias("key"))
+    rows = cut(map_batches(texts, run, f"`{id_col}` {kind}, k bigint, t bigint, class bigint, check bigint, n int, fp bigint, {', '.join(f'{f} bigint' for f in _F)}, bands array<bigint>"))
+    keys = rows.select("class", F.explode("bands").alias("key")).union(print_buckets(rows))
     buckets = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
     members = cut(keys.join(buckets, "key").distinct())
     one = rows.join(members.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("k", "t")).alias("row"), *[F.min(c).alias(c) for c in ("n", *_F)])
