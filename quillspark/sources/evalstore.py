@@ -19,6 +19,7 @@ import json
 import posixpath
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,11 +27,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from .shared import file_system
-from .store import CONFIG_KEYS, CONFIG_TYPE, RESULT_KEYS, RESULT_TYPE, parsed_store, result_yaml, yaml
+from .store import CONFIG_KEYS, CONFIG_TYPE, RESULT_KEYS, RESULT_TYPE, dumped, loaded, parsed_store, result_yaml
 
 SCHEMA = f"file string, pos int, model string, provider string, timestamp string, ignorepatterns array<string>, singleline boolean, {RESULT_TYPE}, config struct<{CONFIG_TYPE}>, error string"
 #: Files that one task reads, unless the option ``files`` says otherwise.
 FILES = 64
+#: Files that the driver moves at a time: on far stores a move is a wait.
+_MOVERS = 16
 _JOURNAL = ".moving-"
 _ASIDE = ".aside-"
 _HEAD = re.compile(r"^results:", re.M)
@@ -68,9 +71,15 @@ def recover(folder: str) -> None:
 
 def _carry_out(system, at: str, journal: str) -> None:
     body = json.loads(_get(system, f"{at}/{journal}"))
-    for aside, name in body["moves"]:
+
+    def move(pair: list) -> None:
+        aside, name = pair
         if _exists(system, f"{at}/{body['aside']}/{aside}"):
             system.move(f"{at}/{body['aside']}/{aside}", f"{at}/{name}")
+
+    with ThreadPoolExecutor(_MOVERS) as pool:  # each name is there once, so the order doesn't matter
+        for _ in pool.map(move, body["moves"]):
+            pass
     if _exists(system, f"{at}/{body['aside']}"):
         system.delete_dir(f"{at}/{body['aside']}")
     system.delete_file(f"{at}/{journal}")
@@ -117,7 +126,7 @@ class _Reader(DataSourceReader):
                 text = _get(system, f"{at}/{name}").decode()
                 head = _HEAD.search(text)
                 if self.models and head and text.startswith("config:"):
-                    model = ((yaml.safe_load(text[: head.start()]) or {}).get("config") or {}).get("model")
+                    model = ((loaded(text[: head.start()]) or {}).get("config") or {}).get("model")
                     if any(str("" if model is None else model) not in m for m in self.models):
                         continue
                 config, results = parsed_store(text)
@@ -153,7 +162,7 @@ class _Writer(DataSourceWriter):
                     aside = f"{attempt}-{len(moves)}"
                     moves.append((aside, now))
                     out = system.open_output_stream(f"{at}/{self.aside}/{aside}")
-                    out.write(yaml.safe_dump({"config": row["config"].asDict(recursive=True)}, sort_keys=False, allow_unicode=True, indent=4).encode() + b"results:\n")
+                    out.write(dumped({"config": row["config"].asDict(recursive=True)}).encode() + b"results:\n")
                 out.write(result_yaml(row).encode())
         finally:
             if out:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 import yaml
@@ -105,3 +106,15 @@ def test_a_lost_driver_s_moves_are_carried_out(spark, tmp_path):
     got = {(r["file"], r["identifier"]) for r in E.scan(spark, at).collect()}
     assert got == {("s000.yaml", "new0"), ("added.yaml", "new2"), *{(f"s00{k}.yaml", f"{k}-{i}") for k in (1, 2) for i in range(3)}}
     assert not os.path.exists(f"{at}/.moving-1") and not os.path.exists(f"{at}/.aside-1")
+
+
+def test_every_text_comes_back(tmp_path):
+    """Line breaks of all kinds, between spaces and blank lines: PyYAML's own writer loses or adds some."""
+    rnd, alphabet = random.Random(5), [*" \n\t\r\"'#:-|>&*!%@`{}[],?a0\\~\u00e9\u0085\u00a0\u2028\u2029\ufeff\U0001f600\x7f", "\n\n", "word " * 30]
+    for k in range(400):
+        text = " b{\u0085{" if not k else "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+        row = {c: kind() for _, c, kind in S.RESULT_KEYS} | {"response": text, "identifier": text[:5], "char_similarity": rnd.choice([0.1, 1e-7, 1e22, -0.0, float("inf"), None]), "input_tokens": k}
+        made = S.result_yaml(row)
+        assert made == S.dumped([{key: row[c] for key, c, _ in S.RESULT_KEYS}])
+        for load in (yaml.safe_load, S.loaded):
+            assert load(made)[0] == {key: row[c] for key, c, _ in S.RESULT_KEYS}
