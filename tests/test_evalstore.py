@@ -118,3 +118,11 @@ def test_every_text_comes_back(tmp_path):
         assert made == S.dumped([{key: row[c] for key, c, _ in S.RESULT_KEYS}])
         for load in (yaml.safe_load, S.loaded):
             assert load(made)[0] == {key: row[c] for key, c, _ in S.RESULT_KEYS}
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    for k in range(700):
+        (tmp_path / f"s{k:03}.yaml").write_text("config: {}\n")
+    listed = S.list_stores(spark, str(tmp_path))
+    assert [r["file"] for r in listed.collect()] == [f"s{k:03}.yaml" for k in range(700)]
+    assert "Coalesce 16" in listed._jdf.queryExecution().executedPlan().toString()
