@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from .text import let
@@ -220,18 +220,29 @@ def align_words(ref: list, hyp: list) -> tuple[int, int, int, int, int]:
     return substituted + deleted + inserted, correct, substituted, deleted, inserted
 
 
-@F.pandas_udf(ALIGNMENT)
-def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+#: Rows whose texts and tokens are Python values at a time; an Arrow batch may hold thousands.
+HELD = 64
+
+
+def _each(fn, kind: T.StructType, *columns: pa.Array) -> pa.Array:
+    """``fn`` of each row, a few rows at a time; nulls where one of the first two cells is null."""
+    none, rows = (None,) * len(kind), []
+    for at in range(0, len(columns[0]), HELD):
+        held = zip(*(c.slice(at, HELD).to_pylist() for c in columns), strict=True)
+        rows += [none if row[0] is None or row[1] is None else fn(*row) for row in held]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(len(kind))], names=kind.names)
+
+
+@F.arrow_udf(ALIGNMENT)
+def align(a: pa.Array, b: pa.Array) -> pa.Array:
     """Alignment counts of token arrays, in Arrow batches, one pair's table at a time."""
-    rows = [(None,) * 5 if x is None or y is None else align_words(list(x), list(y)) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame(rows, columns=ALIGNMENT.names).astype("Int32")
+    return _each(align_words, ALIGNMENT, a, b)
 
 
 COMPARISON = T.StructType([T.StructField("chars", T.IntegerType()), *ALIGNMENT.fields])
 
 
-@F.pandas_udf(COMPARISON)
-def compare(ref: pd.Series, hyp: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(COMPARISON)
+def compare(ref: pa.Array, hyp: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
     """Character distance of texts and alignment counts of their tokens, in one passage through Arrow."""
-    rows = [(None,) * 6 if x is None or y is None else (distance(x, y), *align_words(list(v), list(w))) for x, y, v, w in zip(ref, hyp, a, b, strict=True)]
-    return pd.DataFrame(rows, columns=COMPARISON.names).astype("Int32")
+    return _each(lambda x, y, v, w: (distance(x, y), *align_words(v, w)), COMPARISON, ref, hyp, a, b)

@@ -2,6 +2,7 @@ import random
 import re
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,16 @@ def test_pairs_are_dealt_by_cost(spark):
     even = dealt(df.where("k < 3000"), parts=8)
     assert even.rdd.getNumPartitions() == 8 and even.count() == 3000
     assert sorted(map(repr, score(df.where("k < 30"), spread=5).collect())) == sorted(map(repr, score(df.where("k < 30")).collect()))
+
+
+def test_a_batch_s_tokens_are_not_all_held_at_once():
+    texts = [" ".join(f"w{i}-{k}" for k in range(200)) for i in range(1500)] + [None]
+    ref = pa.array(texts)
+    tokens = pa.array([t and t.split() for t in texts])
+    tracemalloc.start()
+    got = E.compare.func(ref, ref, tokens, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[-2:] == [dict(zip(E.COMPARISON.names, row, strict=True)) for row in ((0, 0, 200, 0, 0, 0), (None,) * 6)]
+    assert E.align.func(tokens[:0], tokens[:0]).type == pa.struct([(n, pa.int32()) for n in E.ALIGNMENT.names])
+    assert peak < 8 << 20, peak  # a batch's tokens at once are over 30 MB
