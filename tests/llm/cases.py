@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from contextlib import contextmanager
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -31,3 +32,22 @@ def frame(spark, rows=None, clash: tuple[str, ...] = ()):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@contextmanager
+def many_partitions(spark, name: str):
+    """Shuffles of 64 partitions that aren't coalesced meanwhile; the list given gets, at the end, each run stage's number of tasks."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, stages = {k: spark.conf.get(k) for k in settings}, []
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        yield stages
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    said = spark.sparkContext.statusTracker()
+    ran = {s: said.getStageInfo(s) for job in said.getJobIdsForGroup(name) for s in said.getJobInfo(job).stageIds}
+    stages += [s.numTasks for s in ran.values() if s and s.numCompletedTasks]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import simhash as S
 from quillspark.llm.graph import components
 
-from .cases import empty, frame
+from .cases import empty, frame, many_partitions
 
 
 def brute_print(text, k=3):
@@ -95,6 +95,14 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(60)}
 
 
+def test_rounds_have_tasks_for_their_links_not_for_the_shuffle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with many_partitions(spark, "components") as stages:
+        assert {r["label"] for r in components(edges, "a", "b").collect()} == {0}
+    # the given links are made distinct by the shuffle and counted, and so is the result
+    assert len(stages) > 30 and sum(n >= 64 for n in stages) <= 4
+
+
 def shingles(text, k=5):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
