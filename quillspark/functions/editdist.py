@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import let
+from .text import WS, let
 
 ALIGNMENT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("dist", "correct", "substitutions", "deletions", "insertions")])
 
@@ -239,6 +240,14 @@ def align(a: pa.Array, b: pa.Array) -> pa.Array:
     return _each(align_words, ALIGNMENT, a, b)
 
 
+_WORD = re.compile("[^" + re.sub(r"\\x\{(\w+)\}", lambda code: f"\\U{int(code[1], 16):08x}", WS) + "]+")
+
+
+def words(text: str) -> list[str]:
+    """Words as :func:`.text.tokenize` has them."""
+    return _WORD.findall(text)
+
+
 COMPARISON = T.StructType([T.StructField("chars", T.IntegerType()), *ALIGNMENT.fields])
 
 
@@ -246,3 +255,9 @@ COMPARISON = T.StructType([T.StructField("chars", T.IntegerType()), *ALIGNMENT.f
 def compare(ref: pa.Array, hyp: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
     """Character distance of texts and alignment counts of their tokens, in one passage through Arrow."""
     return _each(lambda x, y, v, w: (distance(x, y), *align_words(v, w)), COMPARISON, ref, hyp, a, b)
+
+
+@F.arrow_udf(COMPARISON)
+def compare_texts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """As :func:`compare`, with the words taken here: a batch with tokens is two and a half times as large, and a worker has two or three."""
+    return _each(lambda x, y: (distance(x, y), *align_words(words(x), words(y))), COMPARISON, ref, hyp)

@@ -59,18 +59,24 @@ def score(df: DataFrame, ref: str = "ref", hyp: str = "hyp", ignore: tuple[str,
     texts = [normalize_single_line(F.col(c)) if single_line else F.col(c) for c in (ref, hyp)]
     kept = df.columns
     step = df.withColumn("__p", mask(*texts, list(ignore)))
-    step = step.withColumns({"__r": F.col("__p.ref"), "__h": F.col("__p.hyp"), "__a": tokenize(F.col("__p.ref")), "__b": tokenize(F.col("__p.hyp"))})
+    step = step.withColumns({"__r": F.col("__p.ref"), "__h": F.col("__p.hyp")})
+    a, b, w = tokenize(F.col("__r")), tokenize(F.col("__h")), F.col("__w")
     if native:
+        step = step.withColumns({"__a": a, "__b": b})
         step = step.withColumns({"__d": E.char_distance(F.col("__r"), F.col("__h")), "__w": E.align_native(F.col("__a"), F.col("__b"))})
+        step = step.withColumns({"__n": F.size("__a"), "__m": F.size("__b")})
     else:
-        step = step.withColumn("__w", E.compare("__r", "__h", "__a", "__b")).withColumn("__d", F.col("__w.chars"))
+        # words go to Python within their texts alone; those of a pair with a null text are counted here
+        step = step.withColumn("__w", E.compare_texts("__r", "__h")).withColumn("__d", F.col("__w.chars"))
+        both = w.correct + w.substitutions
+        step = step.withColumns({"__n": F.coalesce(both + w.deletions, F.size(a)), "__m": F.coalesce(both + w.insertions, F.size(b))})
     return step.select(*[F.col(f"`{c}`") for c in kept], _metrics().alias(into))
 
 
 def _metrics() -> Column:
     d, w = F.col("__d"), F.col("__w")
     ref_chars, hyp_chars = F.length("__p.ref"), F.length("__p.hyp")
-    n, m = F.size("__a"), F.size("__b")
+    n, m = F.col("__n"), F.col("__m")
     wer = E.word_error_rate(w.dist, n)
     values = (
         d, E.similarity(d, ref_chars, hyp_chars), E.char_accuracy(d, ref_chars),

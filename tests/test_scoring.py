@@ -252,3 +252,20 @@ def test_a_batch_s_tokens_are_not_all_held_at_once():
     assert got.to_pylist()[-2:] == [dict(zip(E.COMPARISON.names, row, strict=True)) for row in ((0, 0, 200, 0, 0, 0), (None,) * 6)]
     assert E.align.func(tokens[:0], tokens[:0]).type == pa.struct([(n, pa.int32()) for n in E.ALIGNMENT.names])
     assert peak < 8 << 20, peak  # a batch's tokens at once are over 30 MB
+
+
+def test_words_go_to_python_within_their_texts(spark):
+    odd = "".join(map(chr, range(0x3100))) + "\U00010020 x​﻿ y\n\n"
+    rows = [("a  b\tc", "a b d "), (odd, odd[::-1]), ("x\x1cy\x1fz q", "x y"), ("", " 　 "), (None, "a b"), ("a b c", None), (None, None)]
+    df = spark.createDataFrame(rows, "ref string, hyp string")
+    got = score(df)
+    below = got._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[1]
+    assert "split(" not in below  # tokens beside the texts make an Arrow batch two and a half times as large
+    names = ["ref_words", "hyp_words", "word_distance", "correct_words", "substitutions", "deletions", "insertions", "word_error_rate"]
+    got = got.select("ref", "hyp", *(f"m.{c}" for c in names)).collect()
+    assert [E.words(r["ref"] or "") for r in got] == [r["w"] for r in df.select(T.tokenize(F.coalesce("ref", F.lit(""))).alias("w")).collect()]
+    for r in got:
+        n, m = (None if r[c] is None else len(fields(r[c])) for c in ("ref", "hyp"))
+        assert (r["ref_words"], r["hyp_words"]) == (n, m)
+        assert None in r[:2] or tuple(r[c] for c in names[2:7]) == E.align_words(fields(r["ref"]), fields(r["hyp"]))
+    assert got[4]["word_error_rate"] is None and got[4]["hyp_words"] == 2 and got[5]["ref_words"] == 3
